@@ -51,6 +51,7 @@ FEATURES = {
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "distinct_growth": "ln(greatest(n_distinct, 2)) / ln(greatest(n_words, 2))",
     "words_per_line": "n_words / greatest(n_lines, 1)",
     "words": "double(n_words)",
 }
@@ -106,7 +107,7 @@ def grow(x: np.ndarray, y: np.ndarray, most: int, cuts: int) -> list[Test]:
     return rule
 
 
-def learn(x: np.ndarray, reject: np.ndarray, most_rules: int = 12, most_tests: int = 3, least_precision: float = 0.9, cuts: int = 64) -> list[list[Test]]:
+def learn(x: np.ndarray, reject: np.ndarray, most_rules: int = 12, most_tests: int = 3, least_precision: float = 0.97, cuts: int = 64) -> list[list[Test]]:
     """Ordered rules that reject. Each is grown on two thirds of the rows left, pruned from its end on the other third by
     (p - n) / (p + n), and kept if it is right at least ``least_precision`` of the time on all rows left; then what it
     covers goes. No rows, or none to reject: no rules."""
