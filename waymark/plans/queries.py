@@ -1,4 +1,345 @@
-"""Registered track queries and their SQL."""
+"""Registered track queries, and DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from waymark.functions import stats, values
+
+from waymark.operators import cleaning, continuity, elevation, moving, present, series
+from waymark.plans import oracles
+from waymark.plans.summary import analyse, track_summary
+from waymark.sources.tables import dense_points, sparse_points, supplier_points
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Doubles to six decimals, so that the last bits of sums and sines don't count."""
+    return df.select(*(F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+    return f
+
+
+@query
+def pair_distance(spark, sf_dir):
+    p = continuity.with_pairs(sparse_points(spark, sf_dir))
+    return p.select("track_id", "seq", "same_segment", "dt", "metres")
+
+
+@query
+def track_bounds(spark, sf_dir):
+    return continuity.span_metres(sparse_points(spark, sf_dir))
+
+
+@query
+def time_gaps(spark, sf_dir):
+    return continuity.time_gaps(sparse_points(spark, sf_dir))
+
+
+@query
+def time_gap_breaks(spark, sf_dir):
+    return continuity.with_bridges(continuity.with_gaps(sparse_points(spark, sf_dir))).filter("is_gap").select("track_id", "seq", "dt", "threshold_s", "is_bridge")
+
+
+@query
+def continuous_segments(spark, sf_dir):
+    return continuity.continuous_segments(sparse_points(spark, sf_dir))
+
+
+@query
+def elapsed_duration(spark, sf_dir):
+    return continuity.elapsed(sparse_points(spark, sf_dir))
+
+
+@query
+def recording_mode(spark, sf_dir):
+    return continuity.sampling(dense_points(spark, sf_dir))
+
+
+@query
+def distance_series(spark, sf_dir):
+    return series.distance_series(sparse_points(spark, sf_dir)).select("track_id", "seq", "span", "distance_m")
+
+
+@query
+def distance_3d(spark, sf_dir):
+    return series.distance_3d(sparse_points(spark, sf_dir))
+
+
+@query
+def percentile_flavours(spark, sf_dir):
+    p = sparse_points(spark, sf_dir)
+    flavours = {"nearest": stats.nearest_rank, "interpolated": stats.interpolated, "lower": stats.lower_rank, "upper": stats.upper_rank}
+    return p.groupBy("track_id").agg(*(f("ele", q).alias(f"{n}_{int(q * 100)}") for n, f in flavours.items() for q in (0.1, 0.5, 0.95)), F.median("ele").alias("median"))
+
+
+@query
+def fix_quality(spark, sf_dir):
+    return cleaning.with_fix_quality(dense_points(spark, sf_dir)).filter("rejected").select("track_id", "seq", "satellites", "warned")
+
+
+@query
+def time_order(spark, sf_dir):
+    return cleaning.time_order(dense_points(spark, sf_dir)).select("track_id", "seq", "ts_ms")
+
+
+@query
+def duplicate_points(spark, sf_dir):
+    p = dense_points(spark, sf_dir).withColumn("lat", F.floor(F.col("seq") / 3).cast("double")).withColumn("lon", F.lit(1.0)).withColumn("ts_ms", F.floor(F.col("ts_ms") / 6000))
+    return cleaning.without_duplicates(p).select("track_id", "seq", "ts_ms", "lat")
+
+
+@query
+def motion_profile(spark, sf_dir):
+    return cleaning.motion_profile(dense_points(spark, sf_dir)).drop("p90_mps")
+
+
+@query
+def turn_angles(spark, sf_dir):
+    return cleaning.turn_angles(sparse_points(spark, sf_dir))
+
+
+@query
+def cleaned_points(spark, sf_dir):
+    return cleaning.clean(dense_points(spark, sf_dir).drop("ele_source")).select("track_id", "seq", "reason")
+
+
+@query
+def cleaning_summary(spark, sf_dir):
+    c = cleaning.cleaning_summary(cleaning.clean(dense_points(spark, sf_dir)))
+    return c.select("track_id", "points_in", "points_out", F.array_join(F.transform("reasons", lambda r: F.concat(r["reason"], F.lit("="), r["n"].cast("string"))), ",").alias("reasons"))
+
+
+@query
+def raw_speed(spark, sf_dir):
+    return series.raw_speed(dense_points(spark, sf_dir))
+
+
+@query
+def speed_reliability(spark, sf_dir):
+    return series.reliability(series.raw_speed(dense_points(spark, sf_dir)))
+
+
+@query
+def speed_smoothing(spark, sf_dir):
+    return series.reliable_speed(series.raw_speed(dense_points(spark, sf_dir))).select("track_id", "seq", "kmh", "smooth_kmh")
+
+
+@query
+def max_speed(spark, sf_dir):
+    return series.reliable_speed(series.raw_speed(dense_points(spark, sf_dir))).groupBy("track_id").agg(F.max("kmh").alias("max_kmh"), F.count("*").alias("n"))
+
+
+@query
+def slope_asof(spark, sf_dir):
+    return series.slopes(sparse_points(spark, sf_dir))
+
+
+@query
+def splits_5km(spark, sf_dir):
+    return series.splits(supplier_points(spark, sf_dir), 5000.0)
+
+
+@query
+def nearest_sample(spark, sf_dir):
+    s = series.distance_series(dense_points(spark, sf_dir)).select("track_id", "seq", "distance_m")
+    q = s.select("track_id").distinct().withColumn("at_m", F.explode(F.array(*(F.lit(float(x)) for x in (0, 25, 51.5, 90, 10_000)))))
+    return series.nearest_sample(s, q).select("track_id", "at_m", "distance_m")
+
+
+def _timer(spark, sf_dir):
+    p = sparse_points(spark, sf_dir)
+    action = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "error", "stop")
+    return p, p.select("track_id", F.col("seq").alias("event_id"), "ts_ms", action.alias("action")).filter("action is not null")
+
+
+@query
+def timer_intervals(spark, sf_dir):
+    return moving.timer_intervals(*_timer(spark, sf_dir))
+
+
+@query
+def interval_clip(spark, sf_dir):
+    p, e = _timer(spark, sf_dir)
+    seg = p.groupBy("track_id", "segment").agg(F.min("ts_ms").alias("lo_ms"), F.max("ts_ms").alias("hi_ms"))
+    return moving.clip_intervals(moving.timer_intervals(p, e), seg)
+
+
+@query
+def distance_in_intervals(spark, sf_dir):
+    p, e = _timer(spark, sf_dir)
+    pairs = continuity.with_pairs(p).filter("same_segment and dt > 0").select("track_id", (F.col("ts_ms") - F.col("dt") * 1000).cast("long").alias("from_ms"), F.col("ts_ms").alias("to_ms"), "metres")
+    return moving.distance_in_intervals(pairs, moving.timer_intervals(p, e))
+
+
+@query
+def moving_hysteresis(spark, sf_dir):
+    return moving.moving_time(series.raw_speed(dense_points(spark, sf_dir)), "fast")
+
+
+@query
+def xy_jitter(spark, sf_dir):
+    p = dense_points(spark, sf_dir).withColumn("lat", 43 + F.floor(F.col("seq") / 7) * 3e-5 + F.col("seq") % 2 * 1e-6)
+    return continuity.with_jitter(continuity.with_gaps(p)).filter("is_jitter").select("track_id", "seq", "metres")
+
+
+@query
+def route_jitter(spark, sf_dir):
+    p = dense_points(spark, sf_dir).withColumn("lat", 43 + F.floor(F.col("seq") / 7) * 3e-5 + F.col("seq") % 2 * 1e-6)
+    return continuity.with_route_jitter(continuity.with_jitter(continuity.with_gaps(p))).groupBy("track_id").agg(F.sum(F.col("is_jitter").cast("int")).alias("n_jitter"), F.sum(F.col("is_route_jitter").cast("int")).alias("n_route_jitter"))
+
+
+@query
+def elevation_runs(spark, sf_dir):
+    return elevation.runs(dense_points(spark, sf_dir)).select("track_id", "seq", "run", "i", "ele_source")
+
+
+@query
+def raw_extrema(spark, sf_dir):
+    return elevation.raw_extrema(dense_points(spark, sf_dir))
+
+
+@query
+def source_trust(spark, sf_dir):
+    return elevation.source_trust(dense_points(spark, sf_dir))
+
+
+@query
+def primary_source(spark, sf_dir):
+    return elevation.primary_source(elevation.source_trust(dense_points(spark, sf_dir)))
+
+
+@query
+def activity_features(spark, sf_dir):
+    return elevation.activity(dense_points(spark, sf_dir))
+
+
+@query
+def resample_grid(spark, sf_dir):
+    return elevation.resample(elevation.runs(dense_points(spark, sf_dir)), 10.0)
+
+
+@query
+def hampel_outliers(spark, sf_dir):
+    return elevation.hampel(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele")).select("track_id", "run", "i", "ele", "clean")
+
+
+@query
+def smooth_runs(spark, sf_dir):
+    return elevation.smooth(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele"), 2, "ele")
+
+
+@query
+def local_sigma(spark, sf_dir):
+    return elevation.local_sigma(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele"), "ele")
+
+
+def _plain_samples(spark, sf_dir):
+    rows = elevation.runs(dense_points(spark, sf_dir).drop("ele_source"))
+    return rows.select("track_id", "run", "i", (F.col("i") * 15.0).alias("d"), "ele", F.lit(1.0).alias("sigma"))
+
+
+@query
+def gain_loss(spark, sf_dir):
+    return elevation.gain_loss(_plain_samples(spark, sf_dir), 3.0, 2.0, 20.0, "ele")
+
+
+@query
+def selected_thresholds(spark, sf_dir):
+    return elevation.selected_thresholds(elevation.local_sigma(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele"), "ele"))
+
+
+@query
+def robust_envelope(spark, sf_dir):
+    return elevation.robust_envelope(elevation.runs(dense_points(spark, sf_dir)))
+
+
+@query
+def net_change(spark, sf_dir):
+    return elevation.net_change(_plain_samples(spark, sf_dir))
+
+
+@query
+def elevation_confidence(spark, sf_dir):
+    return elevation.confidence(dense_points(spark, sf_dir))
+
+
+@query
+def colour_scale(spark, sf_dir):
+    return present.colour_scale(series.reliable_speed(series.raw_speed(dense_points(spark, sf_dir))), "kmh")
+
+
+@query
+def route_colours(spark, sf_dir):
+    p = dense_points(spark, sf_dir)
+    s = series.raw_speed(p).withColumn("kmh", F.round("kmh", 3))
+    return present.filled_pairs(p, present.coloured(s, "kmh"))
+
+
+@query
+def chart_rows(spark, sf_dir):
+    return present.chart_rows(_plain_samples(spark, sf_dir))
+
+
+@query
+def slope_scale(spark, sf_dir):
+    return present.slope_scale(series.slopes(sparse_points(spark, sf_dir)))
+
+
+@query
+def viewport(spark, sf_dir):
+    return present.viewport(sparse_points(spark, sf_dir))
+
+
+@query
+def geojson_lines(spark, sf_dir):
+    g = present.geojson(sparse_points(spark, sf_dir))
+    line = F.from_json("geojson", "type string, coordinates array<array<double>>")
+    return g.select("track_id", F.size(line["coordinates"]).alias("n"), line["coordinates"][0][0].alias("first_lon"), F.element_at(F.element_at(line["coordinates"], -1), 2).alias("last_lat"))
+
+
+@query
+def number_parsing(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.concat(F.lit(" "), F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise("")).alias("t"))
+    return p.select("o_orderkey", values.number(F.col("t")).alias("value"))
+
+
+@query
+def formatters(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("v"))
+    return p.select("o_orderkey", values.clock(F.col("v")).alias("clock"))
+
+
+@query
+def metric_tiles(spark, sf_dir):
+    s = track_summary(sparse_points(spark, sf_dir)).select("track_id", "total_distance_m", "total_s", "average_kmh", "max_kmh").withColumns({"gain_m": F.lit(None).cast("double"), "loss_m": F.lit(None).cast("double")})
+    return present.metric_tiles(s).filter("metric in ('duration', 'gain')")
+
+
+@query
+def track_summary_query(spark, sf_dir):
+    return track_summary(sparse_points(spark, sf_dir))
+
+
+QUERIES["track_summary"] = QUERIES.pop("track_summary_query")
+
+
+@query
+def supplier_track_summary(spark, sf_dir):
+    return track_summary(supplier_points(spark, sf_dir))
+
+
+@query
+def full_analysis(spark, sf_dir):
+    return analyse(dense_points(spark, sf_dir))["summary"]
+
+
+ORACLE_SQL = oracles.ORACLE_SQL
+__all__ = ["ORACLE_SQL", "QUERIES"]
