@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import bearing, distance, turn, valid
 from waymark.functions.rules import reasons
 from waymark.functions.stats import half_up
-from waymark.operators.continuity import TRACK, with_pairs
+from waymark.operators.continuity import in_order, with_pairs
 
 #: Speeds in m/s above which a profile's jump is impossible.
 CEILINGS = {"slow": 6.0, "moderate": 10.0, "fast": 25.0, "unrestricted": 50.0, "unknown": 50.0}
@@ -58,16 +58,16 @@ def without_duplicates(points: DataFrame) -> DataFrame:
     """The points without those that have place and time of the point before, segments aside; two missing times are equal."""
     same = F.lit(True)
     for c in ("lat", "lon", "ts_ms"):
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(TRACK))
-    return points.withColumn("_same", same & F.lag("seq").over(TRACK).isNotNull()).filter("not _same").drop("_same")
+        same = same & F.col(c).eqNullSafe(F.lag(c).over(in_order()))
+    return points.withColumn("_same", same & F.lag("seq").over(in_order()).isNotNull()).filter("not _same").drop("_same")
 
 
 def turn_angles(points: DataFrame) -> DataFrame:
     """Rows track_id, seq, turn_deg: the change of bearing at each point between two others."""
-    b = bearing(F.lag("lat").over(TRACK), F.lag("lon").over(TRACK), F.col("lat"), F.col("lon"))
+    b = bearing(F.lag("lat").over(in_order()), F.lag("lon").over(in_order()), F.col("lat"), F.col("lon"))
     return (
         points.withColumn("_in", b)
-        .withColumn("_out", F.lead("_in").over(TRACK))
+        .withColumn("_out", F.lead("_in").over(in_order()))
         .filter("_in is not null and _out is not null")
         .select("track_id", "seq", turn(F.col("_in"), F.col("_out")).alias("turn_deg"))
     )
@@ -76,8 +76,8 @@ def turn_angles(points: DataFrame) -> DataFrame:
 def heading_flips(points: DataFrame) -> DataFrame:
     """The points with is_flip: there and back within 5 s a leg, 5 to 10 m each, 5 m apart at most, by 120 degrees or more."""
     lat, lon, ts, seg = (F.col(c) for c in ("lat", "lon", "ts_ms", "segment"))
-    a = {c: F.lag(c).over(TRACK) for c in ("lat", "lon", "ts_ms", "segment")}
-    b = {c: F.lead(c).over(TRACK) for c in ("lat", "lon", "ts_ms", "segment")}
+    a = {c: F.lag(c).over(in_order()) for c in ("lat", "lon", "ts_ms", "segment")}
+    b = {c: F.lead(c).over(in_order()) for c in ("lat", "lon", "ts_ms", "segment")}
     leg = lambda dt, m: (dt > 0) & (dt <= 5000) & m.between(5, 10)
     flip = (
         (a["segment"] == seg) & (b["segment"] == seg)
@@ -98,7 +98,7 @@ def clean(points: DataFrame) -> DataFrame:
     rows = heading_flips(with_pairs(quality)).join(profile, "track_id", "left").withColumn("ceiling_mps", F.coalesce("ceiling_mps", F.lit(50.0)))
     suspicious = (
         ~valid(F.col("lat"), F.col("lon")) | F.col("rejected") | F.col("is_flip") | ((F.abs("lat") <= 1e-6) & (F.abs("lon") <= 1e-6))
-        | ((F.col("metres") == 0) & F.col("ts_ms").eqNullSafe(F.lag("ts_ms").over(TRACK))) | (F.col("same_segment") & (F.col("dt") <= 0)) | (F.try_divide(F.col("metres"), F.when(F.col("dt") > 0, F.col("dt"))) > F.col("ceiling_mps"))
+        | ((F.col("metres") == 0) & F.col("ts_ms").eqNullSafe(F.lag("ts_ms").over(in_order()))) | (F.col("same_segment") & (F.col("dt") <= 0)) | (F.try_divide(F.col("metres"), F.when(F.col("dt") > 0, F.col("dt"))) > F.col("ceiling_mps"))
     )
     rows = rows.withColumn("_check", F.max(F.coalesce(suspicious, F.lit(False))).over(Window.partitionBy("track_id")))
     keep = points.columns

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import distance
 
-TRACK = Window.partitionBy("track_id").orderBy("seq")
+def in_order() -> WindowSpec:
+    """A track's points in order."""
+    return Window.partitionBy("track_id").orderBy("seq")
 
 
 def with_pairs(points: DataFrame) -> DataFrame:
     """Every point with its pair to the point before: same_segment, dt (seconds, null if a time is missing), metres.
     The first point of a track has null in all three."""
-    before = {c: F.lag(c).over(TRACK) for c in ("lat", "lon", "ts_ms", "segment", "seq")}
+    before = {c: F.lag(c).over(in_order()) for c in ("lat", "lon", "ts_ms", "segment", "seq")}
     return points.withColumns(
         {
             "same_segment": F.when(before["seq"].isNotNull(), F.col("segment") == before["segment"]),
@@ -59,7 +61,7 @@ def with_bridges(gapped: DataFrame, on_kmh: float = 1.5, most_kmh: float = 180.0
 def with_continuous_segment(gapped: DataFrame) -> DataFrame:
     """cont_segment: 0, 1, ..., one more after each change of segment and each gap."""
     breaks = F.when(~F.coalesce("same_segment", F.lit(True)) | F.col("is_gap"), 1).otherwise(0)
-    return gapped.withColumn("cont_segment", F.sum(breaks).over(TRACK).cast("int"))
+    return gapped.withColumn("cont_segment", F.sum(breaks).over(in_order()).cast("int"))
 
 
 def continuous_segments(points: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def continuous_segments(points: DataFrame) -> DataFrame:
 
 def elapsed(points: DataFrame) -> DataFrame:
     """Rows track_id, total_s, has_breaks: the sum over spans of one segment of last minus first known time."""
-    span = F.sum(F.when(~F.coalesce("same_segment", F.lit(True)), 1).otherwise(0)).over(TRACK)
+    span = F.sum(F.when(~F.coalesce("same_segment", F.lit(True)), 1).otherwise(0)).over(in_order())
     return (
         with_pairs(points)
         .withColumn("span", span)
@@ -131,7 +133,7 @@ def with_route_jitter(jittered: DataFrame) -> DataFrame:
     pairs or more that are two fifths jitter and span 25 m at most."""
     rows = with_continuous_segment(jittered)
     whole = Window.partitionBy("track_id", "cont_segment")
-    run = F.sum(F.when(F.col("is_jitter"), 0).otherwise(1)).over(TRACK)
+    run = F.sum(F.when(F.col("is_jitter"), 0).otherwise(1)).over(in_order())
     rows = rows.withColumn("run", run).withColumns(
         {
             "run_pairs": F.sum(F.col("is_jitter").cast("int")).over(Window.partitionBy("track_id", "run")),

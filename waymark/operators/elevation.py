@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import half_up, lower_of, nearest_rank, upper_rank
-from waymark.operators.continuity import TRACK, with_gaps
+from waymark.operators.continuity import in_order, with_gaps
 
 #: Metres between samples, least turn in metres and metres it must last, by activity.
 ACTIVITIES = {"foot": (5, 3, 20), "bike": (10, 4, 30), "water": (10, 15, 300), "motor": (20, 6, 80), "route_plan": (10, 6, 40), "unknown": (10, 5, 40)}
@@ -17,8 +17,13 @@ MAD = 1.4826
 #: The rise in metres across a declared gap that breaks a run.
 GAP_RISE = 60.0
 
-RUN = Window.partitionBy("track_id", "run").orderBy("i")
-WHOLE = Window.partitionBy("track_id", "run")
+
+def run_order() -> WindowSpec:
+    return Window.partitionBy("track_id", "run").orderBy("i")
+
+
+def whole_run() -> WindowSpec:
+    return Window.partitionBy("track_id", "run")
 
 
 def runs(points: DataFrame) -> DataFrame:
@@ -27,10 +32,10 @@ def runs(points: DataFrame) -> DataFrame:
     rows = points if "is_gap" in points.columns else with_gaps(points)
     source = F.coalesce("ele_source", F.lit("unknown")) if "ele_source" in points.columns else F.lit("unknown")
     rows = rows.withColumn("ele_source", source)
-    before = F.lag("ele").over(TRACK)
-    cut = before.isNull() | ~F.col("same_segment") | (F.lag("ele_source").over(TRACK) != F.col("ele_source")) | (F.col("is_gap") & (F.abs(F.col("ele") - before) >= GAP_RISE))
+    before = F.lag("ele").over(in_order())
+    cut = before.isNull() | ~F.col("same_segment") | (F.lag("ele_source").over(in_order()) != F.col("ele_source")) | (F.col("is_gap") & (F.abs(F.col("ele") - before) >= GAP_RISE))
     flagged = rows.withColumn("_cut", F.when(F.coalesce(cut, F.lit(True)), 1).otherwise(0)).filter("ele is not null")
-    return flagged.withColumn("run", F.sum("_cut").over(TRACK).cast("int")).drop("_cut").withColumn("i", F.row_number().over(Window.partitionBy("track_id", "run").orderBy("seq")))
+    return flagged.withColumn("run", F.sum("_cut").over(in_order()).cast("int")).drop("_cut").withColumn("i", F.row_number().over(Window.partitionBy("track_id", "run").orderBy("seq")))
 
 
 def raw_extrema(points: DataFrame) -> DataFrame:
@@ -42,7 +47,7 @@ def source_trust(points: DataFrame) -> DataFrame:
     """Rows track_id, ele_source, n, p75_delta, p95_delta, p95_grade, p95_vertical_mps, change_ratio, noisy: a source is
     noisy if a pair rises 8 m or more at a grade of 0.35 or 1.2 m/s, or its changes add up to twelve times its range."""
     rows = runs(points)
-    delta = F.abs(F.col("ele") - F.lag("ele").over(RUN))
+    delta = F.abs(F.col("ele") - F.lag("ele").over(run_order()))
     rows = rows.withColumns({"delta": F.when(~F.col("is_gap"), delta)})
     rows = rows.withColumns({"grade": F.when(F.col("metres") > 0, F.col("delta") / F.col("metres")), "vertical": F.when(F.col("dt") > 0, F.col("delta") / F.col("dt"))})
     wild = (F.col("delta") >= 8) & ((F.col("grade") >= 0.35) | (F.col("vertical") >= 1.2))
@@ -73,16 +78,17 @@ def activity(points: DataFrame) -> DataFrame:
     return out.withColumn("activity", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))
 
 
-def resample(run_points: DataFrame, step_m: float = 10.0) -> DataFrame:
+def resample(run_points: DataFrame, step_m: float | Column = 10.0) -> DataFrame:
     """Rows track_id, run, i, d, ele: each run at d = 0, step, 2 step, ... and its full length, elevations interpolated by
     distance. A run without length gives its last point. Each interval between points is exploded into the marks that it
     holds, so no range join is needed."""
     pair = F.when(F.col("i") > 1, F.col("metres")).otherwise(0.0)
-    rows = run_points.withColumn("d", F.sum(pair).over(RUN.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"d0": F.lag("d").over(RUN), "e0": F.lag("ele").over(RUN), "total": F.max("d").over(WHOLE), "n": F.max("i").over(WHOLE)})
-    first = F.ceil(F.col("d0") / step_m)
-    last = F.ceil(F.col("d") / step_m) - 1
-    marks = F.when(last >= first, F.transform(F.sequence(first, last), lambda k: k * F.lit(step_m)))
+    run_points = run_points.withColumn("_step", F.lit(step_m).cast("double"))
+    rows = run_points.withColumn("d", F.sum(pair).over(run_order().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"d0": F.lag("d").over(run_order()), "e0": F.lag("ele").over(run_order()), "total": F.max("d").over(whole_run()), "n": F.max("i").over(whole_run())})
+    first = F.ceil(F.col("d0") / F.col("_step"))
+    last = F.ceil(F.col("d") / F.col("_step")) - 1
+    marks = F.when(last >= first, F.transform(F.sequence(first, last), lambda k: k * F.col("_step")))
     inner = rows.filter("d > d0").select("track_id", "run", "d0", "d", "e0", "ele", F.explode(marks).alias("at"))
     inner = inner.filter("at < d").select("track_id", "run", F.col("at").alias("d"), (F.col("e0") + (F.col("ele") - F.col("e0")) * (F.col("at") - F.col("d0")) / (F.col("d") - F.col("d0"))).alias("ele"))
     ends = rows.filter("i = n").select("track_id", "run", F.col("total").alias("d"), "ele")
@@ -94,8 +100,8 @@ def hampel(samples: DataFrame) -> DataFrame:
     """The samples with clean: inside a run, a sample farther from the median of seven than max(floor, 3 sigma) becomes the
     mean of its neighbours; where sigma is 0 it must also differ from both of them by more than the floor. The floor is
     0.15 of the run's range, from 4 to 12 m."""
-    near = F.collect_list("ele").over(RUN.rowsBetween(-3, 3))
-    rows = samples.withColumns({"near": near, "n": F.max("i").over(WHOLE), "floor": F.least(F.lit(12.0), F.greatest(F.lit(4.0), 0.15 * (F.max("ele").over(WHOLE) - F.min("ele").over(WHOLE)))), "left": F.lag("ele").over(RUN), "right": F.lead("ele").over(RUN)})
+    near = F.collect_list("ele").over(run_order().rowsBetween(-3, 3))
+    rows = samples.withColumns({"near": near, "n": F.max("i").over(whole_run()), "floor": F.least(F.lit(12.0), F.greatest(F.lit(4.0), 0.15 * (F.max("ele").over(whole_run()) - F.min("ele").over(whole_run())))), "left": F.lag("ele").over(run_order()), "right": F.lead("ele").over(run_order())})
     rows = rows.withColumn("mid", lower_of(F.col("near"), 0.5))
     rows = rows.withColumn("sigma", MAD * lower_of(F.transform("near", lambda x: F.abs(x - F.col("mid"))), 0.5))
     off = F.abs(F.col("ele") - F.col("mid"))
@@ -106,29 +112,29 @@ def hampel(samples: DataFrame) -> DataFrame:
 
 def smooth(samples: DataFrame, radius: int = 1, column: str = "clean") -> DataFrame:
     """The samples with smooth: the mean of ``radius`` samples on either side, ends as they are."""
-    rows = samples.withColumn("n", F.max("i").over(WHOLE))
-    mean = F.avg(column).over(RUN.rowsBetween(-radius, radius))
+    rows = samples.withColumn("n", F.max("i").over(whole_run()))
+    mean = F.avg(column).over(run_order().rowsBetween(-radius, radius))
     return rows.withColumn("smooth", F.when((F.col("i") == 1) | (F.col("i") == F.col("n")), F.col(column)).otherwise(mean)).drop("n")
 
 
 def local_sigma(samples: DataFrame, column: str = "smooth") -> DataFrame:
     """The samples with sigma: 1.4826 times the lower median of the absolute deviations of steps within five samples."""
-    rows = samples.withColumn("step", F.abs(F.col(column) - F.lag(column).over(RUN)))
-    rows = rows.withColumn("steps", F.collect_list("step").over(RUN.rowsBetween(-5, 5)))
+    rows = samples.withColumn("step", F.abs(F.col(column) - F.lag(column).over(run_order())))
+    rows = rows.withColumn("steps", F.collect_list("step").over(run_order().rowsBetween(-5, 5)))
     mid = lower_of(F.col("steps"), 0.5)
     rows = rows.withColumn("mid", mid)
     return rows.withColumn("sigma", F.coalesce(MAD * lower_of(F.transform("steps", lambda x: F.abs(x - F.col("mid"))), 0.5), F.lit(0.0))).drop("step", "steps", "mid")
 
 
-def gain_loss(samples: DataFrame, base_m: float = 5.0, alpha: float = 3.0, sustain_m: float = 40.0, column: str = "smooth") -> DataFrame:
+def gain_loss(samples: DataFrame, base_m: float | Column = 5.0, alpha: float | Column = 3.0, sustain_m: float | Column = 40.0, column: str = "smooth") -> DataFrame:
     """Rows track_id, run, gain_m, loss_m: sums over confirmed turns. A direction holds once the way from the anchor, and a
     turn once the way back from the extreme, reaches max(base, alpha sigma) in height and ``sustain_m`` in length. A fold
     over one run's samples, kept in the JVM."""
-    rows = F.sort_array(F.collect_list(F.struct("i", "d", F.col(column).alias("e"), F.greatest(F.lit(base_m), F.col("sigma") * alpha).alias("thr"))))
+    rows = F.sort_array(F.collect_list(F.struct("i", "d", F.col(column).alias("e"), F.greatest(F.lit(base_m).cast("double"), F.col("sigma") * alpha).alias("thr"), F.lit(sustain_m).cast("double").alias("far"))))
 
     def step(a, s):
         rise = s["e"] - a["e"]
-        far = F.abs(s["d"] - a["d"]) >= sustain_m
+        far = F.abs(s["d"] - a["d"]) >= s["far"]
         begins = (a["dir"] == 0) & (F.abs(rise) >= s["thr"]) & far
         grows = (a["dir"] != 0) & (rise * a["dir"] >= 0)
         turns = (a["dir"] != 0) & ~grows & (F.abs(rise) >= s["thr"]) & far
@@ -161,7 +167,7 @@ def selected_thresholds(samples: DataFrame, base_m: float = 5.0, alpha: float =
 def robust_envelope(run_points: DataFrame) -> DataFrame:
     """Rows track_id, min_ele, max_ele over raw elevations, in which a lone point is replaced by its neighbours' mean: one
     off both by more than max(12, 3 times their difference)."""
-    left, right = F.lag("ele").over(RUN), F.lead("ele").over(RUN)
+    left, right = F.lag("ele").over(run_order()), F.lead("ele").over(run_order())
     mean = (left + right) / 2
     lone = F.abs(F.col("ele") - mean) > F.greatest(F.lit(12.0), 3 * F.abs(right - left))
     return run_points.withColumn("sane", F.when(F.coalesce(lone, F.lit(False)), mean).otherwise(F.col("ele"))).groupBy("track_id").agg(F.min("sane").alias("min_ele"), F.max("sane").alias("max_ele"))
@@ -186,7 +192,23 @@ def confidence(points: DataFrame) -> DataFrame:
     return joined.withColumn("score", score).withColumn("level", F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low"))
 
 
-def profile(points: DataFrame, activity_name: str = "unknown", source: str = "unknown") -> DataFrame:
-    """Samples with run, i, d, ele, clean, smooth and sigma: the elevation chain up to gain and loss."""
-    step, _, _ = ACTIVITIES[activity_name]
-    return local_sigma(smooth(hampel(resample(runs(points), float(step))), 2 if source == "terrain" else 1))
+def with_defaults(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """rows with step_m, base_m and sustain_m of their track's activity, and alpha of its primary source."""
+    kind = activity(points).select("track_id", "activity")
+    source = primary_source(source_trust(points)).select("track_id", F.col("ele_source").alias("primary"))
+    pick = lambda table, key: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col(key)]
+    values = {n: pick({k: float(v[j]) for k, v in ACTIVITIES.items()}, "activity") for j, n in enumerate(("step_m", "base_m", "sustain_m"))}
+    return rows.join(kind.join(source, "track_id"), "track_id").withColumns(values | {"alpha": pick(ALPHA, "primary")}).drop("activity", "primary")
+
+
+def profile(points: DataFrame) -> DataFrame:
+    """Samples with run, i, d, ele, clean, smooth and sigma, spaced by the track's activity: the chain up to gain and loss."""
+    rows = runs(points)
+    samples = resample(with_defaults(rows, points), F.col("step_m"))
+    return local_sigma(smooth(hampel(samples)))
+
+
+def climbs(points: DataFrame, samples: DataFrame) -> DataFrame:
+    """Rows track_id, gain_m, loss_m of profile's samples, by the track's activity and source."""
+    per_run = gain_loss(with_defaults(samples, points), F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
+    return per_run.groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))

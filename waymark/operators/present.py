@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import values
 from waymark.functions.geo import valid
 from waymark.functions.stats import interpolated, lower_rank
-from waymark.operators.continuity import TRACK
+from waymark.operators.continuity import in_order
 
 #: The colours of slow and fast.
 SLOW_RGB, FAST_RGB = (37, 99, 235), (220, 38, 38)
@@ -38,8 +38,8 @@ def coloured(speeds: DataFrame, column: str = "smooth_kmh") -> DataFrame:
 def filled_pairs(points: DataFrame, coloured_samples: DataFrame) -> DataFrame:
     """Rows track_id, seq, colour of every point: its sample's colour, else the one before, else the one after."""
     rows = points.select("track_id", "seq").join(coloured_samples, ["track_id", "seq"], "left")
-    before = F.last("colour", ignorenulls=True).over(TRACK.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("colour", ignorenulls=True).over(TRACK.rowsBetween(0, Window.unboundedFollowing))
+    before = F.last("colour", ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("colour", ignorenulls=True).over(in_order().rowsBetween(0, Window.unboundedFollowing))
     return rows.select("track_id", "seq", F.coalesce(before, after).alias("colour"))
 
 

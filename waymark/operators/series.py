@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import lower_rank
-from waymark.operators.continuity import TRACK, with_bridges, with_gaps
+from waymark.operators.continuity import in_order, with_bridges, with_gaps
 
 #: Speeds in m/s above which a sample isn't reliable.
 RELIABLE = {"slow": 6.0, "moderate": 10.0, "fast": 25.0}
@@ -26,15 +26,15 @@ def distance_series(points: DataFrame) -> DataFrame:
     rows = _route(points)
     return rows.withColumns(
         {
-            "distance_m": F.sum("route_m").over(TRACK.rowsBetween(Window.unboundedPreceding, 0)),
-            "span": F.sum(F.when(~F.coalesce("same_segment", F.lit(True)), 1).otherwise(0)).over(TRACK.rowsBetween(Window.unboundedPreceding, 0)).cast("int"),
+            "distance_m": F.sum("route_m").over(in_order().rowsBetween(Window.unboundedPreceding, 0)),
+            "span": F.sum(F.when(~F.coalesce("same_segment", F.lit(True)), 1).otherwise(0)).over(in_order().rowsBetween(Window.unboundedPreceding, 0)).cast("int"),
         }
     )
 
 
 def distance_3d(points: DataFrame) -> DataFrame:
     """Rows track_id, distance_2d_m, distance_3d_m: null where a pair within a segment lacks an elevation or none is there."""
-    rise = F.col("ele") - F.lag("ele").over(TRACK)
+    rise = F.col("ele") - F.lag("ele").over(in_order())
     rows = _route(points).withColumn("rise", rise)
     pair = F.col("same_segment")
     return rows.groupBy("track_id").agg(
@@ -72,7 +72,7 @@ def reliable_speed(speeds: DataFrame) -> DataFrame:
     ceiling = F.when(F.col("n") < 8, None).when((F.col("p10") <= 5) & (F.col("p25") <= 8) & (F.col("p50") <= 24) & (F.col("share") <= 0.5), RELIABLE["slow"] * 3.6)
     ceiling = ceiling.when((F.col("p25") <= 15) & (F.col("p50") <= 30), RELIABLE["moderate"] * 3.6)
     kept = rows.withColumn("ceiling", ceiling).filter("ceiling is null or kmh <= ceiling").drop("n", "p10", "p25", "p50", "share", "ceiling")
-    return kept.withColumn("smooth_kmh", F.avg("kmh").over(TRACK.rowsBetween(-2, 2)))
+    return kept.withColumn("smooth_kmh", F.avg("kmh").over(in_order().rowsBetween(-2, 2)))
 
 
 def slopes(points: DataFrame) -> DataFrame:

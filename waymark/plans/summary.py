@@ -28,7 +28,7 @@ def analyse(points: DataFrame) -> dict[str, DataFrame]:
     cleaned = cleaning.clean(points).filter("reason is null").drop("reason")
     speeds = series.reliable_speed(series.raw_speed(cleaned))
     samples = elevation.profile(cleaned)
-    climbs = elevation.gain_loss(samples).groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))
+    climbs = elevation.climbs(cleaned, samples)
     motion = moving.moving_time(speeds)
     total = (
         track_summary(cleaned)
