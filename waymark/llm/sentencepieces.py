@@ -9,17 +9,20 @@ from itertools import chain
 from pyspark.sql import DataFrame
 
 from waymark.llm.bpe import merge
-from waymark.llm.common import TwoGenerations, id_and_text, per_text
+from waymark.llm.common import id_and_text, per_text
 
 SPACE = "▁"
 #: Pieces never hold a space mark after another character, nor a line feed, so no merge crosses these chunks' ends.
 CHUNK = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
+#: Chunks that a half of the cache holds, and characters beyond which a chunk isn't kept.
+CACHED, LONG = 400_000, 64
+
 
 class PieceEncoder:
     """Encodes by a score-ordered agenda of adjacent symbol pairs; the library checks every chunk that is new to the task.
 
-    Chunks are kept by a bounded cache. A chunk on which agenda and library differ takes the library's ids and is counted.
+    Chunks are kept by a bounded cache of two halves. A chunk on which agenda and library differ takes the library's ids and is counted.
     """
 
     def __init__(self, model: bytes):
@@ -35,14 +38,15 @@ class PieceEncoder:
         self.ids = {p: i for i, p in enumerate(names) if p in self.costs}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(names) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
-        self.disagreed = set()
-        self.cache = TwoGenerations(self.checked)
+        self.disagreed = 0
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def by_agenda(self, chunk: str) -> tuple[int, ...]:
-        get = self.costs.get
         out: list[int] = []
-        for piece in merge(list(chunk), lambda a, b: get(a + b)):
-            i = self.ids.get(piece)
+        known = self.ids.get
+        for piece in merge(chunk, self.costs):
+            i = known(piece)
             if i is not None:
                 out.append(i)
             elif self.bytes:
@@ -51,23 +55,52 @@ class PieceEncoder:
                 out.append(self.unknown)
         return tuple(out)
 
-    def by_library(self, chunk: str) -> tuple[int, ...]:
+    def by_library(self, chunks: list[str]) -> list[list[int]]:
         """The library puts a space mark before any text; a chunk without one goes behind a line feed, which stays apart."""
-        if chunk[0] == SPACE:
-            return tuple(self.library.encode(chunk[1:]) if len(chunk) > 1 else (self.ids[SPACE],))
-        ids, start = self.library.encode("\n" + chunk), len(self.library.encode("\n"))
-        return tuple(ids[start:])
-
-    def checked(self, chunk: str) -> tuple[int, ...]:
-        ours, theirs = self.by_agenda(chunk), self.by_library(chunk)
-        if ours != theirs:
-            self.disagreed.add(chunk[:64])
-        return theirs
-
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.cache.__getitem__, CHUNK.findall(SPACE + text.replace(" ", SPACE)))))
+        start = len(self.library.encode("\n"))
+        found = self.library.encode([c[1:] if c[0] == SPACE else "\n" + c for c in chunks], num_threads=1)
+        return [([self.ids[SPACE]] if c == SPACE else ids) if c[0] == SPACE else ids[start:] for c, ids in zip(chunks, found, strict=True)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Brings the chunks of a batch into the young half of the cache: from the old half, or by agenda and check."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for c in chunks:
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                else:
+                    new.append(c)
+        for c, theirs in zip(new, self.by_library(new) if new else (), strict=True):
+            ours = self.by_agenda(c)
+            if list(ours) != theirs:
+                self.disagreed += 1
+                ours = tuple(theirs)
+            young[c] = ours
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        cut = [CHUNK.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        chunks = set(chain.from_iterable(cut))
+        self.learn(chunks)
+        get = self.young.__getitem__
+        out = [list(chain.from_iterable(map(get, c))) for c in cut]
+        for c in [c for c in chunks if len(c) > LONG]:
+            del self.young[c]
+        return out
+
+
+ENCODERS: dict[bytes, PieceEncoder] = {}
+
+
+def encoder(model: bytes) -> PieceEncoder:
+    """A Python worker's encoder, with what earlier tasks of the worker have learned."""
+    key = hashlib.sha256(model).digest()
+    if key not in ENCODERS:
+        ENCODERS.clear()
+        ENCODERS[key] = PieceEncoder(model)
+    return ENCODERS[key]
 
 
 def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,11 +111,10 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     """
 
     def make():
-        enc = PieceEncoder(model)
+        enc = encoder(model)
 
         def work(ids, texts):
-            for i, t in zip(ids, texts, strict=True):
-                tokens = enc.encode(t)
+            for i, tokens in zip(ids, enc.encode(texts), strict=True):
                 yield i, tokens, enc.library.decode(tokens) if tokens else ""
 
         return work
@@ -94,18 +126,17 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
     """As encode_pieces, but with n_tokens and digests in place of the ids and the text.
 
     Rows doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, n_disagreed (chunks of the
-    batch so far on which agenda and library differed; 0 in every test).
+    worker so far on which agenda and library differed; 0 in every test).
     """
 
     def make():
-        enc = PieceEncoder(model)
-        sha = hashlib.sha256
+        enc = encoder(model)
+        sha, decimal = hashlib.sha256, [str(i) for i in range(enc.library.get_piece_size())].__getitem__
 
         def work(ids, texts):
-            for i, t in zip(ids, texts, strict=True):
-                tokens = enc.encode(t)
+            for i, tokens in zip(ids, enc.encode(texts), strict=True):
                 decoded = enc.library.decode(tokens) if tokens else ""
-                yield i, len(tokens), sha(",".join(map(repr, tokens)).encode()).hexdigest(), sha(decoded.encode()).hexdigest(), len(enc.disagreed)
+                yield i, len(tokens), sha(",".join(map(decimal, tokens)).encode()).hexdigest(), sha(decoded.encode()).hexdigest(), enc.disagreed
 
         return work
 
