@@ -307,3 +307,37 @@ ORACLE_SQL["slope_scale"] = (
     ORACLE_SQL["slope_asof"].replace("SELECT track_id, seq, round(CASE", "SELECT track_id, round(greatest(6e0, 1.2 * v[CAST(floor((len(v) - 1) * 0.92) AS INT) + 1]), 6) AS scale_pct FROM (SELECT track_id, list_sort(list(abs(CASE", 1)
     .replace("END, 6) AS slope_pct FROM q WHERE seq > 1", "END))) AS v FROM q WHERE seq > 1 AND ele IS NOT NULL GROUP BY track_id)", 1)
 )
+
+_ONE_SOURCE = DENSE.replace("CASE WHEN (seq - 1) // 20 % 2 = 0 THEN 'barometric' ELSE 'gpx' END", "'unknown'")
+ORACLE_SQL["time_zones"] = sql(
+    """SELECT track_id, n_explicit, n_missing, n_invalid, n_unknown, CASE WHEN n_missing > 0 OR n_invalid > 0 THEN 'low' WHEN n_unknown > 0 THEN 'unknown' WHEN n_explicit > 0 THEN 'high' ELSE 'none' END AS confidence,
+        CASE WHEN n_missing > 0 THEN 'tz_inferred' ELSE '' END AS flags FROM (SELECT track_id, count(*) FILTER (z = 'explicit') AS n_explicit, count(*) FILTER (z = 'missing') AS n_missing, count(*) FILTER (z = 'invalid') AS n_invalid,
+        count(*) FILTER (z IS NULL OR z = 'none') AS n_unknown FROM (SELECT track_id, CASE WHEN track_id % 3 = 0 THEN 'explicit' ELSE (['explicit', 'missing', 'invalid', 'none', NULL])[seq % (track_id % 5 + 1) + 1] END AS z FROM pts) GROUP BY track_id)""",
+    SPARSE,
+)
+ORACLE_SQL["noise_summary"] = sql("SELECT track_id, round(quantile_cont(sigma, 0.5), 6) AS median_sigma, round(quantile_cont(sigma, 0.95), 6) AS p95_sigma FROM sigmas GROUP BY track_id", SPARSE, *RUNNING, SIGMA)
+ORACLE_SQL["elevation_series"] = sql(
+    "SELECT track_id, run, i, round(d, 6) AS d, round(greatest(lo, least(hi, ele)), 6) AS ele FROM samples JOIN env USING (track_id)",
+    _ONE_SOURCE, *RUNNING, PLAIN,
+    """env AS (SELECT track_id, min(sane) AS lo, max(sane) AS hi FROM (SELECT track_id, CASE WHEN abs(ele - (l + h) / 2) > greatest(12e0, 3 * abs(h - l)) THEN (l + h) / 2 ELSE ele END AS sane FROM
+        (SELECT *, lag(ele) OVER w AS l, lead(ele) OVER w AS h FROM runs WINDOW w AS (PARTITION BY track_id, run ORDER BY i))) GROUP BY track_id)""",
+)
+ORACLE_SQL["slow_progress"] = sql(
+    f"""SELECT track_id, seq FROM (SELECT *, {dist("a_", "b_")} AS net, (b_t - a_t) / 1000e0 AS s FROM w WHERE n >= 5) WHERE s >= 120 AND net / s * 3.6 <= 1.5 AND (net / s * 3.6 >= 0.5 OR (net / s * 3.6 >= 0.15 AND net >= 12))""",
+    DENSE.replace("43 + seq * 3e-5 + CASE WHEN e % 97 = 0 THEN 0.01e0 ELSE 0e0 END AS lat", "43 + seq * 4e-6 AS lat").replace("CAST((seq - 1) // 40 AS INT) AS segment", "0 AS segment"), PAIRS, GAPS,
+    "g AS (SELECT *, sum(CASE WHEN same_segment = false OR is_gap THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS cs FROM gapped)",
+    "c AS (SELECT track_id, cs, seq, (ts_ms + lag(ts_ms) OVER (PARTITION BY track_id, cs ORDER BY ts_ms)) // 2 AS centre FROM g)",
+    """w AS (SELECT c.track_id, c.seq, count(*) AS n, min_by(g.lat, {'t': g.ts_ms, 's': g.seq}) AS a_lat, min_by(g.lon, {'t': g.ts_ms, 's': g.seq}) AS a_lon, min(g.ts_ms) AS a_t,
+        max_by(g.lat, {'t': g.ts_ms, 's': g.seq}) AS b_lat, max_by(g.lon, {'t': g.ts_ms, 's': g.seq}) AS b_lon, max(g.ts_ms) AS b_t
+        FROM c JOIN g ON g.track_id = c.track_id AND g.cs = c.cs AND g.ts_ms BETWEEN centre - 150000 AND centre + 150000 GROUP BY c.track_id, c.seq)""",
+)
+ORACLE_SQL["gradient_stops"] = sql(
+    "SELECT track_id, round(p, 6) AS progress, round(max_by(kmh, seq), 6) AS kmh FROM (SELECT *, floor((distance_m - metres / 2) / t * 1000000 + 0.5) / 1000000 AS p FROM (SELECT *, max(distance_m) OVER (PARTITION BY track_id) AS t FROM speeds) WHERE t > 0) GROUP BY track_id, p",
+    DENSE, *ROUTED, SPEED,
+)
+ORACLE_SQL["audit_trail"] = sql(
+    """SELECT track_id, 'input' AS stage, 'n_points' AS item, CAST(count(*) AS VARCHAR) AS value FROM pairs GROUP BY track_id
+        UNION ALL SELECT track_id, 'time', 'total_s', CAST(floor(sum(ms) / 1000e0 * 100 + 0.5) / 100 AS VARCHAR) FROM (SELECT track_id, segment, max(ts_ms) - min(ts_ms) AS ms FROM pts GROUP BY ALL) GROUP BY track_id
+        UNION ALL SELECT track_id, 'time', 'mode', CASE WHEN median_gap_s IS NULL THEN 'untimed' WHEN median_gap_s <= 2 THEN 'dense' WHEN median_gap_s <= 15 THEN 'regular' WHEN median_gap_s <= 60 THEN 'smart' ELSE 'sparse' END FROM medians""",
+    SPARSE, PAIRS, GAPS,
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import stats, values
 
-from waymark.operators import cleaning, continuity, elevation, moving, present, series
+from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
 from waymark.plans import oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.tables import dense_points, sparse_points, supplier_points
@@ -271,6 +271,64 @@ def elevation_confidence(spark, sf_dir):
     return elevation.confidence(dense_points(spark, sf_dir))
 
 
+def _zoned(spark, sf_dir):
+    statuses = F.array(*(F.lit(x) for x in ("explicit", "missing", "invalid", "none", None)))
+    return sparse_points(spark, sf_dir).withColumn("zone", F.when(F.col("track_id") % 3 == 0, "explicit").otherwise(F.get(statuses, (F.col("seq") % (F.col("track_id") % 5 + 1)).cast("int"))))
+
+
+@query
+def time_zones(spark, sf_dir):
+    return diagnostics.time_zones(_zoned(spark, sf_dir)).withColumn("flags", F.array_join("flags", ","))
+
+
+@query
+def activity_candidates(spark, sf_dir):
+    return diagnostics.activity_candidates(dense_points(spark, sf_dir).drop("ele_source"))
+
+
+@query
+def base_threshold(spark, sf_dir):
+    return diagnostics.base_threshold(dense_points(spark, sf_dir))
+
+
+@query
+def endpoint_spikes(spark, sf_dir):
+    return diagnostics.endpoint_spikes(elevation.runs(dense_points(spark, sf_dir).drop("ele_source")).select("track_id", "run", "i", (F.col("ele") / 8).alias("ele")).withColumn("ele", F.when((F.col("i") == 1) & (F.col("track_id") % 2 == 0), F.col("ele") + 70).otherwise(F.col("ele"))))
+
+
+@query
+def noise_summary(spark, sf_dir):
+    return diagnostics.noise_summary(elevation.local_sigma(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele"), "ele"))
+
+
+@query
+def threshold_sweep(spark, sf_dir):
+    samples = _plain_samples(spark, sf_dir)
+    climbs = elevation.gain_loss(samples, 3.0, 2.0, 20.0, "ele").groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))
+    return diagnostics.threshold_sweep(samples, climbs)
+
+
+@query
+def elevation_series(spark, sf_dir):
+    return diagnostics.elevation_series(_plain_samples(spark, sf_dir), elevation.robust_envelope(elevation.runs(dense_points(spark, sf_dir).drop("ele_source"))))
+
+
+@query
+def slow_progress(spark, sf_dir):
+    p = dense_points(spark, sf_dir).withColumn("lat", 43 + F.col("seq") * 4e-6).withColumn("segment", F.lit(0))
+    return diagnostics.slow_progress(p)
+
+
+@query
+def gradient_stops(spark, sf_dir):
+    return diagnostics.gradient_stops(series.raw_speed(dense_points(spark, sf_dir)))
+
+
+@query
+def audit_trail(spark, sf_dir):
+    return diagnostics.audit(track_summary(sparse_points(spark, sf_dir)).select("track_id", "n_points", "total_s", "mode"))
+
+
 @query
 def colour_scale(spark, sf_dir):
     return present.colour_scale(series.reliable_speed(series.raw_speed(dense_points(spark, sf_dir))), "kmh")
