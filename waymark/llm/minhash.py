@@ -114,8 +114,117 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return with_texts.mapInArrow(run, "a binary, b binary")
 
 
+def open_buckets(members: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows band, key, root of the buckets that hold several components."""
+    rooted = members.select("band", "key").join(held.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+    return staged(rooted.join(several, "band").select("band", "key", "root"))
+
+
+def reachable(rows: DataFrame, bodies: DataFrame, words: int, percent: int, most_rounds: int = 3) -> DataFrame:
+    """Rows band, key, root, n, reach of texts that may still be linked with a text of another component of their bucket.
+
+    n is the text's number of shingles. Only shingles that two texts of rows have can be shared; a link needs
+    percent (n + m) / (100 + percent) of them, so the partner's number m is ``reach`` at most. Texts beyond the reach of
+    all others go, and the count is taken anew while that helps.
+    """
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                sets = [np.unique(shingles(words_of(t), words)).astype(np.int64) for t in part.column(1).to_pylist()]
+                times = [len(s) for s in sets]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), times)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.repeat(times, times), pa.int64()), pa.array(np.concatenate(sets))], ["key", "n", "gram"])
+
+    before = -1
+    for _ in range(most_rounds):
+        there = rows.select("key").distinct()
+        count = there.count()
+        each = bodies.join(there, "key").select("key", "text").mapInArrow(grams, "key binary, n long, gram long")
+        shared = each.join(each.groupBy("gram").agg(F.count("*").alias("times")).filter("times > 1"), "gram").groupBy("key", "n").agg(F.count("*").alias("shared"))
+        reach = staged(shared.select("key", "n", (F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")).alias("reach")))
+        live = rows.select("band", "key", "root").join(reach, "key")
+        least = live.groupBy("band", "root").agg(F.min("n").alias("m"))
+        order = Window.partitionBy("band").orderBy("m", "root")
+        least = least.withColumns({"k": F.row_number().over(order), "after": F.lead("m").over(order)}).filter("k = 1").select("band", F.col("root").alias("least_root"), "m", "after")
+        live = live.join(least, "band").filter("reach >= CASE WHEN root = least_root THEN after ELSE m END")
+        several = live.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+        rows = staged(live.join(several, "band").select("band", "key", "root", "n", "reach"))
+        if count in (0, before):
+            break
+        before = count
+    return rows
+
+
+def across(left: DataFrame, bodies: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+    """The links (a, b) between components of each cluster of touching buckets, found on full sets.
+
+    The texts outside a cluster's largest component are its queries. A task holds the shingles of one block of queries as
+    an index, and streams the cluster's texts past it: one look-up of a text's shingles counts what it shares with all of
+    the block. No pair is made unless it is a link.
+    """
+    touching = left.join(left.groupBy("band").agg(F.min("key").alias("v")), "band").select(F.col("key").alias("u"), "v")
+    cluster = components(touching).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
+    each = left.select("key", "root").distinct().join(cluster, "key")
+    main = each.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("key")) - 1
+    queries = staged(each.join(main, "cluster").filter("root <> main").select("cluster", "key", "root", F.floor(rank / block).cast("int").alias("block")))
+    blocks = queries.groupBy("cluster").agg(F.max("block").alias("last")).select("cluster", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
+    targets = each.join(blocks, "cluster").select("cluster", "block", F.lit(1).alias("is_target"), "key", "root")
+    both = queries.select("cluster", "block", F.lit(0).alias("is_target"), "key", "root").union(targets).join(bodies, "key")
+    dealt = both.select("cluster", "block", "is_target", "key", "root", "text").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "is_target")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, index = None, None
+        keys: list[bytes] = []
+        roots: list[bytes] = []
+        sets: list[np.ndarray] = []
+        for batch in batches:
+            a, b = [], []
+            for cluster, number, is_target, key, root, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if group != (cluster, number):
+                    group, index, keys, roots, sets = (cluster, number), None, [], [], []
+                own = np.unique(shingles(words_of(text), words))
+                if not is_target:
+                    keys.append(key)
+                    roots.append(root)
+                    sets.append(own)
+                    continue
+                if index is None:
+                    index = Postings(sets)
+                shared = index.shared(own)
+                for k in np.flatnonzero(100 * shared >= percent * (index.sizes + len(own) - shared)):
+                    if roots[k] != root:
+                        a.append(min(key, keys[k]))
+                        b.append(max(key, keys[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+
+class Postings:
+    """Which of some sets hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.owners = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.grams, self.starts, self.counts = np.unique(grams[order], return_index=True, return_counts=True)
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many elements of own each set has."""
+        at = np.searchsorted(self.grams, own)
+        at = at[(at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == own)]
+        n = self.counts[at]
+        places = np.repeat(self.starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owners[places], minlength=len(self.sizes))
+
+
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 64, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 5, percent: int = 80, block: int = 256, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Rows doc_id, n_shingles, component_id (smallest id reachable by links, itself included), kept (doc_id = component_id).
 
@@ -125,9 +234,11 @@ def near_duplicates(
     by its text, names no component and is kept only where its component has no id at all. Repeated rows get equal rows.
     An empty table gives no rows; other columns are ignored.
 
-    A band's texts are compared with the least of them (a star: no pairs within a bucket). Where a bucket then still
-    holds several components, its texts are compared across these components in blocks of ``block``, round by round
-    until every text of the bucket has been compared, so that no link between different texts is lost.
+    A band's texts are compared with one of them (a star: no pairs within a bucket): the one that shares most bands with
+    others, which among edited copies is the least edited. A bucket that then still holds several components is pruned by
+    what is exact: shingles that no other text in such buckets has can't be shared, which bounds the size of a partner.
+    What is left in buckets that touch forms a cluster, and every text outside the cluster's main component is compared with
+    all the cluster's texts, ``block`` of them at a time, so that no link between different texts is lost.
     """
     rows = staged(signatures(id_and_text(docs, id_col, text_col), words, percent / 100))
     nodes = staged(
@@ -136,42 +247,19 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands"), F.first("minima").alias("minima"))
     )
     members = nodes.select(F.explode("bands").alias("band"), "key")
-    least = members.groupBy("band").agg(F.min("key").alias("a"), F.count("*").alias("n")).filter("n > 1").select("band", "a")
-    star = members.join(least, "band").filter("key > a").select("a", F.col("key").alias("b")).distinct()
+    members = staged(members.join(members.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "band"))
+    weight = members.groupBy("key").agg(F.sum("size").alias("weight"))
+    centres = members.join(weight, "key").groupBy("band").agg(F.max(F.struct("weight", "key")).alias("c")).select("band", F.col("c.key").alias("centre"))
+    star = members.join(centres, "band").filter("key <> centre").select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
     agree = least_agreeing(bands_for(percent / 100) * ROWS, percent / 100)
     tested = staged(agreeing(star, nodes, agree))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "rep_id"), "key")
-        return staged(confirmed(pairs, texts_of(docs, wanted, id_col, text_col), words, percent))
-
-    links = check(tested)
+    bodies = staged(texts_of(docs, weight.join(nodes, "key").select("key", "rep_id"), id_col, text_col))
+    links = staged(confirmed(tested, bodies, words, percent))
     held = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    done = 0
-    while True:
-        open_buckets = staged(
-            members.join(least, "band")
-            .join(held.select(F.col("node").alias("key"), "root"), "key", "left")
-            .select("band", "key", F.coalesce("root", "key").alias("root"), F.min(F.coalesce("root", "key")).over(w := Window.partitionBy("band")).alias("lo"), F.max(F.coalesce("root", "key")).over(w).alias("hi"))
-            .filter("lo <> hi")
-            .select("band", "key", "root", F.row_number().over(Window.partitionBy("band").orderBy("key")).alias("rank"))
-        )
-        if (open_buckets.agg(F.max("rank")).first()[0] or 0) <= done:
-            break
-        first = open_buckets.filter(f"rank > {done} and rank <= {done + block}").select("band", F.col("key").alias("a"), F.col("root").alias("a_root"), F.col("rank").alias("a_rank"))
-        pairs = (
-            open_buckets.join(first, "band")
-            .filter("rank > a_rank and root <> a_root")
-            .select("a", F.col("key").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        more = staged(agreeing(pairs, nodes, agree))
-        done += block
-        if more.isEmpty():
-            continue
-        tested = tested.union(more)
-        links = links.union(check(more))
+    left = reachable(open_buckets(members, held), bodies, words, percent)
+    more = staged(across(left, bodies, words, percent, block))
+    if not more.isEmpty():
+        links = links.union(more)
         held = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = held.join(nodes.select(F.col("key").alias("node"), "rep_id"), "node")
     ids = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
