@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark import ship
 from waymark.functions.geo import bearing, distance, turn, valid
 from waymark.functions.rules import reasons
 from waymark.functions.stats import half_up
@@ -93,6 +94,7 @@ def clean(points: DataFrame) -> DataFrame:
     range, a rejected fix, a lone point at 0, 0 over 100 km off, a repeat, a time not after the last, a flip of heading, a
     speed above the track's ceiling. Previous means the last point kept, next the next row. Tracks on which no rule can
     fire against the row before pass by without the fold, which holds one track's rows in memory."""
+    ship(points.sparkSession)
     quality = with_fix_quality(points)
     profile = motion_profile(points).select("track_id", "ceiling_mps")
     rows = heading_flips(with_pairs(quality)).join(profile, "track_id", "left").withColumn("ceiling_mps", F.coalesce("ceiling_mps", F.lit(50.0)))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waymark import ship
 from waymark.functions.values import timestamp_ms, zone_status
 from waymark.sources.parse import parse
 
@@ -32,6 +33,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                 row = {"track_id": where, "bytes": size, "summary": list(r["summary"].items()), "points": points} | {k: r[k] for k in ("format", "error", "name", "activity", "timer")}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", "content").mapInArrow(run, FILE)
 
