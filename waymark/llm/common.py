@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import ship
+
 #: ASCII white space as the contracts define it: space and tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
@@ -24,15 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
+    """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors. The shuffle
+    files of the finished write are of no more use and go at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; a null text becomes the empty text."""
+    ship(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
