@@ -44,6 +44,17 @@ def test_flip_and_null_island(spark):
     assert [r.reason for r in cleaning.clean(track(spark, island)).orderBy("seq").collect()] == [None, "null_island", None]
 
 
+def test_a_steady_fast_stretch_of_a_slow_track_stays(spark):
+    m, lon = 1 / DEGREE, 1.0
+    rows = [(0, lon + k * 6 * m, 1, 5 * k, 0) for k in range(40)]
+    at = rows[-1]
+    rows += [(0, at[1] + k * 36 * m, 1, at[3] + 5 * k, 0) for k in range(1, 6)]
+    straight = [r.reason for r in cleaning.clean(track(spark, rows)).collect()]
+    assert straight == [None] * 45
+    lone = [*rows[:40], (0, at[1] + 80 * m, 1, at[3] + 5, 0)]
+    assert [r.reason for r in cleaning.clean(track(spark, lone)).orderBy("seq").collect()][-1] == "gps_jump"
+
+
 def test_gaps_segments_and_elapsed(spark):
     rows = [(43 + k * 1e-4, 42, 1, t, s) for k, (t, s) in enumerate([(0, 0), (5, 0), (10, 0), (100, 0), (105, 0), (500, 1), (505, 1)])]
     t = track(spark, rows)
