@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +10,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from waymark.llm.bpe import ByteLevel
-from waymark.llm.common import TwoGenerations, id_and_text
+from waymark.llm.bpe import PRE_TOKENS
+from waymark.llm.common import id_and_text
 
 SCHEMA = "pack_id long, doc_ids array<long>, parts array<int>, ids array<int>, cu_seqlens array<int>, position_ids array<int>, n_tokens int"
 
+ENCODINGS: dict = {}
+
+
+def encoding(ranks: bytes, pattern: str):
+    """A Python worker's encoder for the ranks of a tiktoken file."""
+    import tiktoken
+
+    key = (len(ranks), hash(ranks), pattern)
+    if key not in ENCODINGS:
+        ENCODINGS.clear()
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        ENCODINGS[key] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return ENCODINGS[key]
+
 
 class Capacities:
     """A segment tree with a leaf for each free capacity 0..size; a node tells whether any row below it has that much."""
@@ -62,10 +76,11 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def pack_tokens(
-    docs: DataFrame, vocabulary: str, size: int = 2048, pad: int = 0, block_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: bytes, pattern: str = PRE_TOKENS, size: int = 2048, pad: int = 0, block_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Packs the token ids of every whole text into rows of ``size`` ids.
 
+    ranks: the bytes of a tiktoken file; special strings in a text are ordinary text, and ``pad`` may be a free id.
     Rows: pack_id (unique; partition and row), doc_ids and parts (the document and the part of it in each segment), ids
     (padded with ``pad``), cu_seqlens (0 and each segment's end), position_ids (0, 1, ... anew in each segment; 0 in the
     padding), n_tokens (ids before the padding). A text of more than ``size`` tokens is split without loss: its parts
@@ -75,8 +90,7 @@ def pack_tokens(
     Packing is best-fit-decreasing over blocks of ``block_tokens`` tokens of a partition: no shuffle, and memory is bounded
     by the block whatever the input's size. A text is never cut at a block's end.
     """
-    sc = docs.sparkSession.sparkContext
-    shipped = sc.broadcast((vocabulary, ByteLevel(vocabulary).whole()))
+    shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # as large as the vocabulary
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -120,22 +134,11 @@ def pack_tokens(
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, whole = shipped.value
-        bpe = ByteLevel(text)
-        number = bpe.ids
-
-        def code(pre_token: str) -> bytes:
-            i = whole.get(pre_token)
-            return np.array([number[s] for s in bpe.tokens(pre_token)] if i is None else [i], np.uint32).tobytes()
-
-        get, find = TwoGenerations(code).__getitem__, bpe.splitter()
-        special = re.compile("(" + "|".join(map(re.escape, sorted(bpe.special, key=len, reverse=True))) + ")") if bpe.special else None
+        encode = encoding(*shipped.value).encode_ordinary
         block, held, first = [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts = special.split(text) if special and special.search(text) else [text]
-                data = b"".join(np.array([bpe.special[p]], np.uint32).tobytes() if k & 1 else b"".join(map(get, find(p))) for k, p in enumerate(parts))
-                tokens = np.frombuffer(data, np.uint32).astype(np.int32)
+                tokens = np.array(encode(text), np.int32)
                 block += [(doc, k, tokens[s : s + size]) for k, s in enumerate(range(0, len(tokens), size))]
                 held += len(tokens)
                 if held >= block_tokens:

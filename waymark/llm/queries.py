@@ -44,7 +44,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_tokens(table(spark, sf_dir, "documents"), Path(tokenizer("byte_bpe_50k.json")).read_text(), pad=50256)
+    return pack_tokens(table(spark, sf_dir, "documents"), Path(tokenizer("byte_bpe_50k.tiktoken")).read_bytes(), pad=50256)
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
