@@ -74,16 +74,48 @@ def base_threshold(points: DataFrame) -> DataFrame:
 
 
 def endpoint_spikes(samples: DataFrame, column: str = "ele") -> DataFrame:
-    """Rows track_id, run, i, ele, clean of first and last samples of runs of four or more that are off their three
-    neighbours by more than max(4 floor, 50 m), while these lie within half the floor: clean is the neighbours' median."""
-    w, whole = elevation.run_order(), elevation.whole_run()
-    ahead, back = [F.lead(column, k).over(w) for k in (1, 2, 3)], [F.lag(column, k).over(w) for k in (1, 2, 3)]
-    rows = samples.withColumns({"n": F.max("i").over(whole), "floor": F.least(F.lit(12.0), F.greatest(F.lit(4.0), 0.15 * (F.max(column).over(whole) - F.min(column).over(whole)))), "ahead": F.array(*ahead), "back": F.array(*back)})
-    near = F.sort_array(F.when(F.col("i") == 1, F.col("ahead")).otherwise(F.col("back")))
-    rows = rows.filter("n >= 4 and (i = 1 or i = n)").withColumn("near", near)
-    flat = F.element_at("near", 3) - F.element_at("near", 1) <= F.col("floor") / 2
-    off = F.abs(F.col(column) - F.element_at("near", 2)) > F.greatest(4 * F.col("floor"), F.lit(50.0))
-    return rows.filter(flat & off).select("track_id", "run", "i", F.col(column).alias("ele"), F.element_at("near", 2).alias("clean"))
+    """Rows track_id, run, i, ele, clean of elevation.replace_endpoints' spikes."""
+    rows = elevation.replace_endpoints(samples.withColumn("clean", F.col(column)), "clean")
+    return rows.filter("is_endpoint_spike").select("track_id", "run", "i", F.col(column).alias("ele"), "clean")
+
+
+def confidence(points: DataFrame) -> DataFrame:
+    """Rows track_id, gain_loss, extrema, overall, level, penalties (codes), flags.
+
+    The chosen activity's score and the primary source's trust are averaged, relative trust for gain and loss, absolute for
+    extrema. Penalties, half of them for extrema: four changes of source or more; four runs or more, half of them of two
+    samples at most; a share of samples replaced (1 %, 5 %); endpoints replaced (1, 3); a second activity within 0.15.
+    """
+    samples = elevation.replace_endpoints(elevation.hampel(elevation.resample(elevation.runs(points))))
+    per_run = samples.groupBy("track_id", "run").agg(F.count("*").alias("n"), F.sum((F.col("clean") != F.col("ele")).cast("int")).alias("off"), F.sum(F.col("is_endpoint_spike").cast("int")).alias("ends"))
+    shape = per_run.groupBy("track_id").agg(F.count("*").alias("runs"), F.sum((F.col("n") <= 2).cast("int")).alias("short"), (100 * F.sum("off") / F.sum("n")).alias("replaced"), F.sum("ends").alias("ends"))
+    sources = elevation.runs(points)
+    order = Window.partitionBy("track_id").orderBy("seq")
+    switches = sources.withColumn("s", F.coalesce(F.lag("ele_source").over(order) != F.col("ele_source"), F.lit(False)).cast("int")).groupBy("track_id").agg(F.sum("s").alias("switches"))
+    trust = elevation.source_trust(points)
+    primary = elevation.primary_source(trust).select("track_id", F.col("ele_source").alias("rel_source"), F.col("trust").alias("rel")).join(elevation.primary_source(trust, "abs_trust").select("track_id", F.col("ele_source").alias("abs_source"), F.col("trust").alias("abs")), "track_id")
+    ranks = activity_candidates(points).groupBy("track_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    rows = shape.join(switches, "track_id").join(ranks, "track_id").join(primary, "track_id", "left")
+    p = lambda test, code, value: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(value).alias("value")))
+    penalties = F.array_compact(
+        F.array(
+            p(F.col("switches") >= 4, "source_switch_fragmentation", 0.10),
+            p((F.col("runs") >= 4) & (F.col("short") >= 0.5 * F.col("runs")), "many_short_elevation_runs", 0.10),
+            p(F.col("replaced") >= 5, "outliers_removed_high", 0.15),
+            p((F.col("replaced") >= 1) & (F.col("replaced") < 5), "outliers_removed", 0.05),
+            p(F.col("ends") >= 3, "many_endpoint_spikes_replaced", 0.12),
+            p(F.col("ends").between(1, 2), "endpoint_spike_replaced", 0.05),
+            p(F.col("top") - F.col("second") < 0.15, "activity_ambiguous", 0.08),
+        )
+    )
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    rows = rows.withColumn("p", penalties).withColumn("off", F.aggregate("p", F.lit(0.0), lambda a, x: a + x["value"]))
+    rows = rows.withColumns({"gain_loss": clamp(clamp((F.col("top") + F.coalesce("rel", F.lit(0.0))) / 2) - F.col("off")), "extrema": clamp(clamp((F.col("top") + F.coalesce("abs", F.lit(0.0))) / 2) - F.col("off") / 2)})
+    rows = rows.withColumn("overall", clamp((2 * F.col("gain_loss") + F.col("extrema")) / 3))
+    codes = F.transform("p", lambda x: x["code"])
+    more = F.array_compact(F.array(F.when(F.col("top") < 0.5, F.lit("activity_inference_low_confidence")), F.when(F.col("rel_source") == "terrain", F.lit("terrain_relative_elevation_low_confidence")), F.when(F.col("abs_source") == "terrain", F.lit("elevation_dem_corrected"))))
+    level = F.when(F.col("overall") >= 0.75, "high").when(F.col("overall") >= 0.5, "medium").otherwise("low")
+    return rows.select("track_id", "gain_loss", "extrema", "overall", level.alias("level"), codes.alias("penalties"), F.array_distinct(F.concat(codes, more)).alias("flags"))
 
 
 def noise_summary(sigmas: DataFrame) -> DataFrame:

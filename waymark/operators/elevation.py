@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from waymark.functions.stats import half_up, lower_of, nearest_rank, upper_rank
+from waymark.functions.stats import lower_of, nearest_rank, upper_rank
 from waymark.operators.continuity import in_order, with_gaps
 
 #: Metres between samples, least turn in metres and metres it must last, by activity.
@@ -44,29 +44,52 @@ def raw_extrema(points: DataFrame) -> DataFrame:
 
 
 def source_trust(points: DataFrame) -> DataFrame:
-    """Rows track_id, ele_source, n, p75_delta, p95_delta, p95_grade, p95_vertical_mps, change_ratio, noisy: a source is
-    noisy if a pair rises 8 m or more at a grade of 0.35 or 1.2 m/s, or its changes add up to twelve times its range."""
+    """Rows track_id, ele_source, n_pairs, p75_delta, p95_delta, median_m, p95_grade, p95_vertical_mps (nearest rank, over pairs
+    within runs that are no gaps), change_ratio (sum of changes over the sum of the runs' ranges; null without range),
+    noisy, drifts, spikes, abs_trust, rel_trust.
+
+    A source is noisy if a pair rises 8 m or more at a grade of 0.35 or at 1.2 m/s; if dense pairs (80 m at the median)
+    chatter; or, unless it is barometric, if its changes are twelve times its range. A barometric run drifts if it climbs
+    or falls slowly and steadily, and spikes if its steps are large.
+    """
     rows = runs(points)
-    delta = F.abs(F.col("ele") - F.lag("ele").over(run_order()))
-    rows = rows.withColumns({"delta": F.when(~F.col("is_gap"), delta)})
-    rows = rows.withColumns({"grade": F.when(F.col("metres") > 0, F.col("delta") / F.col("metres")), "vertical": F.when(F.col("dt") > 0, F.col("delta") / F.col("dt"))})
-    wild = (F.col("delta") >= 8) & ((F.col("grade") >= 0.35) | (F.col("vertical") >= 1.2))
-    ratio = F.when(F.max("ele") > F.min("ele"), F.sum("delta") / (F.max("ele") - F.min("ele")))
-    out = rows.groupBy("track_id", "ele_source").agg(
-        F.count("*").alias("n"),
-        nearest_rank("delta", 0.75).alias("p75_delta"), nearest_rank("delta", 0.95).alias("p95_delta"), nearest_rank("grade", 0.95).alias("p95_grade"), nearest_rank("vertical", 0.95).alias("p95_vertical_mps"),
-        ratio.alias("change_ratio"), F.coalesce(F.bool_or(wild), F.lit(False)).alias("wild"),
+    rows = rows.withColumn("delta", F.when(~F.col("is_gap"), F.abs(F.col("ele") - F.lag("ele").over(run_order()))))
+    rows = rows.withColumn("apart", F.when(F.col("delta").isNotNull() & (F.col("metres") > 0), F.col("metres")))
+    rows = rows.withColumns({"grade": F.try_divide("delta", "apart"), "vertical": F.when(F.col("dt") > 0, F.try_divide("delta", "dt"))})
+    by_run = rows.groupBy("track_id", "ele_source", "run").agg(
+        F.count("*").alias("n"), (F.max("ele") - F.min("ele")).alias("range"), F.abs(F.max_by("ele", "i") - F.min_by("ele", "i")).alias("net"),
+        F.sum("delta").alias("raw"), nearest_rank("delta", 0.75).alias("p75"), nearest_rank("delta", 0.95).alias("p95"),
     )
-    return out.withColumn("noisy", F.col("wild") | F.coalesce(F.col("change_ratio") >= 12, F.lit(False))).drop("wild")
-
-
-def primary_source(trust: DataFrame) -> DataFrame:
-    """Rows track_id, ele_source, trust: the most trusted source, in doubt barometric, terrain, gpx, unknown in this order."""
-    base = F.create_map(*(F.lit(x) for kv in {"barometric": 0.9, "terrain": 0.75, "gpx": 0.6, "unknown": 0.45}.items() for x in kv))[F.col("ele_source")]
+    trend = (F.col("n") >= 4) & (F.col("range") >= 8) & (F.col("p95") < 2) & (F.col("net") >= 0.85 * F.col("raw")) & (F.col("raw") > 0)
+    shape = by_run.groupBy("track_id", "ele_source").agg(
+        F.sum("range").alias("range"), F.coalesce(F.bool_or(trend), F.lit(False)).alias("drifts"), F.coalesce(F.bool_or((F.col("p75") >= 2) | (F.col("p95") >= 8)), F.lit(False)).alias("spikes")
+    )
+    wild = (F.col("delta") >= 8) & (F.coalesce(F.col("grade") >= 0.35, F.lit(False)) | F.coalesce(F.col("vertical") >= 1.2, F.lit(False)))
+    pairs = rows.groupBy("track_id", "ele_source").agg(
+        F.count("delta").alias("n_pairs"), nearest_rank("delta", 0.75).alias("p75_delta"), nearest_rank("delta", 0.95).alias("p95_delta"), nearest_rank("apart", 0.5).alias("median_m"),
+        nearest_rank("grade", 0.95).alias("p95_grade"), nearest_rank("vertical", 0.95).alias("p95_vertical_mps"), F.coalesce(F.sum("delta"), F.lit(0.0)).alias("raw"), F.coalesce(F.bool_or(wild), F.lit(False)).alias("wild"),
+    )
+    out = pairs.join(shape, ["track_id", "ele_source"]).withColumn("change_ratio", F.when(F.col("range") > 0, F.try_divide("raw", "range")))
+    source = F.col("ele_source")
+    dense = F.coalesce(F.col("median_m"), F.lit(0.0)) <= 80
+    steep = F.coalesce(F.col("p95_grade") >= 0.18, F.lit(False))
+    chatter = dense & F.coalesce((F.col("p75_delta") >= 2) | (F.col("p95_delta") >= 8), F.lit(False)) & (steep | F.coalesce(F.col("p95_vertical_mps") >= 0.5, F.lit(False)))
+    churns = (source != "barometric") & F.when(F.col("range") > 0, F.col("change_ratio") >= 12).otherwise(F.col("raw") > 0) & (dense | steep)
+    out = out.withColumn("noisy", F.col("wild") | chatter | churns)
+    noisy = F.col("noisy")
+    shaky = noisy | F.col("drifts") | F.coalesce((F.col("range") > 0) & (F.col("range") <= 1) & (F.col("change_ratio") >= 8), F.lit(False))
+    none = F.col("n_pairs") < 1
+    absolute = F.when(none, 0.0).when(source == "barometric", F.when(shaky, 0.35).otherwise(0.55)).when(source == "terrain", 0.78).when(source == "gpx", F.when(noisy, 0.35).otherwise(0.55)).otherwise(F.when(noisy, 0.25).otherwise(0.45))
+    relative = F.when(none, 0.0).when(source == "barometric", F.when(F.col("spikes"), 0.55).otherwise(0.9)).when(source == "terrain", F.when(noisy, 0.25).otherwise(0.45)).when(source == "gpx", F.when(noisy, 0.25).otherwise(0.6)).otherwise(F.when(noisy, 0.2).otherwise(0.5))
+    return out.withColumns({"abs_trust": absolute, "rel_trust": relative}).drop("raw", "range", "wild")
+
+
+def primary_source(trust: DataFrame, key: str = "rel_trust") -> DataFrame:
+    """Rows track_id, ele_source, trust: the most trusted source, of equals the first of barometric, terrain, gpx, unknown;
+    no row where none is trusted at all."""
     rank = F.array_position(F.array(*map(F.lit, ("barometric", "terrain", "gpx", "unknown"))), F.col("ele_source"))
-    scored = trust.withColumn("trust", F.when(F.col("noisy"), base - 0.25).otherwise(base)).withColumn("order", rank)
-    best = scored.groupBy("track_id").agg(F.min_by(F.struct("ele_source", "trust"), F.struct(-F.col("trust"), "order")).alias("b"))
-    return best.select("track_id", "b.ele_source", "b.trust")
+    best = trust.filter(F.col(key) > 0).groupBy("track_id").agg(F.min_by(F.struct("ele_source", key), F.struct(-F.col(key), rank)).alias("b"))
+    return best.select("track_id", "b.ele_source", F.col(f"b.{key}").alias("trust"))
 
 
 def activity(points: DataFrame) -> DataFrame:
@@ -179,17 +202,17 @@ def net_change(samples: DataFrame, column: str = "ele") -> DataFrame:
     return per_run.groupBy("track_id").agg(F.sum("net").alias("net_m"))
 
 
-def confidence(points: DataFrame) -> DataFrame:
-    """Rows track_id, trust, switches, short_runs, score, level: the primary source's trust, less 0.10 for four changes of
-    source or more and 0.10 for runs of fewer than three points; high from 0.75, medium from 0.5."""
-    r = runs(points)
-    shape = r.groupBy("track_id", "run").agg(F.count("*").alias("n"), F.min_by("ele_source", "i").alias("s"))
-    order = Window.partitionBy("track_id").orderBy("run")
-    shape = shape.withColumn("switch", F.coalesce(F.lag("s").over(order) != F.col("s"), F.lit(False)).cast("int"))
-    per = shape.groupBy("track_id").agg(F.sum("switch").alias("switches"), F.sum((F.col("n") < 3).cast("int")).alias("short_runs"))
-    joined = per.join(primary_source(source_trust(points)).select("track_id", "trust"), "track_id")
-    score = half_up(F.col("trust") - F.when(F.col("switches") >= 4, 0.10).otherwise(0.0) - F.when(F.col("short_runs") > 0, 0.10).otherwise(0.0), 2)
-    return joined.withColumn("score", score).withColumn("level", F.when(score >= 0.75, "high").when(score >= 0.5, "medium").otherwise("low"))
+def replace_endpoints(samples: DataFrame, column: str = "clean") -> DataFrame:
+    """The samples with is_endpoint_spike, and column replaced there: the first or last of four samples or more that is off
+    its three neighbours' median by more than max(4 floor, 50 m), while these lie within half the floor."""
+    w = run_order()
+    ahead, back = F.array(*(F.lead(column, k).over(w) for k in (1, 2, 3))), F.array(*(F.lag(column, k).over(w) for k in (1, 2, 3)))
+    spread = F.max(column).over(whole_run()) - F.min(column).over(whole_run())
+    rows = samples.withColumns({"_n": F.max("i").over(whole_run()), "_floor": F.least(F.lit(12.0), F.greatest(F.lit(4.0), 0.15 * spread)), "_near": F.sort_array(F.when(F.col("i") == 1, ahead).otherwise(back))})
+    low, mid, high = (F.element_at("_near", k) for k in (1, 2, 3))
+    end = (F.col("_n") >= 4) & ((F.col("i") == 1) | (F.col("i") == F.col("_n")))
+    spike = end & (high - low <= F.col("_floor") / 2) & (F.abs(F.col(column) - mid) > F.greatest(4 * F.col("_floor"), F.lit(50.0)))
+    return rows.withColumn("is_endpoint_spike", F.coalesce(spike, F.lit(False))).withColumn(column, F.when(F.col("is_endpoint_spike"), mid).otherwise(F.col(column))).drop("_n", "_floor", "_near")
 
 
 def with_defaults(rows: DataFrame, points: DataFrame) -> DataFrame:
@@ -198,14 +221,14 @@ def with_defaults(rows: DataFrame, points: DataFrame) -> DataFrame:
     source = primary_source(source_trust(points)).select("track_id", F.col("ele_source").alias("primary"))
     pick = lambda table, key: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col(key)]
     values = {n: pick({k: float(v[j]) for k, v in ACTIVITIES.items()}, "activity") for j, n in enumerate(("step_m", "base_m", "sustain_m"))}
-    return rows.join(kind.join(source, "track_id"), "track_id").withColumns(values | {"alpha": pick(ALPHA, "primary")}).drop("activity", "primary")
+    return rows.join(kind.join(source, "track_id", "left"), "track_id").withColumns(values | {"alpha": F.coalesce(pick(ALPHA, "primary"), F.lit(3.0))}).drop("activity", "primary")
 
 
 def profile(points: DataFrame) -> DataFrame:
     """Samples with run, i, d, ele, clean, smooth and sigma, spaced by the track's activity: the chain up to gain and loss."""
     rows = runs(points)
     samples = resample(with_defaults(rows, points), F.col("step_m"))
-    return local_sigma(smooth(hampel(samples)))
+    return local_sigma(smooth(replace_endpoints(hampel(samples))))
 
 
 def climbs(points: DataFrame, samples: DataFrame) -> DataFrame:

@@ -297,11 +297,18 @@ ORACLE_SQL["xy_jitter"] = sql(
     recursive=True,
 )
 ORACLE_SQL["source_trust"] = sql(
-    """SELECT track_id, ele_source, count(*) AS n, round(quantile_disc(delta, 0.75), 6) AS p75_delta, round(quantile_disc(delta, 0.95), 6) AS p95_delta, round(quantile_disc(delta / nullif(metres, 0), 0.95), 6) AS p95_grade,
-        round(quantile_disc(CASE WHEN dt > 0 THEN delta / dt END, 0.95), 6) AS p95_vertical_mps, round(sum(delta) / nullif(max(ele) - min(ele), 0), 6) AS change_ratio,
-        coalesce(bool_or(delta >= 8 AND (coalesce(delta / nullif(metres, 0) >= 0.35, false) OR coalesce(dt > 0 AND delta / dt >= 1.2, false))), false) OR coalesce(sum(delta) / nullif(max(ele) - min(ele), 0) >= 12, false) AS noisy
-        FROM (SELECT *, CASE WHEN NOT is_gap THEN abs(ele - lag(ele) OVER (PARTITION BY track_id, run ORDER BY i)) END AS delta FROM runs) GROUP BY track_id, ele_source""",
+    """SELECT p.track_id, p.ele_source, n_pairs, round(p75_delta, 6) AS p75_delta, round(p95_delta, 6) AS p95_delta, round(median_m, 6) AS median_m, round(p95_grade, 6) AS p95_grade, round(p95_vertical_mps, 6) AS p95_vertical_mps,
+        drifts, spikes, round(ratio, 6) AS change_ratio, noisy,
+        CASE WHEN n_pairs < 1 THEN 0 WHEN p.ele_source = 'barometric' THEN CASE WHEN noisy OR drifts OR coalesce(rng > 0 AND rng <= 1 AND ratio >= 8, false) THEN 0.35e0 ELSE 0.55e0 END WHEN noisy THEN 0.35e0 ELSE 0.55e0 END AS abs_trust,
+        CASE WHEN n_pairs < 1 THEN 0 WHEN p.ele_source = 'barometric' THEN CASE WHEN spikes THEN 0.55e0 ELSE 0.9e0 END WHEN noisy THEN 0.25e0 ELSE 0.6e0 END AS rel_trust FROM
+        (SELECT q.*, rng, drifts, spikes, raw / nullif(rng, 0) AS ratio, wild OR (coalesce(median_m, 0) <= 80 AND coalesce(p75_delta >= 2 OR p95_delta >= 8, false) AND (coalesce(p95_grade >= 0.18, false) OR coalesce(p95_vertical_mps >= 0.5, false)))
+            OR (q.ele_source <> 'barometric' AND CASE WHEN rng > 0 THEN raw / rng >= 12 ELSE raw > 0 END AND (coalesce(median_m, 0) <= 80 OR coalesce(p95_grade >= 0.18, false))) AS noisy FROM q JOIN h ON q.track_id = h.track_id AND q.ele_source = h.ele_source) p""",
     DENSE, *RUNNING,
+    """d AS (SELECT *, CASE WHEN metres > 0 AND delta IS NOT NULL THEN metres END AS apart FROM (SELECT *, CASE WHEN NOT is_gap THEN abs(ele - lag(ele) OVER (PARTITION BY track_id, run ORDER BY i)) END AS delta FROM runs))""",
+    """h AS (SELECT track_id, ele_source, sum(rng) AS rng, coalesce(bool_or(n >= 4 AND rng >= 8 AND p95 < 2 AND net >= 0.85 * raw AND raw > 0), false) AS drifts, coalesce(bool_or(p75 >= 2 OR p95 >= 8), false) AS spikes FROM
+        (SELECT track_id, ele_source, run, count(*) AS n, max(ele) - min(ele) AS rng, abs(max_by(ele, i) - min_by(ele, i)) AS net, sum(delta) AS raw, quantile_disc(delta, 0.75) AS p75, quantile_disc(delta, 0.95) AS p95 FROM d GROUP BY ALL) GROUP BY ALL)""",
+    """q AS (SELECT track_id, ele_source, count(delta) AS n_pairs, quantile_disc(delta, 0.75) AS p75_delta, quantile_disc(delta, 0.95) AS p95_delta, quantile_disc(apart, 0.5) AS median_m, quantile_disc(delta / apart, 0.95) AS p95_grade,
+        quantile_disc(CASE WHEN dt > 0 THEN delta / dt END, 0.95) AS p95_vertical_mps, coalesce(sum(delta), 0) AS raw, coalesce(bool_or(delta >= 8 AND (coalesce(delta / apart >= 0.35, false) OR coalesce(dt > 0 AND delta / dt >= 1.2, false))), false) AS wild FROM d GROUP BY ALL)""",
 )
 ORACLE_SQL["slope_scale"] = (
     ORACLE_SQL["slope_asof"].replace("SELECT track_id, seq, round(CASE", "SELECT track_id, round(greatest(6e0, 1.2 * v[CAST(floor((len(v) - 1) * 0.92) AS INT) + 1]), 6) AS scale_pct FROM (SELECT track_id, list_sort(list(abs(CASE", 1)

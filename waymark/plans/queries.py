@@ -268,7 +268,8 @@ def net_change(spark, sf_dir):
 
 @query
 def elevation_confidence(spark, sf_dir):
-    return elevation.confidence(dense_points(spark, sf_dir))
+    c = diagnostics.confidence(dense_points(spark, sf_dir))
+    return c.withColumns({n: F.array_join(n, ",") for n in ("penalties", "flags")})
 
 
 def _zoned(spark, sf_dir):
