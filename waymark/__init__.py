@@ -9,11 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows in a batch that a Python task gets at a time: long texts count, so that tasks stay small.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once an application, so that tasks can import it wherever they run."""
+    """Sends the package to the executors, once an application, so that tasks can import it wherever they run; and keeps the
+    session's Arrow batches at BATCH_ROWS or below."""
     sc = spark.sparkContext
+    if int(spark.conf.get(ROWS, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(ROWS, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     _SHIPPED.add(sc.applicationId)
