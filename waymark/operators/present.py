@@ -86,3 +86,30 @@ def period_label(points: DataFrame) -> DataFrame:
         .otherwise(F.concat(f("a", "d MMM yyyy"), F.lit(" – "), f("b", "d MMM yyyy")))
     )
     return rows.select("track_id", label.alias("label"))
+
+
+def representative_point(points: DataFrame) -> DataFrame:
+    """Rows track_id, seq, lat, lon, place_key of each track's middle valid point; the key rounds to four decimals."""
+    whole = Window.partitionBy("track_id")
+    rows = points.filter(valid(F.col("lat"), F.col("lon"))).withColumns({"k": F.row_number().over(in_order()) - 1, "n": F.count("*").over(whole)})
+    return rows.filter("k = floor(n / 2)").select("track_id", "seq", "lat", "lon", F.format_string("%.4f,%.4f", "lat", "lon").alias("place_key"))
+
+
+def speed_axis(speeds: DataFrame, column: str = "kmh") -> DataFrame:
+    """Rows track_id, top_kmh of a speed chart: a quarter or 1 km/h above the fastest, 4 at least."""
+    return speeds.groupBy("track_id").agg(F.max(column).alias("m")).select("track_id", F.greatest(1.25 * F.col("m"), F.col("m") + 1, F.lit(4.0)).alias("top_kmh"))
+
+
+def midpoint_values(points: DataFrame, stops: DataFrame) -> DataFrame:
+    """Rows track_id, seq, kmh of every pair of points: the value of the first stop (track_id, progress, kmh) at or beyond the
+    middle of the pair, else the last stop. points has distance_m; a forward as-of look-up over one ordered union."""
+    whole = Window.partitionBy("track_id")
+    before = F.lag("distance_m").over(in_order())
+    pairs = points.withColumns({"total": F.max("distance_m").over(whole), "_before": before}).filter("_before is not null and total > 0")
+    marks = pairs.select("track_id", "seq", ((F.col("_before") + F.col("distance_m")) / 2 / F.col("total")).alias("at"), F.lit(None).cast("double").alias("kmh"), F.lit(0).alias("is_stop"))
+    both = marks.union(stops.select("track_id", F.lit(None).cast("int"), "progress", "kmh", F.lit(1)))
+    order = Window.partitionBy("track_id").orderBy("at", "is_stop")
+    stop = F.when(F.col("is_stop") == 1, F.col("kmh"))
+    ahead = F.first(stop, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    behind = F.last(stop, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("v", F.coalesce(ahead, behind)).filter("is_stop = 0").select("track_id", "seq", F.col("v").alias("kmh"))

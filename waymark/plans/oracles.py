@@ -348,3 +348,13 @@ ORACLE_SQL["audit_trail"] = sql(
         UNION ALL SELECT track_id, 'time', 'mode', CASE WHEN median_gap_s IS NULL THEN 'untimed' WHEN median_gap_s <= 2 THEN 'dense' WHEN median_gap_s <= 15 THEN 'regular' WHEN median_gap_s <= 60 THEN 'smart' ELSE 'sparse' END FROM medians""",
     SPARSE, PAIRS, GAPS,
 )
+ORACLE_SQL["representative_point"] = sql(
+    "SELECT track_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM pts) WHERE k = n // 2", SPARSE
+)
+ORACLE_SQL["speed_axis"] = sql("SELECT track_id, round(greatest(1.25e0 * max(kmh), max(kmh) + 1, 4e0), 6) AS top_kmh FROM speeds GROUP BY track_id", DENSE, *ROUTED, SPEED)
+ORACLE_SQL["midpoint_values"] = sql(
+    """SELECT p.track_id, p.seq, round(coalesce(a.kmh, (SELECT max_by(s.kmh, s.p) FROM stops s WHERE s.track_id = p.track_id)), 6) AS kmh FROM mids p ASOF LEFT JOIN stops a ON p.track_id = a.track_id AND p.at <= a.p""",
+    DENSE, *ROUTED, SPEED,
+    "mids AS (SELECT track_id, seq, (distance_m + b) / 2 / t AS at FROM (SELECT *, lag(distance_m) OVER (PARTITION BY track_id ORDER BY seq) AS b, max(distance_m) OVER (PARTITION BY track_id) AS t FROM route) WHERE b IS NOT NULL AND t > 0)",
+    "stops AS (SELECT track_id, p, max_by(kmh, seq) AS kmh FROM (SELECT *, floor((distance_m - metres / 2) / t * 1000000 + 0.5) / 1000000 AS p FROM (SELECT *, max(distance_m) OVER (PARTITION BY track_id) AS t FROM speeds) WHERE t > 0) GROUP BY track_id, p)",
+)

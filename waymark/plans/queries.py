@@ -357,6 +357,22 @@ def viewport(spark, sf_dir):
     return present.viewport(sparse_points(spark, sf_dir))
 
 
+@query
+def representative_point(spark, sf_dir):
+    return present.representative_point(sparse_points(spark, sf_dir)).drop("place_key")
+
+
+@query
+def speed_axis(spark, sf_dir):
+    return present.speed_axis(series.raw_speed(dense_points(spark, sf_dir)))
+
+
+@query
+def midpoint_values(spark, sf_dir):
+    p = series.distance_series(dense_points(spark, sf_dir))
+    return present.midpoint_values(p, diagnostics.gradient_stops(series.raw_speed(dense_points(spark, sf_dir))))
+
+
 @query
 def geojson_lines(spark, sf_dir):
     g = present.geojson(sparse_points(spark, sf_dir))
