@@ -2,7 +2,7 @@
 
 import pytest
 from waymark.functions import values
-from waymark.operators import cleaning, continuity, elevation, moving, present, series
+from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
 from waymark.plans.summary import analyse
 from pyspark.sql import functions as F
 
@@ -122,3 +122,18 @@ def test_colours(spark):
     s = spark.createDataFrame([("t", k, float(k)) for k in range(11)], "track_id string, seq int, smooth_kmh double")
     got = {r.seq: r.colour for r in present.coloured(s).collect()}
     assert got[0] == "#2563eb" and got[10] == "#dc2626" and len(set(got.values())) > 5
+
+
+def test_slow_progress_needs_a_direction(spark):
+    m = 1 / DEGREE
+    onward = [(0, 1 + k * 4 * m, 1, 20 * k, 0) for k in range(20)]
+    swaying = [(0, 1 + (k % 2 * 6 + k * 0.2) * m, 1, 20 * k, 0) for k in range(20)]
+    assert diagnostics.slow_progress(track(spark, onward)).count() >= 15
+    assert diagnostics.slow_progress(track(spark, swaying)).count() == 0
+
+
+@pytest.mark.parametrize(("places", "poor"), [([0, 5, 10, 15], False), ([0, 5, 0, 5, 0, 5], True), ([0, 0.5, 0, 0.5], False), ([0, 9], False), ([0, 6, 3, 9, 6, 12, 9, 15], False)])
+def test_poor_direction(spark, places, poor):
+    rows = [(0.0, 1 + p / DEGREE) for p in places]
+    df = spark.createDataFrame([(rows,)], "p array<struct<lat: double, lon: double>>")
+    assert df.select(diagnostics.poor_direction(F.col("p"))).first()[0] is poor

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.geo import METRES_PER_DEGREE, distance
 from waymark.functions.stats import half_up, interpolated
 from waymark.operators import elevation
-from waymark.operators.continuity import with_gaps
+from waymark.operators.continuity import with_continuous_segment, with_gaps
 
 #: The analysis modes, in the order in which they are offered.
 MODES = ("recomputed_filtered", "recomputed_raw", "recomputed_terrain", "imported_summary")
@@ -152,10 +153,7 @@ def audit(summary: DataFrame) -> DataFrame:
 def slow_progress(points: DataFrame, on_kmh: float = 1.5) -> DataFrame:
     """Rows track_id, seq of pairs within slow but steady progress: in the 150 s on either side of the pair's middle, inside
     its continuous segment, four pairs or more over 120 s or more, a net speed up to ``on_kmh`` and of 0.5 km/h, or 0.15 and
-    12 m net. The reversal tests on direction are not part of it."""
-    from waymark.functions.geo import distance
-    from waymark.operators.continuity import with_continuous_segment
-
+    12 m net. Rejected where the direction is poor in that window, or in a whole segment of up to 120 points."""
     rows = with_continuous_segment(with_gaps(points)).filter("ts_ms is not null")
     order = Window.partitionBy("track_id", "cont_segment").orderBy("ts_ms")
     pair = rows.withColumn("centre", F.floor((F.col("ts_ms") + F.lag("ts_ms").over(order)) / 2).cast("long"))
@@ -164,10 +162,46 @@ def slow_progress(points: DataFrame, on_kmh: float = 1.5) -> DataFrame:
     )
     frame = Window.partitionBy("track_id", "cont_segment").orderBy("t").rangeBetween(-150_000, 150_000)
     point = F.when(F.col("is_centre") == 0, F.struct("t", "seq", "lat", "lon"))
-    seen = marks.withColumns({"a": F.min(point).over(frame), "b": F.max(point).over(frame), "n": F.count(point).over(frame)}).filter("is_centre = 1")
+    seen = marks.withColumns({"a": F.min(point).over(frame), "b": F.max(point).over(frame), "n": F.count(point).over(frame), "all": F.array_sort(F.collect_list(point).over(frame))}).filter("is_centre = 1")
     seconds, net = (F.col("b.t") - F.col("a.t")) / 1000, distance(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     seen = seen.withColumns({"seconds": seconds, "net": net}).filter("n >= 5 and seconds >= 120").withColumn("kmh", F.col("net") / F.col("seconds") * 3.6)
-    return seen.filter((F.col("kmh") <= on_kmh) & ((F.col("kmh") >= 0.5) | ((F.col("kmh") >= 0.15) & (F.col("net") >= 12)))).select("track_id", "seq")
+    steady = seen.filter((F.col("kmh") <= on_kmh) & ((F.col("kmh") >= 0.5) | ((F.col("kmh") >= 0.15) & (F.col("net") >= 12)))).filter(~poor_direction(F.col("all")))
+    segments = rows.groupBy("track_id", "cont_segment").agg(F.count("*").alias("points")).filter("points <= 120").select("track_id", "cont_segment")
+    whole = rows.join(segments, ["track_id", "cont_segment"]).groupBy("track_id", "cont_segment").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ms").alias("t"), "seq", "lat", "lon"))).alias("all"))
+    return steady.join(whole.filter(poor_direction(F.col("all"))), ["track_id", "cont_segment"], "left_anti").select("track_id", "seq")
+
+
+def poor_direction(points: Column, least_efficiency: float = 0.45, most_back: float = 1.0) -> Column:
+    """Whether an array of points in order (with lat, lon) goes to and fro: along the axis, east or north, on which it is
+    longer, steps of 1 m or more change sign three times or more, the net way is less than ``least_efficiency`` of the
+    whole, and the way back is ``most_back`` of the net way or more. Fewer than three points, or no such step, aren't poor."""
+
+    def bound(value: Column, use) -> Column:
+        """use(value), with the value worked out once."""
+        return F.transform(F.array(value), use)[0]
+
+    def judged(axis: Column, steps: Column) -> Column:
+        net = F.element_at(axis, -1) - F.element_at(axis, 1)
+        path = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.abs(d))
+        start = F.struct(F.lit(0.0).alias("sign"), F.lit(0).alias("n"))
+        turns = F.aggregate(steps, start, lambda a, d: F.struct(F.signum(d).alias("sign"), (a["n"] + F.when((a["sign"] != 0) & (F.signum(d) != a["sign"]), 1).otherwise(0)).alias("n")))["n"]
+        back = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.when((net != 0) & (F.signum(d) != F.signum(net)), F.abs(d)).otherwise(0.0))
+        much = F.when(net == 0, F.lit(True)).otherwise(F.try_divide(back, F.abs(net)) >= most_back)
+        return F.coalesce((path > 0) & (turns >= 3) & (F.try_divide(F.abs(net), path) < least_efficiency) & much, F.lit(False))
+
+    def along(axis: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(axis, 1, F.size(axis) - 1).alias("a"), F.slice(axis, 2, F.size(axis) - 1).alias("b"))
+        steps = F.filter(F.transform(pairs, lambda p: p["b"] - p["a"]), lambda d: F.abs(d) >= 1)
+        return bound(steps, lambda s: judged(axis, s))
+
+    def placed(points: Column) -> Column:
+        first = F.element_at(points, 1)
+        scale = METRES_PER_DEGREE * F.cos(F.radians(first["lat"]))
+        east = bound(scale, lambda k: F.transform(points, lambda p: (p["lon"] - first["lon"]) * k))
+        north = F.transform(points, lambda p: (p["lat"] - first["lat"]) * METRES_PER_DEGREE)
+        return bound(F.when(F.array_max(east) - F.array_min(east) >= F.array_max(north) - F.array_min(north), east).otherwise(north), along)
+
+    return F.when(F.size(points) >= 3, bound(points, placed)).otherwise(F.lit(False))
 
 
 def gradient_stops(speeds: DataFrame, column: str = "kmh") -> DataFrame:
