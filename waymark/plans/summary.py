@@ -23,11 +23,12 @@ def track_summary(points: DataFrame) -> DataFrame:
 def analyse(points: DataFrame) -> dict[str, DataFrame]:
     """Cleaned points, speeds, slopes, splits, elevation samples and a summary with motion and elevation, by name.
 
-    The cleaned points are the common input; cache them if several results are read.
+    The cleaned points are what all results read, several times each: they and the elevation samples are persisted. Call
+    unpersist() on "points" and "elevation" when the results are written.
     """
-    cleaned = cleaning.clean(points).filter("reason is null").drop("reason")
+    cleaned = cleaning.clean(points).filter("reason is null").drop("reason").persist()
     speeds = series.reliable_speed(series.raw_speed(cleaned))
-    samples = elevation.profile(cleaned)
+    samples = elevation.profile(cleaned).persist()
     climbs = elevation.climbs(cleaned, samples)
     motion = moving.moving_time(speeds)
     total = (
