@@ -17,8 +17,9 @@ from waymark.llm.sentencepieces import piece_digests
 
 
 def only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents whose id is (left_semi) or isn't (left_anti) among ids; a null id counts as an id."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), how)
+    """The documents whose id is (left_semi) or isn't (left_anti) among ids; a null id counts as an id. The ids grow with the
+    documents, so they are merged at every size and never broadcast."""
+    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct().hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the multi-line chunks that stand elsewhere too; a document of which nothing is left goes."""
-    shorter = drop_repeated_chunks(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).dropDuplicates(["_id"])
-    joined = docs.join(shorter, docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    shorter = staged(drop_repeated_chunks(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))).dropDuplicates(["_id"])
+    joined = docs.join(shorter.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     changed = F.col("_text").isNotNull()
     return (
         joined.filter(~changed | (F.trim("_text") != ""))
