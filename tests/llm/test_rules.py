@@ -89,6 +89,17 @@ def test_leaks(spark):
     assert leaks(frame(spark, texts), table.limit(0)).count() == 0
 
 
+def test_leaks_of_one_edited_passage_in_many_documents(spark):
+    rng = random.Random(18)
+    item = prose(rng, 40)
+    copied = [f"c{k}" if k % 7 == 5 else w for k, w in enumerate(item)]  # fewer than half of the seeds are left
+    texts = [" ".join([*prose(rng, 30), *copied, *prose(rng, 30)]) for _ in range(40)]
+    texts += [" ".join([*prose(rng, 30), *item[:4], *prose(rng, 30)]) for _ in range(40)]  # a seed alone is no leak
+    got = leaks(frame(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+    assert all((r.start_word, r.end_word) == (30, 70) and r.score > 0.75 for r in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/x">X</a><li>Y</ul></nav><div class="ad">Buy</div><!-- c > -->
 <article><h1>H&amp;{n}</h1><p>One <b>two

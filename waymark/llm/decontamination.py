@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_and_text, per_text, staged
+from waymark.llm.common import id_and_text, per_text
 
 WORDS = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -55,11 +56,11 @@ def leaks(
 ) -> DataFrame:
     """Rows doc_id, item_id, score, start_word, end_word, n_seeds: passages of documents that align with test items.
 
-    Seeds are an item's runs of ``seed_words`` words (all its words if it has fewer). Documents that hold a seed give the
-    stretch of words around it. A seed is rare if no more documents hold it than twice the median of its item's seeds, or
-    eight; a stretch needs a rare one. Its best local alignment with the item scores 2 for a word in common, -1 for a
-    changed, missing or added word; ``score`` is that over twice the item's words, and counts from ``least`` on. One row
-    for each document and item: the best stretch, the first of equals. Word places are those of lower-cased ``\\w+`` runs.
+    Seeds are an item's runs of ``seed_words`` words (all its words if it has fewer). Documents that hold a seed, however
+    common, give the stretch of words around it. Its best local alignment with the item scores 2 for a word in common, -1
+    for a changed, missing or added word; ``score`` is that over twice the item's words, and counts from ``least`` on.
+    Stretches with too few words in common for that, in any order, aren't aligned. One row for each document and item: the
+    best stretch, the first of equals. Word places are those of lower-cased ``\\w+`` runs.
 
     Only the benchmark's seeds are broadcast. Their number is checked: above ``most_seeds`` the items are taken in blocks,
     each with its own scan of the documents. Null and empty texts and items match nothing; a null item id is kept as null;
@@ -84,11 +85,10 @@ def _leaks_of(docs: DataFrame, items: DataFrame, n: int, least: float, id_col: s
         for at in range(max(1, len(words) - n + 1) if words else 0):
             seeds.setdefault(tuple(words[at : at + n]), []).append((k, at))
     shorter = sorted({len(s) for s in seeds if len(s) < n})
-    number = {s: j for j, s in enumerate(seeds)}
-    shipped = sc.broadcast((known, seeds, number))
+    shipped = sc.broadcast((known, [Counter(words) for _, words in known], seeds))
 
     def make():
-        known, seeds, number = shipped.value
+        known, bags, seeds = shipped.value
         has = seeds.keys()
 
         def work(ids, texts):
@@ -97,53 +97,32 @@ def _leaks_of(docs: DataFrame, items: DataFrame, n: int, least: float, id_col: s
                 hits = [(at, g) for at, g in enumerate(zip(*(words[k:] for k in range(n)))) if g in has]
                 for m in shorter:
                     hits += [(at, g) for at, g in enumerate(zip(*(words[k:] for k in range(m)))) if g in has]
-                starts: dict[int, list[tuple[int, int]]] = {}
+                starts: dict[int, list[int]] = {}
                 for at, g in hits:
                     for k, place in seeds[g]:
-                        starts.setdefault(k, []).append((at - place, number[g]))
+                        starts.setdefault(k, []).append(at - place)
                 for k, places in starts.items():
-                    size = len(known[k][1])
+                    item_id, item = known[k]
+                    size = len(item)
                     slack = size // 2 + 2
                     places.sort()
-                    group: list[tuple[int, int]] = []
-                    for start, g in [*places, (1 << 62, -1)]:
-                        if group and start - group[-1][0] > slack:
-                            lo, hi = max(0, group[0][0] - slack), group[-1][0] + size + slack
-                            yield i, k, lo, words[lo:hi], sorted({g for _, g in group}), len(group)
+                    group: list[int] = []
+                    for start in [*places, 1 << 62]:
+                        if group and start - group[-1] > slack:
+                            lo, hi = max(0, group[0] - slack), group[-1] + size + slack
+                            window, bag = words[lo:hi], bags[k]
+                            common = sum(min(c, bag[w]) for w, c in Counter(window).items() if w in bag)
+                            if common / size >= least:  # a word in common adds 2 to the score, nothing else adds to it
+                                codes: dict[str, int] = {}
+                                x, y = (np.array([codes.setdefault(w, len(codes)) for w in ws], np.int64) for ws in (item, window))
+                                score, first, end = align(x, y)
+                                if (share := score / (MATCH * size)) >= least:
+                                    yield i, item_id, share, lo + first, lo + end, len(group)
                             group = []
-                        group.append((start, g))
+                        group.append(start)
 
         return work
 
-    stretches = staged(per_text(id_and_text(docs, id_col, text_col), "doc_id long, k int, start int, words array<string>, seeds array<int>, n_seeds int", make))
-    held = {r.seed: r.n for r in stretches.select("doc_id", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count("*").alias("n")).collect()}  # as many as seeds
-    rare = set()
-    by_item: dict[int, list[int]] = {}
-    for s, places in seeds.items():
-        for k, _ in places:
-            by_item.setdefault(k, []).append(number[s])
-    for own in by_item.values():
-        counts = sorted(held.get(j, 0) for j in own)
-        rare.update((j) for j in own if held.get(j, 0) <= max(8, 2 * counts[len(counts) // 2]))
-    rare_ones = sc.broadcast(rare)
-
-    def run(batches):
-        import pyarrow as pa
-
-        known, rare = shipped.value[0], rare_ones.value
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if rare.isdisjoint(r["seeds"]):
-                    continue
-                item_id, item = known[r["k"]]
-                codes: dict[str, int] = {}
-                x, y = (np.array([codes.setdefault(w, len(codes)) for w in words], np.int64) for words in (item, r["words"]))
-                score, start, end = align(x, y)
-                if (share := score / (MATCH * len(item))) >= least:
-                    out.append({"doc_id": r["doc_id"], "item_id": item_id, "score": share, "start_word": r["start"] + start, "end_word": r["start"] + end, "n_seeds": r["n_seeds"]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_seeds", pa.int32())]))
-
-    aligned = stretches.mapInArrow(run, "doc_id long, item_id long, score double, start_word int, end_word int, n_seeds int")
+    aligned = per_text(id_and_text(docs, id_col, text_col), "doc_id long, item_id long, score double, start_word int, end_word int, n_seeds int", make)
     best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start_word")).alias("s"), "end_word", "n_seeds")).alias("x"))
     return best.select("doc_id", "item_id", "x.score", (-F.col("x.s")).alias("start_word"), "x.end_word", "x.n_seeds")
