@@ -92,6 +92,24 @@ def test_repeated_passages_finds_planted_and_leaves_clean(spark):
         assert any(s.start <= at + 5 and s.end >= at + 55 and s.end - s.start <= 75 for s in got[k].spans)
 
 
+def test_repeated_passages_with_a_part_that_stands_earlier_too(spark):
+    rng = random.Random(15)
+    texts, passages = [], []
+    for k in range(6):
+        passage = prose(rng, 60, 10**6)
+        opening = [*passage[25:34], *prose(rng, 80, 10**6), *passage[5:14]]
+        texts.append(" ".join([*prose(rng, 40, 10**6), *passage, *prose(rng, 40, 10**6)]))
+        texts.append(" ".join([*(opening if k < 4 else passage[:40]), *prose(rng, 90, 10**6), *passage, *prose(rng, 40, 10**6)]))
+        passages.append(passage)
+    texts += [t + " again" for t in texts[:2]]
+    got = {r.doc_id: r for r in repeated_passages(frame(spark, texts)).collect()}
+    for k in range(12):
+        words = texts[k].split()
+        at = next(i for i in range(len(words)) if words[i : i + 60] == passages[k // 2])
+        assert got[k].class_id == k // 2 * 2
+        assert any(s.start <= at + 5 and s.end >= at + 55 for s in got[k].spans)
+
+
 def test_repeated_passages_of_odd_tables(spark):
     got = repeated_passages(odd_frame(spark)).collect()
     assert {r.doc_id for r in got} == {5}  # the long text stands twice
