@@ -116,6 +116,16 @@ def test_repeated_passages_of_odd_tables(spark):
     assert repeated_passages(empty_frame(spark)).count() == 0
 
 
+def test_texts_held_only_under_null_ids_are_compared(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 400)
+    texts = [" ".join(shared + prose(rng, 20)), " ".join(prose(rng, 20) + shared)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert [tuple(r)[:3] for r in repeated_passages(docs).collect()] == [(None, None, 1)] * 2
+    named = spark.createDataFrame([(None, texts[0]), (3, texts[1])], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(named).collect()} == {(None, 3), (3, 3)}
+
+
 def brute_lines(texts):
     where = {}
     for i, t in sorted(texts.items()):

@@ -46,7 +46,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     found = per_text(id_and_text(docs, id_col, text_col), "doc_id long, key binary, text string", make)
     return (
         found.alias("t")
-        .join(wanted.alias("w"), (F.col("t.key") == F.col("w.key")) & (F.col("t.doc_id") == F.col("w.rep_id")))
+        .join(wanted.alias("w"), (F.col("t.key") == F.col("w.key")) & F.col("t.doc_id").eqNullSafe(F.col("w.rep_id")))
         .select("t.key", "t.text")
         .dropDuplicates(["key"])
     )
