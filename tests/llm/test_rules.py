@@ -4,7 +4,7 @@ import re
 import pytest
 from waymark.llm.decision_list import FEATURES, judge, learn, statistics, verdict
 from waymark.llm.decontamination import leaks
-from waymark.llm.html_wrapper import extract, main_text, parse, skeleton, tree_match
+from waymark.llm.html_wrapper import Outline, extract, main_text, parse, tree_match
 from waymark.llm.url_filter import judge_urls
 
 from tests.llm.helpers import WORD, empty_frame, frame, odd_frame, prose
@@ -108,32 +108,98 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 BARE = '<html><body><div class="top">Welcome to our site</div><div class="body"><p>Text {n}</p><p>More {n}</p></div><div class="low">Call us</div></body></html>'
 
 
-def test_main_text():
-    assert main_text(parse(PAGE.format(n=1)), None, frozenset()) == "H&1\nOne two three x\nFour five\na\nb <c>"
-    assert main_text(parse(""), None, frozenset()) == main_text(parse("<p></p><br>"), None, frozenset()) == ""
-    assert main_text(parse("<div>a</div></p></div>b<"), None, frozenset()) == "a\nb<"
-    a, b = (skeleton([parse(BARE.format(n=n))]) for n in (1, 2))
-    assert tree_match(a, b)[0] == 7
+def text_of(page):
+    return main_text(parse(page))
+
+
+def test_main_text_of_a_page_alone():
+    assert text_of(PAGE.format(n=1)) == "H&1\nOne two three x\nFour five\na\nb <c>"
+    assert text_of("") == text_of("<p></p><br>") == ""
+    assert text_of("<div>a</div></p></div>b<") == "a\nb<"
+    words = "some words of the article that is longer than all else on this page "
+    for page in ('<div class="page with-sidebar"><article class="post has-comments"><p>{w}</p></article></div>', '<form><div id="content"><p>{w}</p></div></form>', '<div id="search-results"><p>{w}</p></div>'):
+        assert text_of(page.format(w=words * 5)) == (words * 5).strip()
+    a, b = (Outline(parse(BARE.format(n=n))) for n in (1, 2))
+    assert tree_match(a, b) == {k: k for k in range(len(a.tags))} and len(a.tags) == 4
+
+
+def test_deep_and_wide_pages():
+    assert text_of("<div class=a>" * 100_000 + "x") == "x"
+    assert text_of("<div><p>a" * 100_000).count("a") == 100_000
+    wide = "<section>" + "".join(f'<h2>{k} x</h2><div class="c{k % 2}">t {k}</div>' for k in range(50_000)) + "<p>end</section>"
+    assert text_of(wide).count("\n") == 100_000
+    page = Outline(parse(wide))
+    assert tree_match(page, page) == {k: k for k in range(len(page.tags))}
+
+
+def brute_match(x, y, a=0, b=0):
+    """Simple tree matching by its recursive definition: the most slots, equal names counting one more."""
+    if x.tags[a] != y.tags[b]:
+        return 0
+    xs, ys = x.children()[a], y.children()[b]
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, p in enumerate(xs, 1):
+        for j, q in enumerate(ys, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_match(x, y, p, q))
+    return 1 + (x.names[a] == y.names[b]) + table[-1][-1]
+
+
+def test_tree_match_is_the_best():
+    rng = random.Random(6)
+
+    def tree(depth):
+        return "".join(f'<{t} class="{rng.choice("xyz")}">{tree(depth - 1)}</{t}>' for t in rng.choices(["div", "section", "nav"], k=rng.randrange(4))) if depth else "t"
+
+    for _ in range(60):
+        x, y = Outline(parse(tree(3))), Outline(parse(tree(3)))
+        got = tree_match(x, y)
+        assert sum(1 + (x.names[a] == y.names[b]) for b, a in got.items()) == brute_match(x, y)
+        for b, a in got.items():
+            assert x.tags[a] == y.tags[b] and (b == 0 or got[y.parents[b]] == x.parents[a])
 
 
 def test_template_of_a_host_goes(spark):
     rows = [(i, f"http://h.example/{i}", BARE.format(n=i)) for i in range(8)] + [(20, "http://other/", BARE.format(n=20)), (None, None, None), (21, "", "")]
     got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i].text == f"Text {i}\nMore {i}" and got[i].n_chars == len(got[i].text) for i in range(8))
-    assert got[20].text == "Welcome to our site\nText 20\nMore 20\nCall us"
+    assert all(got[i].text == f"Text {i}\nMore {i}" and got[i].n_chars == len(got[i].text) and got[i].template == "host" for i in range(8))
+    assert got[20].text == "Welcome to our site\nText 20\nMore 20\nCall us" and got[20].template == "none"
     assert got[None].text == got[21].text == "" and len(got) == 11
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_extraction_equals_the_articles(spark):
+def test_template_inside_the_article_goes_and_names_of_columns_may_clash(spark):
+    rng = random.Random(3)
+
+    def page(k):
+        text = "".join(f"<p>{' '.join(prose(rng, 30))}</p>" for _ in range(rng.randrange(2, 6)))
+        return f'<nav><a href="/">home {k}</a></nav><article><p>Read our other articles too</p>{text}<div class="k{k % 3}">Written by us</div></article><div class="q">Buy {k}</div>', text
+
+    pages = [page(k) for k in range(9)]
+    rows = [(k, f"http://{k % 3}.shop.example/{k}", p, "x", "y", 1, 2, "z") for k, (p, _) in enumerate(pages)] * 2
+    table = spark.createDataFrame(rows, "page_id string, url string, html string, host string, group string, n int, slot int, reference string")
+    got = extract(table).collect()
+    assert len(got) == 18
+    for r in got:
+        assert r.template == "domain" and r.text == "\n".join(re.findall(r"<p>(.*?)</p>", pages[int(r.page_id)][1]))
+    assert len(judge_urls(table, spark.createDataFrame([], "rule string, verdict string")).collect()) == 18
+
+
+@pytest.mark.parametrize("change", [(), (("</?article>", ""),), (("</?article>", ""), ('class="ad"', 'class="k1"'))])
+def test_extraction_equals_the_articles(spark, change):
     import html
 
+    from pyspark.sql import functions as F
+
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = {r.page_id: r.text for r in extract(pages).collect()}
+    altered = pages
+    for old, new in change:
+        altered = altered.withColumn("html", F.regexp_replace("html", old, new))
+    got = {r.page_id: r for r in extract(altered).collect()}
+    assert all(r.template != "none" for r in got.values())
     for r in pages.collect():
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"<p>|</p>|</h1>", article)]
-        assert got[r.page_id] == "\n".join(b for b in blocks if b)
+        assert got[r.page_id].text == "\n".join(b for b in blocks if b)
 
 
 def brute_url(url, rules):
