@@ -3,7 +3,7 @@ import random
 import pytest
 from waymark.llm.compact_windows import repeated_passages, tree_windows
 from waymark.llm.components import components
-from waymark.llm.line_chunks import chunks_of, counts, drop_repeated_chunks
+from waymark.llm.line_chunks import drop_repeated_chunks, without
 from waymark.llm.minhash import near_duplicates
 
 from tests.llm.helpers import brute_components, empty_frame, frame, odd_frame, prose
@@ -127,36 +127,67 @@ def test_texts_held_only_under_null_ids_are_compared(spark):
 
 
 def brute_lines(texts):
-    where = {}
-    for i, t in sorted(texts.items()):
-        for c in chunks_of(t or ""):
-            if counts(c):
-                where.setdefault(c, []).append(i)
-    out = {}
-    for i, t in texts.items():
-        kept, seen = [], set()
-        for c in chunks_of(t or ""):
-            if counts(c) and len(where[c]) > 1 and (where[c][0] != i or c in seen):
-                continue
-            seen.add(c)
-            kept.append(c)
-        out[i] = "\n".join(kept)
+    """By lists of all pairs of neighbouring lines with text, in order of row and place."""
+    places = {}
+    cut = [(t or "").split("\n") for t in texts]
+    full = [[k for k, x in enumerate(lines) if x.strip()] for lines in cut]
+    for i, lines in enumerate(cut):
+        for a, b in zip(full[i], full[i][1:]):
+            places.setdefault("\n".join(lines[a : b + 1]), []).append((i, a, b))
+    gone = {(i, k) for where in places.values() for i, a, b in where[1:] for k in range(a, b + 1)}
+    out = []
+    for i, lines in enumerate(cut):
+        kept, after = [], False
+        for k, line in enumerate(lines):
+            after = (i, k) in gone or after and not line.strip()
+            if not after:
+                kept.append(line)
+        out.append("\n".join(kept))
     return out
 
 
-def test_line_chunks(spark):
+def test_line_chunks_equal_brute_force(spark):
     rng = random.Random(9)
     block = [" ".join(prose(rng, 6)) for _ in range(30)]
-    texts = {}
-    for k in range(30):
-        own = [" ".join(prose(rng, 6)) for _ in range(rng.randrange(1, 12))]
-        at = rng.randrange(len(own) + 1)
-        own[at:at] = block[rng.randrange(10) : rng.randrange(20, 30)] if k % 3 else block[:1]
-        texts[k] = "\n".join(own)
-    assert all("\n".join(chunks_of(t)) == t for t in [*texts.values(), "", "\n", "a\n", "\n\n\n"])
-    got = {r.doc_id: r.text for r in drop_repeated_chunks(frame(spark, texts.values())).collect()}
-    assert got == brute_lines(texts)
-    assert sum(map(len, got.values())) < 0.6 * sum(map(len, texts.values()))
+    texts = []
+    for k in range(60):
+        own = [rng.choice([" ".join(prose(rng, 6)), "", " "]) for _ in range(rng.randrange(1, 12))]
+        at, start = rng.randrange(len(own) + 1), rng.randrange(20)
+        own[at:at] = block[start : start + rng.randrange(1, 10)] if k % 3 else ["x", "x", "", "x", "y", "x", "y"]
+        texts.append("\n".join(own))
+    texts += ["\n".join(block), "", None, "\n", "a\n", "\n\n\n", "one\n\ntwo", "zero\none\n\ntwo\n\n\nthree"]
+    got = {r.doc_id: r for r in drop_repeated_chunks(frame(spark, texts)).collect()}
+    want = brute_lines(texts)
+    assert [got[k].text for k in range(len(texts))] == want
+    lines = {x for t in texts if t for x in t.split("\n") if x.strip()}
+    assert lines == {x for t in want for x in t.split("\n") if x.strip()}
+    assert sum(r.n_removed for r in got.values()) > 100
+
+
+def test_repeated_runs_of_lines_go_at_every_length(spark):
+    rng = random.Random(19)
+    texts, planted = [], 0
+    for n in (2, 3, 4, 8, 20):
+        for _ in range(20):
+            block = [" ".join(prose(rng, 5, 10**6)) for _ in range(n)]
+            for _ in range(2):
+                texts.append("\n".join([*(" ".join(prose(rng, 5, 10**6)) for _ in range(6)), *block, *(" ".join(prose(rng, 5, 10**6)) for _ in range(6))]))
+            planted += n
+    assert sum(r.n_removed for r in drop_repeated_chunks(frame(spark, texts)).collect()) == planted
+
+
+def test_rows_with_one_id_and_different_texts_share_one_copy(spark):
+    texts = ["a b\nc d\ne f", "x\na b\nc d", "a b\nc d\ny"]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts] + [(7, texts[0])], "doc_id long, text string")
+    got = sorted(r.text for r in drop_repeated_chunks(docs).collect())
+    assert sum("a b\nc d" in t for t in got) in (1, 2) and len(got) == 7  # equal rows are treated alike
+
+
+def test_chunks_whose_hashes_collide_stay(spark):
+    rows = [(k, k, f"t{k}", [(1, 2, k == 0), (3, 4, False)]) for k in range(3)] + [(9, 9, "u", None)]
+    texts = spark.createDataFrame(rows, "doc_id long, own long, text string, known array<struct<h1: long, h2: long, is_first: boolean>>")
+    left = {r.doc_id: r.known for r in without(texts, spark.createDataFrame([(1, 2)], "h1 long, h2 long")).collect()}
+    assert left[9] is None and all([tuple(x) for x in left[k]] == [(3, 4, False)] for k in range(3))
 
 
 def test_line_chunks_of_odd_tables(spark):

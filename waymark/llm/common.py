@@ -19,17 +19,24 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one on a local
+    master; on a cluster that would be a different disk on each machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Folders that staged() has written and discard() hasn't deleted.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors. The shuffle
-    files of the finished write are of no more use and go at once."""
+    files of the finished write are of no more use and go at once; the folder stays until discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/waymark-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
@@ -38,9 +45,25 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
+    STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Deletes what staged() wrote from place ``since`` of STAGED on (to ``until``): for callers that have written all that
+    reads it."""
+    for path in STAGED[since:until]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del STAGED[since:until]
+
+
+def numbered(docs: DataFrame, row: str = "_row") -> DataFrame:
+    """docs with a column ``row``: a long that no other row has. Written to the shared folder, so that all who read it see
+    the same numbers, whatever is computed again."""
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that an operator reads, under fixed names; a null text becomes the empty text."""
     ship(docs.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import staged
+from waymark.llm.common import STAGED, discard, staged
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -29,7 +29,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     edges = staged(edges.select("u", "v").filter("u <> v").distinct())
     mark = None
     for _ in range(most_rounds):
+        last = len(STAGED) - 1
         edges = staged(small_star(large_star(edges)))
+        discard(edges.sparkSession, last, last + 1)
         was, mark = mark, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == was:
             break

@@ -2,100 +2,161 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_and_text, per_text, staged
+from waymark.llm.common import id_and_text, staged
 
-#: A chunk ends where the rolling hash of its last LINES line hashes is 0 modulo DIVISOR, but never after its first line.
-LINES, DIVISOR = 2, 3
+#: A long chunk ends after a line where the rolling hash of it and the line before is 0 modulo DIVISOR; so the lines alone
+#: choose. The short chunks, with divisor 1, are all stretches of two neighbouring lines.
+DIVISOR = 4
 MASK = (1 << 64) - 1
+#: Rows of an Arrow batch from which a task hands it on.
+ROWS = 100_000
+NO_ID = 2**63 - 1
+
+
+def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
+    """The chunks of a text's lines: first and last line of each, both with more than white space. Blank lines belong to
+    what they part. Chunks of one line aren't any."""
+    full = [k for k, line in enumerate(lines) if line and not line.isspace()]
+    out = list(zip(full, full[1:]))
+    hashes = [xxhash.xxh3_64_intdigest(lines[k]) for k in full]
+    start = 0
+    for j in range(1, len(full)):
+        rolling = (hashes[j - 1] * 0x9E3779B97F4A7C15 + hashes[j]) & MASK
+        if (rolling >> 32) % DIVISOR == 0 or j == len(full) - 1:
+            if j - start > 1:
+                out.append((full[start], full[j]))
+            start = j + 1
+    return out
 
 
-def chunks_of(text: str) -> list[str]:
-    """Cuts the text after lines, so that a run of lines is cut alike wherever it stands; the pieces joined by line feeds
-    give the text again."""
-    lines = text.split("\n")
-    hashes = list(map(xxhash.xxh3_64_intdigest, lines))
-    out, start = [], 0
-    for k in range(len(lines)):
-        if k > start:
-            rolling = 0
-            for h in hashes[k - LINES + 1 : k + 1]:
-                rolling = (rolling * 0x9E3779B97F4A7C15 + h) & MASK
-            if (rolling >> 32) % DIVISOR == 0:
-                out.append("\n".join(lines[start : k + 1]))
-                start = k + 1
-    if start < len(lines):
-        out.append("\n".join(lines[start:]))
-    return out
+def body(lines: list[str], chunk: tuple[int, int]) -> str:
+    return "\n".join(lines[chunk[0] : chunk[1] + 1])
 
 
-def counts(chunk: str) -> bool:
-    """Only chunks of two lines with more than white space are compared."""
-    return sum(1 for line in chunk.split("\n") if line.strip()) >= 2
+def key_of(text: str) -> tuple[int, int]:
+    """128 bits of a text as two signed longs."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(text), ">i8").tolist()
+    return a, b
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def own_of(text: str) -> int:
+    return key_of(text)[0]
 
 
-def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows doc_id, text, n_chunks, n_removed: every text without the multi-line chunks that stand elsewhere too.
+def shorter(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int, int]:
+    """The text without its repeated chunks, its number of lines and how many went. known: the repeated chunks by key, and
+    whether the first of them is in this text."""
+    lines = text.split("\n")
+    gone, seen = set(), set()
+    for chunk in sorted(chunks_of(lines)):
+        key = key_of(body(lines, chunk))
+        first = known.get(key)
+        if first and key not in seen:
+            seen.add(key)
+        elif first is not None:
+            gone.update(range(chunk[0], chunk[1] + 1))
+    for k in sorted(gone):  # blank lines after a line that goes
+        while k + 1 < len(lines) and not lines[k + 1].strip():
+            k += 1
+            gone.add(k)
+    return "\n".join(line for k, line in enumerate(lines) if k not in gone), len(lines), len(gone)
+
 
-    Of equal chunks the one in the smallest doc_id stays, within it the first. Chunks with equal 64-bit hashes are taken
-    for equal only after their bytes are compared; if two texts share a hash, both stay everywhere. Single lines and
-    chunks with fewer than two lines that hold more than white space are never removed. Null text: comes back as the
-    empty text. Null ids count as larger than all others. Repeated rows with equal id and text are treated alike: a chunk
-    that only they share stays in each. Other columns are ignored.
+def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows doc_id, text, n_lines, n_removed: every text without the lines of multi-line chunks that stand elsewhere too.
+
+    Chunks are cut at two scales, by what the lines say and not by where they stand: runs between content-defined
+    boundaries (about DIVISOR lines), and every two neighbouring lines with more than white space, so that what surrounds
+    a repeated run of two lines or more doesn't hide its ends. Of equal chunks the first isn't removed: the one in the
+    smallest doc_id (of equal ids, the smallest hash of the text), within it the first; so the first occurrence of every
+    line stays. Chunks meet by a 128-bit hash and go only after their bytes are compared: where two different texts share
+    a hash, both stay everywhere. Single repeated lines stay. Blank lines after a removed line go with it.
+
+    Null text: comes back as the empty text. Null ids count as larger than all others. Repeated rows with equal id and text
+    are treated alike: a chunk that only they share stays in each. Very long texts take memory in proportion to their
+    length. An empty table gives no rows; other columns are ignored.
     """
     rows = id_and_text(docs, id_col, text_col)
+    names = ["doc_id", "own", "h1", "h2"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        numbers: list[tuple[int, int, int]] = []
 
-    def cut():
-        def work(ids, texts):
-            for i, t in zip(ids, texts, strict=True):
-                own = signed(xxhash.xxh3_64_intdigest(t))
-                for c in chunks_of(t):
-                    if counts(c):
-                        yield i, own, signed(xxhash.xxh3_64_intdigest(c)), c
-
-        return work
-
-    chunks = per_text(rows, "doc_id long, own long, chunk long, body string", cut)
-    first = F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("first_id")
-    same = chunks.groupBy("chunk", "body").agg(F.count("*").alias("n"), first)
-    repeated = staged(
-        same.groupBy("chunk").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.count("*").alias("bodies")).filter("n > 1 and bodies = 1").select("chunk", "first_id")
-    )
-    # The places need no bodies; they are cut anew, so that bodies are shuffled once only.
-    places = chunks.select("doc_id", "own", "chunk").join(repeated, "chunk")
-    actions = places.groupBy("doc_id", "own").agg(F.collect_set(F.struct("chunk", "first_id")).alias("actions"))
-    keyed = per_text(rows, "doc_id long, own long, text string", lambda: lambda ids, texts: ((i, signed(xxhash.xxh3_64_intdigest(t)), t) for i, t in zip(ids, texts, strict=True)))
-    joined = (
-        keyed.alias("d")
-        .join(actions.alias("a"), (F.col("d.own") == F.col("a.own")) & F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
-        .select("d.doc_id", "d.text", "a.actions")
-    )
-
-    def run(batches):
-        import pyarrow as pa
+        def made() -> pa.RecordBatch:
+            columns = np.array(numbers, np.int64).reshape(-1, 3)
+            out = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(columns[:, k]) for k in range(3))], names)
+            ids.clear()
+            numbers.clear()
+            return out
 
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for i, text, actions in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                first_of = {a["chunk"]: a["first_id"] for a in actions or ()}
-                pieces, kept, seen = chunks_of(text), [], set()
-                for c in pieces:
-                    h = signed(xxhash.xxh3_64_intdigest(c)) if first_of and counts(c) else None
-                    if h in first_of:
-                        if first_of[h] != (2**63 - 1 if i is None else i) or h in seen:
-                            continue
-                        seen.add(h)
-                    kept.append(c)
-                for column, value in zip(out, (i, "\n".join(kept), len(pieces), len(pieces) - len(kept)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["doc_id", "text", "n_chunks", "n_removed"])
-
-    return joined.mapInArrow(run, "doc_id long, text string, n_chunks long, n_removed long")
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if "\n" not in t:
+                    continue
+                lines, own = t.split("\n"), own_of(t)
+                for chunk in chunks_of(lines):
+                    ids.append(i)
+                    numbers.append((own, *key_of(body(lines, chunk))))
+                    if len(ids) >= ROWS:
+                        yield made()
+        if ids:
+            yield made()
+
+    chunks = rows.mapInArrow(cut, "doc_id long, own long, h1 long, h2 long")
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "own")
+    repeated = staged(chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").select("h1", "h2", "first"))
+    # keys are cut anew and joined with what repeats, so that only texts with repeats carry a list of these
+    met = chunks.join(repeated, ["h1", "h2"]).withColumn("is_first", place == F.col("first"))
+    known = met.groupBy("doc_id", "own").agg(F.collect_set(F.struct("h1", "h2", "is_first")).alias("known"))
+
+    def with_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array([own_of(t) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), own, batch.column(1)], ["doc_id", "own", "text"])
+
+    keyed = rows.mapInArrow(with_own, "doc_id long, own long, text string")
+    meets = (F.col("d.own") == F.col("k.own")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    texts = staged(keyed.alias("d").join(known.hint("merge").alias("k"), meets, "left").select("d.doc_id", "d.own", "d.text", "k.known"))
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, str]] = []
+            for t, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                wanted, lines = {(x["h1"], x["h2"]) for x in listed}, t.split("\n")
+                for text in {body(lines, c) for c in chunks_of(lines)}:
+                    if (key := key_of(text)) in wanted:
+                        out.append((*key, text))
+            a, b, c = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["h1", "h2", "body"])
+
+    compared = texts.filter("known is not null").select("text", "known").mapInArrow(bodies, "h1 long, h2 long, body string")
+    collided = staged(compared.groupBy("h1", "h2").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("h1", "h2"))
+    if not collided.isEmpty():
+        texts = without(texts, collided)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, listed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                out.append(shorter(text, {(x["h1"], x["h2"]): x["is_first"] for x in listed}) if listed else (text, text.count("\n") + 1, 0))
+            a, b, c = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+
+    return texts.select("doc_id", "text", "known").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long")
+
+
+def without(texts: DataFrame, collided: DataFrame) -> DataFrame:
+    """The texts with their lists less the keys that stand for different bodies."""
+    listed = texts.filter("known is not null").select("doc_id", "own", F.explode("known").alias("x")).select("doc_id", "own", "x.*").distinct()
+    left = listed.join(collided, ["h1", "h2"], "left_anti").groupBy("doc_id", "own").agg(F.collect_set(F.struct("h1", "h2", "is_first")).alias("known"))
+    meets = (F.col("d.own") == F.col("k.own")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
+    return texts.drop("known").alias("d").join(left.alias("k"), meets, "left").select("d.doc_id", "d.own", "d.text", "k.known")
