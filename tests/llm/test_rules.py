@@ -100,6 +100,54 @@ def test_leaks_of_one_edited_passage_in_many_documents(spark):
     assert all((r.start_word, r.end_word) == (30, 70) and r.score > 0.75 for r in got)
 
 
+def brute_score(item, words):
+    """The best local alignment's score by the whole table."""
+    table = [[0] * (len(words) + 1) for _ in range(len(item) + 1)]
+    for i, x in enumerate(item, 1):
+        for j, y in enumerate(words, 1):
+            table[i][j] = max(0, table[i - 1][j - 1] + (2 if x == y else -1), table[i - 1][j] - 1, table[i][j - 1] - 1)
+    return max(map(max, table))
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(28)
+    bench = [prose(rng, rng.randrange(8, 30), 300) for _ in range(8)]
+    bench += [["what", "is", "the", "name", "of", *prose(rng, 8, 300)] for _ in range(4)]
+    texts = []
+    for k in range(300):
+        words = prose(rng, rng.randrange(0, 40), 300)
+        item = [w if rng.random() > 0.12 else "changed" for w in bench[k % 12] if rng.random() > 0.04]
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = item * rng.choice([0, 1, 1, 2]) if k % 3 else item[: len(item) // 2]
+        texts.append(words)
+    want = {}
+    for i, words in enumerate(texts):
+        for k, item in enumerate(bench):
+            seeds = {tuple(item[a : a + 4]) for a in range(len(item) - 3)}
+            score = brute_score(item, words) / (2 * len(item))
+            if score >= 0.5 and any(tuple(words[a : a + 4]) in seeds for a in range(len(words) - 3)):
+                want[i, k] = score
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(bench)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in leaks(frame(spark, [" ".join(t) for t in texts]), table).collect()}
+    assert len(want) > 80 and set(got) == set(want)
+    for (i, k), r in got.items():
+        assert r.score == pytest.approx(want[i, k])
+        assert brute_score(bench[k], texts[i][r.start_word : r.end_word]) / (2 * len(bench[k])) == pytest.approx(r.score)
+
+
+def test_leaks_of_a_document_that_holds_an_item_very_often(spark):
+    from waymark.llm.decontamination import pieces
+
+    rng = random.Random(38)
+    item = prose(rng, 8)
+    text = " ".join([*prose(rng, 30), *(item * 100_000)])
+    got = leaks(frame(spark, [text]), spark.createDataFrame([(1, ", ".join(item))], "item_id long, text string")).collect()
+    assert [(r.score, r.start_word, r.end_word) for r in got] == [(1.0, 30, 38)]
+    cut = list(pieces(5, 900_000, 100, 0.5))
+    assert cut[0][0] == 5 and cut[-1][1] == 900_000 and max(b - a for a, b in cut) < 5000
+    assert all(y[0] <= x[1] - 201 for x, y in zip(cut, cut[1:]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/x">X</a><li>Y</ul></nav><div class="ad">Buy</div><!-- c > -->
 <article><h1>H&amp;{n}</h1><p>One <b>two
