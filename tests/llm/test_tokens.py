@@ -101,3 +101,24 @@ def test_token_operators_take_odd_and_empty_tables(spark):
         assert f(empty_frame(spark)).count() == 0
     assert pack_tokens(spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, text string"), RANKS, size=8).count() == 1
     assert pack_tokens(spark.createDataFrame([], DOCS), RANKS, size=8).count() == 0
+
+
+def test_very_long_white_space_is_packed(spark):
+    library = Tokenizer.from_str(VOCABULARY)
+    blank = " " * 30_000
+    texts = [blank, f"a{blank}b", f"a{blank}\n", f"{blank}\nx\u00a0{blank}'s {blank}1", f"\x1c{blank}\x1c y" + "\n " * 20_000]
+    ids = {}
+    for r in pack_tokens(frame(spark, texts), RANKS).collect():
+        for k, (doc, part) in enumerate(zip(r.doc_ids, r.parts, strict=True)):
+            ids[doc, part] = r.ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]]
+    for i, t in enumerate(texts):
+        got = [x for part in range(len([k for k in ids if k[0] == i])) for x in ids[i, part]]
+        assert got == library.encode(t, add_special_tokens=False).ids
+    wide = spark.range(1).selectExpr("id AS doc_id", "concat(repeat(' ', 10000000), 'x') AS text")
+    assert sum(r.n_tokens for r in pack_tokens(wide, RANKS).select("n_tokens").collect()) == 10_000_000
+
+
+def test_packs_of_dealt_blocks_depend_on_the_rows_alone(spark):
+    texts = corpus(spark)
+    packs = [sorted(map(str, pack_tokens(frame(spark, texts).repartition(n), RANKS, blocks=2).collect())) for n in (1, 5)]
+    assert packs[0] == packs[1]

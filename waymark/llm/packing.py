@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.llm.bpe import PRE_TOKENS
 from waymark.llm.common import id_and_text
@@ -30,6 +32,24 @@ def encoding(ranks: bytes, pattern: str):
     return ENCODINGS[key]
 
 
+#: White space as the pattern's engine knows it, in runs longer than that engine can take.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
+def encode_all(text: str, enc) -> list[int]:
+    """The text's ids. The pattern takes a run of white space but its last character, if text follows, as one pre-token;
+    very long runs are cut out by this rule and merged apart, as the pattern's engine fails on them."""
+    if len(text) < 20_000 or not LONG_BLANK.search(text):
+        return enc.encode_ordinary(text)
+    out, done = [], 0
+    for m in LONG_BLANK.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += enc.encode_ordinary(text[done : m.start()])
+        out += enc._encode_single_piece(text[m.start() : end].encode())
+        done = end
+    return out + enc.encode_ordinary(text[done:])
+
+
 class Capacities:
     """A segment tree with a leaf for each free capacity 0..size; a node tells whether any row below it has that much."""
 
@@ -76,7 +96,7 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def pack_tokens(
-    docs: DataFrame, ranks: bytes, pattern: str = PRE_TOKENS, size: int = 2048, pad: int = 0, block_tokens: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, ranks: bytes, pattern: str = PRE_TOKENS, size: int = 2048, pad: int = 0, block_tokens: int = 4_000_000, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Packs the token ids of every whole text into rows of ``size`` ids.
 
@@ -88,7 +108,10 @@ def pack_tokens(
     each; a null id stays null; other columns are ignored.
 
     Packing is best-fit-decreasing over blocks of ``block_tokens`` tokens of a partition: no shuffle, and memory is bounded
-    by the block whatever the input's size. A text is never cut at a block's end.
+    by the block whatever the input's size. A text is never cut at a block's end. Which texts share a row then depends on
+    how the input lies in partitions; with ``blocks`` the texts are first dealt to so many partitions by their hash and
+    ordered by id and hash, so that the packs depend on the rows alone. Texts of any length and any run of white space are
+    taken; an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # as large as the vocabulary
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -134,11 +157,11 @@ def pack_tokens(
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(*shipped.value).encode_ordinary
+        enc = encoding(*shipped.value)
         block, held, first = [], 0, TaskContext.get().partitionId() << 33
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = np.array(encode(text), np.int32)
+                tokens = np.array(encode_all(text, enc), np.int32)
                 block += [(doc, k, tokens[s : s + size]) for k, s in enumerate(range(0, len(tokens), size))]
                 held += len(tokens)
                 if held >= block_tokens:
@@ -149,7 +172,11 @@ def pack_tokens(
         if block:
             yield from packed(block, first)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    rows = id_and_text(docs, id_col, text_col)
+    if blocks:
+        own = F.xxhash64("text", "doc_id")
+        rows = rows.repartition(blocks, own).sortWithinPartitions("doc_id", own)
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def write_packed(packs: DataFrame, path: str) -> None:
