@@ -38,7 +38,8 @@ class PieceEncoder:
         self.ids = {p: i for i, p in enumerate(names) if p in self.costs}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(names) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
-        self.disagreed = 0
+        self.differ: set[str] = set()
+        self.differing: list[int] = []
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
 
@@ -76,7 +77,7 @@ class PieceEncoder:
         for c, theirs in zip(new, self.by_library(new) if new else (), strict=True):
             ours = self.by_agenda(c)
             if list(ours) != theirs:
-                self.disagreed += 1
+                self.differ.add(c)
                 ours = tuple(theirs)
             young[c] = ours
 
@@ -86,6 +87,7 @@ class PieceEncoder:
         self.learn(chunks)
         get = self.young.__getitem__
         out = [list(chain.from_iterable(map(get, c))) for c in cut]
+        self.differing = [len(self.differ.intersection(c)) for c in cut] if self.differ else [0] * len(cut)
         for c in [c for c in chunks if len(c) > LONG]:
             del self.young[c]
         return out
@@ -125,8 +127,8 @@ def encode_pieces(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
 def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As encode_pieces, but with n_tokens and digests in place of the ids and the text.
 
-    Rows doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, n_disagreed (chunks of the
-    worker so far on which agenda and library differed; 0 in every test).
+    Rows doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256, n_disagreed (the
+    text's different chunks on which agenda and library differ; 0 in every test).
     """
 
     def make():
@@ -134,9 +136,9 @@ def piece_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_co
         sha, decimal = hashlib.sha256, [str(i) for i in range(enc.library.get_piece_size())].__getitem__
 
         def work(ids, texts):
-            for i, tokens in zip(ids, enc.encode(texts), strict=True):
+            for i, tokens, differing in zip(ids, enc.encode(texts), enc.differing, strict=True):
                 decoded = enc.library.decode(tokens) if tokens else ""
-                yield i, len(tokens), sha(",".join(map(decimal, tokens)).encode()).hexdigest(), sha(decoded.encode()).hexdigest(), enc.disagreed
+                yield i, len(tokens), sha(",".join(map(decimal, tokens)).encode()).hexdigest(), sha(decoded.encode()).hexdigest(), differing
 
         return work
 
