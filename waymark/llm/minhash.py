@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import id_and_text, per_text, staged
@@ -147,8 +147,9 @@ def reachable(rows: DataFrame, bodies: DataFrame, words: int, percent: int, most
         reach = staged(shared.select("key", "n", (F.floor(F.col("shared") * (100 + percent) / percent) - F.col("n")).alias("reach")))
         live = rows.select("band", "key", "root").join(reach, "key")
         least = live.groupBy("band", "root").agg(F.min("n").alias("m"))
-        order = Window.partitionBy("band").orderBy("m", "root")
-        least = least.withColumns({"k": F.row_number().over(order), "after": F.lead("m").over(order)}).filter("k = 1").select("band", F.col("root").alias("least_root"), "m", "after")
+        smallest = least.groupBy("band").agg(F.min(F.struct("m", "root")).alias("x")).select("band", F.col("x.root").alias("least_root"), "x.m")
+        after = least.join(smallest.select("band", "least_root"), "band").filter("root <> least_root").groupBy("band").agg(F.min("m").alias("after"))
+        least = smallest.join(after, "band")
         live = live.join(least, "band").filter("reach >= CASE WHEN root = least_root THEN after ELSE m END")
         several = live.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
         rows = staged(live.join(several, "band").select("band", "key", "root", "n", "reach"))
@@ -158,23 +159,35 @@ def reachable(rows: DataFrame, bodies: DataFrame, words: int, percent: int, most
     return rows
 
 
-def across(left: DataFrame, bodies: DataFrame, words: int, percent: int, block: int) -> DataFrame:
+def across(left: DataFrame, bodies: DataFrame, words: int, percent: int, block: int, part: int = 4096) -> DataFrame:
     """The links (a, b) between components of each cluster of touching buckets, found on full sets.
 
     The texts outside a cluster's largest component are its queries. A task holds the shingles of one block of queries as
-    an index, and streams the cluster's texts past it: one look-up of a text's shingles counts what it shares with all of
-    the block. No pair is made unless it is a link.
+    an index, and streams one part of the cluster's texts past it: one look-up of a text's shingles counts what it shares
+    with all of the block. No pair is made unless it is a link. Blocks (``block`` texts or two million shingles) and parts
+    (``part`` texts) are dealt by hash, so that no task sorts or holds a whole cluster; sets are sent, not texts.
     """
     touching = left.join(left.groupBy("band").agg(F.min("key").alias("v")), "band").select(F.col("key").alias("u"), "v")
     cluster = components(touching).select(F.col("node").alias("key"), F.col("root").alias("cluster"))
-    each = left.select("key", "root").distinct().join(cluster, "key")
-    main = each.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("m")).select("cluster", F.col("m.root").alias("main"))
-    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("key")) - 1
-    queries = staged(each.join(main, "cluster").filter("root <> main").select("cluster", "key", "root", F.floor(rank / block).cast("int").alias("block")))
-    blocks = queries.groupBy("cluster").agg(F.max("block").alias("last")).select("cluster", F.explode(F.sequence(F.lit(0), "last")).alias("block"))
-    targets = each.join(blocks, "cluster").select("cluster", "block", F.lit(1).alias("is_target"), "key", "root")
-    both = queries.select("cluster", "block", F.lit(0).alias("is_target"), "key", "root").union(targets).join(bodies, "key")
-    dealt = both.select("cluster", "block", "is_target", "key", "root", "text").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "is_target")
+    each = staged(left.select("key", "root", "n").distinct().join(cluster, "key"))
+    by_root = each.groupBy("cluster", "root").agg(F.count("*").alias("texts"), F.sum("n").alias("grams"))
+    main = by_root.groupBy("cluster").agg(F.max(F.struct("texts", "root", "grams")).alias("m"), F.sum("texts").alias("texts"), F.sum("grams").alias("grams"))
+    blocks = F.greatest(F.ceil((F.col("texts") - F.col("m.texts")) / block), F.ceil((F.col("grams") - F.col("m.grams")) / 2_000_000))
+    dealing = staged(main.filter("texts > m.texts").select("cluster", F.col("m.root").alias("main"), blocks.cast("int").alias("blocks"), F.ceil(F.col("texts") / part).cast("int").alias("parts")))
+    known = each.join(dealing, "cluster").withColumn("hash", F.xxhash64("key"))
+    number = lambda n: F.pmod("hash", n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = known.filter("root <> main").select("cluster", number(F.col("blocks")).alias("block"), every("parts").alias("part"), F.lit(0).alias("is_target"), "key", "root")
+    targets = known.select("cluster", every("blocks").alias("block"), number(F.col("parts")).alias("part"), F.lit(1).alias("is_target"), "key", "root")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(shingles(words_of(t), words)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["key", "grams"])
+
+    held = staged(bodies.join(known.select("key").distinct(), "key").select("key", "text").mapInArrow(sets, "key binary, grams binary"))
+    dealt = queries.union(targets).join(held, "key").select("cluster", "block", "part", "is_target", "key", "root", "grams")
+    dealt = dealt.repartition("cluster", "block", "part").sortWithinPartitions("cluster", "block", "part", "is_target")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, index = None, None
@@ -183,15 +196,17 @@ def across(left: DataFrame, bodies: DataFrame, words: int, percent: int, block:
         sets: list[np.ndarray] = []
         for batch in batches:
             a, b = [], []
-            for cluster, number, is_target, key, root, text in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if group != (cluster, number):
-                    group, index, keys, roots, sets = (cluster, number), None, [], [], []
-                own = np.unique(shingles(words_of(text), words))
+            for cluster, number, part, is_target, key, root, grams in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if group != (cluster, number, part):
+                    group, index, keys, roots, sets = (cluster, number, part), None, [], [], []
+                own = np.frombuffer(grams, np.uint64)
                 if not is_target:
                     keys.append(key)
                     roots.append(root)
                     sets.append(own)
                     continue
+                if not sets:
+                    continue
                 if index is None:
                     index = Postings(sets)
                 shared = index.shared(own)
