@@ -62,6 +62,57 @@ def test_tree_windows_cover_every_stretch_once():
             assert fits == [i + int(h[i : j + 1].argmin())]
 
 
+def test_windows_of_repetitive_texts():
+    import time
+
+    import numpy as np
+    from waymark.llm.compact_windows import windows_of
+    from waymark.llm.texts import shingles
+
+    began = time.perf_counter()
+    for text in (["x"] * 1_000_000, ["x", "y", "z"] * 300_000, [f"w{k % 977}" for k in range(500_000)]):
+        keys, _ = windows_of(shingles([w.encode() for w in text], 5), 46)
+        assert len(np.unique(keys)) == len(keys) <= 5 * 977
+    assert time.perf_counter() - began < 20
+
+
+def exact_links(texts, n):
+    """Pairs of texts that share n words in a row, by all pairs."""
+    runs = [{tuple(w[k : k + n]) for k in range(len(w) - n + 1)} for w in map(str.split, texts)]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if runs[i] & runs[j]]
+
+
+def test_repeated_passages_keep_the_links_of_all_pairs(spark):
+    rng = random.Random(25)
+    passages = [prose(rng, rng.randrange(50, 90), 10**6) for _ in range(40)]
+    phrases = [prose(rng, 20, 10**6) for _ in range(3)]
+    texts = []
+    for k in range(300):
+        words = prose(rng, rng.randrange(30, 150), 10**6)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice(passages)
+        at = rng.randrange(len(words) + 1)
+        words[at:at] = rng.choice(phrases)
+        texts.append(" ".join(words))
+    want = exact_links(texts, 50)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in want:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    got = {r.doc_id: r.class_id for r in repeated_passages(frame(spark, texts)).collect()}
+    linked = {i for pair in want for i in pair}
+    assert len(want) > 300 and len(set(got) - linked) <= 3
+    kept = sum(i in got and got[i] == got.get(j) for i, j in want)
+    print("documents", len(linked & set(got)), len(linked), "links", kept, len(want))
+    assert len(linked & set(got)) >= 0.98 * len(linked) and kept >= 0.98 * len(want)
+
+
 def test_repeated_passages_finds_planted_and_leaves_clean(spark):
     rng = random.Random(5)
     texts, planted = [], set()
@@ -121,7 +172,7 @@ def test_texts_held_only_under_null_ids_are_compared(spark):
     shared = prose(rng, 400)
     texts = [" ".join(shared + prose(rng, 20)), " ".join(prose(rng, 20) + shared)]
     docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
-    assert [tuple(r)[:3] for r in repeated_passages(docs).collect()] == [(None, None, 1)] * 2
+    assert [tuple(r)[:2] for r in repeated_passages(docs).collect()] == [(None, None)] * 2
     named = spark.createDataFrame([(None, texts[0]), (3, texts[1])], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in near_duplicates(named).collect()} == {(None, 3), (3, 3)}
 
