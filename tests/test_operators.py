@@ -137,3 +137,93 @@ def test_poor_direction(spark, places, poor):
     rows = [(0.0, 1 + p / DEGREE) for p in places]
     df = spark.createDataFrame([(rows,)], "p array<struct<lat: double, lon: double>>")
     assert df.select(diagnostics.poor_direction(F.col("p"))).first()[0] is poor
+
+
+def test_motion_profile_takes_lower_ranks_and_shares(spark):
+    m, rows, lon, t = 1 / DEGREE, [(0, 1.0, 1, 0, 0)], 1.0, 0
+    for v in [3] * 4 + [7] * 4 + [11] * 4:
+        lon, t = lon + 10 * v * m, t + 10
+        rows.append((0, lon, 1, t, 0))
+    r = cleaning.motion_profile(track(spark, rows)).first()
+    assert (r.n, r.median_mps, r.p75_mps, r.p90_mps, r.slow_share, r.moderate_share) == (12, 7.0, 11.0, 11.0, 0.67, 0.33) and r.profile == "fast"
+    rows = rows[:6] + [(0, rows[5][1] + k * 20 * m, 1, rows[5][3] + 10 * k, 0) for k in range(1, 7)]
+    assert cleaning.motion_profile(track(spark, rows)).first().profile == "slow"
+
+
+def test_fix_quality_limits(spark):
+    df = spark.createDataFrame([(7.0, 1.0, 1.0, "3d"), (8.5, 1.0, 1.0, "3d"), (1.0, 6.5, 1.0, "2d"), (1.0, 1.0, 8.0, "3d"), (1.0, 1.0, 8.5, None), (None, None, None, " Unknown ")], "vdop double, pdop double, hdop double, fix string")
+    assert [(r.rejected, r.warned) for r in cleaning.with_fix_quality(df).collect()] == [(False, False), (True, False), (True, False), (False, True), (True, True), (True, False)]
+
+
+def test_a_flip_is_tested_against_the_point_kept_last(spark):
+    m = 1 / DEGREE
+    rows = [(0, 1, 1, 0, 0), (91, 1, 1, 1, 0), (0, 1 + 7 * m, 1, 3, 0), (0, 1 + 1 * m, 1, 6, 0), (0, 1 + 6 * m, 1, 20, 0)]
+    got = [r.reason for r in cleaning.clean(track(spark, rows)).orderBy("seq").collect()]
+    assert got == [None, "invalid_coordinates", "heading_flip_jitter", None, None]
+
+
+def brute_jitter(rows):
+    """Pairs of (lat, lon, second) rows at the equator that shake around a moving anchor."""
+    flags, anchor = [False], rows[0]
+    for a, b in zip(rows, rows[1:]):
+        far = lambda p, q: ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 * DEGREE
+        shakes = 0 < far(a, b) and far(a, b) / (b[2] - a[2]) * 3.6 <= 0.9 and far(anchor, b) <= 5
+        flags.append(shakes)
+        anchor = anchor if shakes else b
+    return flags
+
+
+def test_jitter_equals_a_plain_loop_and_a_long_track_passes(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    lon, rows = 1.0, []
+    for k in range(600):
+        lon += rng.choice([0.1, -0.1, 0.2, 0, 6]) / DEGREE * (rng.random() < 0.9)
+        rows.append((0.0, lon, 2 * k))
+    got = continuity.with_jitter(continuity.with_gaps(track(spark, [(a, b, 1, t, 0) for a, b, t in rows]))).orderBy("seq").collect()
+    assert [r.is_jitter for r in got] == brute_jitter(rows) and 50 < sum(r.is_jitter for r in got) < 550
+    long = spark.range(300_000).selectExpr("'t' AS track_id", "int(id + 1) AS seq", "id * 1000 AS ts_ms", "0D AS lat", "1 + id % 2 * 1e-6 AS lon", "1D AS ele", "0 AS segment")
+    began = time.perf_counter()
+    assert continuity.with_jitter(continuity.with_gaps(long)).filter("is_jitter").count() == 299_999
+    assert series.reliable_speed(series.raw_speed(long)).count() == 299_999
+    assert time.perf_counter() - began < 90
+
+
+def test_analysis_leaves_jitter_out_and_takes_the_timer(spark):
+    m = 1 / DEGREE
+    rows = [(0, 1 + k * 3 * m, 1, 2 * k, 0) for k in range(30)]
+    rows += [(0, rows[29][1] + (k % 2) * 0.3 * m, 1, 58 + 2 * k, 0) for k in range(1, 61)]
+    events = spark.createDataFrame([("t", T0, "start"), ("t", T0 + 40_000, "stop")], "track_id string, ts_ms long, action string")
+    plain, timed = (analyse(track(spark, rows), e)["summary"].first() for e in (None, events))
+    assert plain.n_route_jitter >= 50  # the first pairs lie in windows of slow progress
+    assert 87 <= plain.total_distance_m < 91 and plain.moving_s < 80 and plain.moving_source == "hysteresis"
+    assert (timed.moving_source, timed.moving_s) == ("timer_events", 40.0) and timed.moving_m == pytest.approx(60, abs=0.5)
+    assert timed.moving_kmh == pytest.approx(timed.moving_m / 40 * 3.6)
+
+
+def test_the_fastest_speed_is_a_reliable_one(spark):
+    m = 1 / DEGREE
+    rows = [(0, 1 + k * 6 * m, 1, 6 * k, 0) for k in range(20)]
+    rows.append((0, rows[-1][1] + 66 * m, 1, rows[-1][3] + 6, 0))
+    from waymark.plans.summary import track_summary
+
+    s = track_summary(track(spark, rows)).first()
+    assert s.max_kmh == pytest.approx(3.6, abs=0.01) == series.reliable_speed(series.raw_speed(track(spark, rows))).agg({"kmh": "max"}).first()[0]
+
+
+def test_overlaps_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def cut(n):
+        t = sorted(rng.sample(range(1000), 2 * n))
+        return [(t[2 * k], t[2 * k + 1]) for k in range(n)] + [(t[-1], t[-1] + 7)]
+
+    a, b = cut(30), cut(40)
+    left = spark.createDataFrame([("t", *x) for x in a], "track_id string, start_ms long, end_ms long")
+    right = spark.createDataFrame([("t", *x) for x in b] + [("u", 1, 2)], "track_id string, lo_ms long, hi_ms long")
+    want = sorted((max(p, r), min(q, s)) for p, q in a for r, s in b if max(p, r) < min(q, s))
+    assert sorted((r.start_ms, r.end_ms) for r in moving.clip_intervals(left, right).collect()) == want

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -29,3 +29,16 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(here.rglob("*.py")):
             z.write(f, f.relative_to(here.parent))
     sc.addPyFile(str(target))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir, with its partitioning and without its lineage: what several plans
+    read is computed once, and their own plans stay small. Without such a folder a temporary one is taken on a local
+    master; on a cluster that is an error, as its machines share no disk."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

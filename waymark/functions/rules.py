@@ -38,11 +38,21 @@ def reason(last, p, after) -> str | None:
         return "duplicate_points"
     if same and timed and p.ts_ms <= last.ts_ms:
         return "time_order"
-    if p.is_flip and last.Index == p.Index - 1:
+    if after is not None and is_flip(last, p, after):
         return "heading_flip_jitter"
     return None
 
 
+def is_flip(last, p, after) -> bool:
+    """There and back: two legs of 5 to 10 m in up to 5 s each, ends 5 m apart at most, a turn of 120 degrees or more."""
+    if missing(after.lat) or missing(after.lon) or not (-90 <= after.lat <= 90 and -180 <= after.lon <= 180) or not last.segment == p.segment == after.segment:
+        return False
+    if missing(last.ts_ms) or missing(p.ts_ms) or missing(after.ts_ms):
+        return False
+    near = 0 < p.ts_ms - last.ts_ms <= 5000 and 0 < after.ts_ms - p.ts_ms <= 5000 and 5 <= metres(last, p) <= 10 and 5 <= metres(p, after) <= 10
+    return near and metres(last, after) <= 5 and turn(last, p, after) >= 120
+
+
 def speed(a, b) -> float | None:
     """m/s from a to b within a segment; null without time between them."""
     if a.segment != b.segment or missing(a.ts_ms) or missing(b.ts_ms) or b.ts_ms <= a.ts_ms:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import ship
@@ -27,24 +27,26 @@ def with_fix_quality(points: DataFrame) -> DataFrame:
         weak.append(F.col("satellites") < 4)
     if "hdop" in has:
         weak.append(F.col("hdop") > 5)
-    bad += [F.col(c) > most for c, most in (("pdop", 6), ("hdop", 8), ("vdop", 6)) if c in has]
+    bad += [F.col(c) > most for c, most in (("pdop", 6), ("hdop", 8), ("vdop", 8)) if c in has]
     any_of = lambda tests: F.coalesce(F.array_contains(F.array(*(F.coalesce(t, F.lit(False)) for t in tests)), True), F.lit(False)) if tests else F.lit(False)
     return points.withColumns({"rejected": any_of(bad), "warned": any_of(weak)})
 
 
 def motion_profile(points: DataFrame) -> DataFrame:
-    """Rows track_id, n, median_mps, p75_mps, p90_mps, fast_share, profile, ceiling_mps, from the speeds of raw pairs within
-    0.3 to 50 m/s. Signals are rounded to two digits before they are compared; fewer than five speeds are unknown."""
+    """Rows track_id, n, median_mps, p75_mps, p90_mps (lower rank), slow_share, moderate_share, fast_share (of speeds above
+    these ceilings), profile, ceiling_mps, from the speeds of raw pairs within 0.3 to 50 m/s. Signals are rounded to two
+    digits before they are compared; fewer than five speeds are unknown."""
     mps = F.try_divide("metres", "dt")
     speeds = with_pairs(points.filter(valid(F.col("lat"), F.col("lon")))).filter("same_segment and dt > 0").select("track_id", mps.alias("v")).filter("v between 0.3 and 50")
-    rows = speeds.groupBy("track_id").agg(
-        F.count("*").alias("n"),
-        *(half_up(F.percentile("v", F.lit(p)), 2).alias(name) for name, p in (("median_mps", 0.5), ("p75_mps", 0.75), ("p90_mps", 0.9))),
-        half_up(F.avg((F.col("v") > CEILINGS["slow"]).cast("int")), 2).alias("fast_share"),
-    )
-    slow = (F.col("median_mps") <= 2.2) & (F.col("p75_mps") <= 3.2) & (F.col("fast_share") <= 0.25)
-    moderate = (F.col("median_mps") <= 4.5) & (F.col("p75_mps") <= 7.5) & (F.col("p90_mps") <= 10)
-    fast = (F.col("median_mps") <= 12) & (F.col("p75_mps") <= 20) & (F.col("p90_mps") <= 25)
+    shares = [half_up(F.avg((F.col("v") > CEILINGS[k]).cast("int")), 2).alias(f"{k}_share") for k in ("slow", "moderate", "fast")]
+    rows = speeds.groupBy("track_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("v")).alias("v"), *shares)
+    ranks = (("median_mps", 0.5), ("p75_mps", 0.75), ("p90_mps", 0.9))
+    rows = rows.select("track_id", "n", *(half_up(F.get("v", F.floor((F.col("n") - 1) * p).cast("int")), 2).alias(name) for name, p in ranks), "slow_share", "moderate_share", "fast_share")
+
+    def within(kind: str, median: float, p75: float) -> Column:
+        return (F.col("median_mps") <= median) & (F.col("p75_mps") <= p75) & (F.col(f"{kind}_share") <= 0.25)
+
+    slow, moderate, fast = within("slow", 2.2, 3.2), within("moderate", 4.5, 7.5), within("fast", 12, 20)
     profile = F.when(F.col("n") < 5, "unknown").when(slow, "slow").when(moderate, "moderate").when(fast, "fast").otherwise("unknown")
     return rows.withColumn("profile", profile).withColumn("ceiling_mps", F.create_map(*(F.lit(x) for kv in CEILINGS.items() for x in kv))[F.col("profile")])
 
@@ -111,7 +113,7 @@ def clean(points: DataFrame) -> DataFrame:
         track = track.sort_values("seq", ignore_index=True)
         return track[keep].assign(reason=reasons(list(track.itertuples())))
 
-    checked = rows.filter("_check").select(*keep, "rejected", "is_flip", "ceiling_mps").groupBy("track_id").applyInPandas(fold, schema)
+    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps").groupBy("track_id").applyInPandas(fold, schema)
     return passed.unionByName(checked)
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from waymark import ship
 from waymark.functions.geo import distance
+from waymark.functions.rules import metres
+
+Place = namedtuple("Place", ("lat", "lon"))
+
 
 def in_order() -> WindowSpec:
     """A track's points in order."""
@@ -53,8 +61,10 @@ def with_gaps(points: DataFrame) -> DataFrame:
 
 
 def with_bridges(gapped: DataFrame, on_kmh: float = 1.5, most_kmh: float = 180.0) -> DataFrame:
-    """is_bridge: a gap of a sparse track (median interval above 15 s) that was crossed at a moving speed."""
+    """is_bridge: a gap of a sparse track (median interval above 15 s) that was crossed at a moving speed: ``on_kmh``, or the
+    column of that name, or more."""
     kmh = F.try_divide("metres", "dt") * 3.6
+    on_kmh = F.col("on_kmh") if "on_kmh" in gapped.columns else F.lit(on_kmh)
     return gapped.withColumn("is_bridge", F.coalesce(F.col("is_gap") & (F.col("median_gap_s") > 15) & kmh.between(on_kmh, most_kmh), F.lit(False)))
 
 
@@ -110,22 +120,34 @@ def span_metres(points: DataFrame) -> DataFrame:
 
 
 def with_jitter(gapped: DataFrame, most_kmh: float = 0.9, radius_m: float = 5.0) -> DataFrame:
-    """is_jitter: a pair slower than ``most_kmh`` that stays within ``radius_m`` of an anchor. The anchor is the last point
-    that wasn't jitter; a segment change or gap sets it anew. A fold over one track's points, kept in the JVM."""
-    rows = F.sort_array(F.collect_list(F.struct("seq", "lat", "lon", "dt", "metres", (~F.coalesce("same_segment", F.lit(False)) | F.col("is_gap")).alias("cut"))))
-    start = F.struct(F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.array().cast("array<bigint>").alias("jitter"))
-
-    def step(acc, p):
-        near = distance(acc["lat"], acc["lon"], p["lat"], p["lon"]) <= radius_m
-        shakes = F.coalesce(~p["cut"] & (p["dt"] > 0) & (p["metres"] > 0) & near & (F.try_divide(p["metres"], p["dt"]) * 3.6 <= most_kmh), F.lit(False))
-        return F.struct(
-            F.when(shakes, acc["lat"]).otherwise(p["lat"]).alias("lat"),
-            F.when(shakes, acc["lon"]).otherwise(p["lon"]).alias("lon"),
-            F.when(shakes, F.concat(acc["jitter"], F.array(p["seq"].cast("bigint")))).otherwise(acc["jitter"]).alias("jitter"),
-        )
-
-    found = gapped.groupBy("track_id").agg(F.aggregate(rows, start, step)["jitter"].alias("j")).select("track_id", F.explode("j").alias("seq"))
-    return gapped.join(found.withColumn("is_jitter", F.lit(True)), ["track_id", "seq"], "left").withColumn("is_jitter", F.coalesce("is_jitter", F.lit(False)))
+    """is_jitter: a pair slower than ``most_kmh`` that stays within ``radius_m`` of an anchor, unless the column
+    is_slow_progress, where there is one, is true. The anchor is the last point that wasn't jitter; a segment change or gap
+    sets it anew.
+
+    Only pairs that are slow enough can be jitter, so the anchor is carried through stretches of these alone: the rest
+    passes by without Python, and a stretch costs time in proportion to its length.
+    """
+    slow = F.coalesce("same_segment", F.lit(False)) & ~F.col("is_gap") & (F.col("dt") > 0) & (F.col("metres") > 0) & (F.try_divide("metres", "dt") * 3.6 <= most_kmh)
+    if "is_slow_progress" in gapped.columns:
+        slow = slow & ~F.coalesce("is_slow_progress", F.lit(False))
+    rows = gapped.withColumn("_slow", F.coalesce(slow, F.lit(False)))
+    rows = rows.withColumn("_stretch", F.sum(F.when(F.col("_slow"), 0).otherwise(1)).over(in_order()))
+    rows = rows.withColumn("_any", F.max("_slow").over(Window.partitionBy("track_id", "_stretch")))
+    rest = rows.filter("not _any").drop("_slow", "_stretch", "_any").withColumn("is_jitter", F.lit(False))
+    names = list(gapped.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in gapped.schema) + ", is_jitter boolean"
+
+    def fold(stretch: pd.DataFrame) -> pd.DataFrame:
+        stretch = stretch.sort_values("seq", ignore_index=True)
+        points = [Place(*x) for x in zip(stretch["lat"].tolist(), stretch["lon"].tolist(), strict=True)]
+        anchor, flags = points[0], [False]  # a stretch begins with the pair before it, which isn't slow
+        for p in points[1:]:
+            flags.append(metres(anchor, p) <= radius_m)
+            anchor = anchor if flags[-1] else p
+        return stretch[names].assign(is_jitter=flags)
+
+    ship(gapped.sparkSession)
+    return rest.unionByName(rows.filter("_any").drop("_slow", "_any").groupBy("track_id", "_stretch").applyInPandas(fold, schema))
 
 
 def with_route_jitter(jittered: DataFrame) -> DataFrame:

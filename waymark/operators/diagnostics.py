@@ -63,15 +63,10 @@ def activity_candidates(points: DataFrame) -> DataFrame:
 
 
 def base_threshold(points: DataFrame) -> DataFrame:
-    """Rows track_id, activity, ele_source, base_m: the activity's least turn; for a noisy gpx track that isn't on water it
-    grows with the ratio of change to range, from 3 m at 12 to 18 m at most."""
-    trust = elevation.source_trust(points)
-    primary = elevation.primary_source(trust).select("track_id", "ele_source")
-    rows = elevation.activity(points).select("track_id", "activity").join(primary, "track_id").join(trust.select("track_id", "ele_source", "noisy", "change_ratio"), ["track_id", "ele_source"])
-    default = F.create_map(*(x for k, v in elevation.ACTIVITIES.items() for x in (F.lit(k), F.lit(float(v[1])))))[F.col("activity")]
-    noisy = F.least(F.lit(18.0), 3 + 0.33 * F.greatest(F.lit(0.0), F.col("change_ratio") - 12))
-    raised = (F.col("activity") != "water") & (F.col("ele_source") == "gpx") & F.col("noisy") & F.col("change_ratio").isNotNull()
-    return rows.select("track_id", "activity", "ele_source", F.when(raised, F.greatest(default, noisy)).otherwise(default).alias("base_m"))
+    """Rows track_id, activity, ele_source, base_m: the least turn that counts, of tracks with a trusted source."""
+    primary = elevation.primary_source(elevation.source_trust(points)).select("track_id", "ele_source")
+    rows = elevation.activity(points).select("track_id", "activity").join(primary, "track_id")
+    return rows.join(elevation.defaults(points).select("track_id", "base_m"), "track_id").select("track_id", "activity", "ele_source", "base_m")
 
 
 def endpoint_spikes(samples: DataFrame, column: str = "ele") -> DataFrame:
@@ -162,10 +157,13 @@ def slow_progress(points: DataFrame, on_kmh: float = 1.5) -> DataFrame:
     )
     frame = Window.partitionBy("track_id", "cont_segment").orderBy("t").rangeBetween(-150_000, 150_000)
     point = F.when(F.col("is_centre") == 0, F.struct("t", "seq", "lat", "lon"))
-    seen = marks.withColumns({"a": F.min(point).over(frame), "b": F.max(point).over(frame), "n": F.count(point).over(frame), "all": F.array_sort(F.collect_list(point).over(frame))}).filter("is_centre = 1")
     seconds, net = (F.col("b.t") - F.col("a.t")) / 1000, distance(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    seen = seen.withColumns({"seconds": seconds, "net": net}).filter("n >= 5 and seconds >= 120").withColumn("kmh", F.col("net") / F.col("seconds") * 3.6)
-    steady = seen.filter((F.col("kmh") <= on_kmh) & ((F.col("kmh") >= 0.5) | ((F.col("kmh") >= 0.15) & (F.col("net") >= 12)))).filter(~poor_direction(F.col("all")))
+    kmh = F.try_divide("net", "seconds") * 3.6
+    slow = (F.col("is_centre") == 1) & (F.col("n") >= 5) & (F.col("seconds") >= 120) & (kmh <= on_kmh) & ((kmh >= 0.5) | ((kmh >= 0.15) & (F.col("net") >= 12)))
+    seen = marks.withColumns({"a": F.min(point).over(frame), "b": F.max(point).over(frame), "n": F.count(point).over(frame)}).withColumns({"seconds": seconds, "net": net})
+    seen = seen.withColumn("slow", F.coalesce(slow, F.lit(False))).withColumn("any", F.max("slow").over(Window.partitionBy("track_id", "cont_segment"))).filter("any")
+    # the points of a window are listed only in segments that have a slow pair
+    steady = seen.withColumn("all", F.array_sort(F.collect_list(point).over(frame))).filter("slow").filter(~poor_direction(F.col("all")))
     segments = rows.groupBy("track_id", "cont_segment").agg(F.count("*").alias("points")).filter("points <= 120").select("track_id", "cont_segment")
     whole = rows.join(segments, ["track_id", "cont_segment"]).groupBy("track_id", "cont_segment").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ms").alias("t"), "seq", "lat", "lon"))).alias("all"))
     return steady.join(whole.filter(poor_direction(F.col("all"))), ["track_id", "cont_segment"], "left_anti").select("track_id", "seq")

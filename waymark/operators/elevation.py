@@ -93,9 +93,13 @@ def primary_source(trust: DataFrame, key: str = "rel_trust") -> DataFrame:
 
 
 def activity(points: DataFrame) -> DataFrame:
-    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank), activity: a plan without times, else by speed."""
-    rows = with_gaps(points)
-    kmh = F.when(F.col("same_segment") & (F.col("dt") > 0) & ~F.col("is_gap"), F.col("metres") / F.col("dt") * 3.6)
+    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank; without jitter, where that is known), activity: a plan
+    without times, else by speed."""
+    rows = points if "is_gap" in points.columns else with_gaps(points)
+    counts = F.col("same_segment") & (F.col("dt") > 0) & ~F.col("is_gap")
+    if "is_jitter" in rows.columns:
+        counts = counts & ~F.col("is_jitter")
+    kmh = F.when(counts, F.col("metres") / F.col("dt") * 3.6)
     out = rows.withColumn("kmh", kmh).groupBy("track_id").agg(F.count("ts_ms").alias("n_timed"), nearest_rank("kmh", 0.5).alias("median_kmh"), nearest_rank("kmh", 0.95).alias("p95_kmh"))
     kind = F.when(F.col("n_timed") < 2, "route_plan").when((F.col("median_kmh") >= 35) | (F.col("p95_kmh") >= 70), "motor").when((F.col("median_kmh") >= 8) | (F.col("p95_kmh") >= 18), "bike")
     return out.withColumn("activity", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))
@@ -134,9 +138,12 @@ def hampel(samples: DataFrame) -> DataFrame:
 
 
 def smooth(samples: DataFrame, radius: int = 1, column: str = "clean") -> DataFrame:
-    """The samples with smooth: the mean of ``radius`` samples on either side, ends as they are."""
+    """The samples with smooth: the mean of ``radius`` samples on either side (2 where the column is_terrain is true), ends
+    as they are."""
     rows = samples.withColumn("n", F.max("i").over(whole_run()))
     mean = F.avg(column).over(run_order().rowsBetween(-radius, radius))
+    if "is_terrain" in samples.columns:
+        mean = F.when(F.col("is_terrain"), F.avg(column).over(run_order().rowsBetween(-2, 2))).otherwise(mean)
     return rows.withColumn("smooth", F.when((F.col("i") == 1) | (F.col("i") == F.col("n")), F.col(column)).otherwise(mean)).drop("n")
 
 
@@ -215,23 +222,42 @@ def replace_endpoints(samples: DataFrame, column: str = "clean") -> DataFrame:
     return rows.withColumn("is_endpoint_spike", F.coalesce(spike, F.lit(False))).withColumn(column, F.when(F.col("is_endpoint_spike"), mid).otherwise(F.col(column))).drop("_n", "_floor", "_near")
 
 
-def with_defaults(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """rows with step_m, base_m and sustain_m of their track's activity, and alpha of its primary source."""
-    kind = activity(points).select("track_id", "activity")
-    source = primary_source(source_trust(points)).select("track_id", F.col("ele_source").alias("primary"))
+def defaults(points: DataFrame, trust: DataFrame | None = None) -> DataFrame:
+    """Rows track_id, step_m, base_m, sustain_m of the track's activity, alpha of its primary source, is_terrain (terrain is
+    the source most trusted for height or for change). The least turn of a noisy gpx track that isn't on water grows with
+    the ratio of change to range, from 3 m at 12 to 18 m at most."""
+    trust = source_trust(points) if trust is None else trust
+    rel = primary_source(trust).select("track_id", F.col("ele_source").alias("primary"))
+    absolute = primary_source(trust, "abs_trust").select("track_id", F.col("ele_source").alias("absolute"))
+    noisy = trust.select("track_id", F.col("ele_source").alias("primary"), "noisy", "change_ratio")
+    rows = activity(points).select("track_id", "activity").join(rel, "track_id", "left").join(absolute, "track_id", "left").join(noisy, ["track_id", "primary"], "left")
     pick = lambda table, key: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.col(key)]
-    values = {n: pick({k: float(v[j]) for k, v in ACTIVITIES.items()}, "activity") for j, n in enumerate(("step_m", "base_m", "sustain_m"))}
-    return rows.join(kind.join(source, "track_id", "left"), "track_id").withColumns(values | {"alpha": F.coalesce(pick(ALPHA, "primary"), F.lit(3.0))}).drop("activity", "primary")
+    step, base, sustain = (pick({k: float(v[j]) for k, v in ACTIVITIES.items()}, "activity") for j in range(3))
+    grown = F.least(F.lit(18.0), 3 + 0.33 * F.greatest(F.lit(0.0), F.col("change_ratio") - 12))
+    raised = F.coalesce((F.col("activity") != "water") & (F.col("primary") == "gpx") & F.col("noisy") & F.col("change_ratio").isNotNull(), F.lit(False))
+    terrain = F.coalesce(F.col("primary") == "terrain", F.lit(False)) | F.coalesce(F.col("absolute") == "terrain", F.lit(False))
+    return rows.select(
+        "track_id", step.alias("step_m"), F.when(raised, F.greatest(base, grown)).otherwise(base).alias("base_m"), sustain.alias("sustain_m"),
+        F.coalesce(pick(ALPHA, "primary"), F.lit(3.0)).alias("alpha"), terrain.alias("is_terrain"),
+    )
 
 
-def profile(points: DataFrame) -> DataFrame:
-    """Samples with run, i, d, ele, clean, smooth and sigma, spaced by the track's activity: the chain up to gain and loss."""
-    rows = runs(points)
-    samples = resample(with_defaults(rows, points), F.col("step_m"))
-    return local_sigma(smooth(replace_endpoints(hampel(samples))))
+def profile(points: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """Samples with run, i, d, ele, clean, smooth, sigma and their track's settings (of defaults), spaced by its activity:
+    the chain up to gain and loss."""
+    settings = defaults(points) if settings is None else settings
+    samples = resample(runs(points).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
+    return local_sigma(smooth(replace_endpoints(hampel(samples.join(settings, "track_id")))))
 
 
-def climbs(points: DataFrame, samples: DataFrame) -> DataFrame:
-    """Rows track_id, gain_m, loss_m of profile's samples, by the track's activity and source."""
-    per_run = gain_loss(with_defaults(samples, points), F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
+def climbs(samples: DataFrame) -> DataFrame:
+    """Rows track_id, gain_m, loss_m of profile's samples."""
+    per_run = gain_loss(samples, F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
     return per_run.groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))
+
+
+def limited_extrema(samples: DataFrame, run_points: DataFrame) -> DataFrame:
+    """Rows track_id, min_ele, max_ele of the smooth samples, not beyond the robust envelope of the raw elevations."""
+    own = samples.groupBy("track_id").agg(F.min("smooth").alias("lo"), F.max("smooth").alias("hi"))
+    rows = own.join(robust_envelope(run_points), "track_id")
+    return rows.select("track_id", F.greatest("lo", "min_ele").alias("min_ele"), F.least("hi", "max_ele").alias("max_ele"))

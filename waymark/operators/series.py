@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.stats import lower_rank
 from waymark.operators.continuity import in_order, with_bridges, with_gaps
 
 #: Speeds in m/s above which a sample isn't reliable.
 RELIABLE = {"slow": 6.0, "moderate": 10.0, "fast": 25.0}
+#: Columns of points that their speed samples keep: a track's profile and thresholds, slow progress, and the pair's end.
+CARRIED = ("cleaning_profile", "on_kmh", "off_kmh", "is_slow_progress", "to_ms")
 
 
 def _route(points: DataFrame) -> DataFrame:
@@ -45,33 +46,47 @@ def distance_3d(points: DataFrame) -> DataFrame:
 
 def raw_speed(points: DataFrame) -> DataFrame:
     """Rows track_id, seq, distance_m, metres, dt, kmh of pairs in a segment with time between them, gaps left out unless
-    they are bridges."""
+    they are bridges; and those of CARRIED that the points have."""
     rows = with_bridges(distance_series(points))
-    return rows.filter("same_segment and dt > 0 and (not is_gap or is_bridge)").select("track_id", "seq", "distance_m", F.col("route_m").alias("metres"), "dt", (F.try_divide("route_m", "dt") * 3.6).alias("kmh"))
+    carried = [c for c in CARRIED if c in points.columns]
+    return rows.filter("same_segment and dt > 0 and (not is_gap or is_bridge)").select("track_id", "seq", "distance_m", F.col("route_m").alias("metres"), "dt", (F.try_divide("route_m", "dt") * 3.6).alias("kmh"), *carried)
 
 
-def reliability(speeds: DataFrame) -> DataFrame:
-    """Rows track_id, n, p10, p25, p50 (lower-rank, km/h), rejected_share, profile, ceiling_kmh (null: none)."""
-    rows = speeds.groupBy("track_id").agg(
-        F.count("*").alias("n"),
-        *(lower_rank("kmh", p).alias(name) for name, p in (("p10", 0.1), ("p25", 0.25), ("p50", 0.5))),
-        F.avg((F.col("kmh") > RELIABLE["slow"] * 3.6).cast("int")).alias("rejected_share"),
-    )
-    slow = (F.col("p10") <= 5) & (F.col("p25") <= 8) & (F.col("p50") <= 24) & (F.col("rejected_share") <= 0.5)
-    profile = F.when(F.col("n") < 8, "unknown").when(slow, "slow").when((F.col("p25") <= 15) & (F.col("p50") <= 30), "moderate").otherwise("unknown")
+def with_reliability(speeds: DataFrame) -> DataFrame:
+    """The samples with their track's n, p10, p25, p50 (lower rank, km/h), rejected_share, slow_speeds, profile and
+    ceiling_kmh (null: none). The distribution's profile counts where it is stricter than the cleaning profile, which is
+    the column cleaning_profile where the samples have one. Ranks come from one order of the speeds, so that a sample
+    costs the same however long its track is."""
+    whole = Window.partitionBy("track_id")
+    by_speed = Window.partitionBy("track_id").orderBy("kmh", "seq")
+    rows = speeds.withColumn("_rank", F.row_number().over(by_speed)).withColumn("n", F.count("*").over(whole))
+    at = lambda p: F.max(F.when(F.col("_rank") == F.floor((F.col("n") - 1) * p) + 1, F.col("kmh"))).over(whole)
+    rows = rows.withColumns({"p10": at(0.1), "p25": at(0.25), "p50": at(0.5), "rejected_share": F.avg((F.col("kmh") > RELIABLE["slow"] * 3.6).cast("int")).over(whole)})
+    rows = rows.withColumn("slow_speeds", (F.col("n") >= 8) & (F.col("p10") <= 5) & (F.col("p25") <= 8) & (F.col("p50") <= 24))
+    slow, moderate = F.col("slow_speeds") & (F.col("rejected_share") <= 0.5), (F.col("n") >= 8) & (F.col("p25") <= 15) & (F.col("p50") <= 30)
+    ranks = F.create_map(*(F.lit(x) for kv in {"slow": 0, "moderate": 1, "fast": 2}.items() for x in kv))
+    cleaning = F.coalesce("cleaning_profile", F.lit("unknown")) if "cleaning_profile" in speeds.columns else F.lit("unknown")
+    rank = F.coalesce(F.try_element_at(ranks, cleaning), F.lit(3))
+    profile = F.when(slow & (rank > 0), "slow").when(moderate & ~slow & (rank > 1), "moderate").otherwise(cleaning)
     kmh = F.create_map(*(x for k, v in RELIABLE.items() for x in (F.lit(k), F.lit(v * 3.6))))
-    return rows.withColumn("profile", profile).withColumn("ceiling_kmh", kmh[F.col("profile")])
+    return rows.withColumn("profile", profile).withColumn("ceiling_kmh", F.try_element_at(kmh, "profile")).drop("_rank")
+
+
+def reliability(speeds: DataFrame) -> DataFrame:
+    """Rows track_id, n, p10, p25, p50, rejected_share, profile, ceiling_kmh, n_outliers (samples above the ceiling),
+    warning (slow_rejected_share_too_high: slow but for too many fast samples)."""
+    first = ("n", "p10", "p25", "p50", "rejected_share", "profile", "ceiling_kmh")
+    rows = with_reliability(speeds).groupBy("track_id").agg(*(F.first(c).alias(c) for c in first), F.count(F.when(F.col("kmh") > F.col("ceiling_kmh"), 1)).alias("n_outliers"), F.first("slow_speeds").alias("slow"))
+    warning = F.when(F.col("slow") & (F.col("rejected_share") > 0.5), "slow_rejected_share_too_high")
+    return rows.withColumn("warning", warning).drop("slow")
 
 
 def reliable_speed(speeds: DataFrame) -> DataFrame:
     """The samples at or below their track's ceiling, with smooth_kmh: the mean of five samples around each, by order."""
-    whole = Window.partitionBy("track_id")
-    values = F.sort_array(F.collect_list("kmh").over(whole))
-    rank = lambda p: F.get(values, F.floor((F.size(values) - 1) * p).cast("int"))
-    rows = speeds.withColumns({"n": F.count("*").over(whole), "p10": rank(0.1), "p25": rank(0.25), "p50": rank(0.5), "share": F.avg((F.col("kmh") > RELIABLE["slow"] * 3.6).cast("int")).over(whole)})
-    ceiling = F.when(F.col("n") < 8, None).when((F.col("p10") <= 5) & (F.col("p25") <= 8) & (F.col("p50") <= 24) & (F.col("share") <= 0.5), RELIABLE["slow"] * 3.6)
-    ceiling = ceiling.when((F.col("p25") <= 15) & (F.col("p50") <= 30), RELIABLE["moderate"] * 3.6)
-    kept = rows.withColumn("ceiling", ceiling).filter("ceiling is null or kmh <= ceiling").drop("n", "p10", "p25", "p50", "share", "ceiling")
+    return smoothed(with_reliability(speeds).filter("ceiling_kmh is null or kmh <= ceiling_kmh").select(*speeds.columns))
+
+
+def smoothed(kept: DataFrame) -> DataFrame:
     return kept.withColumn("smooth_kmh", F.avg("kmh").over(in_order().rowsBetween(-2, 2)))
 
 
@@ -89,10 +104,10 @@ def slopes(points: DataFrame) -> DataFrame:
     return rows.filter("seq > start").select("track_id", "seq", slope.alias("slope_pct"))
 
 
-def splits(points: DataFrame, length_m: float = 5000.0) -> DataFrame:
-    """Rows track_id, split, metres, seconds, kmh of stretches of ``length_m``: samples that cross a border are shared out
-    by length. An equi-join-free interval overlap: each sample is exploded into the splits it touches."""
-    samples = raw_speed(points).filter("metres > 0").withColumn("from_m", F.col("distance_m") - F.col("metres"))
+def splits(points: DataFrame, length_m: float = 5000.0, samples: DataFrame | None = None) -> DataFrame:
+    """Rows track_id, split, metres, seconds, kmh of stretches of ``length_m``: samples (raw_speed's, or those given) that
+    cross a border are shared out by length. Each sample is exploded into the splits it touches: no range join."""
+    samples = (raw_speed(points) if samples is None else samples).filter("metres > 0").withColumn("from_m", F.col("distance_m") - F.col("metres"))
     touched = F.sequence(F.floor(F.col("from_m") / length_m), F.greatest(F.floor(F.col("from_m") / length_m), F.ceil(F.col("distance_m") / length_m) - 1))
     part = samples.withColumn("split", F.explode(touched))
     share = (F.least(F.col("distance_m"), (F.col("split") + 1) * length_m) - F.greatest(F.col("from_m"), F.col("split") * length_m)) / F.col("metres")

@@ -41,6 +41,14 @@ ranks AS (SELECT *, v[CAST(floor((n - 1) * 0.1) AS INT) + 1] AS p10, v[CAST(floo
 profiles AS (SELECT *, CASE WHEN n < 8 THEN 'unknown' WHEN p10 <= 5 AND p25 <= 8 AND p50 <= 24 AND rejected_share <= 0.5 THEN 'slow' WHEN p25 <= 15 AND p50 <= 30 THEN 'moderate' ELSE 'unknown' END AS profile FROM ranks),
 ceilings AS (SELECT *, CASE profile WHEN 'slow' THEN 6e0 * 3.6 WHEN 'moderate' THEN 10e0 * 3.6 END AS ceiling_kmh FROM profiles),
 reliable AS (SELECT s.* FROM speeds s JOIN ceilings c USING (track_id) WHERE ceiling_kmh IS NULL OR kmh <= ceiling_kmh)"""
+#: The motion profile: ranks floor((n - 1) p) of the speeds, shares above each ceiling, rounded before they are compared.
+MOTION = """mv AS (SELECT track_id, metres / dt AS v FROM pairs WHERE same_segment AND dt > 0 AND metres / dt BETWEEN 0.3 AND 50),
+ml AS (SELECT track_id, count(*) AS n, list_sort(list(v)) AS l, floor(count(*) FILTER (v > 6) / count(*) * 100 + 0.5) / 100 AS slow_share, floor(count(*) FILTER (v > 10) / count(*) * 100 + 0.5) / 100 AS moderate_share,
+    floor(count(*) FILTER (v > 25) / count(*) * 100 + 0.5) / 100 AS fast_share FROM mv GROUP BY track_id),
+mr AS (SELECT *, floor(l[CAST(floor((n - 1) * 0.5) AS INT) + 1] * 100 + 0.5) / 100 AS median_mps, floor(l[CAST(floor((n - 1) * 0.75) AS INT) + 1] * 100 + 0.5) / 100 AS p75_mps, floor(l[CAST(floor((n - 1) * 0.9) AS INT) + 1] * 100 + 0.5) / 100 AS p90_mps FROM ml),
+motion AS (SELECT *, CASE WHEN n < 5 THEN 'unknown' WHEN median_mps <= 2.2 AND p75_mps <= 3.2 AND slow_share <= 0.25 THEN 'slow' WHEN median_mps <= 4.5 AND p75_mps <= 7.5 AND moderate_share <= 0.25 THEN 'moderate'
+    WHEN median_mps <= 12 AND p75_mps <= 20 AND fast_share <= 0.25 THEN 'fast' ELSE 'unknown' END AS profile FROM mr),
+ceil AS (SELECT track_id, CASE profile WHEN 'slow' THEN 6e0 WHEN 'moderate' THEN 10e0 WHEN 'fast' THEN 25e0 ELSE 50e0 END AS top FROM motion)"""
 RUNS = """cuts AS (SELECT *, CASE WHEN coalesce(p_ele IS NULL OR NOT same_segment OR p_source <> ele_source OR (is_gap AND abs(ele - p_ele) >= 60), true) THEN 1 ELSE 0 END AS cut FROM gapped WHERE ele IS NOT NULL),
 numbered AS (SELECT *, CAST(sum(cut) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INT) AS run FROM cuts),
 runs AS (SELECT *, CAST(row_number() OVER (PARTITION BY track_id, run ORDER BY seq) AS INT) AS i FROM numbered)"""
@@ -115,7 +123,10 @@ ORACLE_SQL = {
         SPARSE,
         "s AS (SELECT track_id, count(*) AS n, list_sort(list(ele)) AS v, median(ele) AS med, " + ", ".join(f"quantile_cont(ele, {p / 100}) AS quantile_cont_{p}" for p in (10, 50, 95)) + " FROM pts GROUP BY track_id)",
     ),
-    "fix_quality": sql("SELECT track_id, seq, satellites, satellites < 4 AS warned FROM pts WHERE satellites < 3", DENSE),
+    "fix_quality": sql(
+        "SELECT track_id, seq, satellites, fix, hdop, vdop, pdop, satellites < 3 OR pdop > 6 OR hdop > 8 OR vdop > 8 OR lower(trim(fix)) IN ('none', 'unknown') AS rejected, satellites < 4 OR hdop > 5 AS warned FROM q",
+        DENSE, "q AS (SELECT *, CASE seq % 13 WHEN 0 THEN ' None' WHEN 5 THEN 'unknown' ELSE '3d' END AS fix, CAST(seq % 10 AS DOUBLE) AS hdop, CAST(seq * 3 % 11 AS DOUBLE) AS vdop, CAST(seq * 5 % 8 AS DOUBLE) AS pdop FROM pts)",
+    ),
     "time_order": sql(
         "SELECT track_id, seq, ts_ms FROM (SELECT *, max(ts_ms) OVER (PARTITION BY track_id, segment ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM pts) WHERE m IS NULL OR ts_ms > m", DENSE
     ),
@@ -124,11 +135,7 @@ ORACLE_SQL = {
         DENSE, "q AS (SELECT track_id, seq, ts_ms // 6000 AS t, CAST(seq // 3 AS DOUBLE) AS la FROM pts)",
     ),
     "motion_profile": sql(
-        """SELECT track_id, n, round(a, 6) AS median_mps, round(b, 6) AS p75_mps, round(s, 6) AS fast_share, profile, CASE profile WHEN 'slow' THEN 6e0 WHEN 'moderate' THEN 10e0 WHEN 'fast' THEN 25e0 ELSE 50e0 END AS ceiling_mps FROM
-            (SELECT *, CASE WHEN n < 5 THEN 'unknown' WHEN a <= 2.2 AND b <= 3.2 AND s <= 0.25 THEN 'slow' WHEN a <= 4.5 AND b <= 7.5 AND c <= 10 THEN 'moderate' WHEN a <= 12 AND b <= 20 AND c <= 25 THEN 'fast' ELSE 'unknown' END AS profile FROM q)""",
-        DENSE, PAIRS,
-        """q AS (SELECT track_id, count(*) AS n, floor(quantile_cont(v, 0.5) * 100 + 0.5) / 100 AS a, floor(quantile_cont(v, 0.75) * 100 + 0.5) / 100 AS b, floor(quantile_cont(v, 0.9) * 100 + 0.5) / 100 AS c,
-            floor(avg(CASE WHEN v > 6 THEN 1 ELSE 0 END) * 100 + 0.5) / 100 AS s FROM (SELECT track_id, metres / dt AS v FROM pairs WHERE same_segment AND dt > 0) WHERE v BETWEEN 0.3 AND 50 GROUP BY track_id)""",
+        f"SELECT m.track_id, n, {r('median_mps', 'p75_mps', 'p90_mps', 'slow_share', 'moderate_share', 'fast_share')}, profile, top AS ceiling_mps FROM motion m JOIN ceil c ON m.track_id = c.track_id", DENSE, PAIRS, MOTION
     ),
     "turn_angles": sql(
         f"SELECT track_id, seq, round({TURN('b', 'nb')}, 6) AS turn_deg FROM q WHERE b IS NOT NULL AND nb IS NOT NULL",
@@ -136,7 +143,8 @@ ORACLE_SQL = {
         f"q AS (SELECT track_id, seq, {BEAR('p_', '')} AS b, lead({BEAR('p_', '')}) OVER (PARTITION BY track_id ORDER BY seq) AS nb FROM pairs)",
     ),
     "raw_speed": sql(f"SELECT track_id, seq, {r('distance_m', 'metres', 'dt', 'kmh')} FROM speeds", DENSE, *ROUTED, SPEED),
-    "speed_reliability": sql(f"SELECT track_id, n, {r('p10', 'p25', 'p50', 'rejected_share')}, profile, {r('ceiling_kmh')} FROM ceilings", DENSE, *ROUTED, SPEED, RELIABLE),
+    "speed_reliability": sql(f"""SELECT track_id, n, {r('p10', 'p25', 'p50', 'rejected_share')}, profile, {r('ceiling_kmh')}, (SELECT count(*) FROM speeds s WHERE s.track_id = ceilings.track_id AND kmh > ceiling_kmh) AS n_outliers,
+        CASE WHEN n >= 8 AND p10 <= 5 AND p25 <= 8 AND p50 <= 24 AND rejected_share > 0.5 THEN 'slow_rejected_share_too_high' END AS warning FROM ceilings""", DENSE, *ROUTED, SPEED, RELIABLE),
     "speed_smoothing": sql(
         "SELECT track_id, seq, round(kmh, 6) AS kmh, round(avg(kmh) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth_kmh FROM reliable", DENSE, *ROUTED, SPEED, RELIABLE
     ),
@@ -264,19 +272,17 @@ SUMMARY = """SELECT track_id, n_points, round(m, 6) AS total_distance_m, round(s
     round(max_kmh, 6) AS max_kmh, round(CASE WHEN s > 0 THEN m / s * 3.6 END, 6) AS average_kmh FROM a JOIN b USING (track_id) JOIN c USING (track_id) LEFT JOIN d USING (track_id)"""
 for _name, _points in (("track_summary", SPARSE), ("supplier_track_summary", SUPPLIER)):
     ORACLE_SQL[_name] = sql(
-        SUMMARY, _points, *ROUTED, SPEED,
+        SUMMARY, _points, *ROUTED, SPEED, RELIABLE,
         "a AS (SELECT track_id, count(*) AS n_points, sum(route_m) AS m FROM route GROUP BY track_id)",
         "b AS (SELECT track_id, sum(ms) / 1000e0 AS s FROM (SELECT track_id, segment, max(ts_ms) - min(ts_ms) AS ms FROM pts GROUP BY ALL) GROUP BY track_id)",
-        "c AS (SELECT track_id, median_gap_s AS nominal_s FROM medians)", "d AS (SELECT track_id, max(kmh) AS max_kmh FROM speeds GROUP BY track_id)",
+        "c AS (SELECT track_id, median_gap_s AS nominal_s FROM medians)", "d AS (SELECT track_id, max(kmh) AS max_kmh FROM reliable GROUP BY track_id)",
     )
 
 #: The cleaning rules that the dense points' faults can trip, folded over rows: the last kept row travels along.
 ORACLE_SQL["cleaned_points"] = sql(
     "SELECT track_id, seq, reason FROM f",
     DENSE, PAIRS,
-    """v AS (SELECT track_id, count(*) AS n, floor(quantile_cont(v, 0.5) * 100 + 0.5) / 100 AS a, floor(quantile_cont(v, 0.75) * 100 + 0.5) / 100 AS b, floor(quantile_cont(v, 0.9) * 100 + 0.5) / 100 AS c,
-        floor(avg(CASE WHEN v > 6 THEN 1 ELSE 0 END) * 100 + 0.5) / 100 AS s FROM (SELECT track_id, metres / dt AS v FROM pairs WHERE same_segment AND dt > 0) WHERE v BETWEEN 0.3 AND 50 GROUP BY track_id)""",
-    """ceil AS (SELECT track_id, CASE WHEN n < 5 THEN 50e0 WHEN a <= 2.2 AND b <= 3.2 AND s <= 0.25 THEN 6e0 WHEN a <= 4.5 AND b <= 7.5 AND c <= 10 THEN 10e0 WHEN a <= 12 AND b <= 20 AND c <= 25 THEN 25e0 ELSE 50e0 END AS top FROM v)""",
+    MOTION,
     "o AS (SELECT p.*, coalesce(top, 50e0) AS top FROM pts p LEFT JOIN ceil c ON p.track_id = c.track_id)",
     f"""f AS (SELECT track_id, seq, CASE WHEN satellites < 3 THEN 'bad_fix' END AS reason, CASE WHEN satellites >= 3 THEN lat END AS k_lat, CASE WHEN satellites >= 3 THEN lon END AS k_lon,
             CASE WHEN satellites >= 3 THEN ts_ms END AS k_ts, CASE WHEN satellites >= 3 THEN segment END AS k_seg FROM o WHERE seq = 1
@@ -358,3 +364,40 @@ ORACLE_SQL["midpoint_values"] = sql(
     "mids AS (SELECT track_id, seq, (distance_m + b) / 2 / t AS at FROM (SELECT *, lag(distance_m) OVER (PARTITION BY track_id ORDER BY seq) AS b, max(distance_m) OVER (PARTITION BY track_id) AS t FROM route) WHERE b IS NOT NULL AND t > 0)",
     "stops AS (SELECT track_id, p, max_by(kmh, seq) AS kmh FROM (SELECT *, floor((distance_m - metres / 2) / t * 1000000 + 0.5) / 1000000 AS p FROM (SELECT *, max(distance_m) OVER (PARTITION BY track_id) AS t FROM speeds) WHERE t > 0) GROUP BY track_id, p)",
 )
+
+ORACLE_SQL["cleaning_summary"] = f"""SELECT track_id, CAST(sum(n) AS BIGINT) AS points_in, CAST(coalesce(sum(n) FILTER (reason IS NULL), 0) AS BIGINT) AS points_out,
+    coalesce(string_agg(reason || '=' || n, ',' ORDER BY reason) FILTER (reason IS NOT NULL), '') AS reasons FROM (SELECT track_id, reason, count(*) AS n FROM ({ORACLE_SQL["cleaned_points"]}) GROUP BY ALL) GROUP BY track_id"""
+_JITTER = ORACLE_SQL["xy_jitter"].replace("SELECT track_id, seq, round(metres, 6) AS metres FROM f WHERE shakes", "SELECT track_id, seq, shakes FROM f", 1)
+ORACLE_SQL["route_jitter"] = sql(
+    "SELECT track_id, sum(CASE WHEN shakes THEN 1 ELSE 0 END) AS n_jitter, sum(CASE WHEN shakes AND (run_n >= 25 OR (n > 1 AND sn = n - 1) OR (n > 8 AND sn >= 0.4 * (n - 1) AND span <= 25)) THEN 1 ELSE 0 END) AS n_route_jitter FROM w GROUP BY track_id",
+    JITTERED, PAIRS, GAPS, f"j AS ({_JITTER})",
+    """g AS (SELECT gapped.*, shakes, sum(CASE WHEN same_segment = false OR is_gap THEN 1 ELSE 0 END) OVER (PARTITION BY gapped.track_id ORDER BY gapped.seq) AS cs,
+        sum(CASE WHEN shakes THEN 0 ELSE 1 END) OVER (PARTITION BY gapped.track_id ORDER BY gapped.seq) AS rn FROM gapped JOIN j ON gapped.track_id = j.track_id AND gapped.seq = j.seq)""",
+    """b AS (SELECT track_id, cs, count(*) AS n, sum(CASE WHEN shakes THEN 1 ELSE 0 END) AS sn, min(lat) AS a_lat, max(lat) AS b_lat, min(lon) AS c_lon, max(lon) AS d_lon, (min(lon) + max(lon)) / 2 AS a_lon, (min(lon) + max(lon)) / 2 AS b_lon,
+        (min(lat) + max(lat)) / 2 AS c_lat, (min(lat) + max(lat)) / 2 AS d_lat FROM g GROUP BY ALL)""",
+    "rr AS (SELECT track_id, rn, sum(CASE WHEN shakes THEN 1 ELSE 0 END) AS run_n FROM g GROUP BY ALL)",
+    f"w AS (SELECT g.track_id, shakes, run_n, n, sn, greatest({dist('a_', 'b_')}, {dist('c_', 'd_')}) AS span FROM g JOIN b ON g.track_id = b.track_id AND g.cs = b.cs JOIN rr ON g.track_id = rr.track_id AND g.rn = rr.rn)",
+)
+ORACLE_SQL["primary_source"] = f"""SELECT track_id, ele_source, trust FROM (SELECT track_id, ele_source, round(rel_trust, 6) AS trust, row_number() OVER (PARTITION BY track_id ORDER BY rel_trust DESC,
+    list_position(['barometric', 'terrain', 'gpx', 'unknown'], ele_source)) AS k FROM ({ORACLE_SQL["source_trust"]}) WHERE rel_trust > 0) WHERE k = 1"""
+ORACLE_SQL["base_threshold"] = f"""SELECT a.track_id, activity, ele_source, round(CASE WHEN activity <> 'water' AND ele_source = 'gpx' AND noisy AND change_ratio IS NOT NULL THEN greatest(d, least(18e0, 3 + 0.33 * greatest(0, change_ratio - 12))) ELSE d END, 6) AS base_m
+    FROM (SELECT track_id, activity, CASE activity WHEN 'foot' THEN 3e0 WHEN 'bike' THEN 4e0 WHEN 'motor' THEN 6e0 WHEN 'route_plan' THEN 6e0 ELSE 5e0 END AS d FROM ({ORACLE_SQL["activity_features"]})) a
+    JOIN (SELECT p.track_id, p.ele_source, noisy, change_ratio FROM ({ORACLE_SQL["primary_source"]}) p JOIN ({ORACLE_SQL["source_trust"]}) t ON p.track_id = t.track_id AND p.ele_source = t.ele_source) s ON a.track_id = s.track_id"""
+_CLIMBS = ORACLE_SQL["gain_loss"].replace("round(gain + ", "(gain + ").replace("round(loss + ", "(loss + ").replace("END, 6) AS gain_m", "END) AS gain_m").replace("END, 6) AS loss_m", "END) AS loss_m")
+ORACLE_SQL["threshold_sweep"] = f"""SELECT track_id, kind, 5e0 AS threshold_m, floor(g * 100 + 0.5) / 100 AS gain_m, floor(l * 100 + 0.5) / 100 AS loss_m FROM (SELECT track_id, sum(gain_m) AS g, sum(loss_m) AS l FROM ({_CLIMBS}) GROUP BY track_id),
+    (SELECT unnest(['selected_median_local_threshold', 'selected_p95_local_threshold']) AS kind)"""
+ORACLE_SQL["endpoint_spikes"] = sql(
+    """SELECT track_id, run, i, round(e, 6) AS ele, round(near[2], 6) AS clean FROM (SELECT *, list_sort(CASE WHEN i = 1 THEN [lead(e, 1) OVER w, lead(e, 2) OVER w, lead(e, 3) OVER w] ELSE [lag(e, 1) OVER w, lag(e, 2) OVER w, lag(e, 3) OVER w] END) AS near,
+        count(*) OVER (PARTITION BY track_id, run) AS n, least(12e0, greatest(4e0, 0.15 * (max(e) OVER (PARTITION BY track_id, run) - min(e) OVER (PARTITION BY track_id, run)))) AS fl FROM s WINDOW w AS (PARTITION BY track_id, run ORDER BY i))
+        WHERE n >= 4 AND (i = 1 OR i = n) AND near[3] - near[1] <= fl / 2 AND abs(e - near[2]) > greatest(4 * fl, 50e0)""",
+    _ONE_SOURCE, *RUNNING, "s AS (SELECT track_id, run, i, ele / 8 + CASE WHEN i = 1 AND track_id % 2 = 0 THEN 70e0 ELSE 0e0 END AS e FROM runs)",
+)
+ORACLE_SQL["route_colours"] = sql(
+    "SELECT track_id, seq, coalesce(last_value(c IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING), first_value(c IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS colour FROM u",
+    DENSE, *ROUTED, SPEED,
+    "k AS (SELECT track_id, seq, round(kmh, 3) AS kmh FROM speeds)",
+    "sc AS (SELECT * FROM (SELECT track_id, quantile_cont(kmh, 0.1) AS lo, quantile_cont(kmh, 0.9) AS hi, count(*) AS n FROM k GROUP BY track_id) WHERE n >= 2 AND hi - lo >= 0.1)",
+    "t AS (SELECT k.track_id, seq, greatest(0e0, least(1e0, (kmh - lo) / (hi - lo))) AS t FROM k JOIN sc ON k.track_id = sc.track_id)",
+    "col AS (SELECT track_id, seq, printf('#%02x%02x%02x', CAST(floor(37 + 183 * t + 0.5) AS BIGINT), CAST(floor(99 - 61 * t + 0.5) AS BIGINT), CAST(floor(235 - 197 * t + 0.5) AS BIGINT)) AS c FROM t)",
+    "u AS (SELECT p.track_id, p.seq, c FROM pts p LEFT JOIN col ON p.track_id = col.track_id AND p.seq = col.seq)",
+)

@@ -82,7 +82,10 @@ def percentile_flavours(spark, sf_dir):
 
 @query
 def fix_quality(spark, sf_dir):
-    return cleaning.with_fix_quality(dense_points(spark, sf_dir)).filter("rejected").select("track_id", "seq", "satellites", "warned")
+    fix = F.when(F.col("seq") % 13 == 0, " None").when(F.col("seq") % 13 == 5, "unknown").otherwise("3d")
+    dops = {n: (F.col("seq") * k % m).cast("double") for n, k, m in (("hdop", 1, 10), ("vdop", 3, 11), ("pdop", 5, 8))}
+    p = dense_points(spark, sf_dir).withColumns({"fix": fix} | dops)
+    return cleaning.with_fix_quality(p).select("track_id", "seq", "satellites", "fix", "hdop", "vdop", "pdop", "rejected", "warned")
 
 
 @query
@@ -98,7 +101,7 @@ def duplicate_points(spark, sf_dir):
 
 @query
 def motion_profile(spark, sf_dir):
-    return cleaning.motion_profile(dense_points(spark, sf_dir)).drop("p90_mps")
+    return cleaning.motion_profile(dense_points(spark, sf_dir))
 
 
 @query
