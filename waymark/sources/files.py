@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark import ship
+from waymark.functions.geo import distance
 from waymark.functions.values import timestamp_ms, zone_status
 from waymark.sources.parse import parse
 
-POINT = "seq: int, lat: double, lon: double, ele: double, time_text: string, ts_ms: bigint, segment: int, ele_source: string, fix: string, satellites: int, hdop: double, vdop: double, pdop: double"
-FILE = f"track_id string, bytes long, format string, error string, name string, activity string, summary map<string,double>, timer array<struct<ts_ms: bigint, action: string>>, points array<struct<{POINT}>>"
+POINT = "seq: int, lat: double, lon: double, ele: double, time_text: string, ts_ms: bigint, segment: int, ele_source: string, fix: string, satellites: int, hdop: double, vdop: double, pdop: double, phys: int, speed_mps: double, cadence: double, watts: double"
+FILE = f"track_id string, bytes long, format string, error string, name string, activity string, activity_kind string, activity_source string, summary map<string,double>, timer array<struct<ts_ms: bigint, action: string>>, points array<struct<{POINT}>>"
 #: Bytes from which a file draws a warning.
 LARGE = 50 * 1024 * 1024
 
@@ -29,8 +30,8 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
         for batch in batches:
             for where, size, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 r = parse(where, content)
-                points = [{"seq": k, "ts_ms": None, "fix": None, "satellites": None, "hdop": None, "vdop": None, "pdop": None} | p for k, p in enumerate(r["points"], 1)]
-                row = {"track_id": where, "bytes": size, "summary": list(r["summary"].items()), "points": points} | {k: r[k] for k in ("format", "error", "name", "activity", "timer")}
+                points = [{"seq": k, "ts_ms": None, "fix": None, "satellites": None, "hdop": None, "vdop": None, "pdop": None, "speed_mps": None, "cadence": None, "watts": None} | p for k, p in enumerate(r["points"], 1)]
+                row = {"track_id": where, "bytes": size, "summary": list(r["summary"].items()), "points": points} | {k: r[k] for k in ("format", "error", "name", "activity", "activity_kind", "activity_source", "timer")}
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     ship(spark)
@@ -39,28 +40,88 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def points_of(files: DataFrame) -> DataFrame:
-    """The points of read_files, with times read and placeholders removed: zero-filled elevations of a file and times that
-    don't advance in a segment."""
-    rows = files.select("track_id", F.inline("points"))
-    rows = rows.withColumns({"zone": zone_status(F.col("time_text")), "ts_ms": F.coalesce("ts_ms", timestamp_ms(F.col("time_text")))})
-    return without_flat_times(without_zero_elevations(rows))
+    """The points of read_files, with times read and placeholders removed: zero-filled elevations of a file, times that don't
+    advance in a segment, and those made up at an even pace."""
+    return without_synthetic_times(without_flat_times(without_zero_elevations(stated_points(files))))
 
 
-def without_zero_elevations(points: DataFrame) -> DataFrame:
-    """Elevations of a track become null where it has 20 or more, 95 % of them within 0.01 m of 0, up to 3 % aren't, and one
-    of these is 20 m off or more."""
+def stated_points(files: DataFrame) -> DataFrame:
+    """The points of read_files with times read, as the files state them."""
+    rows = files.select("track_id", F.inline("points"))
+    return rows.withColumns({"zone": zone_status(F.col("time_text")), "ts_ms": F.coalesce("ts_ms", timestamp_ms(F.col("time_text")))})
+
+
+def normalisations(files: DataFrame) -> DataFrame:
+    """Rows track_id, kind, n_points: what points_of took out of the files' statements."""
+    rows = with_synthetic_times(with_flat_times(with_zero_elevations(stated_points(files))))
+    kinds = {"zero_filled_elevation_placeholder": "_filled", "flat_timestamp_placeholder": "_flat", "synthetic_timestamp_placeholder": "_synthetic"}
+    counts = rows.groupBy("track_id").agg(*(F.count(F.when(F.col(c), 1)).alias(k) for k, c in kinds.items()))
+    return counts.unpivot("track_id", list(kinds), "kind", "n_points").filter("n_points > 0")
+
+
+def _segments(points: DataFrame) -> str:
+    return "phys" if "phys" in points.columns else "segment"
+
+
+def with_synthetic_times(points: DataFrame) -> DataFrame:
+    """_synthetic: the times of the point's physical segment are made up. It has six pairs or more with a positive interval,
+    four fifths of them within a tenth (or 1 s) of their upper median, which is 15 s at most, and speeds above 100 m/s in
+    six pairs, or in three fifths: without lone points out and back, whose neighbours and direct way are slower."""
+    part = _segments(points)
+    order = Window.partitionBy("track_id", part).orderBy("seq")
+    before = {c: F.lag(c).over(order) for c in ("seq", "ts_ms", "lat", "lon")}
+    pairs = points.select(
+        "track_id", part, "seq", "lat", "lon", *(before[c].alias(f"p_{c}") for c in ("seq", "lat", "lon")),
+        ((F.col("ts_ms") - before["ts_ms"]) / 1000.0).alias("s"), distance(before["lat"], before["lon"], F.col("lat"), F.col("lon")).alias("m"),
+    ).filter("s > 0").withColumn("v", F.try_divide("m", "s"))
+    ahead = {c: F.lead(c).over(order) for c in ("p_seq", "v", "s", "lat", "lon")}
+    direct = F.try_divide(distance(F.col("p_lat"), F.col("p_lon"), ahead["lat"], ahead["lon"]), F.col("s") + ahead["s"])
+    calm = lambda c: F.coalesce(c <= 100, F.lit(True))
+    out = (ahead["p_seq"] == F.col("seq")) & (F.col("v") > 100) & (ahead["v"] > 100) & (direct <= 100) & calm(F.lag("v").over(order)) & calm(F.lead("v", 2).over(order))
+    pairs = pairs.withColumn("out", F.coalesce(out, F.lit(False))).withColumn("spike", F.col("out") | F.coalesce(F.lag("out").over(order), F.lit(False)))
+    rows = pairs.groupBy("track_id", part).agg(F.sort_array(F.collect_list("s")).alias("all"), F.count(F.when(~F.col("spike"), 1)).alias("left"), F.count(F.when(~F.col("spike") & (F.col("v") > 100), 1)).alias("fast"))
+    rows = rows.withColumn("mid", F.get("all", F.floor(F.size("all") / 2).cast("int")))
+    even = F.size(F.filter("all", lambda x: F.abs(x - F.col("mid")) <= F.greatest(F.lit(1.0), 0.1 * F.col("mid")))) >= 0.8 * F.size("all")
+    flagged = rows.filter((F.size("all") >= 6) & (F.col("mid") <= 15) & even & (F.col("left") > 0) & ((F.col("fast") >= 6) | (F.col("fast") >= 0.6 * F.col("left"))))
+    return points.join(flagged.select("track_id", part, F.lit(True).alias("_synthetic")), ["track_id", part], "left").withColumn("_synthetic", F.coalesce("_synthetic", F.lit(False)))
+
+
+def without_synthetic_times(points: DataFrame) -> DataFrame:
+    """The points, with made-up times (with_synthetic_times) null and their zone none."""
+    rows = with_synthetic_times(points).withColumn("ts_ms", F.when(~F.col("_synthetic"), F.col("ts_ms")))
+    if "zone" in points.columns:
+        rows = rows.withColumn("zone", F.when(F.col("_synthetic"), "none").otherwise(F.col("zone")))
+    return rows.select(*points.columns)
+
+
+def with_zero_elevations(points: DataFrame) -> DataFrame:
+    """_filled: the point's elevation stands for none. Its track has 20 or more, 95 % of them within 0.01 m of 0, up to 3 %
+    aren't, and one of these is 20 m off or more."""
     whole = Window.partitionBy("track_id")
     off = F.abs("ele") > 0.01
     n, zero, odd = F.count("ele").over(whole), F.count(F.when(~off, 1)).over(whole), F.count(F.when(off, 1)).over(whole)
     filled = (n >= 20) & (zero >= 0.95 * n) & (odd > 0) & (odd <= 0.03 * n) & (F.max(F.abs("ele")).over(whole) >= 20)
-    return points.withColumn("_filled", filled).withColumn("ele", F.when(~F.col("_filled"), F.col("ele"))).drop("_filled")
+    return points.withColumn("_filled", F.coalesce(filled & F.col("ele").isNotNull(), F.lit(False)))
 
 
-def without_flat_times(points: DataFrame) -> DataFrame:
-    """Times of a segment become null where it has two or more and all are equal."""
-    whole = Window.partitionBy("track_id", "segment")
+def without_zero_elevations(points: DataFrame) -> DataFrame:
+    """The points, with elevations that stand for none (with_zero_elevations) null."""
+    return with_zero_elevations(points).withColumn("ele", F.when(~F.col("_filled"), F.col("ele"))).drop("_filled")
+
+
+def with_flat_times(points: DataFrame) -> DataFrame:
+    """_flat: the point's physical segment has two times or more, and all are equal."""
+    whole = Window.partitionBy("track_id", _segments(points))
     flat = (F.count("ts_ms").over(whole) >= 2) & (F.min("ts_ms").over(whole) == F.max("ts_ms").over(whole))
-    return points.withColumn("_flat", flat).withColumn("ts_ms", F.when(~F.col("_flat"), F.col("ts_ms"))).drop("_flat")
+    return points.withColumn("_flat", F.coalesce(flat & F.col("ts_ms").isNotNull(), F.lit(False)))
+
+
+def without_flat_times(points: DataFrame) -> DataFrame:
+    """The points, with times that don't advance (with_flat_times) null and their zone none."""
+    rows = with_flat_times(points).withColumn("ts_ms", F.when(~F.col("_flat"), F.col("ts_ms")))
+    if "zone" in points.columns:
+        rows = rows.withColumn("zone", F.when(F.col("_flat"), "none").otherwise(F.col("zone")))
+    return rows.drop("_flat")
 
 
 def tracks_of(files: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import struct
+import unicodedata
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -25,6 +26,34 @@ SUMMARY_NAMES = {
     "range_m": ["elevationrangemeters", "altituderangemeters", "heightrangemeters", "elevationrange", "altituderange", "heightrange"],
 }
 FIELD_OF = {name: field for field, names in SUMMARY_NAMES.items() for name in names}
+#: Names of activities, by kind.
+ACTIVITY_NAMES = {
+    "bike": ["cycling", "biking", "bike", "road_cycling", "mountain_biking"],
+    "foot": ["running", "walking", "hiking", "walk", "run"],
+    "water": ["kayaking", "canoeing", "rowing", "swimming"],
+    "motor": ["driving", "motorcycling", "automobile"],
+}
+KIND_OF = {name: kind for kind, names in ACTIVITY_NAMES.items() for name in names}
+#: Names that say nothing, in five languages, without accents: those that count alone, and those that also
+#: count with a number or date after them.
+GENERIC_ALONE = [
+    "track", "route", "activity", "workout", "untitled", "untitled track", "untitled route", "untitled activity", "new track", "new route", "new activity",
+    "трек", "маршрут", "активность", "тренировка", "без названия", "безымянный трек", "новый трек", "новый маршрут", "новая активность",
+    "sin titulo", "sin nombre", "ruta", "actividad", "entrenamiento", "ruta sin titulo", "nueva ruta", "nueva actividad",
+    "sans titre", "trace", "activite", "parcours", "itineraire", "trace sans titre", "nouvelle trace", "nouvel itineraire",
+    "unbenannt", "track ohne titel", "strecke", "aktivitat", "training", "neuer track", "neue strecke",
+]
+GENERIC_NUMBERED = [
+    "current track", "current activity", "current route", "текущий трек", "текущая активность", "текущий маршрут", "actividad actual", "track actual", "ruta actual",
+    "activite actuelle", "trace actuelle", "itineraire actuel", "aktuelle aktivitat", "aktueller track", "aktuelle route", "aktuelle strecke",
+    "track", "activity", "workout", "untitled", "untitled track", "untitled activity", "new track", "new activity",
+    "трек", "активность", "тренировка", "без названия", "безымянный трек", "новый трек", "новая активность",
+    "sin titulo", "sin nombre", "actividad", "entrenamiento", "ruta sin titulo", "nueva actividad", "sans titre", "trace sans titre", "nouvelle trace",
+    "unbenannt", "track ohne titel", "aktivitat", "training", "neuer track",
+]
+#: Namespaces of extensions that have rules of their own.
+TRACK_STATS = "http://www.garmin.com/xmlschemas/TrackStatsExtension/v1"
+SENSORS = "http://www.garmin.com/xmlschemas/ActivityExtension/v2"
 
 
 class BadTrack(ValueError):
@@ -55,6 +84,29 @@ def place(lat: float | None, lon: float | None) -> tuple[float, float]:
     return lat, lon
 
 
+def activity_kind(raw: str | None) -> str | None:
+    """bike, foot, water or motor for a known name of an activity."""
+    return KIND_OF.get(re.sub(r"[\s-]+", "_", raw.strip().lower())) if raw else None
+
+
+def plain(name: str) -> str:
+    letters = unicodedata.normalize("NFD", name.strip().lower())
+    return re.sub(r"\s+", " ", "".join(c for c in letters if not "\u0300" <= c <= "\u036f"))
+
+
+ALONE, NUMBERED = ({plain(n) for n in names} for names in (GENERIC_ALONE, GENERIC_NUMBERED))
+
+
+def is_generic(name: str) -> bool:
+    """Whether a name says nothing: one of the list, alone or, for some, with a number after it."""
+    own = plain(name)
+    return own in ALONE or any(own.startswith(p) and re.match(r"(?:[:\-.#–—]\s*)?\d|$", own[len(p) :].lstrip()) for p in NUMBERED)
+
+
+def stem(path: str) -> str:
+    return re.sub(r"\.[^.]+$", "", path.rpartition("/")[2])
+
+
 def xml_root(data: bytes) -> ET.Element:
     try:
         return ET.fromstring(data)
@@ -63,29 +115,40 @@ def xml_root(data: bytes) -> ET.Element:
 
 
 def point(lat, lon, ele=None, time=None, segment=0, source=None, **more) -> dict:
-    return {"lat": lat, "lon": lon, "ele": ele, "time_text": time, "segment": segment, "ele_source": source or ("gpx" if ele is not None else "none")} | more
+    return {"lat": lat, "lon": lon, "ele": ele, "time_text": time, "segment": segment, "phys": segment, "ele_source": source or ("gpx" if ele is not None else "none")} | more
 
 
 def gpx(data: bytes) -> dict:
-    """All trkpt in order, then all rtept; each trkseg, then each rte that holds points is a segment."""
+    """All trkpt in order, then all rtept; each trkseg, then each rte that holds points is a segment; points elsewhere are in
+    segment 0. phys tells the elements apart that hold points. The name is the first track's, else the metadata's; the
+    activity the first known one of a track, else of a route."""
     root = xml_root(data)
-    points = []
-    n_segments = 0
+    parent = {c: p for p in root.iter() for c in p}
+    nodes = [e for name in ("trkpt", "rtept") for e in root.iter() if local(e) == name]
+    segments: dict[ET.Element, int] = {}
     for holder, name in (("trkseg", "trkpt"), ("rte", "rtept")):
-        for container in (e for e in root.iter() if local(e) == holder):
-            own = [e for e in container if local(e) == name]
-            points += [gpx_point(e, n_segments) for e in own]
-            n_segments += bool(own)
+        for container in root.iter():
+            if local(container) == holder and any(local(e) == name for e in container):
+                segments[container] = len(segments)
+    physical: dict[ET.Element, int] = {}
+    points = []
+    for e in nodes:
+        holder = parent.get(e, e)
+        points.append(gpx_point(e, segments.get(holder, 0)) | {"phys": physical.setdefault(holder, len(physical))})
     summary: dict[str, float] = {}
     for extension in (e for e in root.iter() if local(e) == "extensions"):
         for e in extension.iter():
+            per_second = e.tag.startswith("{" + TRACK_STATS + "}")
             for key, text in [(local(e), e.text), *((k.rpartition("}")[2], v) for k, v in e.attrib.items())]:
                 field, value = FIELD_OF.get(re.sub(r"[^a-z0-9]", "", key.lower())), number(text)
                 if field and value is not None:
-                    summary.setdefault(field, value)
-    named = [child_text(e, "name") for tag in ("trk", "metadata") for e in root.iter() if local(e) == tag]
-    kinds = [child_text(e, "type") for tag in ("trk", "rte") for e in root.iter() if local(e) == tag]
-    return {"points": points, "summary": summary, "name": next((n.strip() for n in named if n and n.strip()), None), "activity": next((k.strip() for k in kinds if k and k.strip()), None), "timer": []}
+                    summary.setdefault(field, value * 3.6 if per_second and field in ("moving_kmh", "max_kmh") else value)
+    named = [n for tag in ("trk", "metadata") for e in root.iter() if local(e) == tag if (n := child_text(e, "name")) is not None]
+    name = named[0].strip() if named else ""
+    kinds = [(k.strip(), tag) for tag in ("trk", "rte") for e in root.iter() if local(e) == tag if activity_kind(k := child_text(e, "type"))]
+    activity, tag = kinds[0] if kinds else (None, None)
+    source = {"trk": "gpx_track_type", "rte": "gpx_route_type", None: None}[tag]
+    return {"points": points, "summary": summary, "name": name if name and not is_generic(name) else None, "activity": activity, "activity_source": source, "timer": []}
 
 
 def gpx_point(e: ET.Element, segment: int) -> dict:
@@ -102,19 +165,27 @@ def gpx_point(e: ET.Element, segment: int) -> dict:
 def tcx(data: bytes) -> dict:
     root = xml_root(data)
     points, laps = [], [e for e in root.iter() if local(e) == "Lap"]
+    parent = {c: p for p in root.iter() for c in p}
     for k, lap in enumerate(laps):
         for e in (x for x in lap.iter() if local(x) == "Trackpoint"):
             where = next((c for c in e if local(c) == "Position"), None)
             lat, lon = (None, None) if where is None else (number(child_text(where, "latitudedegrees")), number(child_text(where, "longitudedegrees")))
-            points.append(point(*place(lat, lon), number(child_text(e, "altitudemeters")), child_text(e, "time"), k))
+            tpx = [x for x in e.iter() if x.tag == "{" + SENSORS + "}TPX"]
+            sensors = {n: next((v for t in tpx for x in t.iter() if local(x) == tag if (v := number(x.text)) is not None), None) for n, tag in (("speed_mps", "Speed"), ("cadence", "RunCadence"), ("watts", "Watts"))}
+            points.append(point(*place(lat, lon), number(child_text(e, "altitudemeters")), child_text(e, "time"), k, **sensors))
     totals = {f: [v for lap in laps if (v := number(child_text(lap, n))) is not None] for f, n in (("total_distance_m", "distancemeters"), ("total_s", "totaltimeseconds"), ("calories", "calories"))}
     summary = {f: sum(v) for f, v in totals.items() if v}
     if top := [v for lap in laps if (v := number(child_text(lap, "maximumspeed"))) is not None]:
         summary["max_kmh"] = max(top) * 3.6
     if "total_s" in summary:
         summary["moving_s"] = summary["total_s"]
-    sport = next((e.get("Sport") for e in root.iter() if local(e) == "Activity" and e.get("Sport")), None)
-    return {"points": points, "summary": summary, "name": None, "activity": sport, "timer": []}
+    sport = None
+    for e in (x for x in root.iter() if local(x) == "Trackpoint"):
+        while e is not None and local(e) != "Activity":
+            e = parent.get(e)
+        if e is not None and (sport := e.get("Sport")):
+            break
+    return {"points": points, "summary": summary, "name": None, "activity": sport, "activity_source": sport and "tcx_activity_sport", "timer": []}
 
 
 #: FIT base types (size, struct code, invalid value), and seconds from 1970 to the format's epoch.
@@ -123,10 +194,12 @@ FIT_EPOCH = 631065600
 #: FIT messages and of each the fields that are read, with scale and offset.
 FIT_FIELDS = {
     20: {253: ("time", 1, 0), 0: ("lat", 1, 0), 1: ("lon", 1, 0), 2: ("altitude", 5, 500), 78: ("enhanced_altitude", 5, 500)},
-    18: {5: ("sport", 1, 0), 9: ("total_distance_m", 100, 0), 7: ("total_s", 1000, 0), 8: ("moving_s", 1000, 0), 14: ("average_mps", 1000, 0), 15: ("max_mps", 1000, 0), 22: ("gain_m", 1, 0), 23: ("loss_m", 1, 0)},
+    18: {5: ("sport", 1, 0), 6: ("sub_sport", 1, 0), 9: ("total_distance_m", 100, 0), 7: ("total_s", 1000, 0), 8: ("moving_s", 1000, 0), 14: ("average_mps", 1000, 0), 15: ("max_mps", 1000, 0), 22: ("gain_m", 1, 0), 23: ("loss_m", 1, 0)},
     21: {253: ("time", 1, 0), 0: ("event", 1, 0), 1: ("event_type", 1, 0)},
     19: {2: ("start", 1, 0)},
 }
+#: FIT codes of sports that the activity names know.
+FIT_SPORTS = {1: "running", 2: "cycling", 5: "swimming", 11: "walking", 15: "rowing", 17: "hiking", 22: "motorcycling", 24: "driving", 41: "kayaking"}
 FIT_ACTIONS = {0: "start", 1: "stop", 4: "stop", 8: "stop", 9: "stop"}
 
 
@@ -173,14 +246,16 @@ def degrees(value: float | None, most: float) -> float | None:
 
 
 def fit(data: bytes) -> dict:
-    points, summary, timer, laps, sport = [], {}, [], [], None
+    points, summary, timer, laps, sport, source = [], {}, [], [], None, None
     for kind, m in fit_messages(data):
         when = m["time"] + FIT_EPOCH if "time" in m else None
         if kind == 20:
             lat, lon = place(degrees(m.get("lat"), 90), degrees(m.get("lon"), 180))
             points.append(point(lat, lon, m.get("enhanced_altitude", m.get("altitude")), None, 0, None, ts_ms=None if when is None else when * 1000))
         elif kind == 18 and not summary:
-            sport = str(m["sport"]) if "sport" in m else None
+            which = "sport" if "sport" in m else "sub_sport"
+            sport = FIT_SPORTS.get(m[which], str(m[which])) if which == "sport" and which in m else str(m[which]) if which in m else None
+            source = f"fit_session_{which}" if sport else None
             summary = {k: float(m[k]) for k in ("total_distance_m", "total_s", "moving_s", "gain_m", "loss_m") if k in m}
             summary |= {k: m[s] * 3.6 for k, s in (("average_kmh", "average_mps"), ("max_kmh", "max_mps")) if s in m}
         elif kind == 21 and m.get("event") == 0 and m.get("event_type") in FIT_ACTIONS and when is not None:
@@ -195,26 +270,34 @@ def fit(data: bytes) -> dict:
                 breaks.append(e["ts_ms"])
             stopped = e["action"] == "stop"
         inside = [b for b in breaks if times[0] <= b <= times[-1]]
-        firsts = {next(k for k, p in enumerate(points) if p["ts_ms"] is not None and p["ts_ms"] >= b) for b in inside if any(t >= b for t in times)} - {0}
+        firsts = set()
+        for b in inside:
+            k = next(k for k, p in enumerate(points) if p["ts_ms"] is not None and p["ts_ms"] >= b)
+            while k and points[k - 1]["ts_ms"] is None:  # records without a time belong to what follows
+                k -= 1
+            firsts.add(k)
+        firsts -= {0}
         segment = 0
         for k, p in enumerate(points):
             segment += k in firsts
-            p["segment"] = segment
-    return {"points": points, "summary": summary, "name": None, "activity": sport, "timer": timer}
+            p["segment"] = p["phys"] = segment
+    return {"points": points, "summary": summary, "name": None, "activity": sport, "activity_source": source, "timer": timer}
 
 
-def route(path: str) -> str | None:
-    """The format that a file's extension names."""
-    return {"gpx": "gpx", "xml": "gpx", "tcx": "tcx", "fit": "fit"}.get(path.rpartition(".")[2].lower())
+def route(path: str, media: str = "") -> str | None:
+    """The format that a file's extension names, else its media type."""
+    kind = {"gpx": "gpx", "xml": "gpx", "tcx": "tcx", "fit": "fit"}.get(path.rpartition(".")[2].lower())
+    return kind or next((f for word, f in (("gpx", "gpx"), ("tcx", "tcx"), ("fit", "fit"), ("xml", "gpx")) if word in media.lower()), None)
 
 
 def parse(path: str, data: bytes) -> dict:
     """A file's record, or one with an error and no points."""
     kind = route(path)
-    empty = {"points": [], "summary": {}, "name": None, "activity": None, "timer": []}
+    empty = {"points": [], "summary": {}, "name": None, "activity": None, "activity_source": None, "activity_kind": None, "timer": []}
     if kind is None:
         return empty | {"format": None, "error": "unsupported_format"}
     try:
-        return {"gpx": gpx, "tcx": tcx, "fit": fit}[kind](data) | {"format": kind, "error": None}
+        found = {"gpx": gpx, "tcx": tcx, "fit": fit}[kind](data)
+        return found | {"format": kind, "error": None, "name": found["name"] or stem(path), "activity_kind": activity_kind(found["activity"])}
     except BadTrack as e:
         return empty | {"format": kind, "error": str(e)}
