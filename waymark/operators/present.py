@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import values
@@ -66,10 +66,26 @@ def viewport(points: DataFrame, width: int = 720, height: int = 430, padding: in
     return points.select("track_id", "seq", (padding + place("lon", width)).alias("x"), (height - padding - place("lat", height)).alias("y"))
 
 
+#: The tiles in order: name, unit, the first of these columns that a summary has, and how it is written.
+TILES = [
+    ("distance", "m", ("total_distance_m",), values.kilometres), ("moving-time", "s", ("moving_s",), values.clock), ("stopped-time", "s", ("stopped_s",), values.clock),
+    ("total-time", "s", ("total_s",), values.clock), ("average-speed", "km/h", ("average_kmh",), values.speed_text), ("moving-speed", "km/h", ("moving_kmh", "average_kmh"), values.speed_text),
+    ("max-speed", "km/h", ("max_kmh",), values.speed_text), ("elevation-gain", "m", ("gain_m",), values.metres_text), ("elevation-loss", "m", ("loss_m",), values.metres_text),
+    ("min-elevation", "m", ("min_ele",), values.metres_text), ("max-elevation", "m", ("max_ele",), values.metres_text), ("elevation-range", "m", ("range_m",), values.metres_text),
+]
+
+
 def metric_tiles(summary: DataFrame) -> DataFrame:
-    """Rows track_id, metric, unit, value, text: a summary row unpivoted into tiles."""
-    tiles = [("distance", "m", "total_distance_m", values.kilometres), ("duration", "s", "total_s", values.clock), ("average_speed", "km/h", "average_kmh", values.speed_text), ("max_speed", "km/h", "max_kmh", values.speed_text), ("gain", "m", "gain_m", values.metres_text), ("loss", "m", "loss_m", values.metres_text)]
-    one = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.col(c).cast("double").alias("value"), f(F.col(c).cast("double")).alias("text")) for m, u, c, f in tiles]
+    """Rows track_id, metric, unit, value, text: a summary row as twelve tiles. Each takes the first column that isn't null; what
+    a summary lacks is null, a dash. The range is that of the extrema where the summary has none."""
+    if "range_m" not in summary.columns and {"min_ele", "max_ele"} <= set(summary.columns):
+        summary = summary.withColumn("range_m", F.col("max_ele") - F.col("min_ele"))
+    has = set(summary.columns)
+
+    def value(columns: tuple[str, ...]) -> Column:
+        return F.coalesce(*(F.col(c).cast("double") for c in columns if c in has), F.lit(None).cast("double"))
+
+    one = [F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), value(c).alias("value"), f(value(c)).alias("text")) for m, u, c, f in TILES]
     return summary.select("track_id", F.explode(F.array(*one)).alias("t")).select("track_id", "t.*")
 
 

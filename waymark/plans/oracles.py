@@ -258,13 +258,23 @@ ORACLE_SQL = {
             (SELECT *, min(lon) OVER w AS a, max(lon) OVER w AS b, min(lat) OVER w AS c, max(lat) OVER w AS d FROM pts WINDOW w AS (PARTITION BY track_id))""",
         SPARSE,
     ),
-    "geojson_lines": sql("SELECT track_id, CAST(count(*) AS INT) AS n, round(min_by(lon, seq), 6) AS first_lon, round(max_by(lat, seq), 6) AS last_lat FROM pts GROUP BY track_id HAVING count(*) >= 2", SPARSE),
+    "geojson_lines": sql(
+        "SELECT track_id, 'LineString' AS type, CAST(row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS INT) AS k, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM pts) WHERE n >= 2", SPARSE
+    ),
     "number_parsing": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 6) END AS value FROM orders",
-    "formatters": "SELECT o_orderkey, printf('%d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60) AS clock FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)",
-    "metric_tiles": sql(
-        """SELECT track_id, 'duration' AS metric, 's' AS unit, round(s, 6) AS value, printf('%d:%02d:%02d', w // 3600, w % 3600 // 60, w % 60) AS text FROM q UNION ALL SELECT track_id, 'gain', 'm', NULL, '—' FROM q""",
-        SPARSE, "q0 AS (SELECT track_id, sum(ms) / 1000e0 AS s FROM (SELECT track_id, segment, max(ts_ms) - min(ts_ms) AS ms FROM pts GROUP BY ALL) GROUP BY track_id)", "q AS (SELECT *, CAST(floor(s + 0.5) AS BIGINT) AS w FROM q0)",
+    "formatters": """SELECT o_orderkey, coalesce(printf('%d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60), '—') AS clock, coalesce(printf('%d.%d km', (v + 50) // 1000, (v + 50) // 100 % 10), '—') AS kilometres,
+        coalesce(printf('%d.0 km/h', v), '—') AS speed_text, coalesce(printf('%d.0 m', v), '—') AS metres_text FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)""",
+    "time_parsing": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t + 250 - 7200000 WHEN 3 THEN t + 5400000 END AS ts_ms,
+        CASE o_orderkey % 7 WHEN 1 THEN 'missing' WHEN 4 THEN 'invalid' WHEN 5 THEN 'none' WHEN 6 THEN 'none' ELSE 'explicit' END AS zone FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 * 1000 AS t FROM orders)""",
+    "period_label": sql(
+        """SELECT track_id, CASE WHEN a IS NULL THEN NULL WHEN CAST(a AS DATE) = CAST(b AS DATE) THEN strftime(a, '%-d %b %Y') WHEN year(a) = year(b) AND month(a) = month(b) THEN strftime(a, '%-d') || '–' || strftime(b, '%-d %b %Y')
+            WHEN year(a) = year(b) THEN strftime(a, '%-d %b') || ' – ' || strftime(b, '%-d %b %Y') ELSE strftime(a, '%-d %b %Y') || ' – ' || strftime(b, '%-d %b %Y') END AS label
+            FROM (SELECT track_id, epoch_ms(min(t)) AS a, epoch_ms(max(t)) AS b FROM q GROUP BY track_id)""",
+        SPARSE,
+        "q AS (SELECT track_id, CASE WHEN track_id % 4 <> 3 OR track_id % 8 = 7 THEN ts_ms END AS t FROM pts WHERE track_id % 4 IN (0, 3) OR (track_id % 4 = 1 AND seq <= 3) OR (track_id % 4 = 2 AND seq <= 1))",
     ),
+    "analysis_modes": """SELECT DISTINCT user_id AS track_id, 'recomputed_filtered,recomputed_raw' || CASE WHEN user_id % 3 = 0 THEN ',recomputed_terrain' ELSE '' END || CASE WHEN user_id % 2 = 0 THEN ',imported_summary' ELSE '' END AS modes,
+        CASE WHEN user_id % 3 = 0 THEN 'recomputed_terrain' ELSE 'recomputed_filtered' END AS default_mode FROM events""",
 }
 
 SUMMARY = """SELECT track_id, n_points, round(m, 6) AS total_distance_m, round(s, 6) AS total_s, round(nominal_s, 6) AS nominal_s,
@@ -401,3 +411,16 @@ ORACLE_SQL["route_colours"] = sql(
     "col AS (SELECT track_id, seq, printf('#%02x%02x%02x', CAST(floor(37 + 183 * t + 0.5) AS BIGINT), CAST(floor(99 - 61 * t + 0.5) AS BIGINT), CAST(floor(235 - 197 * t + 0.5) AS BIGINT)) AS c FROM t)",
     "u AS (SELECT p.track_id, p.seq, c FROM pts p LEFT JOIN col ON p.track_id = col.track_id AND p.seq = col.seq)",
 )
+
+_TENTH = lambda x: f"printf('%d.%d', CAST(floor(({x}) * 10 + 0.5) AS BIGINT) // 10, CAST(floor(({x}) * 10 + 0.5) AS BIGINT) % 10)"
+_CLOCK = "printf('%d:%02d:%02d', CAST(floor(total_s + 0.5) AS BIGINT) // 3600, CAST(floor(total_s + 0.5) AS BIGINT) % 3600 // 60, CAST(floor(total_s + 0.5) AS BIGINT) % 60)"
+_TILES = [
+    ("distance", "m", "total_distance_m", f"{_TENTH('total_distance_m / 1000')} || ' km'"), ("moving-time", "s", "NULL", "NULL"), ("stopped-time", "s", "NULL", "NULL"), ("total-time", "s", "total_s", _CLOCK),
+    ("average-speed", "km/h", "average_kmh", f"{_TENTH('average_kmh')} || ' km/h'"), ("moving-speed", "km/h", "average_kmh", f"{_TENTH('average_kmh')} || ' km/h'"), ("max-speed", "km/h", "max_kmh", f"{_TENTH('max_kmh')} || ' km/h'"),
+    ("elevation-gain", "m", "NULL", "NULL"), ("elevation-loss", "m", "NULL", "NULL"), ("min-elevation", "m", "min_ele", f"{_TENTH('min_ele')} || ' m'"), ("max-elevation", "m", "max_ele", f"{_TENTH('max_ele')} || ' m'"),
+    ("elevation-range", "m", "max_ele - min_ele", f"{_TENTH('max_ele - min_ele')} || ' m'"),
+]
+ORACLE_SQL["metric_tiles"] = (
+    f"WITH s AS (SELECT a.*, e.min_ele, e.max_ele FROM ({ORACLE_SQL['track_summary']}) a JOIN (SELECT user_id AS track_id, min(value) AS min_ele, max(value) AS max_ele FROM events GROUP BY user_id) e ON a.track_id = e.track_id) "
+    + " UNION ALL ".join(f"SELECT track_id, '{m}' AS metric, '{u}' AS unit, CAST(round({v}, 6) AS DOUBLE) AS value, coalesce({t}, '—') AS text FROM s" for m, u, v, t in _TILES)
+)

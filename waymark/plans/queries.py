@@ -378,9 +378,9 @@ def midpoint_values(spark, sf_dir):
 
 @query
 def geojson_lines(spark, sf_dir):
-    g = present.geojson(sparse_points(spark, sf_dir))
     line = F.from_json("geojson", "type string, coordinates array<array<double>>")
-    return g.select("track_id", F.size(line["coordinates"]).alias("n"), line["coordinates"][0][0].alias("first_lon"), F.element_at(F.element_at(line["coordinates"], -1), 2).alias("last_lat"))
+    g = present.geojson(sparse_points(spark, sf_dir)).select("track_id", line["type"].alias("type"), F.posexplode(line["coordinates"]).alias("k", "c"))
+    return g.select("track_id", "type", "k", F.col("c")[0].alias("lon"), F.col("c")[1].alias("lat"))
 
 
 @query
@@ -391,14 +391,38 @@ def number_parsing(spark, sf_dir):
 
 @query
 def formatters(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.floor("o_totalprice").cast("double").alias("v"))
-    return p.select("o_orderkey", values.clock(F.col("v")).alias("clock"))
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.floor("o_totalprice").cast("double")).alias("v"))
+    return p.select("o_orderkey", *(f(F.col("v")).alias(f.__name__) for f in (values.clock, values.kilometres, values.speed_text, values.metres_text)))
+
+
+@query
+def time_parsing(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("o_orderkey") % 7
+    text = F.when(kind == 0, F.concat(day, F.lit("Z"))).when(kind == 1, day).when(kind == 2, F.concat(day, F.lit(".250+02:00"))).when(kind == 3, F.concat(F.lit(" "), day, F.lit("-0130 "))).when(kind == 4, "soon").when(kind == 5, "")
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.alias("t"))
+    return p.select("o_orderkey", values.timestamp_ms(F.col("t")).alias("ts_ms"), values.zone_status(F.col("t")).alias("zone"))
+
+
+@query
+def period_label(spark, sf_dir):
+    p = sparse_points(spark, sf_dir)
+    kind = F.col("track_id") % 4
+    return present.period_label(p.filter((kind == 0) | ((kind == 1) & (F.col("seq") <= 3)) | ((kind == 2) & (F.col("seq") <= 1)) | (kind == 3)).withColumn("ts_ms", F.when((kind != 3) | (F.col("track_id") % 8 == 7), F.col("ts_ms"))))
+
+
+@query
+def analysis_modes(spark, sf_dir):
+    t = sparse_points(spark, sf_dir).select("track_id").distinct()
+    stated = F.when(F.col("track_id") % 2 == 0, F.create_map(F.lit("gain_m"), F.lit(1.0)))
+    m = diagnostics.modes(t.withColumns({"elevation_source": F.when(F.col("track_id") % 3 == 0, "terrain").when(F.col("track_id") % 3 == 1, "gpx"), "summary": stated}))
+    return m.withColumn("modes", F.array_join("modes", ","))
 
 
 @query
 def metric_tiles(spark, sf_dir):
-    s = track_summary(sparse_points(spark, sf_dir)).select("track_id", "total_distance_m", "total_s", "average_kmh", "max_kmh").withColumns({"gain_m": F.lit(None).cast("double"), "loss_m": F.lit(None).cast("double")})
-    return present.metric_tiles(s).filter("metric in ('duration', 'gain')")
+    s = track_summary(sparse_points(spark, sf_dir)).join(elevation.raw_extrema(sparse_points(spark, sf_dir)), "track_id")
+    return present.metric_tiles(s)
 
 
 @query
