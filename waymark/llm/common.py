@@ -42,7 +42,7 @@ def staged(df: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
     STAGED.append(path)
