@@ -111,7 +111,7 @@ def test_nearest_sample_takes_the_left_of_two(spark):
 
 def test_values(spark):
     df = spark.createDataFrame([(t,) for t in [" 12.5 ", "1e3", "0x10", "", "abc", "Infinity", None]], "t string")
-    assert [r[0] for r in df.select(values.number(F.col("t"))).collect()] == [12.5, 1000, 16, None, None, None, None]
+    assert [r[0] for r in df.select(values.number(F.col("t"))).collect()] == [12.5, 1000, 16, 0, None, None, None]
     df = spark.createDataFrame([(t,) for t in ["2024-05-25T08:00:00Z", "2024-05-25T08:00:00", "2024-05-25T10:00:00+02:00", "2024-05-25T10:00:00.250+0200", "soon", "", None]], "t string")
     got = [tuple(r) for r in df.select(values.timestamp_ms(F.col("t")), values.zone_status(F.col("t"))).collect()]
     assert got == [(T0, "explicit"), (T0, "missing"), (T0, "explicit"), (T0 + 250, "explicit"), (None, "invalid"), (None, "none"), (None, "none")]

@@ -3,6 +3,7 @@
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 from waymark.operators import series
 from waymark.plans.summary import track_summary
 from waymark.sources.files import apply_terrain, points_of, read_files, tracks_of, with_imported, without_flat_times, without_synthetic_times, without_zero_elevations
@@ -113,7 +114,7 @@ def test_terrain_is_all_or_nothing(spark):
     assert {(r.track_id, r.seq): (r.ele, r.ele_source) for r in apply_terrain(p, terrain).collect()} == {("t", 1): (5, "gpx"), ("t", 2): (6, "gpx"), ("u", 1): (70, "terrain")}
 
 
-@pytest.mark.parametrize(("operator", "rows"), [(sessions, 3), (bounds_by_window, 3)])
+@pytest.mark.parametrize(("operator", "rows"), [(sessions, [("t", "08:00", 3), ("t", "08:10", 2)]), (bounds_by_window, [("t", "08:00", 3), ("t", "08:10", 2), ("t", "08:40", 1)])])
 def test_streams(spark, tmp_path, operator, rows):
     data = [("t", f"2024-05-25 08:{m:02d}:00", 43.0 + m / 100, 42.0, 100.0 + m) for m in (0, 1, 2, 10, 11, 40)]
     points = spark.createDataFrame(data, "track_id string, ts string, lat double, lon double, ele double")
@@ -121,5 +122,8 @@ def test_streams(spark, tmp_path, operator, rows):
     stream = spark.readStream.schema("track_id string, ts timestamp, lat double, lon double, ele double").parquet(str(tmp_path / "in"))
     q = operator(stream).writeStream.format("memory").queryName(operator.__name__).outputMode("complete" if operator is bounds_by_window else "append").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.table(operator.__name__).collect()
-    assert sum(r.n_points for r in got) == 6 if operator is bounds_by_window else len(got) >= rows - 1
+    got = [tuple(r) for r in spark.table(operator.__name__).select("track_id", F.date_format("start", "HH:mm"), "n_points").orderBy("start").collect()]
+    assert got == rows
+    if operator is bounds_by_window:
+        first = spark.table(operator.__name__).orderBy("start").first()
+        assert (first.min_lat, first.max_lat, first.min_ele, first.max_ele) == (43, 43.02, 100, 102)

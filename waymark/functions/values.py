@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def number(text: Column) -> Column:
-    """A trimmed decimal, exponent or 0x number; null for anything else, for infinities and for empty texts."""
+    """A trimmed decimal, exponent or 0x number, 0 for an empty text; null for anything else and for infinities."""
     t = F.trim(text)
     plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
     hexed = F.when(t.rlike(r"^0[xX][0-9a-fA-F]{1,15}$"), F.conv(F.substr(t, F.lit(3)), 16, 10).cast("double"))
-    return F.when(F.abs(F.coalesce(plain, hexed)) < float("inf"), F.coalesce(plain, hexed))
+    return F.when(t == "", 0.0).when(F.abs(F.coalesce(plain, hexed)) < float("inf"), F.coalesce(plain, hexed))
 
 
 def timestamp_ms(text: Column) -> Column:
@@ -49,5 +49,18 @@ def metres_text(metres: Column) -> Column:
     return F.when(F.abs(metres) < float("inf"), F.format_string("%.1f m", metres)).otherwise("—")
 
 
+def rounded_metres(metres: Column) -> Column:
+    """Whole metres for an audit, halves up; n/a without a value."""
+    return F.when(F.abs(metres) < float("inf"), F.format_string("%d m", F.floor(metres + 0.5).cast("long"))).otherwise("n/a")
+
+
+def rounded_seconds(seconds: Column) -> Column:
+    return F.when(F.abs(seconds) < float("inf"), F.format_string("%d s", F.floor(seconds + 0.5).cast("long"))).otherwise("n/a")
+
+
+def rounded_count(count: Column) -> Column:
+    return F.when(F.abs(count) < float("inf"), F.floor(count + 0.5).cast("long").cast("string")).otherwise("0")
+
+
 def hex_colour(red: Column, green: Column, blue: Column) -> Column:
     return F.concat(F.lit("#"), *(F.lower(F.lpad(F.hex(F.floor(c + 0.5).cast("long")), 2, "0")) for c in (red, green, blue)))

@@ -21,13 +21,13 @@ def in_order() -> WindowSpec:
 
 
 def with_pairs(points: DataFrame) -> DataFrame:
-    """Every point with its pair to the point before: same_segment, dt (seconds, null if a time is missing), metres.
+    """Every point with its pair to the point before: same_segment, dt (seconds, 0 at least, null if a time is missing), metres.
     The first point of a track has null in all three."""
     before = {c: F.lag(c).over(in_order()) for c in ("lat", "lon", "ts_ms", "segment", "seq")}
     return points.withColumns(
         {
             "same_segment": F.when(before["seq"].isNotNull(), F.col("segment") == before["segment"]),
-            "dt": (F.col("ts_ms") - before["ts_ms"]) / 1000.0,
+            "dt": F.when(F.col("ts_ms") < before["ts_ms"], 0.0).otherwise((F.col("ts_ms") - before["ts_ms"]) / 1000.0),
             "metres": distance(before["lat"], before["lon"], F.col("lat"), F.col("lon")),
         }
     )
@@ -97,15 +97,16 @@ def elapsed(points: DataFrame) -> DataFrame:
 
 
 def sampling(points: DataFrame) -> DataFrame:
-    """Rows track_id, n_points, n_timed, nominal_s, longest_s, mode: dense (nominal interval up to 2 s), regular (15),
-    smart (60), sparse, or untimed."""
+    """Rows track_id, n_points, n_timed, n_intervals, nominal_s, longest_s, mode: dense (nominal interval up to 2 s), regular
+    (15), smart (60), sparse, or untimed; flag of the last two that have times."""
     positive = F.when(F.col("same_segment") & (F.col("dt") > 0), F.col("dt"))
     m = F.col("nominal_s")
     return (
         with_pairs(points)
         .groupBy("track_id")
-        .agg(F.count("*").alias("n_points"), F.count("ts_ms").alias("n_timed"), F.median(positive).alias("nominal_s"), F.max(positive).alias("longest_s"))
+        .agg(F.count("*").alias("n_points"), F.count("ts_ms").alias("n_timed"), F.count(positive).alias("n_intervals"), F.median(positive).alias("nominal_s"), F.max(positive).alias("longest_s"))
         .withColumn("mode", F.when(m.isNull(), "untimed").when(m <= 2, "dense").when(m <= 15, "regular").when(m <= 60, "smart").otherwise("sparse"))
+        .withColumn("flag", F.when(F.col("mode") == "smart", "sampling_smart_recording").when(F.col("mode") == "sparse", "sampling_sparse"))
     )
 
 

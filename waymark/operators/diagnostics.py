@@ -93,7 +93,7 @@ def confidence(points: DataFrame) -> DataFrame:
     ranks = activity_candidates(points).groupBy("track_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     rows = shape.join(switches, "track_id").join(ranks, "track_id").join(primary, "track_id", "left")
     p = lambda test, code, value: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(value).alias("value")))
-    penalties = F.array_compact(
+    penalties = F.array_compact(  # fixed values: codes and weights
         F.array(
             p(F.col("switches") >= 4, "source_switch_fragmentation", 0.10),
             p((F.col("runs") >= 4) & (F.col("short") >= 0.5 * F.col("runs")), "many_short_elevation_runs", 0.10),

@@ -105,6 +105,37 @@ def activity(points: DataFrame) -> DataFrame:
     return out.withColumn("activity", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))
 
 
+def without_raw_outliers(run_points: DataFrame) -> DataFrame:
+    """The runs with raw_outlier (first, last, interior or null), and ele replaced there, before anything is resampled.
+
+    An end goes to the lower median of its three neighbours (two at least) that lie within half the floor, if it is off by
+    more than max(4 floor, 50 m), and the way to it is too steep (0.35, or 1.2 m/s) or has neither length nor time. A point
+    inside goes to that of the two on either side, if these lie within max(1 m, the step across it) and it is off them and
+    both neighbours by more than max(60 m, 4 floor), and by four times that step. The floor is hampel's."""
+    w = run_order()
+    n = F.max("i").over(whole_run())
+    floor = F.least(F.lit(12.0), F.greatest(F.lit(4.0), 0.15 * (F.max("ele").over(whole_run()) - F.min("ele").over(whole_run()))))
+    names = {f"_{side}{k}": f("ele", k).over(w) for side, f in (("back", F.lag), ("ahead", F.lead)) for k in (1, 2, 3)}
+    rows = run_points.withColumns(names | {"_n": n, "_floor": floor, "_next_m": F.lead("metres").over(w), "_next_s": F.lead("dt").over(w)})
+    is_first, ele = F.col("i") == 1, F.col("ele")
+    near = F.sort_array(F.array_compact(F.when(is_first, F.array(*(f"_ahead{k}" for k in (1, 2, 3)))).otherwise(F.array(*(f"_back{k}" for k in (1, 2, 3))))))
+    rows = rows.withColumns({"_near": near, "_way": F.when(is_first, F.col("_next_m")).otherwise(F.col("metres")), "_time": F.abs(F.when(is_first, F.col("_next_s")).otherwise(F.col("dt")))})
+    rows = rows.withColumn("_end", lower_of(F.col("_near"), 0.5)).withColumn("_off", F.abs(ele - F.col("_end")))
+    step = F.greatest(F.abs(ele - F.when(is_first, F.col("_ahead1")).otherwise(F.col("_back1"))), F.col("_off"))
+    grade, climb = F.when(F.col("_way") > 0, F.try_divide(step, "_way")), F.when(F.col("_time") > 0, F.try_divide(step, "_time"))
+    steep = F.coalesce(grade >= 0.35, F.lit(False)) | F.coalesce(climb >= 1.2, F.lit(False)) | (grade.isNull() & climb.isNull())
+    calm = (F.size("_near") >= 2) & (F.element_at("_near", -1) - F.get("_near", F.lit(0)) <= F.col("_floor") / 2)
+    end = (F.col("_n") >= 3) & (is_first | (F.col("i") == F.col("_n"))) & calm & steep & (F.col("_off") > F.greatest(4 * F.col("_floor"), F.lit(50.0)))
+    four = F.sort_array(F.array("_back2", "_back1", "_ahead1", "_ahead2"))
+    across, least = F.abs(F.col("_back1") - F.col("_ahead1")), F.greatest(F.lit(60.0), 4 * F.col("_floor"))
+    alone = (F.abs(ele - four[1]) > least) & (F.abs(ele - F.col("_back1")) > least) & (F.abs(ele - F.col("_ahead1")) > least) & (F.abs(ele - four[1]) > 4 * across)
+    inside = (F.col("i") >= 3) & (F.col("i") <= F.col("_n") - 2) & (four[3] - four[0] <= F.greatest(F.lit(1.0), across)) & alone
+    kind = F.when(F.coalesce(end, F.lit(False)), F.when(is_first, "first").otherwise("last")).when(F.coalesce(inside, F.lit(False)), "interior")
+    rows = rows.withColumn("raw_outlier", kind)
+    new = F.when(F.col("raw_outlier") == "interior", four[1]).when(F.col("raw_outlier").isNotNull(), F.col("_end")).otherwise(ele)
+    return rows.withColumn("ele", new).select(*run_points.columns, "raw_outlier")
+
+
 def resample(run_points: DataFrame, step_m: float | Column = 10.0) -> DataFrame:
     """Rows track_id, run, i, d, ele: each run at d = 0, step, 2 step, ... and its full length, elevations interpolated by
     distance. A run without length gives its last point. Each interval between points is exploded into the marks that it
@@ -246,7 +277,7 @@ def profile(points: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """Samples with run, i, d, ele, clean, smooth, sigma and their track's settings (of defaults), spaced by its activity:
     the chain up to gain and loss."""
     settings = defaults(points) if settings is None else settings
-    samples = resample(runs(points).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
+    samples = resample(without_raw_outliers(runs(points)).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
     return local_sigma(smooth(replace_endpoints(hampel(samples.join(settings, "track_id")))))
 
 

@@ -28,7 +28,7 @@ pts AS (SELECT track_id, CAST(seq AS INT) AS seq, CAST(run * 1000 AS BIGINT) AS
 JITTERED = DENSE.replace("43 + seq * 3e-5 + CASE WHEN e % 97 = 0 THEN 0.01e0 ELSE 0e0 END AS lat", "43 + floor(seq / 7) * 3e-5 + seq % 2 * 1e-6 AS lat")
 PAIRS = f"""lagged AS (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lag(ts_ms) OVER w AS p_ts, lag(segment) OVER w AS p_seg, lag(seq) OVER w AS p_seq, lag(ele) OVER w AS p_ele,
     lag(ele_source) OVER w AS p_source FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
-pairs AS (SELECT *, CASE WHEN p_seq IS NOT NULL THEN segment = p_seg END AS same_segment, (ts_ms - p_ts) / 1000e0 AS dt, {dist("p_", "")} AS metres FROM lagged)"""
+pairs AS (SELECT *, CASE WHEN p_seq IS NOT NULL THEN segment = p_seg END AS same_segment, CASE WHEN ts_ms < p_ts THEN 0e0 ELSE (ts_ms - p_ts) / 1000e0 END AS dt, {dist("p_", "")} AS metres FROM lagged)"""
 GAPS = """medians AS (SELECT track_id, count(dt) FILTER (same_segment AND dt > 0) AS n_gaps, median(dt) FILTER (same_segment AND dt > 0) AS median_gap_s, max(dt) FILTER (same_segment AND dt > 0) AS longest_s FROM pairs GROUP BY track_id),
 thresholds AS (SELECT *, CASE WHEN median_gap_s <= 10 THEN greatest(5 * median_gap_s, 30e0) WHEN median_gap_s > 10 THEN greatest(3 * median_gap_s, 120e0) END AS threshold_s FROM medians),
 gapped AS (SELECT p.*, median_gap_s, threshold_s, coalesce(same_segment AND dt > threshold_s, false) AS is_gap FROM pairs p JOIN thresholds USING (track_id)),
@@ -100,8 +100,8 @@ ORACLE_SQL = {
         SPARSE, "s AS (SELECT track_id, segment, max(ts_ms) - min(ts_ms) AS ms FROM pts GROUP BY ALL)",
     ),
     "recording_mode": sql(
-        f"""SELECT track_id, n_points, n_timed, {r('nominal_s', 'longest_s')}, CASE WHEN nominal_s IS NULL THEN 'untimed' WHEN nominal_s <= 2 THEN 'dense' WHEN nominal_s <= 15 THEN 'regular'
-            WHEN nominal_s <= 60 THEN 'smart' ELSE 'sparse' END AS mode FROM (SELECT track_id, count(*) AS n_points, count(ts_ms) AS n_timed, median(dt) FILTER (same_segment AND dt > 0) AS nominal_s, max(dt) FILTER (same_segment AND dt > 0) AS longest_s FROM pairs GROUP BY track_id)""",
+        f"""SELECT track_id, n_points, n_timed, n_intervals, {r('nominal_s', 'longest_s')}, CASE WHEN nominal_s > 60 THEN 'sampling_sparse' WHEN nominal_s > 15 THEN 'sampling_smart_recording' END AS flag, CASE WHEN nominal_s IS NULL THEN 'untimed' WHEN nominal_s <= 2 THEN 'dense' WHEN nominal_s <= 15 THEN 'regular'
+            WHEN nominal_s <= 60 THEN 'smart' ELSE 'sparse' END AS mode FROM (SELECT track_id, count(*) AS n_points, count(ts_ms) AS n_timed, count(*) FILTER (same_segment AND dt > 0) AS n_intervals, median(dt) FILTER (same_segment AND dt > 0) AS nominal_s, max(dt) FILTER (same_segment AND dt > 0) AS longest_s FROM pairs GROUP BY track_id)""",
         DENSE, PAIRS,
     ),
     "distance_series": sql(f"SELECT track_id, seq, span, {r('distance_m')} FROM route", SPARSE, *ROUTED),
@@ -263,7 +263,8 @@ ORACLE_SQL = {
     ),
     "number_parsing": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 6) END AS value FROM orders",
     "formatters": """SELECT o_orderkey, coalesce(printf('%d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60), '—') AS clock, coalesce(printf('%d.%d km', (v + 50) // 1000, (v + 50) // 100 % 10), '—') AS kilometres,
-        coalesce(printf('%d.0 km/h', v), '—') AS speed_text, coalesce(printf('%d.0 m', v), '—') AS metres_text FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)""",
+        coalesce(printf('%d.0 km/h', v), '—') AS speed_text, coalesce(printf('%d.0 m', v), '—') AS metres_text,
+        coalesce(printf('%d m', v), 'n/a') AS rounded_metres, coalesce(printf('%d s', v), 'n/a') AS rounded_seconds, coalesce(printf('%d', v), '0') AS rounded_count FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)""",
     "time_parsing": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t + 250 - 7200000 WHEN 3 THEN t + 5400000 END AS ts_ms,
         CASE o_orderkey % 7 WHEN 1 THEN 'missing' WHEN 4 THEN 'invalid' WHEN 5 THEN 'none' WHEN 6 THEN 'none' ELSE 'explicit' END AS zone FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 * 1000 AS t FROM orders)""",
     "period_label": sql(
@@ -424,3 +425,20 @@ ORACLE_SQL["metric_tiles"] = (
     f"WITH s AS (SELECT a.*, e.min_ele, e.max_ele FROM ({ORACLE_SQL['track_summary']}) a JOIN (SELECT user_id AS track_id, min(value) AS min_ele, max(value) AS max_ele FROM events GROUP BY user_id) e ON a.track_id = e.track_id) "
     + " UNION ALL ".join(f"SELECT track_id, '{m}' AS metric, '{u}' AS unit, CAST(round({v}, 6) AS DOUBLE) AS value, coalesce({t}, '—') AS text FROM s" for m, u, v, t in _TILES)
 )
+ORACLE_SQL["stated_summaries"] = f"""WITH s AS (SELECT a.track_id, CASE WHEN a.track_id % 2 = 0 THEN total_distance_m END AS d, CASE WHEN a.track_id % 3 <> 0 THEN total_s END AS t, CASE WHEN a.track_id % 3 = 1 THEN total_s / 2 END AS mv,
+        CASE WHEN a.track_id % 4 = 1 THEN max_kmh END AS mx, CASE WHEN a.track_id % 5 <> 0 THEN e.lo END AS lo, CASE WHEN a.track_id % 7 <> 0 THEN e.hi END AS hi
+        FROM ({ORACLE_SQL["track_summary"]}) a JOIN (SELECT user_id AS track_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY user_id) e ON a.track_id = e.track_id)
+    SELECT track_id, round(d, 6) AS total_distance_m, CAST(NULL AS DOUBLE) AS total_distance_3d_m, round(t, 6) AS total_s, round(mv, 6) AS moving_s, round(greatest(0e0, t - mv), 6) + CASE WHEN mv IS NULL THEN NULL ELSE 0e0 END AS stopped_s,
+        round(CASE WHEN d > 0 AND t > 0 THEN d / t * 3.6 END, 6) AS average_kmh, round(CASE WHEN d > 0 AND mv > 0 THEN d / mv * 3.6 END, 6) AS moving_kmh, round(mx, 6) AS max_kmh, CAST(NULL AS DOUBLE) AS gain_m, CAST(NULL AS DOUBLE) AS loss_m,
+        round(lo, 6) AS min_ele, round(hi, 6) AS max_ele, round(CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN greatest(0e0, hi - lo) END, 6) AS range_m FROM s"""
+ORACLE_SQL["raw_outliers"] = sql(
+    """SELECT track_id, seq, run, i, round(CASE WHEN kind = 'interior' THEN four[2] ELSE est END, 6) AS ele, kind AS raw_outlier FROM (SELECT *, CASE
+        WHEN n >= 3 AND (i = 1 OR i = n) AND len(near) >= 2 AND near[len(near)] - near[1] <= fl / 2 AND abs(ele - est) > greatest(4 * fl, 50e0) AND (coalesce(way > 0 AND st / way >= 0.35, false) OR coalesce(tm > 0 AND st / tm >= 1.2, false)
+            OR (NOT coalesce(way > 0, false) AND NOT coalesce(tm > 0, false))) THEN CASE WHEN i = 1 THEN 'first' ELSE 'last' END
+        WHEN i BETWEEN 3 AND n - 2 AND four[4] - four[1] <= greatest(1e0, abs(b1 - a1)) AND least(abs(ele - four[2]), abs(ele - b1), abs(ele - a1)) > greatest(60e0, 4 * fl) AND abs(ele - four[2]) > 4 * abs(b1 - a1) THEN 'interior' END AS kind FROM z) WHERE kind IS NOT NULL""",
+    _ONE_SOURCE.replace("END END AS ele", "END - CASE WHEN track_id % 2 = 0 AND seq % 40 = 1 THEN 90e0 ELSE 0e0 END END AS ele"), *RUNNING,
+    """x AS (SELECT *, count(*) OVER (PARTITION BY track_id, run) AS n, least(12e0, greatest(4e0, 0.15 * (max(ele) OVER (PARTITION BY track_id, run) - min(ele) OVER (PARTITION BY track_id, run)))) AS fl,
+        lag(ele) OVER w AS b1, lag(ele, 2) OVER w AS b2, lag(ele, 3) OVER w AS b3, lead(ele) OVER w AS a1, lead(ele, 2) OVER w AS a2, lead(ele, 3) OVER w AS a3, lead(metres) OVER w AS nm, lead(dt) OVER w AS ns FROM runs WINDOW w AS (PARTITION BY track_id, run ORDER BY i))""",
+    """y AS (SELECT *, list_sort(list_filter(CASE WHEN i = 1 THEN [a1, a2, a3] ELSE [b1, b2, b3] END, lambda q: q IS NOT NULL)) AS near, list_sort([b2, b1, a1, a2]) AS four, CASE WHEN i = 1 THEN nm ELSE metres END AS way, abs(CASE WHEN i = 1 THEN ns ELSE dt END) AS tm FROM x)""",
+    "z AS (SELECT *, near[(len(near) - 1) // 2 + 1] AS est, greatest(abs(ele - CASE WHEN i = 1 THEN a1 ELSE b1 END), abs(ele - near[(len(near) - 1) // 2 + 1])) AS st FROM y)",
+)

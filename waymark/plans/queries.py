@@ -12,6 +12,7 @@ from waymark.functions import stats, values
 from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
 from waymark.plans import oracles
 from waymark.plans.summary import analyse, track_summary
+from waymark.sources.files import stated_summary
 from waymark.sources.tables import dense_points, sparse_points, supplier_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,6 +230,12 @@ def resample_grid(spark, sf_dir):
     return elevation.resample(elevation.runs(dense_points(spark, sf_dir)), 10.0)
 
 
+@query
+def raw_outliers(spark, sf_dir):
+    p = dense_points(spark, sf_dir).drop("ele_source").withColumn("ele", F.col("ele") - F.when((F.col("track_id") % 2 == 0) & (F.col("seq") % 40 == 1), 90.0).otherwise(0.0))
+    return elevation.without_raw_outliers(elevation.runs(p)).filter("raw_outlier is not null").select("track_id", "seq", "run", "i", "ele", "raw_outlier")
+
+
 @query
 def hampel_outliers(spark, sf_dir):
     return elevation.hampel(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele")).select("track_id", "run", "i", "ele", "clean")
@@ -392,7 +399,7 @@ def number_parsing(spark, sf_dir):
 @query
 def formatters(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.floor("o_totalprice").cast("double")).alias("v"))
-    return p.select("o_orderkey", *(f(F.col("v")).alias(f.__name__) for f in (values.clock, values.kilometres, values.speed_text, values.metres_text)))
+    return p.select("o_orderkey", *(f(F.col("v")).alias(f.__name__) for f in (values.clock, values.kilometres, values.speed_text, values.metres_text, values.rounded_metres, values.rounded_seconds, values.rounded_count)))
 
 
 @query
@@ -419,6 +426,15 @@ def analysis_modes(spark, sf_dir):
     return m.withColumn("modes", F.array_join("modes", ","))
 
 
+@query
+def stated_summaries(spark, sf_dir):
+    s = track_summary(sparse_points(spark, sf_dir)).join(elevation.raw_extrema(sparse_points(spark, sf_dir)), "track_id")
+    k = F.col("track_id")
+    fields = {"total_distance_m": k % 2 == 0, "total_s": k % 3 != 0, "min_ele": k % 5 != 0, "max_ele": k % 7 != 0, "max_kmh": k % 4 == 1}
+    pairs = F.array_compact(F.array(*(F.when(test & F.col(c).isNotNull(), F.struct(F.lit(c).alias("key"), F.col(c).alias("value"))) for c, test in fields.items()), F.when(k % 3 == 1, F.struct(F.lit("moving_s").alias("key"), (F.col("total_s") / 2).alias("value")))))
+    return stated_summary(s.select("track_id", F.map_from_entries(pairs).alias("summary")))
+
+
 @query
 def metric_tiles(spark, sf_dir):
     s = track_summary(sparse_points(spark, sf_dir)).join(elevation.raw_extrema(sparse_points(spark, sf_dir)), "track_id")

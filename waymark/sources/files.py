@@ -146,10 +146,30 @@ def apply_terrain(points: DataFrame, terrain: DataFrame) -> DataFrame:
     return rows.withColumns({"ele": F.when(F.col("_all"), F.col("terrain_ele")).otherwise(F.col("ele")), "ele_source": F.when(F.col("_all"), "terrain").otherwise(F.col("ele_source"))}).drop("_all", "terrain_ele")
 
 
+#: The numbers that a stated summary may have.
+STATED = ("total_distance_m", "total_distance_3d_m", "total_s", "moving_s", "stopped_s", "average_kmh", "moving_kmh", "max_kmh", "gain_m", "loss_m", "min_ele", "max_ele", "range_m")
+
+
+def stated_summary(files: DataFrame) -> DataFrame:
+    """Rows track_id and the columns of STATED, from files with summary (a map): what a file states, and what follows from
+    that. Stopped is total less moving time, averages are distance by time, the range lies between the extrema."""
+    rows = files.select("track_id", *(F.try_element_at("summary", F.lit(c)).alias(c) for c in STATED))
+    rows = rows.select("track_id", *(F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) for c in STATED))
+    kmh = lambda s: F.when((F.col("total_distance_m") > 0) & (F.col(s) > 0), F.try_divide("total_distance_m", s) * 3.6)
+    least0 = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c))
+    return rows.withColumns(
+        {
+            "stopped_s": F.coalesce(least0(F.col("stopped_s")), least0(F.col("total_s") - F.col("moving_s"))), "average_kmh": F.coalesce("average_kmh", kmh("total_s")), "moving_kmh": F.coalesce("moving_kmh", kmh("moving_s")),
+            "range_m": F.coalesce(least0(F.col("range_m")), least0(F.col("max_ele") - F.col("min_ele"))),
+        }
+    )
+
+
 def with_imported(summary: DataFrame, files: DataFrame) -> DataFrame:
-    """The computed summary with the fields that a file itself states put over it, and imported: their names."""
-    stated = files.select("track_id", F.col("summary").alias("_stated"))
-    rows = summary.join(stated, "track_id", "left")
-    out = rows.withColumn("imported", F.coalesce(F.map_keys("_stated"), F.array().cast("array<string>")))
-    fields = [c for c, t in summary.dtypes if t == "double"]
-    return out.withColumns({c: F.coalesce(F.try_element_at("_stated", F.lit(c)), F.col(c)) for c in fields}).drop("_stated")
+    """The computed summary with what a file states, or what follows from it, put over it, and imported: the names of the
+    fields that the file has."""
+    named = files.select("track_id", F.coalesce(F.map_keys("summary"), F.array().cast("array<string>")).alias("imported"))
+    fields = [c for c, t in summary.dtypes if t == "double" and c in STATED]
+    stated = stated_summary(files).select("track_id", *(F.col(c).alias(f"_{c}") for c in fields))
+    rows = summary.join(stated, "track_id", "left").join(named, "track_id", "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in fields} | {"imported": F.coalesce("imported", F.array().cast("array<string>"))}).drop(*(f"_{c}" for c in fields))
