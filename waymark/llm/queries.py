@@ -13,6 +13,7 @@ from waymark.llm.html_wrapper import extract
 from waymark.llm.line_chunks import drop_repeated_chunks
 from waymark.llm.minhash import near_duplicates
 from waymark.llm.packing import pack_tokens
+from waymark.llm.resampling import resample
 from waymark.llm.sentencepieces import piece_digests
 from waymark.llm.token_counts import count_tokens
 from waymark.llm.url_filter import judge_urls
@@ -72,7 +73,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_packing, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_minhash)}
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_packing, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_minhash, op11_resampling)}
 
 ORACLE_SQL = {
     "op9_url_filter": """
