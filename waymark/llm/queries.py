@@ -6,20 +6,25 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.chat import conversation_digests, format_conversations
 from waymark.llm.compact_windows import repeated_passages
 from waymark.llm.decision_list import judge
 from waymark.llm.decontamination import leaks
 from waymark.llm.html_wrapper import extract
 from waymark.llm.line_chunks import drop_repeated_chunks
 from waymark.llm.minhash import near_duplicates
+from waymark.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from waymark.llm.packing import pack_tokens
 from waymark.llm.resampling import resample
 from waymark.llm.sentencepieces import piece_digests
 from waymark.llm.token_counts import count_tokens
 from waymark.llm.url_filter import judge_urls
+from waymark.llm.vector_codes import compress
 
 #: The contract's rules.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+#: Fixed value: the contract's conversation of control strings.
+ODD_CONVERSATION = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
 
 
 def tokenizer(name: str) -> str:
@@ -77,19 +82,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_packing, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_minhash, op11_resampling)}
-
-ORACLE_SQL = {
-    "op9_url_filter": """
-        WITH rules(rule, rule_host, rule_path, verdict) AS (VALUES
-            ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
-            ('net/de/', 'net', '/de/', 'allow'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
-            ('org/es/', 'org', '/es/', 'block')),
-        cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-        parts AS (SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM cut),
-        whole AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                  regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path, row_number() OVER () AS n FROM parts),
-        fit AS (SELECT w.*, r.rule, r.verdict, row_number() OVER (PARTITION BY w.n ORDER BY length(r.rule) DESC) AS k
-                FROM whole w LEFT JOIN rules r ON (w.host = r.rule_host OR ends_with(w.host, '.' || r.rule_host)) AND starts_with(w.path, r.rule_path))
-        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1""",
-}
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(tokenizer("byte_bpe_50k.json")).read_text()
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    formatted = format_conversations(rows.union(spark.createDataFrame(ODD_CONVERSATION, rows.schema)), vocabulary)
+    return conversation_digests(formatted, vocabulary).drop("n_tokens", "n_loss_tokens")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_token_counts, op4_packing, op5_html_extraction, op6_line_dedup, op7_quality_rules, op8_substring_dedup, op9_url_filter, op10_minhash, op11_resampling, op12_chat, op13_vector_codes)}
