@@ -95,8 +95,10 @@ class Chat:
 
 
 def mask(starts: np.ndarray, ends: np.ndarray, span_starts: np.ndarray, span_ends: np.ndarray) -> np.ndarray:
-    """Which tokens (from starts to ends) share a character with a span; spans are sorted and apart. Binary search gives the
-    last span that begins before a token ends."""
+    """Which tokens (from starts to ends) share a character with a span; spans are sorted and apart, empty ones count for
+    nothing. Binary search gives the last span that begins before a token ends."""
+    full = span_starts < span_ends
+    span_starts, span_ends = span_starts[full], span_ends[full]
     if not len(span_starts):
         return np.zeros(len(starts), bool)
     k = np.searchsorted(span_starts, ends, "left") - 1

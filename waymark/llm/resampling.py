@@ -160,16 +160,19 @@ def blocks(rows: Iterable[tuple[int | None, str]], features: Features) -> Iterat
 
     held = 0
     for i, text in rows:
-        n, last = 0, []
+        n = 0
         for part in runs_of_words(text.encode()):
-            words += last + part
-            owner += [len(ids)] * (len(last) + len(part))
-            seen += [True] * len(last) + [False] * len(part)
+            words += part
+            owner += [len(ids)] * len(part)
+            seen += [False] * len(part)
             n += len(part)
             held += len(part)
-            last = (last + part)[len(last) + len(part) - most + 1 :] if len(last) + len(part) >= most else last + part
             if len(words) >= BLOCK_WORDS:
+                last = words[-min(most - 1, n) :] if most > 1 else []  # runs go on across the cut
                 turned()
+                words += last
+                owner += [len(ids)] * len(last)
+                seen += [True] * len(last)
         ids.append(i)
         n_words.append(n)
         if held >= BLOCK_WORDS or len(ids) == 1 << PLACE:

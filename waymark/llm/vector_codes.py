@@ -16,8 +16,8 @@ from waymark.llm.common import staged
 
 
 def kept_vectors(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """vec_id, vector, label of the rows whose vector holds only finite numbers."""
-    finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    """vec_id, vector, label of the rows whose vector holds numbers and all are finite."""
+    finite = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     return rows.select(rows[id_col].cast("long").alias("vec_id"), rows[vector_col].cast("array<double>").alias("vector"), rows[label_col].alias("label")).filter(finite)
 
 
@@ -124,7 +124,7 @@ def compress(
     ``entries`` (256 or fewer) entries of that part's codebook. Codebooks start from the vectors of the smallest ids and are
     averaged ``rounds`` times; unused entries stay. Only codebooks, whose size the parameters fix, reach the driver or are
     broadcast; the coded rows are staged, as both the labels' sums and the result read them.
-    Left out: null vectors, null, NaN or infinite components, vectors that aren't as long as that of the smallest id, and all
+    Left out: null and empty vectors, null, NaN or infinite components, vectors that aren't as long as that of the smallest id, and all
     if that length isn't a multiple of ``parts``. Repeated rows each get a row; null ids stay null. Components are held at
     2**30 / sqrt(dims) after scaling. label_error is the sum of error over equal labels (nulls together), null if it is more
     than a long holds. A label of any share of the rows is summed in the tasks first. No vectors give no rows.
