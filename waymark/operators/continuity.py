@@ -20,6 +20,15 @@ def in_order() -> WindowSpec:
     return Window.partitionBy("track_id").orderBy("seq")
 
 
+def run_order() -> WindowSpec:
+    """An elevation run's samples in order."""
+    return Window.partitionBy("track_id", "run").orderBy("i")
+
+
+def whole_run() -> WindowSpec:
+    return Window.partitionBy("track_id", "run")
+
+
 def with_pairs(points: DataFrame) -> DataFrame:
     """Every point with its pair to the point before: same_segment, dt (seconds, 0 at least, null if a time is missing), metres.
     The first point of a track has null in all three."""

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.stats import lower_of, nearest_rank, upper_rank
-from waymark.operators.continuity import in_order, with_gaps
+from waymark.operators.continuity import in_order, run_order, whole_run, with_gaps
+from waymark.operators.tails import without_sparse_tails
 
 #: Metres between samples, least turn in metres and metres it must last, by activity.
 ACTIVITIES = {"foot": (5, 3, 20), "bike": (10, 4, 30), "water": (10, 15, 300), "motor": (20, 6, 80), "route_plan": (10, 6, 40), "unknown": (10, 5, 40)}
@@ -18,14 +19,6 @@ MAD = 1.4826
 GAP_RISE = 60.0
 
 
-def run_order() -> WindowSpec:
-    return Window.partitionBy("track_id", "run").orderBy("i")
-
-
-def whole_run() -> WindowSpec:
-    return Window.partitionBy("track_id", "run")
-
-
 def runs(points: DataFrame) -> DataFrame:
     """The points with an elevation, with run: one more after a missing elevation, a change of segment or of ele_source,
     and a rise of 60 m or more across a gap; and i, the place in the run from 1."""
@@ -277,7 +270,7 @@ def profile(points: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """Samples with run, i, d, ele, clean, smooth, sigma and their track's settings (of defaults), spaced by its activity:
     the chain up to gain and loss."""
     settings = defaults(points) if settings is None else settings
-    samples = resample(without_raw_outliers(runs(points)).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
+    samples = resample(without_sparse_tails(without_raw_outliers(runs(points))).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
     return local_sigma(smooth(replace_endpoints(hampel(samples.join(settings, "track_id")))))
 
 

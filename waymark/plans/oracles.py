@@ -442,3 +442,71 @@ ORACLE_SQL["raw_outliers"] = sql(
     """y AS (SELECT *, list_sort(list_filter(CASE WHEN i = 1 THEN [a1, a2, a3] ELSE [b1, b2, b3] END, lambda q: q IS NOT NULL)) AS near, list_sort([b2, b1, a1, a2]) AS four, CASE WHEN i = 1 THEN nm ELSE metres END AS way, abs(CASE WHEN i = 1 THEN ns ELSE dt END) AS tm FROM x)""",
     "z AS (SELECT *, near[(len(near) - 1) // 2 + 1] AS est, greatest(abs(ele - CASE WHEN i = 1 THEN a1 ELSE b1 END), abs(ele - near[(len(near) - 1) // 2 + 1])) AS st FROM y)",
 )
+
+#: Tails as intervals and joins: seeds' islands, grown by the nearest sample outside the rim, tested by looking up their ends.
+TAILED = SUPPLIER.replace("pts AS (", "plain AS (") + """,
+pts AS (SELECT track_id, seq, ts_ms + CASE WHEN v = 2 AND k >= 493 THEN 2400000 ELSE 0 END AS ts_ms, CASE WHEN v = 3 THEN 43 + seq * 4e-4 ELSE lat END AS lat, lon, segment, ele_source, CASE
+    WHEN v = 0 AND k BETWEEN 200 AND 209 THEN -14e0 - k % 3 WHEN v = 0 AND k BETWEEN 196 AND 213 THEN b * 0.2e0 WHEN v = 1 AND k <= 8 THEN b + 75 WHEN v = 2 AND k >= 486 THEN
+        CASE WHEN k <= 488 THEN 20e0 WHEN k = 489 THEN 21e0 WHEN k = 490 THEN 23e0 WHEN k = 491 THEN 26e0 WHEN k = 492 THEN 31e0 ELSE 75e0 END
+    WHEN v = 3 AND k <= 12 THEN -15e0 WHEN v = 4 AND k BETWEEN 200 AND 240 THEN -14e0 WHEN v = 5 AND k BETWEEN 200 AND 209 THEN -14e0 WHEN v = 5 AND k BETWEEN 180 AND 240 THEN b * 0.1e0 ELSE b END AS ele
+    FROM (SELECT *, track_id % 6 AS v, (seq - 1) % 500 + 1 AS k, 12 + (ele - 100) * 0.4e0 AS b FROM plain))"""
+_DONE = ORACLE_SQL["raw_outliers"]
+_CALM = _DONE[_DONE.index("x AS (SELECT *, count(*)"):_DONE.index(" SELECT track_id, seq, run, i, round(CASE WHEN kind")]
+_KIND = _DONE[_DONE.index("(SELECT *, CASE\n"):_DONE.rindex(" WHERE kind IS NOT NULL")]
+
+
+def _tested(name: str, source: str) -> str:
+    """Intervals l to r of a run that have too little support to be kept: lookups of both ends, of what lies beside them and
+    of the run's ends."""
+    step = lambda e, x: f"({x}.i IS NOT NULL AND (coalesce({dist(e + '.', x + '.')} > 0, false) OR coalesce({e}.ts_ms <> {x}.ts_ms, false)) AND NOT coalesce(abs({e}.ele - {x}.ele) / nullif({dist(e + '.', x + '.')}, 0) >= 0.35, false) AND NOT coalesce(abs({e}.ele - {x}.ele) / nullif(abs({e}.ts_ms - {x}.ts_ms) / 1000e0, 0) >= 1.2, false))"
+    return f"""{name} AS (SELECT s.* FROM {source} s JOIN o a ON a.track_id = s.track_id AND a.run = s.run AND a.i = s.l JOIN o b ON b.track_id = s.track_id AND b.run = s.run AND b.i = s.r
+        JOIN o f ON f.track_id = s.track_id AND f.run = s.run AND f.i = 1 JOIN o z ON z.track_id = s.track_id AND z.run = s.run AND z.i = z.n
+        LEFT JOIN o p ON p.track_id = s.track_id AND p.run = s.run AND p.i = s.l - 1 LEFT JOIN o q ON q.track_id = s.track_id AND q.run = s.run AND q.i = s.r + 1
+        WHERE (s.r - s.l + 1) / f.n <= 0.05 AND NOT coalesce((b.d - a.d) / nullif(z.d - f.d, 0) > 0.08, false) AND NOT coalesce(greatest(0, b.ts_ms - a.ts_ms) / nullif(greatest(0, z.ts_ms - f.ts_ms), 0) > 0.08, false)
+        AND NOT (s.l = 1 AND {step("a", "q")}) AND NOT (s.r = f.n AND {step("b", "p")}))"""
+
+
+def _islands(name: str, source: str, keys: str) -> str:
+    return f"{name} AS (SELECT {keys}, min(i) AS l, max(i) AS r FROM (SELECT *, i - row_number() OVER (PARTITION BY {keys} ORDER BY i) AS g FROM {source}) GROUP BY {keys}, g)"
+
+
+TAILS = (
+    TAILED, *RUNNING, _CALM,
+    f"calm AS (SELECT track_id, seq, run, i, ts_ms, lat, lon, metres, CASE WHEN kind = 'interior' THEN four[2] WHEN kind IS NOT NULL THEN est ELSE ele END AS ele FROM {_KIND})",
+    "q AS (SELECT track_id, run, count(*) AS n, quantile_cont(ele, 0.1) AS t10, quantile_cont(ele, 0.12) AS t12, quantile_cont(ele, 0.15) AS t15, quantile_cont(ele, 0.85) AS t85, quantile_cont(ele, 0.9) AS t90 FROM calm GROUP BY track_id, run)",
+    "o AS (SELECT c.*, n, t10, t12, t15, t85, t90, sum(CASE WHEN i > 1 THEN metres ELSE 0e0 END) OVER (PARTITION BY c.track_id, c.run ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM calm c JOIN q ON c.track_id = q.track_id AND c.run = q.run)",
+    "sd AS (SELECT 'low' AS kind, track_id, run, i FROM o WHERE n >= 80 AND ele < t15 - 20 AND ele < 0 UNION ALL SELECT 'high', track_id, run, i FROM o WHERE n >= 80 AND ele > t85 + 20)",
+    _islands("isl", "sd", "kind, track_id, run"),
+    """gr AS (SELECT s.kind, s.track_id, s.run, s.l AS a, s.r AS b, any_value(t10) AS t10, coalesce(max(i) FILTER (i < s.l AND NOT rim), 0) + 1 AS l, coalesce(min(i) FILTER (i > s.r AND NOT rim), any_value(n) + 1) - 1 AS r
+        FROM isl s JOIN (SELECT *, ele < t12 AS lo, ele > t90 AS hi FROM o) o ON o.track_id = s.track_id AND o.run = s.run, LATERAL (SELECT CASE WHEN kind = 'low' THEN lo ELSE hi END AS rim) GROUP BY ALL)""",
+    "wide AS (SELECT track_id, run, l, r, a, b FROM gr WHERE kind = 'low' AND t10 <= 25)", _tested("wide_ok", "wide"),
+    "core AS (SELECT track_id, run, a AS l, b AS r FROM gr g WHERE kind = 'low' AND NOT EXISTS (FROM wide_ok w WHERE w.track_id = g.track_id AND w.run = g.run AND w.a = g.a))", _tested("core_ok", "core"),
+    "cov AS (SELECT DISTINCT o.track_id, o.run, o.i FROM gr g JOIN o ON o.track_id = g.track_id AND o.run = g.run AND o.i BETWEEN g.l AND g.r WHERE g.kind = 'high')", _islands("tops", "cov", "track_id, run"),
+    "ends AS (SELECT t.* FROM tops t JOIN q ON q.track_id = t.track_id AND q.run = t.run WHERE l = 1 OR r = n)", _tested("ends_ok", "ends"),
+    """cand AS (SELECT DISTINCT kind, o.track_id, o.run, o.i FROM (SELECT 'low' AS kind, track_id, run, l, r FROM wide_ok UNION ALL SELECT 'low', track_id, run, l, r FROM core_ok UNION ALL SELECT 'high', track_id, run, l, r FROM ends_ok) g
+        JOIN o ON o.track_id = g.track_id AND o.run = g.run AND o.i BETWEEN g.l AND g.r)""",
+)
+ORACLE_SQL["tail_marks"] = sql(
+    """SELECT o.track_id, o.run, count(*) AS n, count(l.i) AS n_low, count(h.i) AS n_high, CAST(sum(coalesce(l.i, h.i)) AS BIGINT) AS places FROM o LEFT JOIN cand l ON l.kind = 'low' AND l.track_id = o.track_id AND l.run = o.run AND l.i = o.i
+        LEFT JOIN cand h ON h.kind = 'high' AND h.track_id = o.track_id AND h.run = o.run AND h.i = o.i GROUP BY o.track_id, o.run""",
+    *TAILS,
+)
+ORACLE_SQL["sparse_tails"] = sql(
+    "SELECT track_id, seq, run, i, round(new, 6) AS ele FROM (SELECT o.track_id, o.seq, o.run, o.i, arg_max(e, kind = 'high') AS new FROM news JOIN o ON o.track_id = news.track_id AND o.run = news.run AND o.i = news.i WHERE e IS NOT NULL GROUP BY ALL)",
+    *TAILS, _islands("groups", "cand", "kind, track_id, run"),
+    "sides AS (SELECT *, l - 1 AS anchor, l AS edge, -1 AS way FROM groups UNION ALL SELECT *, r + 1, r, 1 FROM groups)",
+    """looks AS (SELECT s.kind, s.track_id, s.run, s.anchor, s.way, abs(o.i - s.anchor) AS k, o.i, o.d, o.ele, o.ts_ms, c.i IS NOT NULL AS blocked FROM sides s JOIN o ON o.track_id = s.track_id AND o.run = s.run AND (o.i - s.anchor) * s.way BETWEEN 1 AND 6
+        LEFT JOIN cand c ON c.kind = s.kind AND c.track_id = o.track_id AND c.run = o.run AND c.i = o.i)""",
+    """seen AS (SELECT l.* FROM looks l JOIN (SELECT kind, track_id, run, anchor, way, coalesce(min(k) FILTER (blocked), 7) AS stop FROM looks GROUP BY ALL) USING (kind, track_id, run, anchor, way) WHERE k < stop)""",
+    "lists AS (SELECT kind, track_id, run, anchor, way, list({'i': i, 'd': d, 'e': ele, 't': ts_ms} ORDER BY k) AS v, count(*) AS m FROM seen GROUP BY ALL)",
+    "level AS (SELECT *, list_sort([v[m - 2].e, v[m - 1].e, v[m].e]) AS s FROM lists WHERE m >= 3)",
+    """settle AS (SELECT l.kind, l.track_id, l.run, l.anchor, l.way, list_filter(v, lambda x: abs(x.e - s[2]) <= 2.5)[1] AS p, s[2] - a.ele AS whole, v[1].e - a.ele AS one, a.d AS ad, a.ts_ms AS ats FROM level l
+        JOIN o a ON a.track_id = l.track_id AND a.run = l.run AND a.i = l.anchor JOIN o b ON b.track_id = l.track_id AND b.run = l.run AND b.i = l.anchor - l.way WHERE s[3] - s[1] <= 2.5 AND abs(a.ts_ms - b.ts_ms) >= 1800000)""",
+    "moved AS (SELECT *, p.i AS si FROM settle WHERE sign(whole) = sign(one) AND abs(one) >= 2 AND abs(whole) >= 6 AND (abs(p.d - ad) = 0 OR abs(whole) / abs(p.d - ad) > 0.35 OR coalesce(abs(whole) / nullif(abs(p.t - ats) / 1000e0, 0) > 1.2, false)))",
+    """held AS (SELECT s.kind, s.track_id, s.run, s.l, s.r, s.way, o.i, o.d, o.ele FROM sides s LEFT JOIN moved m ON m.kind = s.kind AND m.track_id = s.track_id AND m.run = s.run AND m.anchor = s.anchor AND m.way = s.way
+        JOIN o ON o.track_id = s.track_id AND o.run = s.run AND o.i = coalesce(m.si, s.anchor))""",
+    """news AS (SELECT c.kind, c.track_id, c.run, c.i, CASE WHEN p.i IS NULL THEN q.ele WHEN q.i IS NULL THEN p.ele ELSE p.ele + (q.ele - p.ele) * least(1e0, greatest(0e0, CASE WHEN q.d > p.d THEN (o.d - p.d) / (q.d - p.d) ELSE (c.i - p.i) / (q.i - p.i) END)) END AS e
+        FROM cand c JOIN o ON o.track_id = c.track_id AND o.run = c.run AND o.i = c.i JOIN groups g ON g.kind = c.kind AND g.track_id = c.track_id AND g.run = c.run AND c.i BETWEEN g.l AND g.r
+        LEFT JOIN held p ON p.way = -1 AND p.kind = g.kind AND p.track_id = g.track_id AND p.run = g.run AND p.l = g.l LEFT JOIN held q ON q.way = 1 AND q.kind = g.kind AND q.track_id = g.track_id AND q.run = g.run AND q.l = g.l
+        UNION ALL SELECT kind, track_id, run, anchor, p.e FROM (SELECT m.kind, m.track_id, m.run, m.anchor, m.p FROM moved m))""",
+)

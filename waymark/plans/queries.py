@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from waymark.functions import stats, values
 
-from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
+from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series, tails
 from waymark.plans import oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.files import stated_summary
-from waymark.sources.tables import dense_points, sparse_points, supplier_points
+from waymark.sources.tables import dense_points, sparse_points, supplier_points, tailed_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -236,6 +236,18 @@ def raw_outliers(spark, sf_dir):
     return elevation.without_raw_outliers(elevation.runs(p)).filter("raw_outlier is not null").select("track_id", "seq", "run", "i", "ele", "raw_outlier")
 
 
+@query
+def sparse_tails(spark, sf_dir):
+    rows = tails.without_sparse_tails(elevation.without_raw_outliers(elevation.runs(tailed_points(spark, sf_dir))))
+    return rows.filter("is_sparse_tail").select("track_id", "seq", "run", "i", "ele")
+
+
+@query
+def tail_marks(spark, sf_dir):
+    rows = tails.without_sparse_tails(elevation.without_raw_outliers(elevation.runs(tailed_points(spark, sf_dir))))
+    return rows.groupBy("track_id", "run").agg(F.count("*").alias("n"), F.count_if("low_tail").alias("n_low"), F.count_if("high_tail").alias("n_high"), F.sum(F.when(F.col("low_tail") | F.col("high_tail"), F.col("i"))).alias("places"))
+
+
 @query
 def hampel_outliers(spark, sf_dir):
     return elevation.hampel(elevation.runs(sparse_points(spark, sf_dir)).select("track_id", "run", "i", "ele")).select("track_id", "run", "i", "ele", "clean")

@@ -60,3 +60,19 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
             (100 + F.col("l_extendedprice") / 2000).alias("ele"), F.floor((F.col("seq") - 1) / 500).cast("int").alias("segment"),
         )
     )
+
+
+def tailed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier_points with what elevation sensors do wrong, by supplier: pits below the sea with and without shoulders, high
+    beginnings, a high end behind a pause of 40 minutes toward which the elevation only settles, a low beginning that the
+    way explains, and pits too long to be errors."""
+    kind, k = F.col("track_id") % 6, (F.col("seq") - 1) % 500 + 1
+    settling = F.when(k <= 488, 20.0).when(k == 489, 21.0).when(k == 490, 23.0).when(k == 491, 26.0).when(k == 492, 31.0).otherwise(75.0)
+    base = 12 + (F.col("ele") - 100) * 0.4
+    ele = (
+        F.when((kind == 0) & k.between(200, 209), -14.0 - k % 3).when((kind == 0) & k.between(196, 213), base * 0.2)
+        .when((kind == 1) & (k <= 8), base + 75).when((kind == 2) & (k >= 486), settling).when((kind == 3) & (k <= 12), -15.0)
+        .when((kind == 4) & k.between(200, 240), -14.0).when((kind == 5) & k.between(200, 209), -14.0).when((kind == 5) & k.between(180, 240), base * 0.1).otherwise(base)
+    )
+    pause = F.when((kind == 2) & (k >= 493), 2_400_000).otherwise(0)
+    return supplier_points(spark, sf_dir).withColumns({"ele": ele, "ts_ms": F.col("ts_ms") + pause, "lat": F.when(kind == 3, 43 + F.col("seq") * 4e-4).otherwise(F.col("lat"))})
