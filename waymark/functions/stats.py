@@ -41,3 +41,12 @@ def lower_of(values: Column, p: float) -> Column:
 def half_up(c: Column, digits: int = 0) -> Column:
     """floor(x + 0.5) at a decimal place: halves go up, also below zero."""
     return F.floor(c * 10**digits + 0.5) / 10**digits
+
+
+def fixed(c: Column, digits: int = 2) -> Column:
+    """x to so many decimals (3 at most), halves of its exact binary value away from zero. Its fraction, as a count of 2**-52,
+    is a whole number that is scaled and rounded without error."""
+    whole = F.floor(F.abs(c))
+    part = F.floor((F.abs(c) - whole) * float(1 << 52))
+    units = F.shiftright(part * 10**digits + (1 << 51), 52)
+    return F.signum(c) * (whole * 10**digits + units) / 10**digits

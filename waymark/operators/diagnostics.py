@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import METRES_PER_DEGREE, distance
-from waymark.functions.stats import half_up, interpolated
+from waymark.functions.stats import fixed, half_up, interpolated
 from waymark.operators import elevation
 from waymark.operators.continuity import with_continuous_segment, with_gaps
 
@@ -120,10 +120,11 @@ def noise_summary(sigmas: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(samples: DataFrame, climbs: DataFrame) -> DataFrame:
-    """Rows track_id, kind, threshold_m, gain_m, loss_m: the selected thresholds beside the one gain and loss."""
+    """Rows track_id, kind, threshold_m, gain_m, loss_m: the selected thresholds beside the one gain and loss of climbs, which
+    are rounded to two decimals by their exact values; climbs adds in order, so no tie falls either way."""
     t = elevation.selected_thresholds(samples).join(climbs, "track_id")
     rows = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("threshold_m")) for k, c in (("selected_median_local_threshold", "median_m"), ("selected_p95_local_threshold", "p95_m"))))
-    return t.select("track_id", F.inline(rows), half_up(F.col("gain_m"), 2).alias("gain_m"), half_up(F.col("loss_m"), 2).alias("loss_m")).filter("threshold_m is not null")
+    return t.select("track_id", F.inline(rows), fixed(F.col("gain_m")).alias("gain_m"), fixed(F.col("loss_m")).alias("loss_m")).filter("threshold_m is not null")
 
 
 def elevation_series(samples: DataFrame, envelope: DataFrame, column: str = "ele") -> DataFrame:

@@ -180,11 +180,12 @@ def local_sigma(samples: DataFrame, column: str = "smooth") -> DataFrame:
     return rows.withColumn("sigma", F.coalesce(MAD * lower_of(F.transform("steps", lambda x: F.abs(x - F.col("mid"))), 0.5), F.lit(0.0))).drop("step", "steps", "mid")
 
 
-def gain_loss(samples: DataFrame, base_m: float | Column = 5.0, alpha: float | Column = 3.0, sustain_m: float | Column = 40.0, column: str = "smooth") -> DataFrame:
-    """Rows track_id, run, gain_m, loss_m: sums over confirmed turns. A direction holds once the way from the anchor, and a
-    turn once the way back from the extreme, reaches max(base, alpha sigma) in height and ``sustain_m`` in length. A fold
-    over one run's samples, kept in the JVM."""
+def turns_of_runs(samples: DataFrame, base_m: float | Column, alpha: float | Column, sustain_m: float | Column, column: str) -> DataFrame:
+    """Rows track_id, run, turns: (i, d, ele) of a run's first sample and of each confirmed extreme. A direction holds once the
+    way from the anchor, and a turn once the way back from the extreme, reaches max(base, alpha sigma) in height and
+    ``sustain_m`` in length. A fold over one run's samples, kept in the JVM."""
     rows = F.sort_array(F.collect_list(F.struct("i", "d", F.col(column).alias("e"), F.greatest(F.lit(base_m).cast("double"), F.col("sigma") * alpha).alias("thr"), F.lit(sustain_m).cast("double").alias("far"))))
+    place = lambda x: F.struct(x["i"].alias("i"), x["d"].alias("d"), x["e"].alias("ele"))
 
     def step(a, s):
         rise = s["e"] - a["e"]
@@ -193,24 +194,39 @@ def gain_loss(samples: DataFrame, base_m: float | Column = 5.0, alpha: float | C
         grows = (a["dir"] != 0) & (rise * a["dir"] >= 0)
         turns = (a["dir"] != 0) & ~grows & (F.abs(rise) >= s["thr"]) & far
         moves = begins | grows | turns
-        closed = a["e"] - a["last"]  # the leg that a turn ends
         return F.struct(
             F.when(begins, F.signum(rise).cast("int")).when(turns, -a["dir"]).otherwise(a["dir"]).alias("dir"),
-            F.when(moves, s["d"]).otherwise(a["d"]).alias("d"),
-            F.when(moves, s["e"]).otherwise(a["e"]).alias("e"),
-            F.when(turns, a["e"]).otherwise(a["last"]).alias("last"),
-            (a["gain"] + F.when(turns, F.greatest(closed, F.lit(0.0))).otherwise(0.0)).alias("gain"),
-            (a["loss"] + F.when(turns, F.greatest(-closed, F.lit(0.0))).otherwise(0.0)).alias("loss"),
+            *(F.when(moves, s[x]).otherwise(a[x]).alias(x) for x in ("i", "d", "e")),
+            F.when(turns, F.array_append(a["turns"], place(a))).otherwise(a["turns"]).alias("turns"),
         )
 
-    def finish(a):
-        closed = F.when(a["dir"] != 0, a["e"] - a["last"]).otherwise(0.0)
-        return F.struct((a["gain"] + F.greatest(closed, F.lit(0.0))).alias("gain_m"), (a["loss"] + F.greatest(-closed, F.lit(0.0))).alias("loss_m"))
-
     done = samples.groupBy("track_id", "run").agg(rows.alias("rows"))
     first = F.col("rows")[0]
-    start = F.struct(F.lit(0).alias("dir"), first["d"].alias("d"), first["e"].alias("e"), first["e"].alias("last"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"))
-    return done.select("track_id", "run", F.aggregate("rows", start, step, finish).alias("x")).select("track_id", "run", "x.gain_m", "x.loss_m")
+    start = F.struct(F.lit(0).alias("dir"), first["i"].alias("i"), first["d"].alias("d"), first["e"].alias("e"), F.array(place(first)).alias("turns"))
+    finish = lambda a: F.when(a["dir"] != 0, F.array_append(a["turns"], place(a))).otherwise(a["turns"])
+    return done.select("track_id", "run", F.aggregate("rows", start, step, finish).alias("turns"))
+
+
+def confirmed_turns(samples: DataFrame, base_m: float | Column = 5.0, alpha: float | Column = 3.0, sustain_m: float | Column = 40.0, column: str = "smooth") -> DataFrame:
+    """Rows track_id, run, k, i, d, ele: turns_of_runs as rows, k from 1."""
+    rows = turns_of_runs(samples, base_m, alpha, sustain_m, column)
+    return rows.select("track_id", "run", F.posexplode("turns").alias("k", "t")).select("track_id", "run", (F.col("k") + 1).alias("k"), "t.i", "t.d", "t.ele")
+
+
+def legs(turns: Column) -> Column:
+    """The rises and falls between an array of turns."""
+    return F.transform(F.slice(turns, 2, F.greatest(F.size(turns) - 1, F.lit(0))), lambda t, k: t["ele"] - F.get(turns, k)["ele"])
+
+
+def risen(steps: Column, sign: int) -> Column:
+    """The sum of what goes up (down for -1) among steps, added in their order, so that it is the same on every run."""
+    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + F.greatest(sign * x, F.lit(0.0)))
+
+
+def gain_loss(samples: DataFrame, base_m: float | Column = 5.0, alpha: float | Column = 3.0, sustain_m: float | Column = 40.0, column: str = "smooth") -> DataFrame:
+    """Rows track_id, run, gain_m, loss_m: sums over the legs between confirmed turns."""
+    steps = legs(F.col("turns"))
+    return turns_of_runs(samples, base_m, alpha, sustain_m, column).select("track_id", "run", risen(steps, 1).alias("gain_m"), risen(steps, -1).alias("loss_m"))
 
 
 def selected_thresholds(samples: DataFrame, base_m: float = 5.0, alpha: float = 3.0) -> DataFrame:
@@ -274,14 +290,46 @@ def profile(points: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     return local_sigma(smooth(replace_endpoints(hampel(samples.join(settings, "track_id")))))
 
 
-def climbs(samples: DataFrame) -> DataFrame:
-    """Rows track_id, gain_m, loss_m of profile's samples."""
-    per_run = gain_loss(samples, F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
-    return per_run.groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))
-
-
-def limited_extrema(samples: DataFrame, run_points: DataFrame) -> DataFrame:
-    """Rows track_id, min_ele, max_ele of the smooth samples, not beyond the robust envelope of the raw elevations."""
+def climbs(samples: DataFrame, base_m: float | str = "base_m", alpha: float | str = "alpha", sustain_m: float | str = "sustain_m", column: str = "smooth") -> DataFrame:
+    """Rows track_id, gain_m, loss_m over all legs of a track, added from its first run to its last; by default with the
+    settings in profile's samples."""
+    base, by, far = (F.col(x) if isinstance(x, str) else x for x in (base_m, alpha, sustain_m))
+    runs_legs = turns_of_runs(samples, base, by, far, column).select("track_id", "run", legs(F.col("turns")).alias("legs"))
+    steps = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("run", "legs"))), lambda x: x["legs"]))
+    return runs_legs.groupBy("track_id").agg(steps.alias("steps")).select("track_id", risen(F.col("steps"), 1).alias("gain_m"), risen(F.col("steps"), -1).alias("loss_m"))
+
+
+def raw_envelopes(run_points: DataFrame) -> DataFrame:
+    """Rows track_id, run, lo, hi, low_support, high_support of raw elevations: the range in which lone points are replaced
+    (robust_envelope), and the least and the greatest point that isn't severely alone: the run's ends, and those off their
+    neighbours' mean by max(GAP_RISE, 3 times their difference) at most."""
+    left, right, ele = F.lag("ele").over(run_order()), F.lead("ele").over(run_order()), F.col("ele")
+    rows = run_points.withColumns({"_off": F.abs(ele - (left + right) / 2), "_step": F.abs(right - left), "_mean": (left + right) / 2})
+    sane = F.when(F.coalesce(F.col("_off") > F.greatest(F.lit(12.0), 3 * F.col("_step")), F.lit(False)), F.col("_mean")).otherwise(ele)
+    held = F.when(~F.coalesce(F.col("_off") > F.greatest(F.lit(GAP_RISE), 3 * F.col("_step")), F.lit(False)), ele)
+    return rows.groupBy("track_id", "run").agg(F.min(sane).alias("lo"), F.max(sane).alias("hi"), F.min(held).alias("low_support"), F.max(held).alias("high_support"))
+
+
+def supported_turns(turns: DataFrame, run_points: DataFrame, sustain: DataFrame | float) -> DataFrame:
+    """The confirmed turns that may widen a track's extrema: a run's first or last, or with legs of ``sustain`` metres (a
+    number, or rows track_id, sustain_m) on both sides; and inside their own run's raw envelope, or backed by a raw point as
+    low (as high) that isn't severely alone."""
+    w = Window.partitionBy("track_id", "run").orderBy("k")
+    rows = turns.withColumn("sustain_m", F.lit(float(sustain))) if isinstance(sustain, (int, float)) else turns.join(sustain, "track_id")
+    back, ahead = F.col("d") - F.lag("d").over(w), F.lead("d").over(w) - F.col("d")
+    edge = F.coalesce((back >= F.col("sustain_m")) & (ahead >= F.col("sustain_m")), back.isNull() | ahead.isNull())
+    rows = rows.withColumn("_long", edge).filter("_long").join(raw_envelopes(run_points), ["track_id", "run"])
+    low, high = (F.col("ele") >= F.col("lo")) | (F.col("low_support") <= F.col("ele")), (F.col("ele") <= F.col("hi")) | (F.col("high_support") >= F.col("ele"))
+    return rows.filter(F.coalesce(low & high, F.lit(False))).select("track_id", "run", "k", "i", "d", "ele")
+
+
+def limited_extrema(samples: DataFrame, run_points: DataFrame, turns: DataFrame | None = None) -> DataFrame:
+    """Rows track_id, min_ele, max_ele of the smooth samples, not beyond the robust envelope of the raw elevations, but for
+    what supported turns reach, where these are given."""
     own = samples.groupBy("track_id").agg(F.min("smooth").alias("lo"), F.max("smooth").alias("hi"))
     rows = own.join(robust_envelope(run_points), "track_id")
-    return rows.select("track_id", F.greatest("lo", "min_ele").alias("min_ele"), F.least("hi", "max_ele").alias("max_ele"))
+    low, high = F.greatest("lo", "min_ele"), F.least("hi", "max_ele")
+    if turns is not None:
+        rows = rows.join(turns.groupBy("track_id").agg(F.min("ele").alias("low_turn"), F.max("ele").alias("high_turn")), "track_id", "left")
+        low, high = F.least(low, "low_turn"), F.greatest(high, "high_turn")
+    return rows.select("track_id", low.alias("min_ele"), high.alias("max_ele"))

@@ -394,9 +394,43 @@ ORACLE_SQL["primary_source"] = f"""SELECT track_id, ele_source, trust FROM (SELE
 ORACLE_SQL["base_threshold"] = f"""SELECT a.track_id, activity, ele_source, round(CASE WHEN activity <> 'water' AND ele_source = 'gpx' AND noisy AND change_ratio IS NOT NULL THEN greatest(d, least(18e0, 3 + 0.33 * greatest(0, change_ratio - 12))) ELSE d END, 6) AS base_m
     FROM (SELECT track_id, activity, CASE activity WHEN 'foot' THEN 3e0 WHEN 'bike' THEN 4e0 WHEN 'motor' THEN 6e0 WHEN 'route_plan' THEN 6e0 ELSE 5e0 END AS d FROM ({ORACLE_SQL["activity_features"]})) a
     JOIN (SELECT p.track_id, p.ele_source, noisy, change_ratio FROM ({ORACLE_SQL["primary_source"]}) p JOIN ({ORACLE_SQL["source_trust"]}) t ON p.track_id = t.track_id AND p.ele_source = t.ele_source) s ON a.track_id = s.track_id"""
-_CLIMBS = ORACLE_SQL["gain_loss"].replace("round(gain + ", "(gain + ").replace("round(loss + ", "(loss + ").replace("END, 6) AS gain_m", "END) AS gain_m").replace("END, 6) AS loss_m", "END) AS loss_m")
-ORACLE_SQL["threshold_sweep"] = f"""SELECT track_id, kind, 5e0 AS threshold_m, floor(g * 100 + 0.5) / 100 AS gain_m, floor(l * 100 + 0.5) / 100 AS loss_m FROM (SELECT track_id, sum(gain_m) AS g, sum(loss_m) AS l FROM ({_CLIMBS}) GROUP BY track_id),
-    (SELECT unnest(['selected_median_local_threshold', 'selected_p95_local_threshold']) AS kind)"""
+_BEGINS, _TURNS = "dir = 0 AND abs(ele - e) >= 3 AND o.d - f.d >= 20", "dir <> 0 AND (ele - e) * dir < 0 AND abs(ele - e) >= 3 AND o.d - f.d >= 20"
+_MOVES = f"({_BEGINS}) OR ({_TURNS}) OR (dir <> 0 AND (ele - e) * dir >= 0)"
+#: Confirmed turns of ``samples``: a walk sample by sample; a turn is where the direction flips.
+TURNS = (
+    "o AS (SELECT *, count(*) OVER (PARTITION BY track_id, run) AS n FROM samples)",
+    f"""f AS (SELECT track_id, run, 1 AS i, n, 0 AS dir, 1 AS ei, d, ele AS e FROM o WHERE i = 1
+        UNION ALL SELECT o.track_id, o.run, o.i, o.n, CASE WHEN {_BEGINS} THEN CAST(sign(ele - e) AS INT) WHEN {_TURNS} THEN -dir ELSE dir END,
+          CASE WHEN {_MOVES} THEN o.i ELSE ei END, CASE WHEN {_MOVES} THEN o.d ELSE f.d END, CASE WHEN {_MOVES} THEN ele ELSE e END FROM f JOIN o ON o.track_id = f.track_id AND o.run = f.run AND o.i = f.i + 1)""",
+    """found AS (SELECT track_id, run, 1 AS i, d, ele FROM o WHERE i = 1 UNION ALL SELECT track_id, run, ei, d, e FROM f WHERE i = n AND dir <> 0 UNION ALL
+        SELECT track_id, run, pi, pd, pe FROM (SELECT *, lag(dir) OVER w AS was, lag(ei) OVER w AS pi, lag(d) OVER w AS pd, lag(e) OVER w AS pe FROM f WINDOW w AS (PARTITION BY track_id, run ORDER BY i)) WHERE was <> 0 AND dir = -was)""",
+    "turns AS (SELECT *, CAST(row_number() OVER (PARTITION BY track_id, run ORDER BY i) AS INT) AS k FROM found)",
+)
+_DENSE_ONE = DENSE.replace("CASE WHEN (seq - 1) // 20 % 2 = 0 THEN 'barometric' ELSE 'gpx' END", "'unknown'")
+_FIXED = lambda x: f"(floor({x}) * 100 + ((CAST(floor(({x} - floor({x})) * 4503599627370496) AS BIGINT) * 100 + 2251799813685248) >> 52)) / 100"
+ORACLE_SQL["confirmed_turns"] = sql("SELECT track_id, run, k, i, round(d, 6) AS d, round(ele, 6) AS ele FROM turns", _DENSE_ONE, *RUNNING, PLAIN, *TURNS, recursive=True)
+ORACLE_SQL["threshold_sweep"] = sql(
+    f"""SELECT track_id, kind, 5e0 AS threshold_m, {_FIXED("g")} AS gain_m, {_FIXED("l")} AS loss_m FROM (SELECT track_id, list_reduce(list_prepend(0e0, list(greatest(leg, 0e0) ORDER BY run, k)), lambda a, x: a + x) AS g,
+        list_reduce(list_prepend(0e0, list(greatest(-leg, 0e0) ORDER BY run, k)), lambda a, x: a + x) AS l FROM legs GROUP BY track_id), (SELECT unnest(['selected_median_local_threshold', 'selected_p95_local_threshold']) AS kind)""",
+    _DENSE_ONE, *RUNNING, PLAIN, *TURNS, "legs AS (SELECT *, coalesce(ele - lag(ele) OVER (PARTITION BY track_id, run ORDER BY k), 0e0) AS leg FROM turns)", recursive=True,
+)
+_SUPPORTED = (
+    _DENSE_ONE, *RUNNING,
+    "samples AS (SELECT track_id, run, i, i * 15e0 AS d, CASE WHEN i = 1 OR i = count(*) OVER (PARTITION BY track_id, run) THEN ele ELSE avg(ele) OVER (PARTITION BY track_id, run ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS ele FROM runs)",
+    *TURNS,
+    "raw AS (SELECT *, lag(ele) OVER w AS l, lead(ele) OVER w AS h FROM runs WINDOW w AS (PARTITION BY track_id, run ORDER BY i))",
+    """env AS (SELECT track_id, run, min(CASE WHEN abs(ele - (l + h) / 2) > greatest(12e0, 3 * abs(h - l)) THEN (l + h) / 2 ELSE ele END) AS lo, max(CASE WHEN abs(ele - (l + h) / 2) > greatest(12e0, 3 * abs(h - l)) THEN (l + h) / 2 ELSE ele END) AS hi FROM raw GROUP BY ALL)""",
+    "near AS (SELECT *, lag(d) OVER w AS pd, lead(d) OVER w AS nd FROM turns WINDOW w AS (PARTITION BY track_id, run ORDER BY k))",
+    """held AS (SELECT track_id, run, k, i, d, ele FROM near t JOIN env USING (track_id, run) WHERE (pd IS NULL OR nd IS NULL OR (d - pd >= 30 AND nd - d >= 30))
+        AND (ele >= lo OR EXISTS (SELECT 1 FROM raw x WHERE x.track_id = t.track_id AND x.run = t.run AND x.ele <= t.ele AND NOT coalesce(abs(x.ele - (x.l + x.h) / 2) > greatest(60e0, 3 * abs(x.h - x.l)), false)))
+        AND (ele <= hi OR EXISTS (SELECT 1 FROM raw x WHERE x.track_id = t.track_id AND x.run = t.run AND x.ele >= t.ele AND NOT coalesce(abs(x.ele - (x.l + x.h) / 2) > greatest(60e0, 3 * abs(x.h - x.l)), false))))""",
+)
+ORACLE_SQL["supported_turns"] = sql("SELECT track_id, run, k, i, round(d, 6) AS d, round(ele, 6) AS ele FROM held", *_SUPPORTED, recursive=True)
+ORACLE_SQL["confirmed_extrema"] = sql(
+    """SELECT track_id, round(least(greatest(s.lo, e.lo), t.lo), 6) AS min_ele, round(greatest(least(s.hi, e.hi), t.hi), 6) AS max_ele FROM (SELECT track_id, min(ele) AS lo, max(ele) AS hi FROM samples GROUP BY track_id) s
+        JOIN (SELECT track_id, min(lo) AS lo, max(hi) AS hi FROM env GROUP BY track_id) e USING (track_id) LEFT JOIN (SELECT track_id, min(ele) AS lo, max(ele) AS hi FROM held GROUP BY track_id) t USING (track_id)""",
+    *_SUPPORTED, recursive=True,
+)
 ORACLE_SQL["endpoint_spikes"] = sql(
     """SELECT track_id, run, i, round(e, 6) AS ele, round(near[2], 6) AS clean FROM (SELECT *, list_sort(CASE WHEN i = 1 THEN [lead(e, 1) OVER w, lead(e, 2) OVER w, lead(e, 3) OVER w] ELSE [lag(e, 1) OVER w, lag(e, 2) OVER w, lag(e, 3) OVER w] END) AS near,
         count(*) OVER (PARTITION BY track_id, run) AS n, least(12e0, greatest(4e0, 0.15 * (max(e) OVER (PARTITION BY track_id, run) - min(e) OVER (PARTITION BY track_id, run)))) AS fl FROM s WINDOW w AS (PARTITION BY track_id, run ORDER BY i))

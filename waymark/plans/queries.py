@@ -327,8 +327,28 @@ def noise_summary(spark, sf_dir):
 @query
 def threshold_sweep(spark, sf_dir):
     samples = _plain_samples(spark, sf_dir)
-    climbs = elevation.gain_loss(samples, 3.0, 2.0, 20.0, "ele").groupBy("track_id").agg(F.sum("gain_m").alias("gain_m"), F.sum("loss_m").alias("loss_m"))
-    return diagnostics.threshold_sweep(samples, climbs)
+    return diagnostics.threshold_sweep(samples, elevation.climbs(samples, 3.0, 2.0, 20.0, "ele"))
+
+
+@query
+def confirmed_turns(spark, sf_dir):
+    return elevation.confirmed_turns(_plain_samples(spark, sf_dir), 3.0, 2.0, 20.0, "ele")
+
+
+def _supported(spark, sf_dir):
+    samples = elevation.smooth(_plain_samples(spark, sf_dir), 1, "ele")
+    raw = elevation.runs(dense_points(spark, sf_dir).drop("ele_source"))
+    return samples, raw, elevation.supported_turns(elevation.confirmed_turns(samples, 3.0, 2.0, 20.0), raw, 30.0)
+
+
+@query
+def supported_turns(spark, sf_dir):
+    return _supported(spark, sf_dir)[2]
+
+
+@query
+def confirmed_extrema(spark, sf_dir):
+    return elevation.limited_extrema(*_supported(spark, sf_dir))
 
 
 @query

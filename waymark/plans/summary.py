@@ -71,6 +71,9 @@ def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, Dat
     speeds = series.smoothed(judged.filter(~above).drop("n", "p10", "p25", "p50", "rejected_share", "slow_speeds", "profile", "ceiling_kmh"))
     settings = checkpointed(elevation.defaults(base, checkpointed(elevation.source_trust(base))))
     samples = checkpointed(elevation.profile(base, settings))
+    raw_runs = elevation.runs(base)
+    turns = elevation.confirmed_turns(samples, F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
+    extrema = elevation.limited_extrema(samples, raw_runs, elevation.supported_turns(turns, raw_runs, settings.select("track_id", "sustain_m")))
     used = judged.groupBy("track_id").agg(
         F.max(F.when(~above, F.col("kmh"))).alias("max_kmh"), F.sum(F.when(~above, F.col("metres"))).alias("reliable_m"),
         F.count(F.when(above, 1)).alias("n_outliers"), F.first("profile").alias("reliability_profile"),
@@ -80,7 +83,7 @@ def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, Dat
         .join(continuity.elapsed(base).select("track_id", "total_s"), "track_id")
         .join(continuity.sampling(base).select("track_id", "nominal_s", "mode"), "track_id")
         .join(used, "track_id", "left").join(motion(speeds, base, events), "track_id", "left")
-        .join(elevation.climbs(samples), "track_id", "left").join(elevation.limited_extrema(samples, elevation.runs(base)), "track_id", "left")
+        .join(elevation.climbs(samples), "track_id", "left").join(extrema, "track_id", "left")
         .withColumn("n_outliers", F.coalesce("n_outliers", F.lit(0)))
     )
     filtered = F.col("n_outliers") > 0
