@@ -133,10 +133,10 @@ def test_slow_progress_needs_a_direction(spark):
 
 
 @pytest.mark.parametrize(("places", "poor"), [([0, 5, 10, 15], False), ([0, 5, 0, 5, 0, 5], True), ([0, 0.5, 0, 0.5], False), ([0, 9], False), ([0, 6, 3, 9, 6, 12, 9, 15], False)])
-def test_poor_direction(spark, places, poor):
-    rows = [(0.0, 1 + p / DEGREE) for p in places]
-    df = spark.createDataFrame([(rows,)], "p array<struct<lat: double, lon: double>>")
-    assert df.select(diagnostics.poor_direction(F.col("p"))).first()[0] is poor
+def test_poor_direction(places, poor):
+    lat = np.array([1 + p / DEGREE for p in places])
+    assert bool(diagnostics.goes_to_and_fro(lat, np.zeros(len(lat)))) is poor
+    assert bool(diagnostics.goes_to_and_fro(np.zeros(len(lat)), lat - 1)) is poor
 
 
 def test_motion_profile_takes_lower_ranks_and_shares(spark):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark import checkpointed, ship
 from waymark.functions.geo import METRES_PER_DEGREE, distance
 from waymark.functions.stats import fixed, half_up, interpolated
 from waymark.operators import elevation
@@ -13,6 +18,9 @@ from waymark.operators.continuity import with_continuous_segment, with_gaps
 #: The analysis modes, in the order in which they are offered.
 MODES = ("recomputed_filtered", "recomputed_raw", "recomputed_terrain", "imported_summary")
 
+#: The length of the wider direction window, its least efficiency and the most way back in net ways.
+QUALITY_MS, BROAD = 900_000, (0.03, 20.0)
+
 
 def time_zones(points: DataFrame) -> DataFrame:
     """Rows track_id, n_explicit, n_missing, n_invalid, n_unknown, confidence, flags from points with ts_ms and zone:
@@ -147,60 +155,90 @@ def audit(summary: DataFrame) -> DataFrame:
 
 
 def slow_progress(points: DataFrame, on_kmh: float = 1.5) -> DataFrame:
-    """Rows track_id, seq of pairs within slow but steady progress: in the 150 s on either side of the pair's middle, inside
-    its continuous segment, four pairs or more over 120 s or more, a net speed up to ``on_kmh`` and of 0.5 km/h, or 0.15 and
-    12 m net. Rejected where the direction is poor in that window, or in a whole segment of up to 120 points."""
-    rows = with_continuous_segment(with_gaps(points)).filter("ts_ms is not null")
-    order = Window.partitionBy("track_id", "cont_segment").orderBy("ts_ms")
-    pair = rows.withColumn("centre", F.floor((F.col("ts_ms") + F.lag("ts_ms").over(order)) / 2).cast("long"))
-    marks = pair.select("track_id", "cont_segment", "seq", F.col("ts_ms").alias("t"), "lat", "lon", F.lit(0).alias("is_centre")).union(
-        pair.filter("centre is not null").select("track_id", "cont_segment", "seq", "centre", F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1))
+    """Rows track_id, seq of pairs within slow but steady progress: slow_pairs that are poor in no scope."""
+    return slow_pairs(points, on_kmh).filter("not (poor_window or poor_broad or poor_segment)").select("track_id", "seq")
+
+
+def slow_pairs(points: DataFrame, on_kmh: float = 1.5) -> DataFrame:
+    """Rows track_id, seq, poor_window, poor_broad, poor_segment of pairs that may be slow progress: in the 150 s on either
+    side of the pair's middle, inside its continuous segment, four pairs or more over 120 s or more, a net speed up to
+    ``on_kmh`` and of 0.5 km/h, or 0.15 and 12 m net.
+
+    The flags say where the direction is poor: in that window; in the 15 minutes around the middle, moved into the segment where
+    they stick out, so that they stay 15 minutes (efficiency below 0.03 and 20 times the net way back); in a whole segment of
+    up to 120 points. The ends of the 15 minutes become places by counting along the segment's times, and each window is cut
+    by place out of its segment's points, which a task holds once: work grows with the windows, not with the segment's square.
+    """
+    ship(points.sparkSession)
+    every = with_continuous_segment(with_gaps(points))
+    key = ["track_id", "cont_segment"]
+    whole = Window.partitionBy(*key)
+    times = {"n_points": F.count(F.lit(1)), "from_ms": F.min_by("ts_ms", "seq"), "until_ms": F.max_by("ts_ms", "seq")}
+    rows = every.withColumns({k: v.over(whole) for k, v in times.items()}).filter("ts_ms is not null")
+    order = whole.orderBy("ts_ms", "seq")
+    pair = rows.withColumns({"was_ms": F.lag("ts_ms").over(order), "centre": F.floor((F.col("ts_ms") + F.lag("ts_ms").over(order)) / 2).cast("long")})
+    marks = pair.select(*key, "seq", F.col("ts_ms").alias("t"), "lat", "lon", F.lit(0).alias("is_centre")).union(
+        pair.filter("centre is not null").select(*key, "seq", "centre", F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(1))
     )
-    frame = Window.partitionBy("track_id", "cont_segment").orderBy("t").rangeBetween(-150_000, 150_000)
+    frame = whole.orderBy("t").rangeBetween(-150_000, 150_000)
     point = F.when(F.col("is_centre") == 0, F.struct("t", "seq", "lat", "lon"))
     seconds, net = (F.col("b.t") - F.col("a.t")) / 1000, distance(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     kmh = F.try_divide("net", "seconds") * 3.6
     slow = (F.col("is_centre") == 1) & (F.col("n") >= 5) & (F.col("seconds") >= 120) & (kmh <= on_kmh) & ((kmh >= 0.5) | ((kmh >= 0.15) & (F.col("net") >= 12)))
     seen = marks.withColumns({"a": F.min(point).over(frame), "b": F.max(point).over(frame), "n": F.count(point).over(frame)}).withColumns({"seconds": seconds, "net": net})
-    seen = seen.withColumn("slow", F.coalesce(slow, F.lit(False))).withColumn("any", F.max("slow").over(Window.partitionBy("track_id", "cont_segment"))).filter("any")
-    # the points of a window are listed only in segments that have a slow pair
-    steady = seen.withColumn("all", F.array_sort(F.collect_list(point).over(frame))).filter("slow").filter(~poor_direction(F.col("all")))
-    segments = rows.groupBy("track_id", "cont_segment").agg(F.count("*").alias("points")).filter("points <= 120").select("track_id", "cont_segment")
-    whole = rows.join(segments, ["track_id", "cont_segment"]).groupBy("track_id", "cont_segment").agg(F.array_sort(F.collect_list(F.struct(F.col("ts_ms").alias("t"), "seq", "lat", "lon"))).alias("all"))
-    return steady.join(whole.filter(poor_direction(F.col("all"))), ["track_id", "cont_segment"], "left_anti").select("track_id", "seq")
-
-
-def poor_direction(points: Column, least_efficiency: float = 0.45, most_back: float = 1.0) -> Column:
-    """Whether an array of points in order (with lat, lon) goes to and fro: along the axis, east or north, on which it is
-    longer, steps of 1 m or more change sign three times or more, the net way is less than ``least_efficiency`` of the
-    whole, and the way back is ``most_back`` of the net way or more. Fewer than three points, or no such step, aren't poor."""
-
-    def bound(value: Column, use) -> Column:
-        """use(value), with the value worked out once."""
-        return F.transform(F.array(value), use)[0]
-
-    def judged(axis: Column, steps: Column) -> Column:
-        net = F.element_at(axis, -1) - F.element_at(axis, 1)
-        path = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.abs(d))
-        start = F.struct(F.lit(0.0).alias("sign"), F.lit(0).alias("n"))
-        turns = F.aggregate(steps, start, lambda a, d: F.struct(F.signum(d).alias("sign"), (a["n"] + F.when((a["sign"] != 0) & (F.signum(d) != a["sign"]), 1).otherwise(0)).alias("n")))["n"]
-        back = F.aggregate(steps, F.lit(0.0), lambda a, d: a + F.when((net != 0) & (F.signum(d) != F.signum(net)), F.abs(d)).otherwise(0.0))
-        much = F.when(net == 0, F.lit(True)).otherwise(F.try_divide(back, F.abs(net)) >= most_back)
-        return F.coalesce((path > 0) & (turns >= 3) & (F.try_divide(F.abs(net), path) < least_efficiency) & much, F.lit(False))
-
-    def along(axis: Column) -> Column:
-        pairs = F.arrays_zip(F.slice(axis, 1, F.size(axis) - 1).alias("a"), F.slice(axis, 2, F.size(axis) - 1).alias("b"))
-        steps = F.filter(F.transform(pairs, lambda p: p["b"] - p["a"]), lambda d: F.abs(d) >= 1)
-        return bound(steps, lambda s: judged(axis, s))
-
-    def placed(points: Column) -> Column:
-        first = F.element_at(points, 1)
-        scale = METRES_PER_DEGREE * F.cos(F.radians(first["lat"]))
-        east = bound(scale, lambda k: F.transform(points, lambda p: (p["lon"] - first["lon"]) * k))
-        north = F.transform(points, lambda p: (p["lat"] - first["lat"]) * METRES_PER_DEGREE)
-        return bound(F.when(F.array_max(east) - F.array_min(east) >= F.array_max(north) - F.array_min(north), east).otherwise(north), along)
-
-    return F.when(F.size(points) >= 3, bound(points, placed)).otherwise(F.lit(False))
+    seen = seen.withColumn("slow", F.coalesce(slow, F.lit(False))).withColumn("any", F.max("slow").over(whole)).filter("any")
+    ends = {"first": F.count(point).over(frame.rangeBetween(Window.unboundedPreceding, -150_001)), "last": F.count(point).over(frame.rangeBetween(Window.unboundedPreceding, 150_000))}
+    # read four times below, and dear to make
+    near = checkpointed(seen.withColumns(ends).filter("slow").select(*key, "seq", F.lit("near").alias("scope"), "first", "last"))
+    # the 15 minutes, moved into the segment
+    kind = points.schema["seq"].dataType
+    half = QUALITY_MS // 2
+    starts, stops = F.col("centre") - half, F.col("centre") + half
+    moved = pair.join(near.select(*key, "seq"), [*key, "seq"]).withColumns({"_late": starts < F.col("from_ms"), "_from": F.when(starts < F.col("from_ms"), F.col("from_ms")).otherwise(starts)})
+    moved = moved.withColumn("_to", F.when(F.col("_late"), F.least("until_ms", F.col("from_ms") + QUALITY_MS)).otherwise(stops))
+    moved = moved.withColumns({"_from": F.when(F.col("_to") > F.col("until_ms"), F.greatest("from_ms", F.col("until_ms") - QUALITY_MS)).otherwise(F.col("_from")), "_to": F.least("_to", "until_ms")})
+    moved = moved.filter((F.col("was_ms") >= F.col("_from")) & (F.col("ts_ms") <= F.col("_to")))
+    line = rows.select(*key, F.col("ts_ms").alias("t"), F.lit(None).cast(kind).alias("seq"), F.lit(0).alias("what"))
+    marks = F.array(F.struct(F.col("_from").alias("t"), F.lit(1).alias("what")), F.struct(F.col("_to").alias("t"), F.lit(2).alias("what")))
+    line = line.union(moved.select(*key, "seq", F.inline(marks)).select(*key, "t", "seq", "what"))
+    before = whole.orderBy("t")
+    counted = F.count(F.when(F.col("what") == 0, 1))
+    line = line.withColumns({"lower": counted.over(before.rangeBetween(Window.unboundedPreceding, -1)), "upper": counted.over(before.rangeBetween(Window.unboundedPreceding, 0))}).filter("what > 0")
+    broad = line.groupBy(*key, "seq").agg(F.max(F.when(F.col("what") == 1, F.col("lower"))).alias("first"), F.max(F.when(F.col("what") == 2, F.col("upper"))).alias("last"))
+    scopes = near.union(broad.select(*key, "seq", F.lit("broad"), "first", "last"))
+    points_of = rows.join(near.select(*key).distinct(), key, "left_semi").select(*key, F.col("ts_ms").alias("t"), "seq", "lat", "lon", "n_points")
+    scopes = scopes.toDF(*scopes.columns)  # columns of its own, as both sides come from the same points
+    kinds = {c: t for c, t in points.dtypes if c in ("track_id", "seq")}
+    found = points_of.groupBy(*key).cogroup(scopes.groupBy(*key)).applyInArrow(judge_scopes, f"track_id {kinds['track_id']}, seq {kinds['seq']}, scope string, poor boolean, poor_segment boolean")
+    flags = {f"poor_{name}": F.bool_or((F.col("scope") == scope) & F.col("poor")) for name, scope in (("window", "near"), ("broad", "broad"))}
+    return found.groupBy("track_id", "seq").agg(*(v.alias(k) for k, v in flags.items()), F.bool_or("poor_segment").alias("poor_segment"))
+
+
+def judge_scopes(points: pa.Table, scopes: pa.Table) -> pa.Table:
+    """One segment's points and the stretches of places in it that scopes name: whether each is poor, and the segment."""
+    points = points.sort_by([("t", "ascending"), ("seq", "ascending")])
+    lat, lon = (points.column(c).to_numpy() for c in ("lat", "lon"))
+    whole = points.num_rows > 0 and points.column("n_points")[0].as_py() <= 120 and goes_to_and_fro(lat, lon)
+    ends = zip(scopes.column("scope").to_pylist(), scopes.column("first").to_pylist(), scopes.column("last").to_pylist(), strict=True)
+    poor = [goes_to_and_fro(lat[a:b], lon[a:b], *(BROAD if scope == "broad" else ())) for scope, a, b in ends]
+    out = scopes.select(["track_id", "seq", "scope"]).append_column("poor", pa.array(poor, pa.bool_()))
+    return out.append_column("poor_segment", pa.array([whole] * out.num_rows, pa.bool_()))
+
+
+def goes_to_and_fro(lat: np.ndarray, lon: np.ndarray, least_efficiency: float = 0.45, most_back: float = 1.0) -> bool:
+    """Whether points in order go to and fro: along the axis, east or north, on which they reach farther, steps of 1 m or
+    more change sign three times or more, the net way is less than ``least_efficiency`` of the whole, and the way back is
+    ``most_back`` of the net way or more. Fewer than three points, or no such step, don't."""
+    if len(lat) < 3:
+        return False
+    east, north = (lon - lon[0]) * (METRES_PER_DEGREE * math.cos(math.radians(lat[0]))), (lat - lat[0]) * METRES_PER_DEGREE
+    along = east if np.ptp(east) >= np.ptp(north) else north
+    steps = np.diff(along)
+    steps = steps[np.abs(steps) >= 1]
+    path, net = np.abs(steps).sum(), abs(along[-1] - along[0])
+    if not path > 0 or np.count_nonzero(np.diff(np.sign(steps))) < 3 or not net / path < least_efficiency:
+        return False
+    return not net > 0 or np.abs(steps[np.sign(steps) != np.sign(along[-1] - along[0])]).sum() / net >= most_back
 
 
 def gradient_stops(speeds: DataFrame, column: str = "kmh") -> DataFrame:

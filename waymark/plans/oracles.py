@@ -544,3 +544,34 @@ ORACLE_SQL["sparse_tails"] = sql(
         LEFT JOIN held p ON p.way = -1 AND p.kind = g.kind AND p.track_id = g.track_id AND p.run = g.run AND p.l = g.l LEFT JOIN held q ON q.way = 1 AND q.kind = g.kind AND q.track_id = g.track_id AND q.run = g.run AND q.l = g.l
         UNION ALL SELECT kind, track_id, run, anchor, p.e FROM (SELECT m.kind, m.track_id, m.run, m.anchor, m.p FROM moved m))""",
 )
+
+
+def _poor(name: str, source: str, efficiency: float, back: float) -> str:
+    """Pairs (track_id, pair) whose points in ``source`` go to and fro along their longer axis."""
+    w = "PARTITION BY track_id, pair ORDER BY t, seq"
+    return f"""{name}_a AS (SELECT *, (lon - first_value(lon) OVER ({w})) * 111319.49079327357 * cos(radians(first_value(lat) OVER ({w}))) AS x, (lat - first_value(lat) OVER ({w})) * 111319.49079327357 AS y FROM {source}),
+    {name}_b AS (SELECT *, CASE WHEN max(x) OVER p - min(x) OVER p >= max(y) OVER p - min(y) OVER p THEN x ELSE y END AS v FROM {name}_a WINDOW p AS (PARTITION BY track_id, pair)),
+    {name}_c AS (SELECT *, v - lag(v) OVER ({w}) AS dv FROM {name}_b),
+    {name}_n AS (SELECT track_id, pair, count(*) AS n, max_by(v, {{'t': t, 's': seq}}) - min_by(v, {{'t': t, 's': seq}}) AS net FROM {name}_c GROUP BY ALL),
+    {name}_d AS (SELECT *, sign(dv) AS sg, lag(sign(dv)) OVER ({w}) AS psg FROM {name}_c WHERE abs(dv) >= 1),
+    {name} AS (SELECT track_id, pair FROM (SELECT d.track_id, d.pair, any_value(net) AS net, any_value(n) AS n, sum(abs(dv)) AS path, coalesce(sum(abs(dv)) FILTER (net <> 0 AND sg <> sign(net)), 0) AS bk, count(*) FILTER (psg <> sg) AS rev
+        FROM {name}_d d JOIN {name}_n m ON m.track_id = d.track_id AND m.pair = d.pair GROUP BY ALL) WHERE n >= 3 AND rev >= 3 AND abs(net) / path < {efficiency} AND (net = 0 OR bk / abs(net) >= {back}))"""
+
+
+ORACLE_SQL["slow_scopes"] = sql(
+    """SELECT s.track_id, s.seq, nr.pair IS NOT NULL AS poor_window, br.pair IS NOT NULL AS poor_broad, sg.pair IS NOT NULL AS poor_segment FROM slow s LEFT JOIN poor_near nr ON nr.track_id = s.track_id AND nr.pair = s.seq
+        LEFT JOIN poor_broad br ON br.track_id = s.track_id AND br.pair = s.seq LEFT JOIN poor_all sg ON sg.track_id = s.track_id AND sg.pair = s.cs""",
+    SUPPLIER.replace("pts AS (", "plain AS (") + """,
+    pts AS (SELECT track_id, seq, ts_ms, 43 + CASE WHEN track_id % 3 = 2 THEN 0.4e0 * t ELSE 0.4e0 * least(fmod(t, 2 * leg), 2 * leg - fmod(t, 2 * leg)) END / 111320e0 AS lat, lon, ele, segment, ele_source
+        FROM (SELECT *, ts_ms / 1000e0 AS t, CASE WHEN track_id % 3 = 0 THEN 225e0 ELSE 250e0 END AS leg FROM plain))""", PAIRS, GAPS,
+    "g AS (SELECT *, sum(CASE WHEN same_segment = false OR is_gap THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY seq) AS cs FROM gapped)",
+    "c AS (SELECT track_id, cs, seq, ts_ms, lag(ts_ms) OVER w AS was, (ts_ms + lag(ts_ms) OVER w) // 2 AS centre, min(ts_ms) OVER (PARTITION BY track_id, cs) AS lo, max(ts_ms) OVER (PARTITION BY track_id, cs) AS hi, count(*) OVER (PARTITION BY track_id, cs) AS n FROM g WINDOW w AS (PARTITION BY track_id, cs ORDER BY ts_ms))",
+    "near AS (SELECT c.track_id, c.cs, c.seq AS pair, g.seq, g.ts_ms AS t, g.lat, g.lon FROM c JOIN g ON g.track_id = c.track_id AND g.cs = c.cs AND g.ts_ms BETWEEN centre - 150000 AND centre + 150000)",
+    "w AS (SELECT track_id, cs, pair, count(*) AS n, min_by(lat, t) AS a_lat, min_by(lon, t) AS a_lon, min(t) AS a_t, max_by(lat, t) AS b_lat, max_by(lon, t) AS b_lon, max(t) AS b_t FROM near GROUP BY ALL)",
+    f"""slow AS (SELECT track_id, cs, pair AS seq FROM (SELECT *, {dist("a_", "b_")} AS net, (b_t - a_t) / 1000e0 AS s FROM w WHERE n >= 5) WHERE s >= 120 AND net / s * 3.6 <= 1.5 AND (net / s * 3.6 >= 0.5 OR (net / s * 3.6 >= 0.15 AND net >= 12)))""",
+    "near_slow AS (SELECT n.* FROM near n SEMI JOIN slow s ON s.track_id = n.track_id AND s.seq = n.pair)", _poor("poor_near", "near_slow", 0.45, 1),
+    """span AS (SELECT track_id, cs, seq AS pair, CASE WHEN b > hi THEN greatest(lo, hi - 900000) ELSE a END AS a, least(b, hi) AS b, was, ts_ms FROM (SELECT c.*, CASE WHEN centre - 450000 < lo THEN lo ELSE centre - 450000 END AS a,
+        CASE WHEN centre - 450000 < lo THEN least(hi, lo + 900000) ELSE centre + 450000 END AS b FROM c SEMI JOIN slow s ON s.track_id = c.track_id AND s.seq = c.seq))""",
+    "wide AS (SELECT s.track_id, s.pair, g.seq, g.ts_ms AS t, g.lat, g.lon FROM span s JOIN g ON g.track_id = s.track_id AND g.cs = s.cs AND g.ts_ms BETWEEN s.a AND s.b WHERE s.was >= s.a AND s.ts_ms <= s.b)", _poor("poor_broad", "wide", 0.03, 20),
+    "small AS (SELECT g.track_id, g.cs AS pair, g.seq, g.ts_ms AS t, g.lat, g.lon FROM g JOIN (SELECT DISTINCT track_id, cs, n FROM c WHERE n <= 120) k ON k.track_id = g.track_id AND k.cs = g.cs)", _poor("poor_all", "small", 0.45, 1),
+)

@@ -13,7 +13,7 @@ from waymark.operators import cleaning, continuity, diagnostics, elevation, movi
 from waymark.plans import oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.files import stated_summary
-from waymark.sources.tables import dense_points, sparse_points, supplier_points, tailed_points
+from waymark.sources.tables import dense_points, pacing_points, sparse_points, supplier_points, tailed_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -356,6 +356,11 @@ def elevation_series(spark, sf_dir):
     return diagnostics.elevation_series(_plain_samples(spark, sf_dir), elevation.robust_envelope(elevation.runs(dense_points(spark, sf_dir).drop("ele_source"))))
 
 
+@query
+def slow_scopes(spark, sf_dir):
+    return diagnostics.slow_pairs(pacing_points(spark, sf_dir))
+
+
 @query
 def slow_progress(spark, sf_dir):
     p = dense_points(spark, sf_dir).withColumn("lat", 43 + F.col("seq") * 4e-6).withColumn("segment", F.lit(0))
