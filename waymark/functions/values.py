@@ -31,8 +31,41 @@ def zone_status(text: Column) -> Column:
     )
 
 
-def kilometres(metres: Column) -> Column:
-    return F.when(F.abs(metres) < float("inf"), F.format_string("%.1f km", metres / 1000)).otherwise("—")
+#: What stands between thousands and before decimals, by language; the digits from which thousands are parted.
+SEPARATORS = {"en": (",", ".", 4), "de": (".", ",", 4), "es": (".", ",", 5), "fr": (" ", ",", 4), "ru": (" ", ",", 4)}
+#: The months' long names as dates have them.
+MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря",
+}
+#: A date from day, month and year, and without the year.
+DATES = {"en": ("%2$s %1$s, %3$s", "%2$s %1$s"), "de": ("%1$s. %2$s %3$s", "%1$s. %2$s"), "es": ("%1$s de %2$s de %3$s", "%1$s de %2$s"), "fr": ("%1$s %2$s %3$s", "%1$s %2$s"), "ru": ("%1$s %2$s %3$s", "%1$s %2$s")}
+
+
+def decimal(c: Column, language: str = "en") -> Column:
+    """One decimal, halves of the written number away from zero, thousands parted as the language does; null stays null."""
+    group, point, digits = SEPARATORS[language]
+    plain = F.format_string("%.1f", c)
+    text = F.when(F.abs(plain.cast("double")) >= 10 ** (digits - 1), F.format_string("%,.1f", c)).otherwise(plain)
+    return F.when(c.isNotNull(), F.translate(text, ",.", group + point))
+
+
+def measured(c: Column, unit: str, language: str) -> Column:
+    return F.when(F.abs(c) < float("inf"), F.concat(decimal(c, language), F.lit(f" {unit}"))).otherwise("—")
+
+
+def date_text(day: Column, month: Column, year: Column | None, language: str = "en") -> Column:
+    """A date in words; the day may be any text, such as a range."""
+    whole, short = DATES[language]
+    name = F.element_at(F.array(*map(F.lit, MONTHS[language].split())), month)
+    return F.format_string(whole if year is not None else short, day.cast("string"), name, *([year.cast("string")] if year is not None else []))
+
+
+def kilometres(metres: Column, language: str = "en", unit: str = "km") -> Column:
+    return measured(metres / 1000, unit, language)
 
 
 def clock(seconds: Column) -> Column:
@@ -41,12 +74,12 @@ def clock(seconds: Column) -> Column:
     return F.when(F.abs(seconds) < float("inf"), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)).otherwise("—")
 
 
-def speed_text(kmh: Column) -> Column:
-    return F.when(F.abs(kmh) < float("inf"), F.format_string("%.1f km/h", kmh)).otherwise("—")
+def speed_text(kmh: Column, language: str = "en", unit: str = "km/h") -> Column:
+    return measured(kmh, unit, language)
 
 
-def metres_text(metres: Column) -> Column:
-    return F.when(F.abs(metres) < float("inf"), F.format_string("%.1f m", metres)).otherwise("—")
+def metres_text(metres: Column, language: str = "en", unit: str = "m") -> Column:
+    return measured(metres, unit, language)
 
 
 def rounded_metres(metres: Column) -> Column:

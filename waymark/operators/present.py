@@ -89,17 +89,19 @@ def metric_tiles(summary: DataFrame) -> DataFrame:
     return summary.select("track_id", F.explode(F.array(*one)).alias("t")).select("track_id", "t.*")
 
 
-def period_label(points: DataFrame) -> DataFrame:
-    """Rows track_id, label: the track's first to last day (UTC), shortened where year, month or day agree."""
-    day = lambda c: F.timestamp_millis(c)
-    rows = points.groupBy("track_id").agg(day(F.min("ts_ms")).alias("a"), day(F.max("ts_ms")).alias("b"))
-    f = F.date_format
+def period_label(points: DataFrame, language: str = "en") -> DataFrame:
+    """Rows track_id, label: the track's first to last day (UTC) in words, in the language's order, shortened where year, month
+    or day agree; empty without times."""
+    rows = points.groupBy("track_id").agg(F.timestamp_millis(F.min("ts_ms")).alias("a"), F.timestamp_millis(F.max("ts_ms")).alias("b"))
+    parts = lambda c: (F.dayofmonth(c), F.month(c), F.year(c))
+    (d1, m1, y1), (d2, m2, y2) = parts("a"), parts("b")
+    text, year, month = values.date_text, y1 == y2, (y1 == y2) & (m1 == m2)
     label = (
-        F.when(F.col("a").isNull(), None)
-        .when(f("a", "yyyyMMdd") == f("b", "yyyyMMdd"), f("a", "d MMM yyyy"))
-        .when(f("a", "yyyyMM") == f("b", "yyyyMM"), F.concat(f("a", "d"), F.lit("–"), f("b", "d MMM yyyy")))
-        .when(f("a", "yyyy") == f("b", "yyyy"), F.concat(f("a", "d MMM"), F.lit(" – "), f("b", "d MMM yyyy")))
-        .otherwise(F.concat(f("a", "d MMM yyyy"), F.lit(" – "), f("b", "d MMM yyyy")))
+        F.when(F.col("a").isNull(), "")
+        .when(month & (d1 == d2), text(d1, m1, y1, language))
+        .when(month, text(F.concat_ws("-", d1, d2), m2, y2, language))
+        .when(year, F.concat(text(d1, m1, None, language), F.lit(" - "), text(d2, m2, y2, language)))
+        .otherwise(F.concat(text(d1, m1, y1, language), F.lit(" - "), text(d2, m2, y2, language)))
     )
     return rows.select("track_id", label.alias("label"))
 

@@ -262,18 +262,23 @@ ORACLE_SQL = {
         "SELECT track_id, 'LineString' AS type, CAST(row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS INT) AS k, round(lon, 6) AS lon, round(lat, 6) AS lat FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM pts) WHERE n >= 2", SPARSE
     ),
     "number_parsing": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN round(o_totalprice, 6) END AS value FROM orders",
-    "formatters": """SELECT o_orderkey, coalesce(printf('%d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60), '—') AS clock, coalesce(printf('%d.%d km', (v + 50) // 1000, (v + 50) // 100 % 10), '—') AS kilometres,
-        coalesce(printf('%d.0 km/h', v), '—') AS speed_text, coalesce(printf('%d.0 m', v), '—') AS metres_text,
+    "formatters": """SELECT o_orderkey, coalesce(printf('%d:%02d:%02d', v // 3600, v % 3600 // 60, v % 60), '—') AS clock, coalesce(format('{:,}', (v + 50) // 1000) || printf('.%d km', (v + 50) // 100 % 10), '—') AS kilometres,
+        coalesce(format('{:,}.0 km/h', v), '—') AS speed_text, coalesce(format('{:,}.0 m', v), '—') AS metres_text,
         coalesce(printf('%d m', v), 'n/a') AS rounded_metres, coalesce(printf('%d s', v), 'n/a') AS rounded_seconds, coalesce(printf('%d', v), '0') AS rounded_count FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS v FROM orders)""",
     "time_parsing": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t + 250 - 7200000 WHEN 3 THEN t + 5400000 END AS ts_ms,
         CASE o_orderkey % 7 WHEN 1 THEN 'missing' WHEN 4 THEN 'invalid' WHEN 5 THEN 'none' WHEN 6 THEN 'none' ELSE 'explicit' END AS zone FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 * 1000 AS t FROM orders)""",
     "period_label": sql(
-        """SELECT track_id, CASE WHEN a IS NULL THEN NULL WHEN CAST(a AS DATE) = CAST(b AS DATE) THEN strftime(a, '%-d %b %Y') WHEN year(a) = year(b) AND month(a) = month(b) THEN strftime(a, '%-d') || '–' || strftime(b, '%-d %b %Y')
-            WHEN year(a) = year(b) THEN strftime(a, '%-d %b') || ' – ' || strftime(b, '%-d %b %Y') ELSE strftime(a, '%-d %b %Y') || ' – ' || strftime(b, '%-d %b %Y') END AS label
-            FROM (SELECT track_id, epoch_ms(min(t)) AS a, epoch_ms(max(t)) AS b FROM q GROUP BY track_id)""",
+        """SELECT track_id, coalesce(CASE WHEN a = b THEN monthname(a) || strftime(a, ' %-d, %Y') WHEN ym THEN monthname(b) || strftime(a, ' %-d-') || strftime(b, '%-d, %Y')
+            WHEN yy THEN monthname(a) || strftime(a, ' %-d - ') || monthname(b) || strftime(b, ' %-d, %Y') ELSE monthname(a) || strftime(a, ' %-d, %Y - ') || monthname(b) || strftime(b, ' %-d, %Y') END, '') AS label,
+            coalesce(CASE WHEN a = b THEN strftime(a, '%-d de ') || ma || strftime(a, ' de %Y') WHEN ym THEN strftime(a, '%-d-') || strftime(b, '%-d de ') || mb || strftime(b, ' de %Y')
+            WHEN yy THEN strftime(a, '%-d de ') || ma || strftime(b, ' - %-d de ') || mb || strftime(b, ' de %Y') ELSE strftime(a, '%-d de ') || ma || strftime(a, ' de %Y - ') || strftime(b, '%-d de ') || mb || strftime(b, ' de %Y') END, '') AS label_es FROM (
+            SELECT *, year(a) = year(b) AS yy, year(a) = year(b) AND month(a) = month(b) AS ym, es[month(a)] AS ma, es[month(b)] AS mb FROM (SELECT track_id, CAST(epoch_ms(min(t)) AS DATE) AS a, CAST(epoch_ms(max(t)) AS DATE) AS b,
+            ['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre', 'octubre', 'noviembre', 'diciembre'] AS es FROM q GROUP BY track_id))""",
         SPARSE,
         "q AS (SELECT track_id, CASE WHEN track_id % 4 <> 3 OR track_id % 8 = 7 THEN ts_ms END AS t FROM pts WHERE track_id % 4 IN (0, 3) OR (track_id % 4 = 1 AND seq <= 3) OR (track_id % 4 = 2 AND seq <= 1))",
     ),
+    "formatter_languages": """SELECT o_orderkey, en || ' m' AS en, translate(en, ',.', '.,') || ' m' AS de, CASE WHEN v < 100000 THEN printf('%d,%d', v // 10, v % 10) ELSE translate(en, ',.', '.,') END || ' m' AS es, translate(en, ',.', ' ,') || ' m' AS fr, translate(en, ',.', ' ,') || ' m' AS ru
+        FROM (SELECT o_orderkey, v, format('{:,}', v // 10) || printf('.%d', v % 10) AS en FROM (SELECT o_orderkey, CAST(floor(o_totalprice * (1 + o_orderkey % 40)) AS BIGINT) AS v FROM orders))""",
     "analysis_modes": """SELECT DISTINCT user_id AS track_id, 'recomputed_filtered,recomputed_raw' || CASE WHEN user_id % 3 = 0 THEN ',recomputed_terrain' ELSE '' END || CASE WHEN user_id % 2 = 0 THEN ',imported_summary' ELSE '' END AS modes,
         CASE WHEN user_id % 3 = 0 THEN 'recomputed_terrain' ELSE 'recomputed_filtered' END AS default_mode FROM events""",
 }
@@ -447,7 +452,7 @@ ORACLE_SQL["route_colours"] = sql(
     "u AS (SELECT p.track_id, p.seq, c FROM pts p LEFT JOIN col ON p.track_id = col.track_id AND p.seq = col.seq)",
 )
 
-_TENTH = lambda x: f"printf('%d.%d', CAST(floor(({x}) * 10 + 0.5) AS BIGINT) // 10, CAST(floor(({x}) * 10 + 0.5) AS BIGINT) % 10)"
+_TENTH = lambda x: f"(format('{{:,}}', CAST(floor(({x}) * 10 + 0.5) AS BIGINT) // 10) || printf('.%d', CAST(floor(({x}) * 10 + 0.5) AS BIGINT) % 10))"
 _CLOCK = "printf('%d:%02d:%02d', CAST(floor(total_s + 0.5) AS BIGINT) // 3600, CAST(floor(total_s + 0.5) AS BIGINT) % 3600 // 60, CAST(floor(total_s + 0.5) AS BIGINT) % 60)"
 _TILES = [
     ("distance", "m", "total_distance_m", f"{_TENTH('total_distance_m / 1000')} || ' km'"), ("moving-time", "s", "NULL", "NULL"), ("stopped-time", "s", "NULL", "NULL"), ("total-time", "s", "total_s", _CLOCK),

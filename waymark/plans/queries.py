@@ -452,7 +452,14 @@ def time_parsing(spark, sf_dir):
 def period_label(spark, sf_dir):
     p = sparse_points(spark, sf_dir)
     kind = F.col("track_id") % 4
-    return present.period_label(p.filter((kind == 0) | ((kind == 1) & (F.col("seq") <= 3)) | ((kind == 2) & (F.col("seq") <= 1)) | (kind == 3)).withColumn("ts_ms", F.when((kind != 3) | (F.col("track_id") % 8 == 7), F.col("ts_ms"))))
+    p = p.filter((kind == 0) | ((kind == 1) & (F.col("seq") <= 3)) | ((kind == 2) & (F.col("seq") <= 1)) | (kind == 3)).withColumn("ts_ms", F.when((kind != 3) | (F.col("track_id") % 8 == 7), F.col("ts_ms")))
+    return present.period_label(p).join(present.period_label(p, "es").withColumnRenamed("label", "label_es"), "track_id")
+
+
+@query
+def formatter_languages(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.floor(F.col("o_totalprice") * (1 + F.col("o_orderkey") % 40)) / 10).alias("v"))
+    return p.select("o_orderkey", *(values.metres_text(F.col("v"), language).alias(language) for language in values.SEPARATORS))
 
 
 @query

@@ -64,6 +64,13 @@ def local(element: ET.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
+def first_name(root, tag: str) -> str:
+    """The text of the first name anywhere in the document's first element of a tag; empty if there is none."""
+    holder = next((e for e in root.iter() if local(e) == tag), None)
+    name = next((e for e in holder.iter() if local(e) == "name"), None) if holder is not None else None
+    return "".join(name.itertext()) if name is not None else ""
+
+
 def child_text(element: ET.Element, name: str) -> str | None:
     return next((c.text for c in element if local(c).lower() == name), None)
 
@@ -143,8 +150,7 @@ def gpx(data: bytes) -> dict:
                 field, value = FIELD_OF.get(re.sub(r"[^a-z0-9]", "", key.lower())), number(text)
                 if field and value is not None:
                     summary.setdefault(field, value * 3.6 if per_second and field in ("moving_kmh", "max_kmh") else value)
-    named = [n for tag in ("trk", "metadata") for e in root.iter() if local(e) == tag if (n := child_text(e, "name")) is not None]
-    name = named[0].strip() if named else ""
+    name = (first_name(root, "trk") or first_name(root, "metadata")).strip()
     kinds = [(k.strip(), tag) for tag in ("trk", "rte") for e in root.iter() if local(e) == tag if activity_kind(k := child_text(e, "type"))]
     activity, tag = kinds[0] if kinds else (None, None)
     source = {"trk": "gpx_track_type", "rte": "gpx_route_type", None: None}[tag]
