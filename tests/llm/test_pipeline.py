@@ -96,5 +96,5 @@ def test_stages_take_odd_and_empty_tables(spark, own_tables):
 
 
 def test_every_query_is_there():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)

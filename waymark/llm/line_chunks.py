@@ -12,29 +12,35 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import id_and_text, staged
 
-#: A long chunk ends after a line where the rolling hash of it and the line before is 0 modulo DIVISOR; so the lines alone
-#: choose. The short chunks, with divisor 1, are all stretches of two neighbouring lines.
-DIVISOR = 4
-MASK = (1 << 64) - 1
+#: Marks of chunks: a chunk begins at a line whose rolling hash with the line after it is 0 modulo the divisor, and ends at
+#: the next line whose rolling hash with the line before it is. Divisors are nested, the finest is used with three seeds; so
+#: the lines of a chunk alone choose it, and it stands wherever they stand.
+MARKS = ((2, 1), (2, 2), (2, 3), (4, 1), (8, 1))
+MASK, MULTIPLIER = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Rows of an Arrow batch from which a task hands it on.
 ROWS = 100_000
 NO_ID = 2**63 - 1
 
 
-def chunks_of(lines: list[str]) -> list[tuple[int, int]]:
+def chunks_of(lines: list[str], marks: tuple[tuple[int, int], ...] = MARKS) -> list[tuple[int, int]]:
     """The chunks of a text's lines: first and last line of each, both with more than white space. Blank lines belong to
-    what they part. Chunks of one line aren't any."""
+    what they part. A text's first line begins a chunk and its last line ends one. Chunks of one line aren't any."""
     full = [k for k, line in enumerate(lines) if line and not line.isspace()]
-    out = list(zip(full, full[1:]))
-    hashes = [xxhash.xxh3_64_intdigest(lines[k]) for k in full]
-    start = 0
-    for j in range(1, len(full)):
-        rolling = (hashes[j - 1] * 0x9E3779B97F4A7C15 + hashes[j]) & MASK
-        if (rolling >> 32) % DIVISOR == 0 or j == len(full) - 1:
-            if j - start > 1:
-                out.append((full[start], full[j]))
-            start = j + 1
-    return out
+    if len(full) < 2:
+        return []
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(lines[k]) for k in full), np.uint64, len(full))
+    found: set[tuple[int, int]] = set()
+    last = len(full) - 1
+    for divisor, seed in marks:
+        rolling = (hashes[:-1] * np.uint64(MULTIPLIER * seed & MASK) + hashes[1:]) * np.uint64(MULTIPLIER)
+        begins = np.flatnonzero((rolling >> np.uint64(32)) % np.uint64(divisor) == 0).tolist()  # at the first line of a pair
+        ends = (np.flatnonzero((rolling >> np.uint64(48)) % np.uint64(divisor) == 0) + 1).tolist()  # at its second line
+        at = 0
+        for begin in dict.fromkeys([0, *begins]):
+            while at < len(ends) and ends[at] <= begin:
+                at += 1
+            found.add((full[begin], full[ends[at] if at < len(ends) else last]))
+    return sorted(found)
 
 
 def body(lines: list[str], chunk: tuple[int, int]) -> str:
@@ -56,7 +62,7 @@ def shorter(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int, in
     whether the first of them is in this text."""
     lines = text.split("\n")
     gone, seen = set(), set()
-    for chunk in sorted(chunks_of(lines)):
+    for chunk in chunks_of(lines):
         key = key_of(body(lines, chunk))
         first = known.get(key)
         if first and key not in seen:
@@ -73,9 +79,9 @@ def shorter(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int, in
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, text, n_lines, n_removed: every text without the lines of multi-line chunks that stand elsewhere too.
 
-    Chunks are cut at two scales, by what the lines say and not by where they stand: runs between content-defined
-    boundaries (about DIVISOR lines), and every two neighbouring lines with more than white space, so that what surrounds
-    a repeated run of two lines or more doesn't hide its ends. Of equal chunks the first isn't removed: the one in the
+    Chunks are cut where rolling hashes over the lines' hashes say so (MARKS), at nested divisors, by what the lines of a chunk
+    say and not by where they stand; what surrounds a repeated run of lines hides at most the few lines before its first mark
+    and after its last. The longest chunk that repeats covers the shorter ones in it. Of equal chunks the first isn't removed: the one in the
     smallest doc_id (of equal ids, the smallest hash of the text), within it the first; so the first occurrence of every
     line stays. Chunks meet by a 128-bit hash and go only after their bytes are compared: where two different texts share
     a hash, both stay everywhere. Single repeated lines stay. Blank lines after a removed line go with it.
