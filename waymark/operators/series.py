@@ -81,6 +81,16 @@ def reliability(speeds: DataFrame) -> DataFrame:
     return rows.withColumn("warning", warning).drop("slow")
 
 
+def outlier_details(judged: DataFrame, most: int = 50) -> DataFrame:
+    """Rows track_id, k, seq, kmh, dt, metres, start_m, distance_m, n_outliers: of with_reliability's samples above the
+    ceiling, each track's first ``most`` in order, and how many there are. The limit on the row number is applied in every
+    partition before the exchange and again after it, and counts are made apart, so no track's outliers meet."""
+    above = judged.filter("ceiling_kmh is not null and kmh > ceiling_kmh")
+    counts = above.groupBy("track_id").agg(F.count("*").alias("n_outliers"))
+    first = above.withColumn("k", F.row_number().over(in_order())).filter(F.col("k") <= most)
+    return first.select("track_id", "k", "seq", "kmh", "dt", "metres", (F.col("distance_m") - F.col("metres")).alias("start_m"), "distance_m").join(counts, "track_id")
+
+
 def reliable_speed(speeds: DataFrame) -> DataFrame:
     """The samples at or below their track's ceiling, with smooth_kmh: the mean of five samples around each, by order."""
     return smoothed(with_reliability(speeds).filter("ceiling_kmh is null or kmh <= ceiling_kmh").select(*speeds.columns))

@@ -580,3 +580,32 @@ ORACLE_SQL["slow_scopes"] = sql(
     "wide AS (SELECT s.track_id, s.pair, g.seq, g.ts_ms AS t, g.lat, g.lon FROM span s JOIN g ON g.track_id = s.track_id AND g.cs = s.cs AND g.ts_ms BETWEEN s.a AND s.b WHERE s.was >= s.a AND s.ts_ms <= s.b)", _poor("poor_broad", "wide", 0.03, 20),
     "small AS (SELECT g.track_id, g.cs AS pair, g.seq, g.ts_ms AS t, g.lat, g.lon FROM g JOIN (SELECT DISTINCT track_id, cs, n FROM c WHERE n <= 120) k ON k.track_id = g.track_id AND k.cs = g.cs)", _poor("poor_all", "small", 0.45, 1),
 )
+
+_COLOUR = "printf('#%02x%02x%02x', CAST(floor(37 + 183 * t + 0.5) AS BIGINT), CAST(floor(99 - 61 * t + 0.5) AS BIGINT), CAST(floor(235 - 197 * t + 0.5) AS BIGINT))"
+#: Stops from ``line`` (track_id, k, kmh, p): the scale of its speeds, colours, ends, and the last writer at equal progress.
+STOPS = (
+    "sc AS (SELECT * FROM (SELECT track_id, quantile_cont(kmh, 0.1) AS lo, quantile_cont(kmh, 0.9) AS hi, count(*) AS n FROM scaled GROUP BY track_id) WHERE n >= 2 AND hi - lo >= 0.1)",
+    f"hue AS (SELECT track_id, k, p, {_COLOUR} AS c FROM (SELECT l.*, greatest(0e0, least(1e0, (kmh - lo) / (hi - lo))) AS t FROM line l JOIN sc ON sc.track_id = l.track_id))",
+    "rim AS (SELECT track_id, k, 1 AS own, floor(greatest(0, least(1, p)) * 1000000 + 0.5) / 1000000 AS p, c FROM hue UNION ALL SELECT track_id, min(k), 0, 0e0, min_by(c, k) FROM hue GROUP BY track_id UNION ALL SELECT track_id, max(k), 2, 1e0, max_by(c, k) FROM hue GROUP BY track_id)",
+    "stop AS (SELECT track_id, p, max_by(c, {'k': k, 'o': own}) AS c FROM rim GROUP BY track_id, p)",
+)
+ORACLE_SQL["stops_by_way"] = sql(
+    "SELECT track_id, round(p, 6) AS progress, c AS colour FROM stop",
+    SUPPLIER, *ROUTED, SPEED,
+    "got AS (SELECT track_id, seq, distance_m, metres, round(kmh, 3) AS kmh FROM speeds WHERE track_id % 5 <> 1 OR seq % 97 <> 5)",
+    "twice AS (SELECT * FROM got UNION ALL SELECT * FROM got WHERE track_id % 5 = 2 AND seq = 100)",
+    "lead_in AS (SELECT *, row_number() OVER w AS k, distance_m - metres AS s, coalesce(lag(distance_m) OVER w, 0e0) AS b FROM twice WHERE metres > 0 WINDOW w AS (PARTITION BY track_id ORDER BY distance_m, seq))",
+    "total AS (SELECT track_id, max(distance_m) + CASE WHEN track_id % 5 = 3 THEN 1.5e0 ELSE 0.5e0 END AS m FROM route GROUP BY track_id)",
+    "fit AS (SELECT l.track_id FROM lead_in l JOIN total t ON t.track_id = l.track_id GROUP BY l.track_id HAVING bool_and(abs(s - b) <= 1) AND abs(max(distance_m) - any_value(m)) <= 1 AND count(*) >= 2)",
+    "line AS (SELECT l.track_id, k, kmh, distance_m / m AS p FROM lead_in l JOIN fit f ON f.track_id = l.track_id JOIN total t ON t.track_id = l.track_id)", "scaled AS (SELECT * FROM line)", *STOPS,
+)
+ORACLE_SQL["stops_by_point"] = sql(
+    "SELECT track_id, round(p, 6) AS progress, c AS colour FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS m FROM stop) WHERE m >= 2",
+    DENSE, *ROUTED, SPEED, "scaled AS (SELECT track_id, seq, round(kmh, 3) AS kmh FROM speeds)",
+    "drawn AS (SELECT track_id, seq, sum(coalesce(metres, 0e0)) OVER (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS d FROM pairs)",
+    "line AS (SELECT s.track_id, s.seq AS k, s.kmh, d.d / t.t AS p FROM scaled s JOIN drawn d ON d.track_id = s.track_id AND d.seq = s.seq JOIN (SELECT track_id, max(d) AS t FROM drawn GROUP BY track_id) t ON t.track_id = s.track_id)", *STOPS,
+)
+ORACLE_SQL["outlier_details"] = sql(
+    f"SELECT track_id, CAST(k AS INT) AS k, seq, {r('kmh', 'dt', 'metres')}, round(distance_m - metres, 6) AS start_m, {r('distance_m')}, n_outliers FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY track_id) AS n_outliers FROM speeds JOIN (SELECT track_id, ceiling_kmh FROM ceilings) USING (track_id) WHERE kmh > ceiling_kmh) WHERE k <= 5",
+    DENSE, *ROUTED, SPEED.replace("speeds AS (", "slower AS (") + ", speeds AS (SELECT * REPLACE (kmh + CASE WHEN seq % 9 = 0 THEN 40e0 ELSE 0e0 END AS kmh) FROM slower)", RELIABLE,
+)

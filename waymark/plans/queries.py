@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import stats, values
 
-from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series, tails
+from waymark.operators import cleaning, continuity, diagnostics, elevation, gradient, moving, present, series, tails
 from waymark.plans import oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.files import stated_summary
@@ -414,6 +414,31 @@ def speed_axis(spark, sf_dir):
     return present.speed_axis(series.raw_speed(dense_points(spark, sf_dir)))
 
 
+def _line_speeds(spark, sf_dir):
+    """Speeds of supplier_points; of five suppliers one lacks some samples and one has a few twice."""
+    s = series.raw_speed(supplier_points(spark, sf_dir)).withColumn("kmh", F.round("kmh", 3))
+    s = s.filter((F.col("track_id") % 5 != 1) | (F.col("seq") % 97 != 5))
+    return s.union(s.filter((F.col("track_id") % 5 == 2) & (F.col("seq") == 100)))
+
+
+@query
+def stops_by_way(spark, sf_dir):
+    totals = series.distance_series(supplier_points(spark, sf_dir)).groupBy("track_id").agg((F.max("distance_m") + F.when(F.col("track_id") % 5 == 3, 1.5).otherwise(0.5)).alias("total_m"))
+    return gradient.stops_by_way(_line_speeds(spark, sf_dir), totals, "kmh")
+
+
+@query
+def stops_by_point(spark, sf_dir):
+    p = dense_points(spark, sf_dir)
+    return gradient.stops_by_point(p, series.raw_speed(p).withColumn("kmh", F.round("kmh", 3)), "kmh")
+
+
+@query
+def outlier_details(spark, sf_dir):
+    s = series.raw_speed(dense_points(spark, sf_dir)).withColumn("kmh", F.col("kmh") + F.when(F.col("seq") % 9 == 0, 40.0).otherwise(0.0))
+    return series.outlier_details(series.with_reliability(s), 5)
+
+
 @query
 def midpoint_values(spark, sf_dir):
     p = series.distance_series(dense_points(spark, sf_dir))
