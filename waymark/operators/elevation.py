@@ -282,11 +282,17 @@ def defaults(points: DataFrame, trust: DataFrame | None = None) -> DataFrame:
     )
 
 
-def profile(points: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+def repaired(points: DataFrame) -> DataFrame:
+    """The elevation runs with lone outliers, wild ends and sparse tails replaced, before anything is resampled."""
+    return without_sparse_tails(without_raw_outliers(runs(points)))
+
+
+def profile(points: DataFrame, settings: DataFrame | None = None, fixed: DataFrame | None = None) -> DataFrame:
     """Samples with run, i, d, ele, clean, smooth, sigma and their track's settings (of defaults), spaced by its activity:
-    the chain up to gain and loss."""
+    the chain up to gain and loss. fixed: repaired's rows, where they are known."""
     settings = defaults(points) if settings is None else settings
-    samples = resample(without_sparse_tails(without_raw_outliers(runs(points))).join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
+    fixed = repaired(points) if fixed is None else fixed
+    samples = resample(fixed.join(settings.select("track_id", "step_m"), "track_id"), F.col("step_m"))
     return local_sigma(smooth(replace_endpoints(hampel(samples.join(settings, "track_id")))))
 
 
@@ -317,7 +323,7 @@ def supported_turns(turns: DataFrame, run_points: DataFrame, sustain: DataFrame
     w = Window.partitionBy("track_id", "run").orderBy("k")
     rows = turns.withColumn("sustain_m", F.lit(float(sustain))) if isinstance(sustain, (int, float)) else turns.join(sustain, "track_id")
     back, ahead = F.col("d") - F.lag("d").over(w), F.lead("d").over(w) - F.col("d")
-    edge = F.coalesce((back >= F.col("sustain_m")) & (ahead >= F.col("sustain_m")), back.isNull() | ahead.isNull())
+    edge = back.isNull() | ahead.isNull() | ((back >= F.col("sustain_m")) & (ahead >= F.col("sustain_m")))
     rows = rows.withColumn("_long", edge).filter("_long").join(raw_envelopes(run_points), ["track_id", "run"])
     low, high = (F.col("ele") >= F.col("lo")) | (F.col("low_support") <= F.col("ele")), (F.col("ele") <= F.col("hi")) | (F.col("high_support") >= F.col("ele"))
     return rows.filter(F.coalesce(low & high, F.lit(False))).select("track_id", "run", "k", "i", "d", "ele")

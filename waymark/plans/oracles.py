@@ -609,3 +609,31 @@ ORACLE_SQL["outlier_details"] = sql(
     f"SELECT track_id, CAST(k AS INT) AS k, seq, {r('kmh', 'dt', 'metres')}, round(distance_m - metres, 6) AS start_m, {r('distance_m')}, n_outliers FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY track_id) AS n_outliers FROM speeds JOIN (SELECT track_id, ceiling_kmh FROM ceilings) USING (track_id) WHERE kmh > ceiling_kmh) WHERE k <= 5",
     DENSE, *ROUTED, SPEED.replace("speeds AS (", "slower AS (") + ", speeds AS (SELECT * REPLACE (kmh + CASE WHEN seq % 9 = 0 THEN 40e0 ELSE 0e0 END AS kmh) FROM slower)", RELIABLE,
 )
+
+_TEXT = lambda x: f"coalesce(format('{{:d}}', CAST({x} AS BIGINT)), '0')"
+_METRES = lambda x: f"coalesce(printf('%d m', CAST({x} AS BIGINT)), 'n/a')"
+_ITEMS = [
+    (0, 0, "input", "'ok'", "inputPoints", "Points", "count", "pin", _TEXT("pin")), (0, 1, "input", "'ok'", "mode", "Mode", "analysisMode", "m", "m"),
+    (1, 0, "cleaning", "CASE WHEN pin > n THEN 'changed' ELSE 'ok' END", "keptPoints", "Points", "keptCount", "n", f"{_TEXT('n')} || ' kept'"), (1, 1, "cleaning", "CASE WHEN pin > n THEN 'changed' ELSE 'ok' END", "removedPoints", "Removed", "count", "pin - n", _TEXT("pin - n")),
+    (2, 0, "continuity", "CASE WHEN g > 0 OR j > 0 THEN 'changed' ELSE 'ok' END", "timeGaps", "Time gaps", "count", "g", _TEXT("g")), (2, 1, "continuity", "CASE WHEN g > 0 OR j > 0 THEN 'changed' ELSE 'ok' END", "xyJitter", "XY jitter", "count", "j", _TEXT("j")),
+    (3, 0, "elevation", "CASE WHEN th IS NULL THEN 'ok' ELSE 'changed' END", "elevationSource", "Source", "elevationSource", "coalesce(src, 'none')", "coalesce(src, 'none')"),
+    (3, 1, "elevation", "CASE WHEN th IS NULL THEN 'ok' ELSE 'changed' END", "threshold", "Threshold", "meters", "CAST(th AS DOUBLE)", _METRES("th")),
+    (3, 2, "elevation", "CASE WHEN th IS NULL THEN 'ok' ELSE 'changed' END", "thresholdSweep", "Sweep", "thresholdSweep", "CASE WHEN th IS NOT NULL THEN 'median/p95' END", f"CASE WHEN th IS NULL THEN 'n/a' ELSE 'median: ' || {_METRES('th')} || ' / p95: ' || {_METRES('t % 11')} END"),
+    (4, 0, "movement", "'changed'", "movingTime", "Moving time", "seconds", "CAST(mv AS DOUBLE)", "coalesce(printf('%d s', CAST(mv AS BIGINT)), 'n/a')"), (4, 1, "movement", "'changed'", "startSpeed", "Start speed", "kmh", "'1.5'", "'1.5 km/h'"),
+    (5, 0, "sampling", "CASE WHEN md IN ('smart', 'sparse') THEN 'warning' ELSE 'ok' END", "recording", "Recording", "recordingMode", "md", "md"), (5, 1, "sampling", "CASE WHEN md IN ('smart', 'sparse') THEN 'warning' ELSE 'ok' END", "interval", "Interval", "seconds", "CAST(round(nominal_s) AS DOUBLE)", "coalesce(printf('%d s', CAST(round(nominal_s) AS BIGINT)), 'n/a')"),
+    (6, 0, "summary", "st", "distance", "Distance", "meters", "CASE WHEN im THEN CAST(t * 10 AS DOUBLE) ELSE round(total_distance_m) END", f"CASE WHEN im THEN {_METRES('t * 10')} ELSE {_METRES('round(total_distance_m)')} END"),
+    (6, 1, "summary", "st", "elevationGain", "Elevation gain", "meters", "CASE WHEN NOT im THEN CAST(t % 13 AS DOUBLE) END", f"CASE WHEN im THEN 'n/a' ELSE {_METRES('t % 13')} END"),
+    (6, 2, "summary", "st", "CASE WHEN im THEN 'source' ELSE 'flags' END", "CASE WHEN im THEN 'Source' ELSE 'Flags' END", "CASE WHEN im THEN 'sourceTag' ELSE 'count' END", "CASE WHEN im THEN 'gpx' ELSE CAST(nf AS VARCHAR) END", f"CASE WHEN im THEN 'gpx' ELSE {_TEXT('nf')} END"),
+    (6, 3, "summary", "st", "CASE WHEN im THEN 'flags' ELSE 'timeZone' END", "CASE WHEN im THEN 'Flags' ELSE 'Time zone' END", "CASE WHEN im THEN 'count' ELSE 'timeZoneConfidence' END", "CASE WHEN im THEN CAST(nf AS VARCHAR) ELSE 'unknown' END", f"CASE WHEN im THEN {_TEXT('nf')} ELSE 'unknown' END"),
+]
+_NAME = lambda x: x if x.startswith("CASE") else f"'{x}'"
+ORACLE_SQL["audit_stages"] = f"""WITH s AS ({ORACLE_SQL["track_summary"]}), g AS (SELECT track_id, CAST(sum(CAST(is_gap AS INT)) AS BIGINT) AS g, count(DISTINCT segment) AS ns FROM ({sql("SELECT * FROM gapped", SPARSE, PAIRS, GAPS)}) GROUP BY track_id),
+    f AS (SELECT s.*, s.mode AS md, s.track_id AS t, g, n_points AS n, n_points + s.track_id % 4 AS pin, s.track_id % 3 AS j, s.track_id % 2 = 0 AS im, CASE WHEN s.track_id % 2 = 0 THEN 'imported_summary' ELSE 'recomputed_filtered' END AS m,
+        CASE WHEN s.track_id % 5 <> 0 THEN 'gpx' END AS src, CASE WHEN s.track_id % 5 <> 0 THEN s.track_id % 7 END AS th, CASE WHEN s.track_id % 6 <> 1 THEN round(total_s) END AS mv,
+        CAST(s.mode IN ('smart', 'sparse') AS INT) + CAST(ns > 1 AS INT) + CAST(g > 0 AS INT) + CAST(s.track_id % 3 > 0 AS INT) AS nf FROM s JOIN g ON g.track_id = s.track_id),
+    h AS (SELECT *, CASE WHEN im OR nf > 0 THEN 'warning' ELSE 'ok' END AS st FROM f) """ + " UNION ALL ".join(
+    f"SELECT t AS track_id, m AS mode, {n} AS n, {k} AS k, '{stage}' AS stage, {status} AS status, {_NAME(i)} AS item, {_NAME(label)} AS label, {_NAME(kind)} AS value_type, CAST({raw} AS VARCHAR) AS raw_value, {text} AS value FROM h" for n, k, stage, status, i, label, kind, raw, text in _ITEMS
+)
+ORACLE_SQL["next_modes"] = """SELECT track_id, CASE WHEN coalesce(l, 'recomputed_filtered') <> coalesce(d, 'recomputed_filtered') AND list_contains(ms, CASE WHEN coalesce(l, 'recomputed_filtered') = 'recomputed_basecamp' THEN 'recomputed_filtered' ELSE coalesce(l, 'recomputed_filtered') END)
+    THEN coalesce(l, 'recomputed_filtered') WHEN track_id % 3 = 0 THEN 'recomputed_terrain' ELSE 'recomputed_filtered' END AS next_mode FROM (SELECT DISTINCT user_id AS track_id, [NULL, 'recomputed_filtered', 'recomputed_raw', 'recomputed_terrain', 'imported_summary', 'recomputed_basecamp'][user_id % 6 + 1] AS l,
+    CASE WHEN user_id % 4 = 1 THEN 'recomputed_terrain' END AS d, list_concat(['recomputed_filtered', 'recomputed_raw'], CASE WHEN user_id % 3 = 0 THEN ['recomputed_terrain'] ELSE [] END, CASE WHEN user_id % 2 = 0 THEN ['imported_summary'] ELSE [] END) AS ms FROM events)"""

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import checkpointed
 from waymark.functions import stats, values
 
 from waymark.operators import cleaning, continuity, diagnostics, elevation, gradient, moving, present, series, tails
-from waymark.plans import oracles
+from waymark.plans import modes, oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.files import stated_summary
 from waymark.sources.tables import dense_points, pacing_points, sparse_points, supplier_points, tailed_points
@@ -528,5 +529,46 @@ def full_analysis(spark, sf_dir):
     return analyse(dense_points(spark, sf_dir))["summary"]
 
 
+def _rows_of(audits):
+    one = audits.select("track_id", "mode", F.posexplode("audit").alias("n", "s")).select("track_id", "mode", "n", F.col("s.id").alias("stage"), F.col("s.status").alias("status"), F.posexplode("s.items").alias("k", "x"))
+    return one.select("track_id", "mode", "n", "k", "stage", "status", F.col("x.id").alias("item"), "x.label", "x.value_type", "x.raw_value", "x.value")
+
+
+@query
+def audit_stages(spark, sf_dir):
+    p = sparse_points(spark, sf_dir)
+    gaps = continuity.with_gaps(p).groupBy("track_id").agg(F.sum(F.col("is_gap").cast("long")).alias("n_time_gaps"), F.countDistinct("segment").alias("n_segments"))
+    s = track_summary(p).withColumnRenamed("mode", "recording_mode").join(gaps, "track_id")
+    k, v = F.col("track_id"), lambda c: F.round(F.col(c))
+    facts = s.select(
+        "track_id", F.when(k % 2 == 0, modes.IMPORTED).otherwise(modes.FILTERED).alias("mode"), "n_segments", "n_time_gaps", (k % 3).alias("n_jitter"), "recording_mode", F.round("nominal_s").alias("nominal_s"),
+        (F.col("n_points") + k % 4).alias("points_in"), F.col("n_points").alias("points_out"), F.when(k % 5 == 0, None).otherwise("gpx").alias("elevation_source"), F.when(k % 5 != 0, (k % 7).cast("double")).alias("threshold_m"),
+        (k % 11).cast("double").alias("p95_m"), F.lit(1.5).alias("on_kmh"), F.lit(None).cast("string").alias("time_zone"), v("total_distance_m").alias("total_distance_m"), F.when(k % 6 != 1, v("total_s")).alias("moving_s"), (k % 13).cast("double").alias("gain_m"),
+        F.array_compact(F.array(F.when(F.col("recording_mode") == "sparse", "sampling_sparse"), F.when(F.col("recording_mode") == "smart", "sampling_smart_recording"))).alias("sampling_flags"),
+    )
+    facts = checkpointed(modes.self_description(facts))
+    audits = facts.join(modes.audit_stages(facts).select("track_id", "audit"), "track_id")
+    stated = audits.withColumns({"stated_distance_m": (k * 10).cast("double"), "stated_gain_m": F.lit(None).cast("double"), "source_tag": F.lit("gpx")})
+    return _rows_of(audits.filter("mode <> 'imported_summary'").select("track_id", "mode", "audit").union(modes.imported_audit(stated.filter("mode = 'imported_summary'")).select("track_id", "mode", "audit")))
+
+
+@query
+def next_modes(spark, sf_dir):
+    k = F.col("track_id")
+    t = sparse_points(spark, sf_dir).select("track_id").distinct().withColumns({"elevation_source": F.when(k % 3 == 0, "terrain"), "summary": F.when(k % 2 == 0, F.create_map(F.lit("gain_m"), F.lit(1.0)))})
+    last = F.array(F.lit(None), *(F.lit(m) for m in (modes.FILTERED, modes.RAW, modes.TERRAIN, modes.IMPORTED, modes.OLD_FILTERED)))
+    offered = diagnostics.modes(t).withColumns({"last_mode": F.get(last, (k % 6).cast("int")), "last_default_mode": F.when(k % 4 == 1, modes.TERRAIN)})
+    return modes.next_mode(offered)
+
+
+@query
+def all_modes(spark, sf_dir):
+    p = dense_points(spark, sf_dir)
+    terrain = p.filter("track_id % 3 = 0").select("track_id", "seq", F.coalesce(F.round(F.col("ele") / 2), F.lit(40.0)).alias("terrain_ele"))
+    tracks = p.select("track_id").distinct().withColumn("summary", F.when(F.col("track_id") % 4 == 0, F.create_map(F.lit("gain_m"), F.lit(1.0), F.lit("total_distance_m"), F.lit(77.0))))
+    rows = modes.analyse_modes(p, tracks, terrain)
+    return rows.withColumns({"flags": F.array_join("flags", ","), "filters": F.array_join("filters", ","), "imported": F.array_join("imported", ",")}).drop("audit")
+
+
 ORACLE_SQL = oracles.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -57,20 +57,22 @@ def motion(speeds: DataFrame, points: DataFrame, events: DataFrame | None = None
 
 
 def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Cleaned points, speeds, slopes, splits, elevation samples and a summary with motion and elevation, by name; events are
-    those of the tracks' timers (track_id, ts_ms, action), if any.
+    """Cleaned points, speeds, slopes, splits, elevation samples and a summary with motion and elevation, by name, besides all
+    points with the reason that drops them (cleaned) and the repaired elevation runs (raw_runs); events are those of the tracks' timers (track_id, ts_ms, action), if any.
 
     Points have their gaps, slow progress and jitter; jitter counts for no distance. What several results read (points,
     speeds, trust in sources, samples) is checkpointed, partitioned by track: nothing stays in memory. A track's windows run
     in one task, so the longest track sets the least time.
     """
-    cleaned = checkpointed(cleaning.clean(points).filter("reason is null").drop("reason"))
+    marked = checkpointed(cleaning.clean(points))
+    cleaned = marked.filter("reason is null").drop("reason")
     base = checkpointed(continuity.with_route_jitter(continuity.with_jitter(checkpointed(with_thresholds(cleaned, points)))).repartition("track_id"))
     judged = checkpointed(series.with_reliability(series.raw_speed(base)))
     above = F.col("ceiling_kmh").isNotNull() & (F.col("kmh") > F.col("ceiling_kmh"))
     speeds = series.smoothed(judged.filter(~above).drop("n", "p10", "p25", "p50", "rejected_share", "slow_speeds", "profile", "ceiling_kmh"))
     settings = checkpointed(elevation.defaults(base, checkpointed(elevation.source_trust(base))))
-    samples = checkpointed(elevation.profile(base, settings))
+    fixed = checkpointed(elevation.repaired(base))
+    samples = checkpointed(elevation.profile(base, settings, fixed))
     raw_runs = elevation.runs(base)
     turns = elevation.confirmed_turns(samples, F.col("base_m"), F.col("alpha"), F.col("sustain_m"))
     extrema = elevation.limited_extrema(samples, raw_runs, elevation.supported_turns(turns, raw_runs, settings.select("track_id", "sustain_m")))
@@ -96,4 +98,4 @@ def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, Dat
             "stopped_s": F.greatest(F.lit(0.0), F.col("total_s") - F.coalesce("moving_s", F.lit(0.0))),
         }
     ).drop("reliable_m")
-    return {"points": base, "speeds": speeds, "slopes": series.slopes(base), "splits": series.splits(base, samples=speeds), "elevation": samples, "summary": total}
+    return {"points": base, "speeds": speeds, "slopes": series.slopes(base), "splits": series.splits(base, samples=speeds), "elevation": samples, "summary": total, "cleaned": marked, "raw_runs": fixed}
