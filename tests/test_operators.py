@@ -1,5 +1,6 @@
 """Operators on small tracks with known answers."""
 
+import numpy as np
 import pytest
 from waymark.functions import values
 from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
