@@ -171,6 +171,17 @@ def test_numbers_and_dates_by_language(spark):
     assert texts == {"en": "May 25-27, 2024", "de": "25-27. Mai 2024", "es": "25-27 de mayo de 2024", "fr": "25-27 mai 2024", "ru": "25-27 мая 2024"}
 
 
+def test_a_stated_activity_sets_the_thresholds(spark):
+    p = track(spark, [(a, b, e, t, 0) for a, b, e, t in RIDGE])
+    named = p.withColumn("explicit_kind", F.lit("water")).unionByName(track(spark, [(a, b, e, t, 0) for a, b, e, t in RIDGE], "odd").withColumn("explicit_kind", F.lit("chess")))
+    assert [r.activity for r in elevation.activity(p).collect()] == ["foot"]
+    assert {r.track_id: r.activity for r in elevation.activity(named).collect()} == {"t": "water", "odd": "foot"}
+    rows = {r.track_id: (r.base_m, r.sustain_m) for r in elevation.defaults(named).collect()}
+    assert rows == {"t": (15, 300), "odd": (3, 20)}
+    summary = {r.track_id: r.gain_m for r in analyse(named)["summary"].collect()}
+    assert summary["odd"] == pytest.approx(125, abs=0.5) and summary["t"] <= 125
+
+
 def test_islands():
     assert tails.islands(np.array([True, True, False, True])) == [(0, 1), (3, 3)]
     assert tails.islands(np.array([], bool)) == []

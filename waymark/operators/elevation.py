@@ -86,16 +86,18 @@ def primary_source(trust: DataFrame, key: str = "rel_trust") -> DataFrame:
 
 
 def activity(points: DataFrame) -> DataFrame:
-    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank; without jitter, where that is known), activity: a plan
-    without times, else by speed."""
+    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank; without jitter, where that is known), activity: the column
+    explicit_kind of the points, where there is one and it names one of foot, bike, water and motor; else a plan without
+    times, else by speed."""
     rows = points if "is_gap" in points.columns else with_gaps(points)
     counts = F.col("same_segment") & (F.col("dt") > 0) & ~F.col("is_gap")
     if "is_jitter" in rows.columns:
         counts = counts & ~F.col("is_jitter")
     kmh = F.when(counts, F.col("metres") / F.col("dt") * 3.6)
-    out = rows.withColumn("kmh", kmh).groupBy("track_id").agg(F.count("ts_ms").alias("n_timed"), nearest_rank("kmh", 0.5).alias("median_kmh"), nearest_rank("kmh", 0.95).alias("p95_kmh"))
+    stated = F.max(F.when(F.col("explicit_kind").isin("foot", "bike", "water", "motor"), F.col("explicit_kind"))) if "explicit_kind" in rows.columns else F.lit(None).cast("string")
+    out = rows.withColumn("kmh", kmh).groupBy("track_id").agg(F.count("ts_ms").alias("n_timed"), nearest_rank("kmh", 0.5).alias("median_kmh"), nearest_rank("kmh", 0.95).alias("p95_kmh"), stated.alias("_stated"))
     kind = F.when(F.col("n_timed") < 2, "route_plan").when((F.col("median_kmh") >= 35) | (F.col("p95_kmh") >= 70), "motor").when((F.col("median_kmh") >= 8) | (F.col("p95_kmh") >= 18), "bike")
-    return out.withColumn("activity", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))
+    return out.withColumn("activity", F.coalesce("_stated", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))).drop("_stated")
 
 
 def without_raw_outliers(run_points: DataFrame) -> DataFrame:
