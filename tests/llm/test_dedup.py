@@ -1,8 +1,10 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 import xxhash
 from waymark.llm.compact_windows import repeated_passages, tree_windows
+from waymark.llm.common import STAGED, discard
 from waymark.llm.components import components
 from waymark.llm.line_chunks import MARKS, MULTIPLIER, chunks_of, drop_repeated_chunks, without
 from waymark.llm.minhash import near_duplicates
@@ -271,3 +273,19 @@ def test_line_chunks_of_odd_tables(spark):
     rows = drop_repeated_chunks(odd_frame(spark)).collect()
     assert len(rows) == 23 and all(r.n_removed == 0 for r in rows)
     assert drop_repeated_chunks(empty_frame(spark)).count() == 0
+
+
+def test_threads_delete_their_own_folders_only(spark):
+    texts = [" ".join(prose(random.Random(k // 2), 60)) for k in range(40)]
+    want = {k: k // 2 * 2 for k in range(40)}
+
+    def run(_):
+        began = len(STAGED)
+        got = {r.doc_id: r.component_id for r in near_duplicates(frame(spark, texts)).collect()}
+        assert len(STAGED) >= began
+        discard(spark, began)
+        return got
+
+    with ThreadPoolExecutor(2) as pool:
+        assert all(got == want for got in pool.map(run, range(4)))
+    assert len(STAGED) == len(STAGED[:])

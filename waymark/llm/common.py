@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,8 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-#: Folders that staged() has written and discard() hasn't deleted.
-STAGED: list[str] = []
+class Folders(threading.local):
+    """A list for each thread, so that queries in several threads of one driver count and delete their own folders only."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __len__(self) -> int:
+        return len(self.paths)
+
+    def __getitem__(self, places):
+        return self.paths[places]
+
+    def __delitem__(self, places) -> None:
+        del self.paths[places]
+
+    def append(self, path: str) -> None:
+        self.paths.append(path)
+
+
+#: Folders that staged() has written in this thread and discard() hasn't deleted.
+STAGED = Folders()
 
 
 def staged(df: DataFrame) -> DataFrame:
