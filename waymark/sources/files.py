@@ -13,12 +13,21 @@ from waymark.functions.geo import distance
 from waymark.functions.values import timestamp_ms, zone_status
 from waymark.sources.parse import parse
 
-POINT = "seq: int, lat: double, lon: double, ele: double, time_text: string, ts_ms: bigint, segment: int, ele_source: string, fix: string, satellites: int, hdop: double, vdop: double, pdop: double, phys: int, speed_mps: double, cadence: double, watts: double"
-FILE = f"track_id string, bytes long, format string, error string, name string, activity string, activity_kind string, activity_source string, summary map<string,double>, timer array<struct<ts_ms: bigint, action: string>>, points array<struct<{POINT}>>"
+POINT = "seq: int, lat: double, lon: double, ele: double, time_text: string, ts_ms: bigint, segment: int, ele_source: string, fix: string, satellites: int, hdop: double, vdop: double, pdop: double, phys: int, speed_mps: double, cadence: double, watts: double, datum: string, geoid_m: double, extensions: array<string>"
+FILE = f"track_id string, bytes long, format string, error string, name string, activity string, activity_kind string, activity_source string, summary map<string,double>, timer array<struct<ts_ms: bigint, action: string>>, extensions struct<gpx: array<string>, metadata: array<string>, tracks: array<string>>, points array<struct<{POINT}>>"
+#: What a point doesn't state, and what of a parsed file becomes columns as it is.
+UNSTATED = {"ts_ms": None, "fix": None, "satellites": None, "hdop": None, "vdop": None, "pdop": None, "speed_mps": None, "cadence": None, "watts": None, "datum": None, "geoid_m": None, "extensions": None}
+KEPT = ("format", "error", "name", "activity", "activity_kind", "activity_source", "timer", "extensions")
 #: Bytes from which a file draws a warning.
 LARGE = 50 * 1024 * 1024
 
 
+def file_row(where: str, size: int, content: bytes) -> dict:
+    """A file as a row of FILE."""
+    r = parse(where, content)
+    return {"track_id": where, "bytes": size, "summary": list(r["summary"].items()), "points": [UNSTATED | {"seq": k} | p for k, p in enumerate(r["points"], 1)]} | {k: r[k] for k in KEPT}
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """One row for each file below path, parsed in tasks; a file that can't be read has an error and no points."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,10 +38,7 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, size, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                r = parse(where, content)
-                points = [{"seq": k, "ts_ms": None, "fix": None, "satellites": None, "hdop": None, "vdop": None, "pdop": None, "speed_mps": None, "cadence": None, "watts": None} | p for k, p in enumerate(r["points"], 1)]
-                row = {"track_id": where, "bytes": size, "summary": list(r["summary"].items()), "points": points} | {k: r[k] for k in ("format", "error", "name", "activity", "activity_kind", "activity_source", "timer")}
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
+                yield pa.RecordBatch.from_pylist([file_row(where, size, content)], schema=arrow)
 
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
@@ -47,15 +53,33 @@ def points_of(files: DataFrame) -> DataFrame:
 
 def stated_points(files: DataFrame) -> DataFrame:
     """The points of read_files with times read, as the files state them."""
-    rows = files.select("track_id", F.inline("points"))
+    rows = files.select("track_id", F.inline("points")).drop("extensions")
     return rows.withColumns({"zone": zone_status(F.col("time_text")), "ts_ms": F.coalesce("ts_ms", timestamp_ms(F.col("time_text")))})
 
 
+def raw_extensions(files: DataFrame) -> DataFrame:
+    """Rows track_id, level (gpx, metadata, tracks, point), seq (of a point, else null), k, fragment: the elements in each
+    level's own extensions, each as a document of its own that declares its namespaces."""
+    of_file = [files.select("track_id", F.lit(c).alias("level"), F.lit(None).cast("int").alias("seq"), F.posexplode(f"extensions.{c}").alias("k", "fragment")) for c in ("gpx", "metadata", "tracks")]
+    of_points = files.select("track_id", F.lit("point").alias("level"), F.explode("points").alias("p")).select("track_id", "level", "p.seq", F.posexplode("p.extensions").alias("k", "fragment"))
+    return of_file[0].union(of_file[1]).union(of_file[2]).union(of_points)
+
+
+def sensor_coverage(files: DataFrame) -> DataFrame:
+    """Rows track_id, n_points, n_speed, n_cadence, n_watts, n_any: how many points state what a sensor measured."""
+    has = {c: F.col(f"p.{c}").isNotNull() for c in ("speed_mps", "cadence", "watts")}
+    counts = [F.count(F.when(t, 1)).alias(f"n_{c.removesuffix('_mps')}") for c, t in has.items()]
+    either = F.count(F.when(has["speed_mps"] | has["cadence"] | has["watts"], 1)).alias("n_any")
+    return files.select("track_id", F.explode("points").alias("p")).groupBy("track_id").agg(F.count("*").alias("n_points"), *counts, either)
+
+
 def normalisations(files: DataFrame) -> DataFrame:
-    """Rows track_id, kind, n_points: what points_of took out of the files' statements."""
+    """Rows track_id, kind, n_points: what points_of took out of the files' statements, and heights that the parser lowered
+    from the ellipsoid to the sea."""
     rows = with_synthetic_times(with_flat_times(with_zero_elevations(stated_points(files))))
     kinds = {"zero_filled_elevation_placeholder": "_filled", "flat_timestamp_placeholder": "_flat", "synthetic_timestamp_placeholder": "_synthetic"}
-    counts = rows.groupBy("track_id").agg(*(F.count(F.when(F.col(c), 1)).alias(k) for k, c in kinds.items()))
+    kinds["ellipsoid_to_msl"] = F.col("geoid_m").isNotNull()
+    counts = rows.groupBy("track_id").agg(*(F.count(F.when(F.col(c) if isinstance(c, str) else c, 1)).alias(k) for k, c in kinds.items()))
     return counts.unpivot("track_id", list(kinds), "kind", "n_points").filter("n_points > 0")
 
 

@@ -56,6 +56,10 @@ TRACK_STATS = "http://www.garmin.com/xmlschemas/TrackStatsExtension/v1"
 SENSORS = "http://www.garmin.com/xmlschemas/ActivityExtension/v2"
 
 
+#: Raw extensions of a file that has none.
+NO_EXTENSIONS: dict[str, list[str]] = {"gpx": [], "metadata": [], "tracks": []}
+
+
 class BadTrack(ValueError):
     """A file that can't be read as a track; the message is the error's code."""
 
@@ -64,13 +68,6 @@ def local(element: ET.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def first_name(root, tag: str) -> str:
-    """The text of the first name anywhere in the document's first element of a tag; empty if there is none."""
-    holder = next((e for e in root.iter() if local(e) == tag), None)
-    name = next((e for e in holder.iter() if local(e) == "name"), None) if holder is not None else None
-    return "".join(name.itertext()) if name is not None else ""
-
-
 def child_text(element: ET.Element, name: str) -> str | None:
     return next((c.text for c in element if local(c).lower() == name), None)
 
@@ -125,49 +122,6 @@ def point(lat, lon, ele=None, time=None, segment=0, source=None, **more) -> dict
     return {"lat": lat, "lon": lon, "ele": ele, "time_text": time, "segment": segment, "phys": segment, "ele_source": source or ("gpx" if ele is not None else "none")} | more
 
 
-def gpx(data: bytes) -> dict:
-    """All trkpt in order, then all rtept; each trkseg, then each rte that holds points is a segment; points elsewhere are in
-    segment 0. phys tells the elements apart that hold points. The name is the first track's, else the metadata's; the
-    activity the first known one of a track, else of a route."""
-    root = xml_root(data)
-    parent = {c: p for p in root.iter() for c in p}
-    nodes = [e for name in ("trkpt", "rtept") for e in root.iter() if local(e) == name]
-    segments: dict[ET.Element, int] = {}
-    for holder, name in (("trkseg", "trkpt"), ("rte", "rtept")):
-        for container in root.iter():
-            if local(container) == holder and any(local(e) == name for e in container):
-                segments[container] = len(segments)
-    physical: dict[ET.Element, int] = {}
-    points = []
-    for e in nodes:
-        holder = parent.get(e, e)
-        points.append(gpx_point(e, segments.get(holder, 0)) | {"phys": physical.setdefault(holder, len(physical))})
-    summary: dict[str, float] = {}
-    for extension in (e for e in root.iter() if local(e) == "extensions"):
-        for e in extension.iter():
-            per_second = e.tag.startswith("{" + TRACK_STATS + "}")
-            for key, text in [(local(e), e.text), *((k.rpartition("}")[2], v) for k, v in e.attrib.items())]:
-                field, value = FIELD_OF.get(re.sub(r"[^a-z0-9]", "", key.lower())), number(text)
-                if field and value is not None:
-                    summary.setdefault(field, value * 3.6 if per_second and field in ("moving_kmh", "max_kmh") else value)
-    name = (first_name(root, "trk") or first_name(root, "metadata")).strip()
-    kinds = [(k.strip(), tag) for tag in ("trk", "rte") for e in root.iter() if local(e) == tag if activity_kind(k := child_text(e, "type"))]
-    activity, tag = kinds[0] if kinds else (None, None)
-    source = {"trk": "gpx_track_type", "rte": "gpx_route_type", None: None}[tag]
-    return {"points": points, "summary": summary, "name": name if name and not is_generic(name) else None, "activity": activity, "activity_source": source, "timer": []}
-
-
-def gpx_point(e: ET.Element, segment: int) -> dict:
-    lat, lon = place(number(e.get("lat")), number(e.get("lon")))
-    ele, geoid = number(child_text(e, "ele")), number(child_text(e, "geoidheight"))
-    marks = {re.sub(r"[^a-z0-9]", "", local(x).lower()): (x.text or "").strip().lower() for ext in e if local(ext) == "extensions" for x in ext.iter()}
-    source = "barometric" if "barometric" in (marks.get("elevationsource"), marks.get("altitudesource")) else None
-    if ele is not None and geoid is not None and "ellipsoid" in (marks.get("elevationdatum"), marks.get("heightreference")):
-        ele -= geoid
-    sat = number(child_text(e, "sat"))
-    return point(lat, lon, ele, child_text(e, "time"), segment, source, fix=child_text(e, "fix"), satellites=None if sat is None else int(sat), **{k: number(child_text(e, k)) for k in ("hdop", "vdop", "pdop")})
-
-
 def tcx(data: bytes) -> dict:
     root = xml_root(data)
     points, laps = [], [e for e in root.iter() if local(e) == "Lap"]
@@ -296,14 +250,16 @@ def route(path: str, media: str = "") -> str | None:
     return kind or next((f for word, f in (("gpx", "gpx"), ("tcx", "tcx"), ("fit", "fit"), ("xml", "gpx")) if word in media.lower()), None)
 
 
-def parse(path: str, data: bytes) -> dict:
+def parse(path: str, data: bytes, media: str = "") -> dict:
     """A file's record, or one with an error and no points."""
-    kind = route(path)
-    empty = {"points": [], "summary": {}, "name": None, "activity": None, "activity_source": None, "activity_kind": None, "timer": []}
+    from waymark.sources.gpx import gpx
+
+    kind = route(path, media)
+    empty = {"points": [], "summary": {}, "name": None, "activity": None, "activity_source": None, "activity_kind": None, "timer": [], "extensions": NO_EXTENSIONS}
     if kind is None:
         return empty | {"format": None, "error": "unsupported_format"}
     try:
         found = {"gpx": gpx, "tcx": tcx, "fit": fit}[kind](data)
-        return found | {"format": kind, "error": None, "name": found["name"] or stem(path), "activity_kind": activity_kind(found["activity"])}
+        return {"extensions": NO_EXTENSIONS} | found | {"format": kind, "error": None, "name": found["name"] or stem(path), "activity_kind": activity_kind(found["activity"])}
     except BadTrack as e:
         return empty | {"format": kind, "error": str(e)}
