@@ -17,6 +17,7 @@ SEP = "\x1f"
 FIELDS = frozenset(("ele", "time", "geoidheight", "fix", "sat", "hdop", "vdop", "pdop"))
 #: Bytes handed to expat at once.
 CHUNK = 1 << 16
+DECIMAL = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", re.ASCII)
 XML = "http://www.w3.org/XML/1998/namespace"
 
 
@@ -25,7 +26,7 @@ def numeric(text: str | None) -> float | None:
     if text is None:
         return None
     t = text.strip()
-    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", t, re.ASCII):
+    if DECIMAL.fullmatch(t):
         x = float(t)
         return x if abs(x) < float("inf") else None
     if re.fullmatch(r"0[xX][0-9a-fA-F]+|0[oO][0-7]+|0[bB][01]+", t):
