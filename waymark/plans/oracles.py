@@ -637,3 +637,23 @@ ORACLE_SQL["audit_stages"] = f"""WITH s AS ({ORACLE_SQL["track_summary"]}), g AS
 ORACLE_SQL["next_modes"] = """SELECT track_id, CASE WHEN coalesce(l, 'recomputed_filtered') <> coalesce(d, 'recomputed_filtered') AND list_contains(ms, CASE WHEN coalesce(l, 'recomputed_filtered') = 'recomputed_basecamp' THEN 'recomputed_filtered' ELSE coalesce(l, 'recomputed_filtered') END)
     THEN coalesce(l, 'recomputed_filtered') WHEN track_id % 3 = 0 THEN 'recomputed_terrain' ELSE 'recomputed_filtered' END AS next_mode FROM (SELECT DISTINCT user_id AS track_id, [NULL, 'recomputed_filtered', 'recomputed_raw', 'recomputed_terrain', 'imported_summary', 'recomputed_basecamp'][user_id % 6 + 1] AS l,
     CASE WHEN user_id % 4 = 1 THEN 'recomputed_terrain' END AS d, list_concat(['recomputed_filtered', 'recomputed_raw'], CASE WHEN user_id % 3 = 0 THEN ['recomputed_terrain'] ELSE [] END, CASE WHEN user_id % 2 = 0 THEN ['imported_summary'] ELSE [] END) AS ms FROM events)"""
+
+ORACLE_SQL["gpx_documents"] = f"""WITH {DENSE}, found AS (SELECT *, (seq - 1) // 4000 AS part, seq % 31 = 0 AS routed FROM pts WHERE seq % 29 <> 0 OR seq % 31 = 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY track_id, part ORDER BY routed, seq) AS k,
+        dense_rank() OVER (PARTITION BY track_id, part ORDER BY CASE WHEN routed THEN 1000000000 ELSE segment END) - 1 AS place FROM found)
+    SELECT track_id, CAST(part AS BIGINT) AS part, CAST(k AS INT) AS seq, round(lat, 6) AS lat, round(lon, 6) AS lon, round(CASE WHEN seq % 7 = 0 THEN ele - 30 ELSE ele END, 6) AS ele,
+        CAST(place AS INT) AS segment, CAST(place AS INT) AS phys, CASE WHEN ele IS NULL THEN 'none' ELSE 'gpx' END AS ele_source, CASE WHEN seq % 7 = 0 THEN 'ellipsoid' ELSE 'unknown' END AS datum,
+        CASE WHEN seq % 7 = 0 AND ele IS NOT NULL THEN 30e0 END AS geoid_m,
+        CASE WHEN seq % 7 = 0 THEN '<x:datum xmlns:x="urn:x"><elevationDatum>ellipsoid</elevationDatum></x:datum> <n>&lt;</n>' ELSE '' END AS fragments FROM placed"""
+
+
+def _towards(a: str, b: str) -> str:
+    d = f"radians({b}lon - {a}lon)"
+    turned = f"degrees(atan2(sin({d}) * cos(radians({b}lat)), cos(radians({a}lat)) * sin(radians({b}lat)) - sin(radians({a}lat)) * cos(radians({b}lat)) * cos({d})))"
+    return f"(CASE WHEN {turned} < 0 THEN {turned} + 360 ELSE {turned} END)"
+
+
+ORACLE_SQL["sql_functions"] = f"""WITH {DENSE}, near AS (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lead(lat) OVER w AS n_lat, lead(lon) OVER w AS n_lon FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY seq)),
+    turns AS (SELECT track_id, seq, {dist("p_", "")} AS metres, p_lat, {_towards("p_", "")} AS bearing, {_towards("", "n_")} AS onward FROM near)
+    SELECT track_id, seq, round(CASE WHEN p_lat IS NOT NULL THEN metres END, 6) AS metres, round(bearing, 6) AS bearing,
+        round(CASE WHEN abs(bearing - onward) > 180 THEN 360 - abs(bearing - onward) ELSE abs(bearing - onward) END, 6) AS turned FROM turns"""

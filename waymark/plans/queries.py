@@ -14,6 +14,7 @@ from waymark.operators import cleaning, continuity, diagnostics, elevation, grad
 from waymark.plans import modes, oracles
 from waymark.plans.summary import analyse, track_summary
 from waymark.sources.files import stated_summary
+from waymark.sources.spark import register
 from waymark.sources.tables import dense_points, pacing_points, sparse_points, supplier_points, tailed_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,5 +571,36 @@ def all_modes(spark, sf_dir):
     return rows.withColumns({"flags": F.array_join("flags", ","), "filters": F.array_join("filters", ","), "imported": F.array_join("imported", ",")}).drop("audit")
 
 
+@query
+def gpx_documents(spark, sf_dir):
+    """Points written as GPX documents of up to 4,000 points and read again by the table function. Prefixed points aren't
+    found, route points follow the track's, heights of an ellipsoid come down by the geoid's."""
+    seq, number = F.col("seq"), lambda c: F.col(c).cast("string")
+    geoid = F.when(seq % 7 == 0, "<geoidheight>30</geoidheight><extensions><x:datum><elevationDatum>ellipsoid</elevationDatum></x:datum><n>&lt;</n></extensions>").otherwise("")
+    name = F.when(seq % 31 == 0, "rtept").when(seq % 29 == 0, "g:trkpt").otherwise("trkpt")
+    ele = F.when(F.col("ele").isNotNull(), F.concat(F.lit("<ele>"), number("ele"), F.lit("</ele>"))).otherwise("")
+    text = F.concat(F.lit("<"), name, F.lit(' lat="'), number("lat"), F.lit('" lon="'), number("lon"), F.lit('">'), ele, geoid, F.lit("</"), name, F.lit(">"))
+    points = dense_points(spark, sf_dir).select("track_id", F.floor((seq - 1) / 4000).alias("part"), F.when(seq % 31 != 0, F.col("segment")).alias("segment"), "seq", text.alias("text"))
+    in_order = lambda *c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c, "text"))), lambda x: x["text"]), "")
+    held = points.groupBy("track_id", "part", "segment").agg(in_order("seq").alias("text"))
+    kind = F.when(F.col("segment").isNull(), "rte").otherwise("trkseg")
+    held = held.withColumn("text", F.concat(F.lit("<"), kind, F.lit(">"), "text", F.lit("</"), kind, F.lit(">")))
+    files = held.groupBy("track_id", "part").agg(F.concat(F.lit('<gpx xmlns:g="urn:g" xmlns:x="urn:x">'), in_order("segment"), F.lit("</gpx>")).cast("binary").alias("content"))
+    register(spark)
+    read = spark.sql("SELECT d.track_id, d.part, p.* FROM {files} d, LATERAL track_points('a.gpx', d.content) p", files=files)
+    return read.select("track_id", "part", "seq", "lat", "lon", "ele", "segment", "phys", "ele_source", "datum", "geoid_m", F.array_join("extensions", " ").alias("fragments"))
+
+
+@query
+def sql_functions(spark, sf_dir):
+    register(spark)
+    pairs = continuity.with_pairs(dense_points(spark, sf_dir)).withColumn("ahead", F.lead(F.struct("lat", "lon")).over(series.in_order())).withColumn("back", F.lag(F.struct("lat", "lon")).over(series.in_order()))
+    return spark.sql(
+        """SELECT track_id, seq, way_m(back.lat, back.lon, lat, lon) AS metres, bearing_deg(back.lat, back.lon, lat, lon) AS bearing,
+        turn_deg(bearing_deg(back.lat, back.lon, lat, lon), bearing_deg(lat, lon, ahead.lat, ahead.lon)) AS turned FROM {pairs}""",
+        pairs=pairs,
+    )
+
+
 ORACLE_SQL = oracles.ORACLE_SQL
 __all__ = ["ORACLE_SQL", "QUERIES"]
