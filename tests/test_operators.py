@@ -228,3 +228,33 @@ def test_overlaps_equal_all_pairs(spark):
     right = spark.createDataFrame([("t", *x) for x in b] + [("u", 1, 2)], "track_id string, lo_ms long, hi_ms long")
     want = sorted((max(p, r), min(q, s)) for p, q in a for r, s in b if max(p, r) < min(q, s))
     assert sorted((r.start_ms, r.end_ms) for r in moving.clip_intervals(left, right).collect()) == want
+
+
+def test_explicit_profiles(spark):
+    from waymark.operators.cleaning import clean, motion_profile
+    from waymark.operators.series import reliability
+    from waymark.plans.summary import with_thresholds
+
+    # one metre and a bit a second, with a leap of 7 m/s at the end: a walk
+    def walk(name, asked):
+        return [(name, k, k * 1000, 43 + (k + (6 if k == 29 else 0)) * 1e-5, 42.0, 10.0, 0, asked) for k in range(30)]
+
+    asked = {"none": None, "blank": "  ", "slow": "slow", "fast": "fast", "odd": "sprint", "still": "slow"}
+    rows = [r for n, a in asked.items() if n != "still" for r in walk(n, a)] + [("still", k, k * 1000, 43.0, 42.0, 10.0, 0, "slow") for k in range(3)]
+    p = spark.createDataFrame(rows, "track_id string, seq int, ts_ms long, lat double, lon double, ele double, segment int, explicit_profile string")
+    got = {r.track_id: (r.profile, r.profile_source, r.confidence, r.ceiling_mps, r.n) for r in motion_profile(p).collect()}
+    assert got == {
+        "none": ("slow", "inferred", "high", 6, 29), "blank": ("slow", "inferred", "high", 6, 29), "slow": ("slow", "explicit", "high", 6, 29), "fast": ("fast", "explicit", "high", 25, 29),
+        "odd": ("unknown", "explicit", "low", 50, 29), "still": ("slow", "explicit", "high", 6, None),
+    }
+    dropped = {(r.track_id, r.seq) for r in clean(p).filter("reason is not null and track_id <> 'still'").collect()}
+    assert ("slow", 29) in dropped and not {t for t, _ in dropped} & {"fast", "odd"}
+    on = {r.track_id: (r.on_kmh, r.off_kmh) for r in with_thresholds(p, p).select("track_id", "on_kmh", "off_kmh").distinct().collect()}
+    assert on == {"none": (1.5, 0.8), "blank": (1.5, 0.8), "slow": (1.2, 0.5), "still": (1.2, 0.5), "fast": (3.0, 1.5), "odd": (1.5, 0.8)}
+
+    # medians lie between two ranks, and signals have two digits when they are compared: 5.004 is 5
+    v = [5.004, 5.004, 6.0, 6.0, 24.0, 24.004, 25.0, 26.0]
+    s = spark.createDataFrame([(t, k, x, r) for t, r in (("a", None), ("b", "fast"), ("c", "none")) for k, x in enumerate(v)], "track_id string, seq int, kmh double, explicit_reliability string")
+    got = {r.track_id: r for r in reliability(s).collect()}
+    assert (got["a"].p10, got["a"].p25, got["a"].p50) == (5, 5, 15) and (got["a"].profile, got["a"].profile_source, got["a"].n_outliers) == ("slow", "speed_distribution", 4)
+    assert (got["b"].profile, got["b"].profile_source, got["b"].ceiling_kmh) == ("fast", "explicit", 90) and got["c"].profile == "slow"

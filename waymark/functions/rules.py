@@ -104,7 +104,7 @@ def reasons(points: list) -> list[str | None]:
     """The reason of each point; a dropped point is no neighbour of those after it. A speed above the ceiling drops a point
     last of all, unless the track is slow and the pair is part of a fast corridor."""
     out, last = [], None
-    spared = corridors(points, points[0].ceiling_mps) if points and points[0].ceiling_mps == SLOW_CEILING else set()
+    spared = corridors(points, points[0].ceiling_mps) if points and points[0].ceiling_mps == SLOW_CEILING and points[0].inferred else set()
     for k, p in enumerate(points):
         why = reason(last, p, points[k + 1] if k + 1 < len(points) else None)
         if why is None and last is not None:

@@ -34,8 +34,11 @@ def with_fix_quality(points: DataFrame) -> DataFrame:
 
 def motion_profile(points: DataFrame) -> DataFrame:
     """Rows track_id, n, median_mps, p75_mps, p90_mps (lower rank), slow_share, moderate_share, fast_share (of speeds above
-    these ceilings), profile, ceiling_mps, from the speeds of raw pairs within 0.3 to 50 m/s. Signals are rounded to two
-    digits before they are compared; fewer than five speeds are unknown."""
+    these ceilings), profile, profile_source, confidence, ceiling_mps, from the speeds of raw pairs within 0.3 to 50 m/s.
+    Signals are rounded to two digits before they are compared; fewer than five speeds are unknown.
+
+    Points may have explicit_profile: one that isn't blank is taken in place of the speeds' profile (unknown if no profile
+    has that name), also for tracks without any such speed, whose numbers are null."""
     mps = F.try_divide("metres", "dt")
     speeds = with_pairs(points.filter(valid(F.col("lat"), F.col("lon")))).filter("same_segment and dt > 0").select("track_id", mps.alias("v")).filter("v between 0.3 and 50")
     shares = [half_up(F.avg((F.col("v") > CEILINGS[k]).cast("int")), 2).alias(f"{k}_share") for k in ("slow", "moderate", "fast")]
@@ -48,7 +51,20 @@ def motion_profile(points: DataFrame) -> DataFrame:
 
     slow, moderate, fast = within("slow", 2.2, 3.2), within("moderate", 4.5, 7.5), within("fast", 12, 20)
     profile = F.when(F.col("n") < 5, "unknown").when(slow, "slow").when(moderate, "moderate").when(fast, "fast").otherwise("unknown")
-    return rows.withColumn("profile", profile).withColumn("ceiling_mps", F.create_map(*(F.lit(x) for kv in CEILINGS.items() for x in kv))[F.col("profile")])
+    rows = rows.withColumn("profile", profile)
+    asked = F.lit(None).cast("string")
+    if "explicit_profile" in points.columns:
+        rows = rows.join(points.groupBy("track_id").agg(F.max(F.when(F.trim("explicit_profile") != "", F.col("explicit_profile"))).alias("_asked")).filter("_asked is not null"), "track_id", "full")
+        asked = F.col("_asked")
+    known = F.when(asked.isin(*CEILINGS), asked).when(asked.isNotNull(), "unknown")
+    inferred = F.col("profile") != "unknown"
+    return rows.withColumns(
+        {
+            "profile_source": F.when(known.isNotNull(), "explicit").when(inferred, "inferred").otherwise("default"),
+            "confidence": F.when(F.coalesce(known, "profile") != "unknown", "high").otherwise("low"),
+            "profile": F.coalesce(known, "profile"),
+        }
+    ).withColumn("ceiling_mps", F.create_map(*(F.lit(x) for kv in CEILINGS.items() for x in kv))[F.col("profile")]).drop("_asked")
 
 
 def time_order(points: DataFrame) -> DataFrame:
@@ -98,7 +114,7 @@ def clean(points: DataFrame) -> DataFrame:
     fire against the row before pass by without the fold, which holds one track's rows in memory."""
     ship(points.sparkSession)
     quality = with_fix_quality(points)
-    profile = motion_profile(points).select("track_id", "ceiling_mps")
+    profile = motion_profile(points).select("track_id", "ceiling_mps", (F.col("profile_source") == "inferred").alias("inferred"))
     rows = heading_flips(with_pairs(quality)).join(profile, "track_id", "left").withColumn("ceiling_mps", F.coalesce("ceiling_mps", F.lit(50.0)))
     suspicious = (
         ~valid(F.col("lat"), F.col("lon")) | F.col("rejected") | F.col("is_flip") | ((F.abs("lat") <= 1e-6) & (F.abs("lon") <= 1e-6))
@@ -113,7 +129,7 @@ def clean(points: DataFrame) -> DataFrame:
         track = track.sort_values("seq", ignore_index=True)
         return track[keep].assign(reason=reasons(list(track.itertuples())))
 
-    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps").groupBy("track_id").applyInPandas(fold, schema)
+    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps", "inferred").groupBy("track_id").applyInPandas(fold, schema)
     return passed.unionByName(checked)
 
 

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions.stats import half_up
 from waymark.operators.continuity import in_order, with_bridges, with_gaps
 
 #: Speeds in m/s above which a sample isn't reliable.
 RELIABLE = {"slow": 6.0, "moderate": 10.0, "fast": 25.0}
-#: Columns of points that their speed samples keep: a track's profile and thresholds, slow progress, and the pair's end.
-CARRIED = ("cleaning_profile", "on_kmh", "off_kmh", "is_slow_progress", "to_ms")
+#: The profiles that a caller may ask for.
+PROFILES = ("slow", "moderate", "fast", "unrestricted", "unknown")
+#: Columns of points that their speed samples keep: a track's profiles and thresholds, slow progress, and the pair's end.
+CARRIED = ("cleaning_profile", "explicit_reliability", "on_kmh", "off_kmh", "is_slow_progress", "to_ms")
 
 
 def _route(points: DataFrame) -> DataFrame:
@@ -53,29 +56,35 @@ def raw_speed(points: DataFrame) -> DataFrame:
 
 
 def with_reliability(speeds: DataFrame) -> DataFrame:
-    """The samples with their track's n, p10, p25, p50 (lower rank, km/h), rejected_share, slow_speeds, profile and
-    ceiling_kmh (null: none). The distribution's profile counts where it is stricter than the cleaning profile, which is
-    the column cleaning_profile where the samples have one. Ranks come from one order of the speeds, so that a sample
+    """The samples with their track's n, p10, p25 (lower rank), p50 (median; km/h, of two digits before they are compared),
+    rejected_share, slow_speeds, profile, profile_source and ceiling_kmh (null: none). A known profile in the column
+    explicit_reliability wins. Else the distribution's counts where it is stricter than the cleaning profile, which is the
+    column cleaning_profile where the samples have one; unknown and unrestricted have no ceiling. Ranks come from one order of the speeds, so that a sample
     costs the same however long its track is."""
     whole = Window.partitionBy("track_id")
     by_speed = Window.partitionBy("track_id").orderBy("kmh", "seq")
     rows = speeds.withColumn("_rank", F.row_number().over(by_speed)).withColumn("n", F.count("*").over(whole))
     at = lambda p: F.max(F.when(F.col("_rank") == F.floor((F.col("n") - 1) * p) + 1, F.col("kmh"))).over(whole)
-    rows = rows.withColumns({"p10": at(0.1), "p25": at(0.25), "p50": at(0.5), "rejected_share": F.avg((F.col("kmh") > RELIABLE["slow"] * 3.6).cast("int")).over(whole)})
+    upper = F.max(F.when(F.col("_rank") == F.floor(F.col("n") / 2) + 1, F.col("kmh"))).over(whole)
+    middle = F.when(F.col("n") % 2 == 1, upper).otherwise((at(0.5) + upper) / 2)
+    rows = rows.withColumns({"p10": half_up(at(0.1), 2), "p25": half_up(at(0.25), 2), "p50": half_up(middle, 2), "rejected_share": F.avg((F.col("kmh") > RELIABLE["slow"] * 3.6).cast("int")).over(whole)})
     rows = rows.withColumn("slow_speeds", (F.col("n") >= 8) & (F.col("p10") <= 5) & (F.col("p25") <= 8) & (F.col("p50") <= 24))
     slow, moderate = F.col("slow_speeds") & (F.col("rejected_share") <= 0.5), (F.col("n") >= 8) & (F.col("p25") <= 15) & (F.col("p50") <= 30)
     ranks = F.create_map(*(F.lit(x) for kv in {"slow": 0, "moderate": 1, "fast": 2}.items() for x in kv))
     cleaning = F.coalesce("cleaning_profile", F.lit("unknown")) if "cleaning_profile" in speeds.columns else F.lit("unknown")
     rank = F.coalesce(F.try_element_at(ranks, cleaning), F.lit(3))
-    profile = F.when(slow & (rank > 0), "slow").when(moderate & ~slow & (rank > 1), "moderate").otherwise(cleaning)
+    stated = F.when(F.col("explicit_reliability").isin(*PROFILES), F.col("explicit_reliability")) if "explicit_reliability" in speeds.columns else F.lit(None).cast("string")
+    found = F.when(slow & (rank > 0), "slow").when(moderate & ~slow & (rank > 1), "moderate")
+    profile = F.coalesce(stated, found, cleaning)
+    source = F.when(stated.isNotNull(), "explicit").when(found.isNotNull(), "speed_distribution").otherwise("cleaning_profile" if "cleaning_profile" in speeds.columns else "default")
     kmh = F.create_map(*(x for k, v in RELIABLE.items() for x in (F.lit(k), F.lit(v * 3.6))))
-    return rows.withColumn("profile", profile).withColumn("ceiling_kmh", F.try_element_at(kmh, "profile")).drop("_rank")
+    return rows.withColumns({"profile": profile, "profile_source": source}).withColumn("ceiling_kmh", F.try_element_at(kmh, "profile")).drop("_rank")
 
 
 def reliability(speeds: DataFrame) -> DataFrame:
-    """Rows track_id, n, p10, p25, p50, rejected_share, profile, ceiling_kmh, n_outliers (samples above the ceiling),
+    """Rows track_id, n, p10, p25, p50, rejected_share, profile, profile_source, ceiling_kmh, n_outliers (samples above the ceiling),
     warning (slow_rejected_share_too_high: slow but for too many fast samples)."""
-    first = ("n", "p10", "p25", "p50", "rejected_share", "profile", "ceiling_kmh")
+    first = ("n", "p10", "p25", "p50", "rejected_share", "profile", "profile_source", "ceiling_kmh")
     rows = with_reliability(speeds).groupBy("track_id").agg(*(F.first(c).alias(c) for c in first), F.count(F.when(F.col("kmh") > F.col("ceiling_kmh"), 1)).alias("n_outliers"), F.first("slow_speeds").alias("slow"))
     warning = F.when(F.col("slow") & (F.col("rejected_share") > 0.5), "slow_rejected_share_too_high")
     return rows.withColumn("warning", warning).drop("slow")

@@ -37,7 +37,7 @@ ROUTE = """route AS (SELECT *, CASE WHEN same_segment THEN metres ELSE 0e0 END A
     sum(CASE WHEN same_segment THEN metres ELSE 0e0 END) OVER w AS distance_m FROM bridged WINDOW w AS (PARTITION BY track_id ORDER BY seq ROWS UNBOUNDED PRECEDING))"""
 SPEED = """speeds AS (SELECT track_id, seq, distance_m, route_m AS metres, dt, route_m / dt * 3.6 AS kmh FROM route WHERE same_segment AND dt > 0 AND (NOT is_gap OR is_bridge))"""
 RELIABLE = """sorted AS (SELECT track_id, count(*) AS n, list_sort(list(kmh)) AS v, avg(CASE WHEN kmh > 6e0 * 3.6 THEN 1 ELSE 0 END) AS rejected_share FROM speeds GROUP BY track_id),
-ranks AS (SELECT *, v[CAST(floor((n - 1) * 0.1) AS INT) + 1] AS p10, v[CAST(floor((n - 1) * 0.25) AS INT) + 1] AS p25, v[CAST(floor((n - 1) * 0.5) AS INT) + 1] AS p50 FROM sorted),
+ranks AS (SELECT *, floor(v[CAST(floor((n - 1) * 0.1) AS INT) + 1] * 100 + 0.5) / 100 AS p10, floor(v[CAST(floor((n - 1) * 0.25) AS INT) + 1] * 100 + 0.5) / 100 AS p25, floor(list_median(v) * 100 + 0.5) / 100 AS p50 FROM sorted),
 profiles AS (SELECT *, CASE WHEN n < 8 THEN 'unknown' WHEN p10 <= 5 AND p25 <= 8 AND p50 <= 24 AND rejected_share <= 0.5 THEN 'slow' WHEN p25 <= 15 AND p50 <= 30 THEN 'moderate' ELSE 'unknown' END AS profile FROM ranks),
 ceilings AS (SELECT *, CASE profile WHEN 'slow' THEN 6e0 * 3.6 WHEN 'moderate' THEN 10e0 * 3.6 END AS ceiling_kmh FROM profiles),
 reliable AS (SELECT s.* FROM speeds s JOIN ceilings c USING (track_id) WHERE ceiling_kmh IS NULL OR kmh <= ceiling_kmh)"""
@@ -135,7 +135,7 @@ ORACLE_SQL = {
         DENSE, "q AS (SELECT track_id, seq, ts_ms // 6000 AS t, CAST(seq // 3 AS DOUBLE) AS la FROM pts)",
     ),
     "motion_profile": sql(
-        f"SELECT m.track_id, n, {r('median_mps', 'p75_mps', 'p90_mps', 'slow_share', 'moderate_share', 'fast_share')}, profile, top AS ceiling_mps FROM motion m JOIN ceil c ON m.track_id = c.track_id", DENSE, PAIRS, MOTION
+        f"SELECT m.track_id, n, {r('median_mps', 'p75_mps', 'p90_mps', 'slow_share', 'moderate_share', 'fast_share')}, profile, CASE WHEN profile = 'unknown' THEN 'default' ELSE 'inferred' END AS profile_source, CASE WHEN profile = 'unknown' THEN 'low' ELSE 'high' END AS confidence, top AS ceiling_mps FROM motion m JOIN ceil c ON m.track_id = c.track_id", DENSE, PAIRS, MOTION
     ),
     "turn_angles": sql(
         f"SELECT track_id, seq, round({TURN('b', 'nb')}, 6) AS turn_deg FROM q WHERE b IS NOT NULL AND nb IS NOT NULL",
@@ -143,7 +143,7 @@ ORACLE_SQL = {
         f"q AS (SELECT track_id, seq, {BEAR('p_', '')} AS b, lead({BEAR('p_', '')}) OVER (PARTITION BY track_id ORDER BY seq) AS nb FROM pairs)",
     ),
     "raw_speed": sql(f"SELECT track_id, seq, {r('distance_m', 'metres', 'dt', 'kmh')} FROM speeds", DENSE, *ROUTED, SPEED),
-    "speed_reliability": sql(f"""SELECT track_id, n, {r('p10', 'p25', 'p50', 'rejected_share')}, profile, {r('ceiling_kmh')}, (SELECT count(*) FROM speeds s WHERE s.track_id = ceilings.track_id AND kmh > ceiling_kmh) AS n_outliers,
+    "speed_reliability": sql(f"""SELECT track_id, n, {r('p10', 'p25', 'p50', 'rejected_share')}, profile, CASE WHEN profile = 'unknown' THEN 'default' ELSE 'speed_distribution' END AS profile_source, {r('ceiling_kmh')}, (SELECT count(*) FROM speeds s WHERE s.track_id = ceilings.track_id AND kmh > ceiling_kmh) AS n_outliers,
         CASE WHEN n >= 8 AND p10 <= 5 AND p25 <= 8 AND p50 <= 24 AND rejected_share > 0.5 THEN 'slow_rejected_share_too_high' END AS warning FROM ceilings""", DENSE, *ROUTED, SPEED, RELIABLE),
     "speed_smoothing": sql(
         "SELECT track_id, seq, round(kmh, 6) AS kmh, round(avg(kmh) OVER (PARTITION BY track_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth_kmh FROM reliable", DENSE, *ROUTED, SPEED, RELIABLE
@@ -657,3 +657,18 @@ ORACLE_SQL["sql_functions"] = f"""WITH {DENSE}, near AS (SELECT *, lag(lat) OVER
     turns AS (SELECT track_id, seq, {dist("p_", "")} AS metres, p_lat, {_towards("p_", "")} AS bearing, {_towards("", "n_")} AS onward FROM near)
     SELECT track_id, seq, round(CASE WHEN p_lat IS NOT NULL THEN metres END, 6) AS metres, round(bearing, 6) AS bearing,
         round(CASE WHEN abs(bearing - onward) > 180 THEN 360 - abs(bearing - onward) ELSE abs(bearing - onward) END, 6) AS turned FROM turns"""
+
+
+#: What the query explicit_profiles asks for, by track.
+_ASKED = "(['slow', 'fast', ' ', 'unrestricted', 'sprint', NULL])[track_id % 6 + 1]"
+_KNOWN = "('slow', 'moderate', 'fast', 'unrestricted', 'unknown')"
+ORACLE_SQL["explicit_profiles"] = f"""WITH {DENSE}, {PAIRS}, {GAPS}, {ROUTE}, {SPEED}, {RELIABLE}, {MOTION},
+    tracks AS (SELECT DISTINCT track_id, {_ASKED} AS asked, (['moderate', NULL, 'unknown', 'nonsense'])[track_id % 4 + 1] AS wanted FROM pts),
+    judged AS (SELECT t.track_id, wanted, CASE WHEN trim(asked) <> '' THEN CASE WHEN asked IN {_KNOWN} THEN asked ELSE 'unknown' END ELSE coalesce(m.profile, 'unknown') END AS profile,
+        CASE WHEN trim(asked) <> '' THEN 'explicit' WHEN m.profile <> 'unknown' THEN 'inferred' ELSE 'default' END AS profile_source FROM tracks t LEFT JOIN motion m USING (track_id)),
+    limits AS (SELECT j.track_id, j.profile, profile_source, CASE WHEN j.profile <> 'unknown' THEN 'high' ELSE 'low' END AS confidence,
+        CASE j.profile WHEN 'slow' THEN 6e0 WHEN 'moderate' THEN 10e0 WHEN 'fast' THEN 25e0 ELSE 50e0 END AS ceiling_mps,
+        CASE WHEN wanted IN {_KNOWN} THEN wanted WHEN c.profile = 'slow' AND j.profile <> 'slow' THEN 'slow' WHEN c.profile = 'moderate' AND j.profile NOT IN ('slow', 'moderate') THEN 'moderate' ELSE j.profile END AS reliability_profile
+        FROM judged j JOIN ceilings c ON j.track_id = c.track_id),
+    tops AS (SELECT *, CASE reliability_profile WHEN 'slow' THEN 21.6e0 WHEN 'moderate' THEN 36e0 WHEN 'fast' THEN 90e0 END AS ceiling_kmh FROM limits)
+    SELECT t.*, (SELECT count(*) FROM speeds s WHERE s.track_id = t.track_id AND kmh > ceiling_kmh) AS n_outliers FROM tops t"""

@@ -591,6 +591,18 @@ def gpx_documents(spark, sf_dir):
     return read.select("track_id", "part", "seq", "lat", "lon", "ele", "segment", "phys", "ele_source", "datum", "geoid_m", F.array_join("extensions", " ").alias("fragments"))
 
 
+@query
+def explicit_profiles(spark, sf_dir):
+    """The profiles that callers ask for, by track, in cleaning and in the ceiling of speeds."""
+    k = F.col("track_id")
+    asked = lambda names, n: F.get(F.array(*(F.lit(x) for x in names)), (k % n).cast("int"))
+    p = dense_points(spark, sf_dir).withColumns({"explicit_profile": asked(("slow", "fast", " ", "unrestricted", "sprint", None), 6), "explicit_reliability": asked(("moderate", None, "unknown", "nonsense"), 4)})
+    profile = cleaning.motion_profile(p).select("track_id", "profile", "profile_source", "confidence", "ceiling_mps")
+    speeds = series.raw_speed(p.join(profile.select("track_id", F.col("profile").alias("cleaning_profile")), "track_id"))
+    judged = series.reliability(speeds).select("track_id", F.col("profile").alias("reliability_profile"), "ceiling_kmh", "n_outliers")
+    return profile.join(judged, "track_id")
+
+
 @query
 def sql_functions(spark, sf_dir):
     register(spark)

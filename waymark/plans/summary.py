@@ -24,11 +24,12 @@ def track_summary(points: DataFrame) -> DataFrame:
 def with_thresholds(points: DataFrame, raw: DataFrame) -> DataFrame:
     """Cleaned points with their pairs and gaps, their track's cleaning_profile (of the raw points), the speeds at which it
     moves and stops, and is_slow_progress for the walking profiles."""
-    table = moving.THRESHOLDS | {"slow": moving.THRESHOLDS["inferred_slow"]}  # profiles are inferred here
-    pick = lambda j: F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[j])))[F.col("cleaning_profile")]
-    profiles = cleaning.motion_profile(raw).select("track_id", F.col("profile").alias("cleaning_profile"))
+    table = moving.THRESHOLDS
+    kind = F.when((F.col("cleaning_profile") == "slow") & (F.col("profile_source") == "inferred"), "inferred_slow").otherwise(F.col("cleaning_profile"))
+    pick = lambda j: F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v[j])))[kind]
+    profiles = cleaning.motion_profile(raw).select("track_id", F.col("profile").alias("cleaning_profile"), "profile_source")
     rows = continuity.with_gaps(points).join(profiles, "track_id", "left").withColumn("cleaning_profile", F.coalesce("cleaning_profile", F.lit("unknown")))
-    rows = rows.withColumns({"on_kmh": pick(0), "off_kmh": pick(1), "to_ms": F.col("ts_ms")})
+    rows = rows.withColumns({"on_kmh": pick(0), "off_kmh": pick(1), "to_ms": F.col("ts_ms")}).drop("profile_source")
     walking = rows.filter("on_kmh <= 1.5 and off_kmh <= 0.8").select(*points.columns)
     creeps = diagnostics.slow_progress(walking).select("track_id", "seq", F.lit(True).alias("is_slow_progress"))
     return rows.join(creeps, ["track_id", "seq"], "left").withColumn("is_slow_progress", F.coalesce("is_slow_progress", F.lit(False)))
@@ -60,7 +61,8 @@ def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, Dat
     """Cleaned points, speeds, slopes, splits, elevation samples and a summary with motion and elevation, by name, besides all
     points with the reason that drops them (cleaned) and the repaired elevation runs (raw_runs); events are those of the tracks' timers (track_id, ts_ms, action), if any.
 
-    Points have their gaps, slow progress and jitter; jitter counts for no distance. What several results read (points,
+    Points may have explicit_profile (for cleaning and thresholds of motion) and explicit_reliability (for the ceiling of
+    speeds), the profiles that a caller asks for, and explicit_kind, a stated activity. Points have their gaps, slow progress and jitter; jitter counts for no distance. What several results read (points,
     speeds, trust in sources, samples) is checkpointed, partitioned by track: nothing stays in memory. A track's windows run
     in one task, so the longest track sets the least time.
     """
@@ -69,7 +71,7 @@ def analyse(points: DataFrame, events: DataFrame | None = None) -> dict[str, Dat
     base = checkpointed(continuity.with_route_jitter(continuity.with_jitter(checkpointed(with_thresholds(cleaned, points)))).repartition("track_id"))
     judged = checkpointed(series.with_reliability(series.raw_speed(base)))
     above = F.col("ceiling_kmh").isNotNull() & (F.col("kmh") > F.col("ceiling_kmh"))
-    speeds = series.smoothed(judged.filter(~above).drop("n", "p10", "p25", "p50", "rejected_share", "slow_speeds", "profile", "ceiling_kmh"))
+    speeds = series.smoothed(judged.filter(~above).drop("n", "p10", "p25", "p50", "rejected_share", "slow_speeds", "profile", "profile_source", "ceiling_kmh"))
     settings = checkpointed(elevation.defaults(base, checkpointed(elevation.source_trust(base))))
     fixed = checkpointed(elevation.repaired(base))
     samples = checkpointed(elevation.profile(base, settings, fixed))
