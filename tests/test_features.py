@@ -188,3 +188,21 @@ def test_islands():
     rng = random.Random(1)
     mark = np.array([rng.random() < 0.5 for _ in range(200)])
     assert sum(b - a + 1 for a, b in tails.islands(mark)) == mark.sum()
+
+
+def test_slow_descents_are_water(spark):
+    """A river, a noisy river, and near misses: too fast, too little, leaps that are no noise, falls without a speed."""
+    def track(name, eles, lat_step=1e-5, timed=True):
+        return [(name, k, k * 1000 if timed else None, 43 + k * lat_step, 42.0, e, 0, "bike" if name == "stated" else None) for k, e in enumerate(eles)]
+
+    even, noisy = [500.0 - k for k in range(100)], [500.0 - k + k % 2 * 5 for k in range(100)]
+    rows = track("river", even) + track("stated", even) + track("noisy", noisy) + track("fast", even, 1e-4) + track("short", even[:60]) + track("leaping", [500.0 - k + k % 2 for k in range(100)]) + track("plan", even, timed=False) + track("still", even, 0.0)
+    p = spark.createDataFrame(rows, "track_id string, seq int, ts_ms long, lat double, lon double, ele double, segment int, explicit_kind string")
+    got = {r.track_id: (r.activity, r.confidence, r.reason) for r in elevation.activity(p).collect()}
+    assert got == {
+        "river": ("water", 0.7, "sustained_directional_descent"), "stated": ("bike", 0.95, "explicit_activity"), "noisy": ("water", 0.62, "noisy_sustained_descent"), "fast": ("motor", 0.72, "motor_speed"),
+        "short": ("foot", 0.66, "foot_speed"), "leaping": ("foot", 0.66, "foot_speed"), "plan": ("route_plan", 0.75, "no_timestamps"), "still": ("unknown", 0.35, "insufficient_motion_signal"),
+    }
+    d = {r.track_id: r for r in elevation.activity(p).collect()}
+    assert (d["river"].net_ele, d["river"].raw_ele, d["river"].descent_m, d["still"].descent_m) == (-99, 99, 99, 0) and d["leaping"].directional < 0.75
+    assert [tuple(r)[1:] for r in diagnostics.activity_candidates(p).filter("track_id = 'stated'").collect()] == [(1, "bike", 0.95, "explicit_activity")]

@@ -35,35 +35,25 @@ def time_zones(points: DataFrame) -> DataFrame:
     return rows.withColumns({"confidence": level, "flags": F.when(F.col("n_missing") > 0, F.array(F.lit("tz_inferred"))).otherwise(F.array().cast("array<string>"))})
 
 
-def activity_features(points: DataFrame) -> DataFrame:
-    """elevation.activity's rows, with net_ele, raw_ele (sums of signed and absolute changes within runs) and directional
-    (their ratio)."""
-    r = elevation.runs(points)
-    step = F.col("ele") - F.lag("ele").over(elevation.run_order())
-    change = r.withColumn("step", step).groupBy("track_id").agg(F.sum("step").alias("net_ele"), F.sum(F.abs("step")).alias("raw_ele"))
-    return elevation.activity(points).join(change, "track_id", "left").withColumn("directional", F.try_divide(F.abs("net_ele"), "raw_ele"))
-
-
 def activity_candidates(points: DataFrame) -> DataFrame:
-    """Rows track_id, rank, activity, score, reason: the activity chosen and what else it might have been, best first; of
-    equal scores in the order chosen, foot, bike, water. Descents of more than 80 m count for water, and slow flat tracks."""
+    """Rows track_id, rank, activity, score, reason: the activity chosen (elevation.activity) and what else it might have been,
+    best first; of equal scores in the order chosen, foot, bike, water. Descents of more than 80 m count for water, and slow
+    flat tracks. A stated activity stands alone."""
+    rows = elevation.activity(points)
     median, p95 = F.coalesce("median_kmh", F.lit(0.0)), F.coalesce("p95_kmh", "median_kmh", F.lit(0.0))
-    sinks = (F.col("median_kmh").isNotNull() & (F.col("net_ele") < -80) & (median <= 8) & (p95 <= 18) & (F.col("directional") >= 0.75))
-    rows = activity_features(points).withColumn("chosen", F.when(F.coalesce(sinks, F.lit(False)) & (F.col("n_timed") >= 2), "water").otherwise(F.col("activity")))
-    score = F.create_map(*(F.lit(x) for kv in {"route_plan": 0.75, "water": 0.7, "motor": 0.72, "bike": 0.68, "foot": 0.66, "unknown": 0.35}.items() for x in kv))
-    c = F.col("chosen")
+    c, open_ = F.col("activity"), F.col("reason") != "explicit_activity"
     flat = (F.col("n_timed") >= 6) & (median > 0) & (median <= 8) & (p95 <= 18) & (F.abs("net_ele") <= 20) & ((F.col("raw_ele") <= 40) | (F.col("directional") <= 0.5))
 
-    def entry(order: int, name: Column, value: Column, reason: str, test: Column) -> Column:
-        return F.when(F.coalesce(test, F.lit(False)), F.struct((-value).alias("minus"), F.lit(order).alias("order"), name.alias("activity"), F.lit(reason).alias("reason")))
+    def entry(order: int, name: Column, value: Column, reason: Column, test: Column) -> Column:
+        return F.when(F.coalesce(test, F.lit(False)), F.struct((-value).alias("minus"), F.lit(order).alias("order"), name.alias("activity"), reason.alias("reason")))
 
     options = F.array_compact(
         F.array(
-            entry(0, c, score[c], "chosen", F.lit(True)),
-            entry(1, F.lit("foot"), F.when(c == "bike", 0.48).otherwise(0.35), "fallback_slow_motion", (c != "foot") & (median > 0)),
-            entry(2, F.lit("bike"), F.when(c == "foot", 0.48).otherwise(0.4), "near_bike_speed", (c != "bike") & ((median >= 6) | (p95 >= 16))),
-            entry(3, F.lit("water"), F.lit(0.42), "sustained_descent", (c != "water") & (F.col("net_ele") < -80)),
-            entry(4, F.lit("water"), F.when(c == "foot", 0.42).otherwise(0.35), "flat_low_speed", (c != "water") & flat),
+            entry(0, c, F.col("confidence"), F.col("reason"), F.lit(True)),
+            entry(1, F.lit("foot"), F.when(c == "bike", 0.48).otherwise(0.35), F.lit("fallback_slow_motion"), open_ & (c != "foot") & (median > 0)),
+            entry(2, F.lit("bike"), F.when(c == "foot", 0.48).otherwise(0.4), F.lit("near_bike_speed"), open_ & (c != "bike") & ((median >= 6) | (p95 >= 16))),
+            entry(3, F.lit("water"), F.lit(0.42), F.lit("sustained_descent"), open_ & (c != "water") & (F.col("net_ele") < -80)),
+            entry(4, F.lit("water"), F.when(c == "foot", 0.42).otherwise(0.35), F.lit("flat_low_speed"), open_ & (c != "water") & flat),
         )
     )
     ranked = rows.select("track_id", F.posexplode(F.sort_array(options)).alias("k", "x"))

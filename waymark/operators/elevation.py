@@ -86,18 +86,42 @@ def primary_source(trust: DataFrame, key: str = "rel_trust") -> DataFrame:
 
 
 def activity(points: DataFrame) -> DataFrame:
-    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank; without jitter, where that is known), activity: the column
-    explicit_kind of the points, where there is one and it names one of foot, bike, water and motor; else a plan without
-    times, else by speed."""
+    """Rows track_id, n_timed, median_kmh, p95_kmh (nearest rank, of pairs with a way; without jitter, where that is known),
+    net_ele, raw_ele (sums of signed and absolute changes between neighbours, but across rises of 60 m in a gap),
+    directional (their ratio), descent_m (falls of pairs with a speed), activity, confidence, reason.
+
+    The column explicit_kind of the points counts first, where there is one and it names one of foot, bike, water and motor.
+    A track without times is a plan. A slow descent of more than 80 m is on water if it goes mostly down, or if its changes
+    are four times what it descends, as noise on a river's are. All else goes by speed."""
     rows = points if "is_gap" in points.columns else with_gaps(points)
-    counts = F.col("same_segment") & (F.col("dt") > 0) & ~F.col("is_gap")
+    counts = F.col("same_segment") & (F.col("dt") > 0) & ~F.col("is_gap") & (F.col("metres") > 0)
     if "is_jitter" in rows.columns:
         counts = counts & ~F.col("is_jitter")
     kmh = F.when(counts, F.col("metres") / F.col("dt") * 3.6)
+    step = F.col("ele") - F.lag("ele").over(in_order())
+    step = F.when(F.col("same_segment") & ~(F.col("is_gap") & (F.abs(step) >= GAP_RISE)), step)
     stated = F.max(F.when(F.col("explicit_kind").isin("foot", "bike", "water", "motor"), F.col("explicit_kind"))) if "explicit_kind" in rows.columns else F.lit(None).cast("string")
-    out = rows.withColumn("kmh", kmh).groupBy("track_id").agg(F.count("ts_ms").alias("n_timed"), nearest_rank("kmh", 0.5).alias("median_kmh"), nearest_rank("kmh", 0.95).alias("p95_kmh"), stated.alias("_stated"))
-    kind = F.when(F.col("n_timed") < 2, "route_plan").when((F.col("median_kmh") >= 35) | (F.col("p95_kmh") >= 70), "motor").when((F.col("median_kmh") >= 8) | (F.col("p95_kmh") >= 18), "bike")
-    return out.withColumn("activity", F.coalesce("_stated", kind.when(F.col("median_kmh").isNotNull(), "foot").otherwise("unknown"))).drop("_stated")
+    total = lambda c: F.round(F.sum(c), 6)
+    falls = F.when(F.col("step").isNotNull(), F.when((F.col("step") < 0) & F.col("kmh").isNotNull(), -F.col("step")).otherwise(0.0))
+    out = rows.withColumns({"kmh": kmh, "step": step}).groupBy("track_id").agg(
+        F.count("ts_ms").alias("n_timed"), nearest_rank("kmh", 0.5).alias("median_kmh"), nearest_rank("kmh", 0.95).alias("p95_kmh"), total("step").alias("net_ele"), total(F.abs("step")).alias("raw_ele"),
+        total(falls).alias("descent_m"), stated.alias("_stated"),
+    )
+    out = out.withColumn("directional", F.try_divide(F.abs("net_ele"), "raw_ele"))
+    sinks = (F.col("net_ele") < -80) & (F.col("descent_m") > 80) & (F.col("median_kmh") <= 8) & (F.col("p95_kmh") <= 18)
+    noisy = (F.col("directional") < 0.75) & (F.col("raw_ele") >= 4 * F.abs("net_ele"))
+    verdict = lambda kind, confidence, reason: F.struct(F.lit(kind).alias("activity"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
+    found = (
+        F.when(F.col("_stated").isNotNull(), F.struct(F.col("_stated").alias("activity"), F.lit(0.95).alias("confidence"), F.lit("explicit_activity").alias("reason")))
+        .when(F.col("n_timed") < 2, verdict("route_plan", 0.75, "no_timestamps"))
+        .when(sinks & (F.col("directional") >= 0.75), verdict("water", 0.7, "sustained_directional_descent"))
+        .when(sinks & noisy, verdict("water", 0.62, "noisy_sustained_descent"))
+        .when((F.col("median_kmh") >= 35) | (F.col("p95_kmh") >= 70), verdict("motor", 0.72, "motor_speed"))
+        .when((F.col("median_kmh") >= 8) | (F.col("p95_kmh") >= 18), verdict("bike", 0.68, "bike_speed"))
+        .when(F.col("median_kmh") > 0, verdict("foot", 0.66, "foot_speed"))
+        .otherwise(verdict("unknown", 0.35, "insufficient_motion_signal"))
+    )
+    return out.withColumn("_found", found).select("*", "_found.*").drop("_found", "_stated")
 
 
 def without_raw_outliers(run_points: DataFrame) -> DataFrame:

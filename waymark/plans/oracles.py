@@ -41,6 +41,17 @@ ranks AS (SELECT *, floor(v[CAST(floor((n - 1) * 0.1) AS INT) + 1] * 100 + 0.5)
 profiles AS (SELECT *, CASE WHEN n < 8 THEN 'unknown' WHEN p10 <= 5 AND p25 <= 8 AND p50 <= 24 AND rejected_share <= 0.5 THEN 'slow' WHEN p25 <= 15 AND p50 <= 30 THEN 'moderate' ELSE 'unknown' END AS profile FROM ranks),
 ceilings AS (SELECT *, CASE profile WHEN 'slow' THEN 6e0 * 3.6 WHEN 'moderate' THEN 10e0 * 3.6 END AS ceiling_kmh FROM profiles),
 reliable AS (SELECT s.* FROM speeds s JOIN ceilings c USING (track_id) WHERE ceiling_kmh IS NULL OR kmh <= ceiling_kmh)"""
+#: Speeds of pairs with a way, changes between neighbours, and the activity that follows, from the CTE gapped.
+ACTIVITY = """SELECT track_id, n_timed, round(a, 6) AS median_kmh, round(b, 6) AS p95_kmh, net_ele, raw_ele, descent_m, round(q, 6) AS directional,
+    CASE reason WHEN 'no_timestamps' THEN 'route_plan' WHEN 'motor_speed' THEN 'motor' WHEN 'bike_speed' THEN 'bike' WHEN 'foot_speed' THEN 'foot' WHEN 'insufficient_motion_signal' THEN 'unknown' ELSE 'water' END AS activity,
+    CASE reason WHEN 'no_timestamps' THEN 0.75e0 WHEN 'motor_speed' THEN 0.72e0 WHEN 'bike_speed' THEN 0.68e0 WHEN 'foot_speed' THEN 0.66e0 WHEN 'insufficient_motion_signal' THEN 0.35e0 WHEN 'noisy_sustained_descent' THEN 0.62e0 ELSE 0.7e0 END AS confidence, reason FROM
+    (SELECT *, CASE WHEN n_timed < 2 THEN 'no_timestamps' WHEN sinks AND q >= 0.75 THEN 'sustained_directional_descent' WHEN sinks AND q < 0.75 AND raw_ele >= 4 * abs(net_ele) THEN 'noisy_sustained_descent'
+        WHEN a >= 35 OR b >= 70 THEN 'motor_speed' WHEN a >= 8 OR b >= 18 THEN 'bike_speed' WHEN a > 0 THEN 'foot_speed' ELSE 'insufficient_motion_signal' END AS reason FROM
+    (SELECT *, abs(net_ele) / nullif(raw_ele, 0) AS q, net_ele < -80 AND descent_m > 80 AND a <= 8 AND b <= 18 AS sinks FROM
+    (SELECT track_id, count(ts_ms) AS n_timed, quantile_disc(kmh, 0.5) AS a, quantile_disc(kmh, 0.95) AS b, round(sum(step), 6) AS net_ele, round(sum(abs(step)), 6) AS raw_ele,
+        CASE WHEN count(step) > 0 THEN round(coalesce(sum(-step) FILTER (step < 0 AND kmh IS NOT NULL), 0), 6) END AS descent_m FROM
+    (SELECT *, CASE WHEN same_segment AND NOT (is_gap AND abs(ele - p_ele) >= 60) THEN ele - p_ele END AS step, CASE WHEN same_segment AND dt > 0 AND NOT is_gap AND metres > 0 THEN metres / dt * 3.6 END AS kmh FROM gapped)
+    GROUP BY track_id)))"""
 #: The motion profile: ranks floor((n - 1) p) of the speeds, shares above each ceiling, rounded before they are compared.
 MOTION = """mv AS (SELECT track_id, metres / dt AS v FROM pairs WHERE same_segment AND dt > 0 AND metres / dt BETWEEN 0.3 AND 50),
 ml AS (SELECT track_id, count(*) AS n, list_sort(list(v)) AS l, floor(count(*) FILTER (v > 6) / count(*) * 100 + 0.5) / 100 AS slow_share, floor(count(*) FILTER (v > 10) / count(*) * 100 + 0.5) / 100 AS moderate_share,
@@ -232,11 +243,7 @@ ORACLE_SQL = {
         "SELECT track_id, round(sum(net), 6) AS net_m FROM (SELECT track_id, run, max_by(ele, i) - min_by(ele, i) AS net FROM samples GROUP BY ALL) GROUP BY track_id",
         DENSE.replace("CASE WHEN (seq - 1) // 20 % 2 = 0 THEN 'barometric' ELSE 'gpx' END", "'unknown'"), *RUNNING, PLAIN,
     ),
-    "activity_features": sql(
-        """SELECT track_id, n_timed, round(a, 6) AS median_kmh, round(b, 6) AS p95_kmh, CASE WHEN n_timed < 2 THEN 'route_plan' WHEN a >= 35 OR b >= 70 THEN 'motor' WHEN a >= 8 OR b >= 18 THEN 'bike' WHEN a IS NOT NULL THEN 'foot' ELSE 'unknown' END AS activity FROM
-            (SELECT track_id, count(ts_ms) AS n_timed, quantile_disc(metres / dt * 3.6, 0.5) FILTER (same_segment AND dt > 0 AND NOT is_gap) AS a, quantile_disc(metres / dt * 3.6, 0.95) FILTER (same_segment AND dt > 0 AND NOT is_gap) AS b FROM gapped GROUP BY track_id)""",
-        DENSE, PAIRS, GAPS,
-    ),
+    "activity_features": sql(ACTIVITY, DENSE, PAIRS, GAPS),
     "resample_grid": sql(
         """SELECT track_id, run, CAST(row_number() OVER (PARTITION BY track_id, run ORDER BY d) AS INT) AS i, round(d, 6) AS d, round(ele, 6) AS ele FROM
             (SELECT track_id, run, k * 10e0 AS d, e0 + (ele - e0) * (k * 10e0 - d0) / (d - d0) AS ele FROM h, (SELECT unnest(range(0, 2000)) AS k) WHERE d > d0 AND k * 10e0 >= d0 AND k * 10e0 < d
@@ -397,7 +404,7 @@ ORACLE_SQL["route_jitter"] = sql(
 ORACLE_SQL["primary_source"] = f"""SELECT track_id, ele_source, trust FROM (SELECT track_id, ele_source, round(rel_trust, 6) AS trust, row_number() OVER (PARTITION BY track_id ORDER BY rel_trust DESC,
     list_position(['barometric', 'terrain', 'gpx', 'unknown'], ele_source)) AS k FROM ({ORACLE_SQL["source_trust"]}) WHERE rel_trust > 0) WHERE k = 1"""
 ORACLE_SQL["base_threshold"] = f"""SELECT a.track_id, activity, ele_source, round(CASE WHEN activity <> 'water' AND ele_source = 'gpx' AND noisy AND change_ratio IS NOT NULL THEN greatest(d, least(18e0, 3 + 0.33 * greatest(0, change_ratio - 12))) ELSE d END, 6) AS base_m
-    FROM (SELECT track_id, activity, CASE activity WHEN 'foot' THEN 3e0 WHEN 'bike' THEN 4e0 WHEN 'motor' THEN 6e0 WHEN 'route_plan' THEN 6e0 ELSE 5e0 END AS d FROM ({ORACLE_SQL["activity_features"]})) a
+    FROM (SELECT track_id, activity, CASE activity WHEN 'foot' THEN 3e0 WHEN 'bike' THEN 4e0 WHEN 'motor' THEN 6e0 WHEN 'route_plan' THEN 6e0 WHEN 'water' THEN 15e0 ELSE 5e0 END AS d FROM ({ORACLE_SQL["activity_features"]})) a
     JOIN (SELECT p.track_id, p.ele_source, noisy, change_ratio FROM ({ORACLE_SQL["primary_source"]}) p JOIN ({ORACLE_SQL["source_trust"]}) t ON p.track_id = t.track_id AND p.ele_source = t.ele_source) s ON a.track_id = s.track_id"""
 _BEGINS, _TURNS = "dir = 0 AND abs(ele - e) >= 3 AND o.d - f.d >= 20", "dir <> 0 AND (ele - e) * dir < 0 AND abs(ele - e) >= 3 AND o.d - f.d >= 20"
 _MOVES = f"({_BEGINS}) OR ({_TURNS}) OR (dir <> 0 AND (ele - e) * dir >= 0)"
@@ -672,3 +679,14 @@ ORACLE_SQL["explicit_profiles"] = f"""WITH {DENSE}, {PAIRS}, {GAPS}, {ROUTE}, {S
         FROM judged j JOIN ceilings c ON j.track_id = c.track_id),
     tops AS (SELECT *, CASE reliability_profile WHEN 'slow' THEN 21.6e0 WHEN 'moderate' THEN 36e0 WHEN 'fast' THEN 90e0 END AS ceiling_kmh FROM limits)
     SELECT t.*, (SELECT count(*) FROM speeds s WHERE s.track_id = t.track_id AND kmh > ceiling_kmh) AS n_outliers FROM tops t"""
+
+_SINKING = DENSE.replace("CASE WHEN e % 61 <> 0 THEN 100 + value / 50 + CASE WHEN e % 37 = 0 THEN 80e0 ELSE 0e0 END END AS ele",
+    "CASE WHEN e % 61 = 0 THEN NULL WHEN track_id % 3 = 0 THEN 900 - seq * 2e0 WHEN track_id % 3 = 1 THEN 900 - seq * 2e0 + seq % 2 * 20 ELSE 100e0 END AS ele")
+ORACLE_SQL["activity_candidates"] = f"""WITH {_SINKING}, {PAIRS}, {GAPS}, act AS ({ACTIVITY}), m AS (SELECT *, coalesce(median_kmh, 0) AS med, coalesce(p95_kmh, median_kmh, 0) AS top FROM act),
+    options AS (SELECT track_id, 0 AS o, activity, confidence AS score, reason FROM m
+        UNION ALL SELECT track_id, 1, 'foot', CASE WHEN activity = 'bike' THEN 0.48e0 ELSE 0.35e0 END, 'fallback_slow_motion' FROM m WHERE activity <> 'foot' AND med > 0
+        UNION ALL SELECT track_id, 2, 'bike', CASE WHEN activity = 'foot' THEN 0.48e0 ELSE 0.4e0 END, 'near_bike_speed' FROM m WHERE activity <> 'bike' AND (med >= 6 OR top >= 16)
+        UNION ALL SELECT track_id, 3, 'water', 0.42e0, 'sustained_descent' FROM m WHERE activity <> 'water' AND net_ele < -80
+        UNION ALL SELECT track_id, 4, 'water', CASE WHEN activity = 'foot' THEN 0.42e0 ELSE 0.35e0 END, 'flat_low_speed' FROM m WHERE activity <> 'water' AND n_timed >= 6 AND med > 0 AND med <= 8 AND top <= 18
+            AND abs(net_ele) <= 20 AND (raw_ele <= 40 OR directional <= 0.5))
+    SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY score DESC, o) AS INT) AS rank, activity, score, reason FROM options"""

@@ -308,7 +308,10 @@ def time_zones(spark, sf_dir):
 
 @query
 def activity_candidates(spark, sf_dir):
-    return diagnostics.activity_candidates(dense_points(spark, sf_dir).drop("ele_source"))
+    """Of tracks that sink evenly, that sink in leaps, and that are flat."""
+    down, k = 900 - F.col("seq") * 2.0, F.col("track_id") % 3
+    p = dense_points(spark, sf_dir).withColumn("ele", F.when(F.col("ele").isNotNull(), F.when(k == 0, down).when(k == 1, down + F.col("seq") % 2 * 20).otherwise(100.0)))
+    return diagnostics.activity_candidates(p.drop("ele_source"))
 
 
 @query
