@@ -196,7 +196,7 @@ def test_slow_descents_are_water(spark):
         return [(name, k, k * 1000 if timed else None, 43 + k * lat_step, 42.0, e, 0, "bike" if name == "stated" else None) for k, e in enumerate(eles)]
 
     even, noisy = [500.0 - k for k in range(100)], [500.0 - k + k % 2 * 5 for k in range(100)]
-    rows = track("river", even) + track("stated", even) + track("noisy", noisy) + track("fast", even, 1e-4) + track("short", even[:60]) + track("leaping", [500.0 - k + k % 2 for k in range(100)]) + track("plan", even, timed=False) + track("still", even, 0.0)
+    rows = track("river", even) + track("stated", even) + track("noisy", noisy) + track("fast", even, 1e-4) + track("short", even[:60]) + track("leaping", [500.0 - k + k % 2 * 2 for k in range(100)]) + track("plan", even, timed=False) + track("still", even, 0.0)
     p = spark.createDataFrame(rows, "track_id string, seq int, ts_ms long, lat double, lon double, ele double, segment int, explicit_kind string")
     got = {r.track_id: (r.activity, r.confidence, r.reason) for r in elevation.activity(p).collect()}
     assert got == {
