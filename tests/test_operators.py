@@ -190,6 +190,12 @@ def test_jitter_equals_a_plain_loop_and_a_long_track_passes(spark):
     assert continuity.with_jitter(continuity.with_gaps(long)).filter("is_jitter").count() == 299_999
     assert series.reliable_speed(series.raw_speed(long)).count() == 299_999
     assert time.perf_counter() - began < 90
+    # many short stretches cost no more than one long one: track k has 200 points in stretches of seven
+    many = "concat('t', id div 200) AS track_id", "int(id % 200 + 1) AS seq", "id % 200 * 2000 AS ts_ms", "43 + id % 200 div 7 * 3e-5 + id % 2 * 1e-6 AS lat", "42D AS lon", "1D AS ele", "0 AS segment"
+    began = time.perf_counter()
+    marked = continuity.with_jitter(continuity.with_gaps(spark.range(800_000).selectExpr(*many)))
+    assert {r["count"] for r in marked.filter("is_jitter").groupBy("track_id").count().collect()} == {171}
+    assert time.perf_counter() - began < 60
 
 
 def test_analysis_leaves_jitter_out_and_takes_the_timer(spark):
