@@ -167,6 +167,8 @@ def test_modes_of_the_golden_track(spark):
 def test_numbers_and_dates_by_language(spark):
     row = spark.range(1).select(*(values.metres_text(F.lit(x), n).alias(f"{n}{k}") for n in values.SEPARATORS for k, x in enumerate((1234.0, 12345.65, -0.5)))).first()
     assert row[:] == ("1,234.0 m", "12,345.7 m", "-0.5 m", "1.234,0 m", "12.345,7 m", "-0,5 m", "1234,0 m", "12.345,7 m", "-0,5 m", "1 234,0 m", "12 345,7 m", "-0,5 m", "1 234,0 m", "12 345,7 m", "-0,5 m")
+    noisy = spark.range(1).select(*(values.metres_text(F.lit(x)) for x in (207.54999999999998, -207.54999999999998, 207.54, 1e300))).first()
+    assert noisy[:3] == ("207.6 m", "-207.6 m", "207.5 m") and noisy[3].startswith("1,000,") and noisy[3].endswith(".0 m")
     texts = {n: spark.range(1).select(values.date_text(F.lit("25-27"), F.lit(5), F.lit(2024), n)).first()[0] for n in values.DATES}
     assert texts == {"en": "May 25-27, 2024", "de": "25-27. Mai 2024", "es": "25-27 de mayo de 2024", "fr": "25-27 mai 2024", "ru": "25-27 мая 2024"}
 
