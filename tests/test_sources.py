@@ -8,6 +8,7 @@ from waymark.operators import series
 from waymark.plans.summary import track_summary
 from waymark.sources.files import apply_terrain, points_of, read_files, tracks_of, with_imported, without_flat_times, without_synthetic_times, without_zero_elevations
 from waymark.sources.parse import activity_kind, is_generic, route, stem
+from waymark.sources.tables import supplier_points
 from waymark.streaming.live import bounds_by_window, sessions
 
 GPX = """<?xml version="1.0"?><gpx xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>Meta</name></metadata>
@@ -127,3 +128,12 @@ def test_streams(spark, tmp_path, operator, rows):
     if operator is bounds_by_window:
         first = spark.table(operator.__name__).orderBy("start").first()
         assert (first.min_lat, first.max_lat, first.min_ele, first.max_ele) == (43, 43.02, 100, 102)
+
+
+def test_lines_of_one_number_have_one_order(spark, tmp_path):
+    rows = [(7, 5, 1, 100.0), (7, 5, 1, 300.0), (7, 5, 1, 200.0), (7, 4, 2, 900.0)]
+    got = []
+    for name, some in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(some, "l_suppkey long, l_orderkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        got.append([r.ele for r in supplier_points(spark, str(tmp_path / name)).orderBy("seq").collect()])
+    assert got[0] == got[1] == [100.45, 100.05, 100.1, 100.15]
