@@ -36,6 +36,19 @@ def test_cleaning_reasons(spark):
     assert got == {1: None, 2: None, 3: "duplicate_points", 4: "time_order", 5: "gps_jump", 6: None, 7: "invalid_coordinates", 8: None, 9: None, 10: "gps_jump"}
 
 
+def test_cleaning_of_many_and_long_tracks(spark):
+    import time
+
+    # 40,000 tracks of five points and one of 4,001, each with a repeat of its second point at the end
+    short = spark.range(200_000).selectExpr("concat('s', id div 5) AS track_id", "int(id % 5 + 1) AS seq", "id % 5 * 10000 AS ts_ms", "1 + id % 5 * 1e-5 AS lat", "1D AS lon", "1D AS ele", "0 AS segment")
+    long = spark.range(4001).selectExpr("'l'", "int(id + 1)", "id * 10000", "1 + id * 1e-5", "1D", "1D", "0")
+    back = F.when((F.col("seq") == 5) & F.col("track_id").startswith("s") | (F.col("seq") == 4001), 10000)
+    began = time.perf_counter()
+    got = cleaning.clean(short.union(long).withColumn("ts_ms", F.coalesce(back, "ts_ms"))).groupBy("reason", F.substring("track_id", 1, 1).alias("kind")).count().collect()
+    assert {(r.kind, r.reason): r["count"] for r in got} == {("s", None): 160_000, ("s", "time_order"): 40_000, ("l", None): 4000, ("l", "time_order"): 1}
+    assert time.perf_counter() - began < 45
+
+
 def test_flip_and_null_island(spark):
     m = 1 / DEGREE
     flip = [(0, 1, 1, 0, 0), (0, 1 + 5 * m, 1, 5, 0), (0, 1 + 12 * m, 1, 8, 0), (0, 1 + 6 * m, 1, 11, 0), (0, 1 + 16 * m, 1, 16, 0)]

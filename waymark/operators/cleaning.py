@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections import namedtuple
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from waymark import ship
 from waymark.functions.geo import bearing, distance, turn, valid
@@ -12,6 +17,9 @@ from waymark.functions.rules import reasons
 from waymark.functions.stats import half_up
 from waymark.operators.continuity import in_order, with_pairs
 
+#: What the rules look at in a row.
+Judged = namedtuple("Judged", ("track_id", "lat", "lon", "ts_ms", "segment", "rejected", "ceiling_mps", "inferred"))
+
 #: Speeds in m/s above which a profile's jump is impossible.
 CEILINGS = {"slow": 6.0, "moderate": 10.0, "fast": 25.0, "unrestricted": 50.0, "unknown": 50.0}
 
@@ -123,14 +131,37 @@ def clean(points: DataFrame) -> DataFrame:
     rows = rows.withColumn("_check", F.max(F.coalesce(suspicious, F.lit(False))).over(Window.partitionBy("track_id")))
     keep = points.columns
     passed = rows.filter("not _check").select(*keep, F.lit(None).cast("string").alias("reason"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema) + ", reason string"
-
-    def fold(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("seq", ignore_index=True)
-        return track[keep].assign(reason=reasons(list(track.itertuples())))
-
-    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps", "inferred").groupBy("track_id").applyInPandas(fold, schema)
-    return passed.unionByName(checked)
+    schema = StructType([*points.schema.fields, StructField("reason", StringType())])
+    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps", "inferred").repartition("track_id").sortWithinPartitions("track_id", "seq")
+    return passed.unionByName(checked.mapInArrow(lambda batches: judged(batches, keep), schema))
+
+
+def judged(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """A task's sorted rows with their reasons, as many batches at a time as the track at the end of one reaches over."""
+    held: list[pa.RecordBatch] = []  # batches without an end of a track
+    out: list[str | None] = []  # reasons of the tracks that are complete, and the rows of the last one
+    track: list[Judged] = []
+    last = None
+    for batch in batches:
+        rows = [Judged(*x) for x in zip(*(batch.column(c).to_pylist() for c in Judged._fields), strict=True)]
+        done = 0
+        for k, p in enumerate(rows):
+            if p.track_id != last and track:
+                out += reasons(track)
+                track, done = [], k
+            last = p.track_id
+            track.append(p if p.segment is not None else p._replace(segment=math.nan))
+        if out:
+            yield _with_reasons([*held, batch.slice(0, done)], out, keep)
+            held, out, batch = [], [], batch.slice(done)
+        held.append(batch)
+    if held:
+        yield _with_reasons(held, reasons(track), keep)
+
+
+def _with_reasons(batches: list[pa.RecordBatch], found: list[str | None], keep: list[str]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).select(keep).append_column("reason", pa.array(found, pa.string())).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.column_names)
 
 
 def cleaning_summary(cleaned: DataFrame) -> DataFrame:
