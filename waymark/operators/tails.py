@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
@@ -150,30 +152,55 @@ def without_sparse_tails(run_points: DataFrame) -> DataFrame:
     filled by way between the samples beside it (at an end, from the one). A sample beside a tail across half an hour, from
     which the elevation only settles, gives way to where it settles, both as a support and itself. In a tail of both kinds
     the high value counts.
-    Runs without seeds, nearly all, are judged by windows alone and pass by; a run with seeds is read by one Python task, in
-    time proportional to its length."""
+    Runs without seeds, nearly all, are judged by windows alone. A task reads its runs one after another in batches, passes on
+    batches without seeds as they are and holds one run, in time proportional to its length."""
     ship(run_points.sparkSession)
-    rows = with_seeds(run_points)
-    kept = [*run_points.columns]
-    new = ("low_tail", "high_tail", "is_sparse_tail")
+    kept, new = [*run_points.columns], ("low_tail", "high_tail", "is_sparse_tail")
     schema = StructType(list(run_points.schema.fields))
     for c in new:
         schema = schema.add(c, BooleanType())
-
-    def judge(table: pa.Table) -> pa.Table:
-        table = table.sort_by("i")
+    # the windows have brought each run together and in order
+    rows = with_seeds(run_points).withColumn("begins", F.row_number().over(run_order()) == 1).sortWithinPartitions("track_id", "run", "i")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the run that goes on
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("begins").to_numpy(zero_copy_only=False))
+            if len(starts):
+                yield from judged([*held, batch.slice(0, int(starts[-1]))], kept, new)
+                held, batch = [], batch.slice(int(starts[-1]))
+            held.append(batch)
+        yield from judged(held, kept, new)
+
+    return rows.mapInArrow(judge, schema)
+
+
+def judged(batches: list[pa.RecordBatch], kept: list[str], new: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Whole runs, in order, with their tails filled and marked."""
+    table = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if table is None or not table.num_rows:
+        return
+    low, high, filled = (np.zeros(table.num_rows, bool) for _ in new)
+    out = table.select(kept)
+    seeded = table.column("has_seeds").to_numpy()
+    if seeded.any():
         number = lambda c: table.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy()
-        run = Run(number("ele"), number("d"), number("ts_ms") / 1000, number("lat"), number("lon"))
-        tails = tails_of(run, {f"{k}_{x}": table.column(f"{k}_{x}").to_numpy() for k in KINDS for x in ("seed", "rim")} | {"low_grows": table.column("low_grows").to_numpy()})
-        values = run.ele
-        for kind in KINDS:
-            filled = run.filled(tails[kind])
-            values = np.where(np.isnan(filled), values, filled)
-            tails["is"] = ~np.isnan(filled) | tails.get("is", False)
-        out = table.select(kept).set_column(kept.index("ele"), "ele", pa.array(values))
-        for name, mark in zip(new, (tails["low"], tails["high"], tails["is"]), strict=True):
-            out = out.append_column(name, pa.array(mark))
-        return out
-
-    calm = rows.filter(~F.col("has_seeds")).select(*kept, *(F.lit(False).alias(c) for c in new))
-    return calm.union(rows.filter("has_seeds").groupBy("track_id", "run").applyInArrow(judge, schema))
+        ele, *others = number("ele"), number("d"), number("ts_ms") / 1000, number("lat"), number("lon")
+        marks = {c: table.column(c).to_numpy() for c in (*(f"{k}_{x}" for k in KINDS for x in ("seed", "rim")), "low_grows")}
+        values = ele.copy()
+        bounds = [*np.flatnonzero(table.column("begins").to_numpy()).tolist(), table.num_rows]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if not seeded[lo]:
+                continue
+            at = slice(lo, hi)
+            run = Run(ele[at], *(x[at] for x in others))
+            tails = tails_of(run, {c: x[at] for c, x in marks.items()})
+            low[at], high[at] = tails["low"], tails["high"]
+            for kind in KINDS:
+                fill = run.filled(tails[kind])
+                filled[at] |= ~np.isnan(fill)
+                values[at] = np.where(np.isnan(fill), values[at], fill)
+        out = out.set_column(kept.index("ele"), "ele", pc.if_else(pa.array(filled), pa.array(values), out.column("ele")))
+    for name, mark in zip(new, (low, high, filled), strict=True):
+        out = out.append_column(name, pa.array(mark))
+    yield from out.combine_chunks().to_batches()
