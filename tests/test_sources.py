@@ -5,7 +5,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 from waymark.operators import series
+from waymark.plans.queries import QUERIES
 from waymark.plans.summary import track_summary
+from waymark.sources import tables
 from waymark.sources.files import apply_terrain, points_of, read_files, tracks_of, with_imported, without_flat_times, without_synthetic_times, without_zero_elevations
 from waymark.sources.parse import activity_kind, is_generic, route, stem
 from waymark.sources.tables import supplier_points
@@ -137,3 +139,21 @@ def test_lines_of_one_number_have_one_order(spark, tmp_path):
         spark.createDataFrame(some, "l_suppkey long, l_orderkey long, l_linenumber int, l_extendedprice double").coalesce(1).write.parquet(str(tmp_path / name / "lineitem.parquet"))
         got.append([r.ele for r in supplier_points(spark, str(tmp_path / name)).orderBy("seq").collect()])
     assert got[0] == got[1] == [100.45, 100.05, 100.1, 100.15]
+
+
+def test_partitions_grow_with_the_table(spark, monkeypatch):
+    """A task's rows don't grow with the table: it is dealt by track into more partitions, each track whole."""
+    small = "/root/testdata/sf0.001"
+    plain = sorted(tables.supplier_points(spark, small).collect())
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 300)
+    dealt = tables.supplier_points(spark, small)
+    assert sorted(dealt.collect()) == plain
+    assert dealt.rdd.getNumPartitions() == -(-len(plain) // 300) > 8
+    placed = dealt.select("track_id", F.spark_partition_id().alias("p")).distinct()
+    assert placed.count() == placed.select("track_id").distinct().count()
+
+
+def test_stops_by_way_read_the_lines_twice(spark):
+    """Once for the speeds and once for the whole ways: neither copies of samples nor colours make them again."""
+    plan = QUERIES["stops_by_way"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 2

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions.geo import distance
 from waymark.functions.stats import half_up
 from waymark.operators.continuity import in_order
-from waymark.operators.present import coloured
+from waymark.operators.present import coloured, with_colour
 
 #: Metres by which neighbouring samples may miss each other, samples and stops that a gradient has at least.
 MISS_M, LEAST = 1.0, 2
@@ -48,7 +48,7 @@ def stops_by_way(speeds: DataFrame, totals: DataFrame | None = None, column: str
     rows = rows.withColumns({"end_m": end, "total_m": F.coalesce(total, end), "fits": F.abs(F.col("start_m") - F.col("before_m")) <= MISS_M})
     rows = rows.withColumns({"whole": F.bool_and("fits").over(whole), "n": F.count("*").over(whole)}).filter((F.col("n") >= LEAST) & F.col("whole") & (F.abs(F.col("end_m") - F.col("total_m")) <= MISS_M) & (F.col("total_m") > 0))
     rows = rows.select("track_id", "seq", "k", column, (F.col("distance_m") / F.col("total_m")).alias("progress"))
-    return stops(rows.join(coloured(rows, column), ["track_id", "seq"]))
+    return stops(with_colour(rows, column))
 
 
 def stops_by_point(points: DataFrame, speeds: DataFrame, column: str = "smooth_kmh") -> DataFrame:
