@@ -101,6 +101,59 @@ def test_broad_window_is_moved_into_the_segment(spark):
     assert not any(r.poor_broad or r.poor_window for r in diagnostics.slow_pairs(track(spark, onward)).collect())
 
 
+def in_batches(spark, n, make):
+    """The sorted rows of make() where Python gets n rows at a time."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    try:
+        return sorted(make().collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_segments_and_runs_reach_over_batches_without_groups(spark):
+    m = 1 / DEGREE
+    pacing = track(spark, [(0, 1 + 0.4 * min(t % 450, 450 - t % 450) * m, 1, t, t // 900) for t in range(0, 1801, 5)])
+    rows = [(f"r{k}", 1, i + 1, i + 1, T0 + i * 10000, i * 10 / DEGREE, 0.0, 10.0 if i else 0.0, -30.0 if k % 2 and 50 <= i < 54 else float(10 + i % 3)) for k in range(4) for i in range(100)]
+    runs = spark.createDataFrame(rows, RUN_SCHEMA)
+    for make in (lambda: diagnostics.slow_pairs(pacing), lambda: tails.without_sparse_tails(runs)):
+        assert in_batches(spark, 7, make) == in_batches(spark, 1000, make) != []
+        plan = make()._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Groups" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sum(r.is_sparse_tail for r in tails.without_sparse_tails(runs).collect()) == 8
+
+
+def test_windows_go_to_and_fro_as_one_by_one():
+    """Many windows at once against the rule for one, on lines along both axes, with unknown places and without way."""
+
+    def one(lat, lon, efficiency, most_back):
+        east, north = (lon - lon[:1]) * DEGREE * np.cos(np.radians(lat[:1])), (lat - lat[:1]) * DEGREE
+        along = east if len(lat) and np.ptp(east) >= np.ptp(north) else north
+        steps = np.diff(along)
+        steps = steps[np.abs(steps) >= 1]
+        if len(lat) < 3 or not len(steps) or np.count_nonzero(np.diff(np.sign(steps))) < 3:
+            return False
+        net = along[-1] - along[0]
+        back = np.abs(steps[np.sign(steps) != np.sign(net)]).sum()
+        return bool(abs(net) / np.abs(steps).sum() < efficiency and (not abs(net) > 0 or back / abs(net) >= most_back))
+
+    rng, seen = np.random.default_rng(3), []
+    for trial in range(60):
+        n = int(rng.integers(1, 60))
+        lat, lon = (43 + np.cumsum(rng.normal(0, rng.uniform(0.1, 3), n)) / DEGREE for _ in range(2))
+        if trial % 10 == 0:
+            lat[n // 2] = np.nan
+        if trial % 10 == 1:
+            lon[:] = 43
+        first = rng.integers(0, n, 30)
+        last = np.minimum(n, first + rng.integers(0, 50, 30))
+        for limits in ((0.45, 1.0), (0.2, 2.0)):
+            got = diagnostics.goes_to_and_fro(lat, lon, first, last, *limits).tolist()
+            assert got == [one(lat[a:b], lon[a:b], *limits) for a, b in zip(first, last, strict=True)]
+            seen += got
+    assert 100 < sum(seen) < len(seen) - 100
+
+
 def speeds_of(spark, rows):
     return spark.createDataFrame([("t", k, float(d), float(m), float(v)) for k, d, m, v in rows], "track_id string, seq int, distance_m double, metres double, smooth_kmh double")
 
