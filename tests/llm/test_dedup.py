@@ -1,12 +1,13 @@
 import random
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 import xxhash
 from waymark.llm.compact_windows import repeated_passages, tree_windows
 from waymark.llm.common import STAGED, discard
 from waymark.llm.components import components
-from waymark.llm.line_chunks import MARKS, MULTIPLIER, chunks_of, drop_repeated_chunks, without
+from waymark.llm.line_chunks import CHARACTERS, MARKS, MULTIPLIER, bodies, body, chunks_of, drop_repeated_chunks, key_of, without
 from waymark.llm.minhash import near_duplicates
 
 from tests.llm.helpers import brute_components, empty_frame, frame, odd_frame, prose
@@ -288,6 +289,17 @@ def test_chunks_whose_hashes_collide_stay(spark):
     assert left[9] is None and all([tuple(x) for x in left[k]] == [(3, 4, False)] for k in range(3))
 
 
+def test_bodies_are_handed_on_before_they_pile_up():
+    texts = ["\n".join(f"{k} {line} " + "w" * 300 for line in range(200)) for k in range(200)]
+    found = [{body(t.split("\n"), c) for c in chunks_of(t.split("\n"))} for t in texts]
+    known = [[{"h1": a, "h2": b} for a, b in map(key_of, one)] for one in found]
+    out = list(bodies(iter([pa.RecordBatch.from_pydict({"text": texts, "known": known})])))
+    made = [b.column("body").to_pylist() for b in out]
+    assert sum(map(len, found[0])) > 3 * len(texts[0])
+    assert max(sum(map(len, one)) for one in made) < CHARACTERS + len(texts[0])
+    assert sorted(x for one in made for x in one) == sorted(x for one in found for x in one)
+
+
 def test_line_chunks_of_odd_tables(spark):
     rows = drop_repeated_chunks(odd_frame(spark)).collect()
     assert len(rows) == 23 and all(r.n_removed == 0 for r in rows)

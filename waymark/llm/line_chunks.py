@@ -17,8 +17,8 @@ from waymark.llm.common import id_and_text, staged
 #: the lines of a chunk alone choose it, and it stands wherever they stand.
 MARKS = ((2, 1), (2, 2), (2, 3), (4, 1), (8, 1))
 MASK, MULTIPLIER = (1 << 64) - 1, 0x9E3779B97F4A7C15
-#: Rows of an Arrow batch from which a task hands it on.
-ROWS = 100_000
+#: Rows of an Arrow batch, and characters in it, from which a task hands it on; rows of one that it unpacks at a time.
+ROWS, CHARACTERS, AT_ONCE = 10_000, 1 << 20, 50
 NO_ID = 2**63 - 1
 
 
@@ -76,6 +76,39 @@ def shorter(text: str, known: dict[tuple[int, int], bool]) -> tuple[str, int, in
     return "\n".join(line for k, line in enumerate(lines) if k not in gone), len(lines), len(gone)
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of AT_ONCE rows: texts and lists of keys take many times their size as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(start, AT_ONCE)
+
+
+def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows h1, h2, body of the chunks in batches of text and known whose key is known, handed on by CHARACTERS: texts of which
+    much repeats have several times their length in chunks."""
+    out: list[tuple[int, int, str]] = []
+    size = 0
+
+    def made() -> pa.RecordBatch:
+        a, b, c = zip(*out, strict=True) if out else ((), (), ())
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["h1", "h2", "body"])
+
+    for part in unpacked(batches):
+        for t, listed in zip(*(part.column(c).to_pylist() for c in ("text", "known")), strict=True):
+            wanted, lines = {(x["h1"], x["h2"]): None for x in listed}, t.split("\n")
+            for chunk in chunks_of(lines):
+                text = body(lines, chunk)
+                if (key := key_of(text)) in wanted and wanted[key] != text:  # once, unless two bodies share a key
+                    wanted[key] = text
+                    out.append((*key, text))
+                    size += len(text)
+                    if size >= CHARACTERS:
+                        yield made()
+                        size = 0
+    yield made()
+
+
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, text, n_lines, n_removed: every text without the lines of multi-line chunks that stand elsewhere too.
 
@@ -133,29 +166,18 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     meets = (F.col("d.own") == F.col("k.own")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
     texts = staged(keyed.alias("d").join(known.hint("merge").alias("k"), meets, "left").select("d.doc_id", "d.own", "d.text", "k.known"))
 
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, str]] = []
-            for t, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                wanted, lines = {(x["h1"], x["h2"]) for x in listed}, t.split("\n")
-                for text in {body(lines, c) for c in chunks_of(lines)}:
-                    if (key := key_of(text)) in wanted:
-                        out.append((*key, text))
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.string())], ["h1", "h2", "body"])
-
     compared = texts.filter("known is not null").select("text", "known").mapInArrow(bodies, "h1 long, h2 long, body string")
     collided = staged(compared.groupBy("h1", "h2").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("h1", "h2"))
     if not collided.isEmpty():
         texts = without(texts, collided)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in unpacked(batches):
             out = []
-            for text, listed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, listed in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 out.append(shorter(text, {(x["h1"], x["h2"]): x["is_first"] for x in listed}) if listed else (text, text.count("\n") + 1, 0))
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a, pa.string()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
 
     return texts.select("doc_id", "text", "known").mapInArrow(run, "doc_id long, text string, n_lines long, n_removed long")
 
