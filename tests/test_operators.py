@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from waymark.functions import values
+from waymark.functions import rules, values
 from waymark.operators import cleaning, continuity, diagnostics, elevation, moving, present, series
 from waymark.plans.summary import analyse
 from pyspark.sql import functions as F
@@ -277,3 +277,20 @@ def test_explicit_profiles(spark):
     got = {r.track_id: r for r in reliability(s).collect()}
     assert (got["a"].p10, got["a"].p25, got["a"].p50) == (5, 5, 15) and (got["a"].profile, got["a"].profile_source, got["a"].n_outliers) == ("slow", "speed_distribution", 4)
     assert (got["b"].profile, got["b"].profile_source, got["b"].ceiling_kmh) == ("fast", "explicit", 90) and got["c"].profile == "slow"
+
+
+def test_clean_reads_its_points_once(spark):
+    rows = [(43 + k * 3e-5, 42, 100, 2 * k if k != 5 else 8, 0) for k in range(20)]
+    out = cleaning.clean(track(spark, rows))
+    assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.reason for r in out.orderBy("seq").collect()] == [None] * 5 + ["time_order"] + [None] * 14
+
+
+def test_corridors_ask_the_rules_of_fast_pairs_only(monkeypatch):
+    place = lambda k, metres: cleaning.Judged("a", 43 + metres / 111_000, 42.0, k * 1000, 0, False, rules.SLOW_CEILING, True)
+    asked = []
+    reason = rules.reason
+    monkeypatch.setattr(rules, "reason", lambda *x: asked.append(x) or reason(*x))
+    assert rules.corridors([place(k, k * 1.5) for k in range(500)], rules.SLOW_CEILING) == set() and not asked
+    fast = rules.corridors([place(k, k * 8.0) for k in range(10)], rules.SLOW_CEILING)
+    assert fast == set(range(1, 10)) and len(asked) == 10

@@ -74,11 +74,18 @@ def corridors(points: list, ceiling: float) -> set[int]:
     """Places of points that are too fast for a slow track but part of a steady fast stretch: four pairs or more at 0.7 of
     the ceiling or above (one in between may have 0.5), three of them above it, up to 50 m/s, 0.35 direct or more, and no
     turn above 75 degrees. A pair next to a point that another rule drops isn't part of one."""
-    doomed = [reason(points[k - 1] if k else None, p, points[k + 1] if k + 1 < len(points) else None) is not None for k, p in enumerate(points)]
-    pace = [None] * len(points)
+    known: dict[int, bool] = {}
+
+    def doomed(k: int) -> bool:
+        if k not in known:
+            known[k] = reason(points[k - 1] if k else None, points[k], points[k + 1] if k + 1 < len(points) else None) is not None
+        return known[k]
+
+    pace = [None] * len(points)  # of pairs slow enough to end any stretch nothing is asked
     for k in range(1, len(points)):
-        v = None if doomed[k] or doomed[k - 1] else speed(points[k - 1], points[k])
-        pace[k] = v if v is not None and v <= HARD_LIMIT else None
+        v = speed(points[k - 1], points[k])
+        if v is not None and 0.5 * ceiling <= v <= HARD_LIMIT and not doomed(k) and not doomed(k - 1):
+            pace[k] = v
     near = [v is not None and v >= 0.7 * ceiling for v in pace]
     found: set[int] = set()
     run: list[int] = []

@@ -6,6 +6,7 @@ import math
 from collections import namedtuple
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,53 +116,55 @@ def heading_flips(points: DataFrame) -> DataFrame:
     return points.withColumn("is_flip", F.coalesce(flip, F.lit(False)))
 
 
-def clean(points: DataFrame) -> DataFrame:
+def clean(points: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
     """The points with reason: null for those kept, else the first rule that drops them, in this order: coordinates out of
     range, a rejected fix, a lone point at 0, 0 over 100 km off, a repeat, a time not after the last, a flip of heading, a
     speed above the track's ceiling. Previous means the last point kept, next the next row. Tracks on which no rule can
-    fire against the row before pass by without the fold, which holds one track's rows in memory."""
+    fire against the row before pass by without the fold, which holds one track's rows in memory; both kinds go through one
+    pass. profiles: motion_profile's rows, where they are known."""
     ship(points.sparkSession)
     quality = with_fix_quality(points)
-    profile = motion_profile(points).select("track_id", "ceiling_mps", (F.col("profile_source") == "inferred").alias("inferred"))
+    profile = (motion_profile(points) if profiles is None else profiles).select("track_id", "ceiling_mps", (F.col("profile_source") == "inferred").alias("inferred"))
     rows = heading_flips(with_pairs(quality)).join(profile, "track_id", "left").withColumn("ceiling_mps", F.coalesce("ceiling_mps", F.lit(50.0)))
     suspicious = (
         ~valid(F.col("lat"), F.col("lon")) | F.col("rejected") | F.col("is_flip") | ((F.abs("lat") <= 1e-6) & (F.abs("lon") <= 1e-6))
         | ((F.col("metres") == 0) & F.col("ts_ms").eqNullSafe(F.lag("ts_ms").over(in_order()))) | (F.col("same_segment") & (F.col("dt") <= 0)) | (F.try_divide(F.col("metres"), F.when(F.col("dt") > 0, F.col("dt"))) > F.col("ceiling_mps"))
     )
     rows = rows.withColumn("_check", F.max(F.coalesce(suspicious, F.lit(False))).over(Window.partitionBy("track_id")))
+    rows = rows.withColumn("_begins", F.lag("seq").over(in_order()).isNull())
     keep = points.columns
-    passed = rows.filter("not _check").select(*keep, F.lit(None).cast("string").alias("reason"))
     schema = StructType([*points.schema.fields, StructField("reason", StringType())])
-    checked = rows.filter("_check").select(*keep, "rejected", "ceiling_mps", "inferred").repartition("track_id").sortWithinPartitions("track_id", "seq")
-    return passed.unionByName(checked.mapInArrow(lambda batches: judged(batches, keep), schema))
+    # the windows have brought each track together and in order
+    ordered = rows.select(*keep, "rejected", "ceiling_mps", "inferred", "_check", "_begins").sortWithinPartitions("track_id", "seq")
+    return ordered.mapInArrow(lambda batches: judged(batches, keep), schema)
 
 
 def judged(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
     """A task's sorted rows with their reasons, as many batches at a time as the track at the end of one reaches over."""
-    held: list[pa.RecordBatch] = []  # batches without an end of a track
-    out: list[str | None] = []  # reasons of the tracks that are complete, and the rows of the last one
-    track: list[Judged] = []
-    last = None
+    held: list[pa.RecordBatch] = []  # rows of the track that goes on
     for batch in batches:
-        rows = [Judged(*x) for x in zip(*(batch.column(c).to_pylist() for c in Judged._fields), strict=True)]
-        done = 0
-        for k, p in enumerate(rows):
-            if p.track_id != last and track:
-                out += reasons(track)
-                track, done = [], k
-            last = p.track_id
-            track.append(p if p.segment is not None else p._replace(segment=math.nan))
-        if out:
-            yield _with_reasons([*held, batch.slice(0, done)], out, keep)
-            held, out, batch = [], [], batch.slice(done)
+        starts = np.flatnonzero(batch.column("_begins").to_numpy(zero_copy_only=False))
+        if len(starts):
+            yield from _with_reasons([*held, batch.slice(0, int(starts[-1]))], keep)
+            held, batch = [], batch.slice(int(starts[-1]))
         held.append(batch)
-    if held:
-        yield _with_reasons(held, reasons(track), keep)
-
-
-def _with_reasons(batches: list[pa.RecordBatch], found: list[str | None], keep: list[str]) -> pa.RecordBatch:
-    table = pa.Table.from_batches(batches).select(keep).append_column("reason", pa.array(found, pa.string())).combine_chunks()
-    return pa.RecordBatch.from_arrays([c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns], names=table.column_names)
+    yield from _with_reasons(held, keep)
+
+
+def _with_reasons(batches: list[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole tracks, in order, with their reasons."""
+    table = pa.Table.from_batches(batches).combine_chunks() if batches else None
+    if table is None or not table.num_rows:
+        return
+    found: list[str | None] = [None] * table.num_rows
+    bounds = [*np.flatnonzero(table.column("_begins").to_numpy()).tolist(), table.num_rows]
+    check = table.column("_check").to_numpy()
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        if check[lo]:
+            columns = (table.column(c).slice(lo, hi - lo).to_pylist() for c in Judged._fields)
+            track = (Judged(*x) for x in zip(*columns, strict=True))
+            found[lo:hi] = reasons([p if p.segment is not None else p._replace(segment=math.nan) for p in track])
+    yield from table.select(keep).append_column("reason", pa.array(found, pa.string())).combine_chunks().to_batches()
 
 
 def cleaning_summary(cleaned: DataFrame) -> DataFrame:

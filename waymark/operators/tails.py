@@ -35,10 +35,10 @@ KINDS = ("low", "high")
 def with_seeds(run_points: DataFrame) -> DataFrame:
     """The runs with d, the way from the run's beginning; low_seed, low_rim, low_grows, high_seed, high_rim; has_seeds of the
     run: ranks are window aggregates, so nearly all runs are done with here."""
-    rank = lambda p: F.percentile("ele", F.lit(p)).over(whole_run())
+    ranks = (LOW_REFERENCE, LOW_RIM, LOW_TENTH, HIGH_REFERENCE, HIGH_RIM)
     rows = run_points.withColumn("d", F.sum(F.when(F.col("i") > 1, F.col("metres")).otherwise(0.0)).over(run_order().rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumns({"_n": F.max("i").over(whole_run())} | {f"_{p}": rank(p) for p in (LOW_REFERENCE, LOW_RIM, LOW_TENTH, HIGH_REFERENCE, HIGH_RIM)})
-    able, ele, at = F.col("_n") >= LEAST_SAMPLES, F.col("ele"), lambda p: F.col(f"`_{p}`")
+    rows = rows.withColumns({"_n": F.max("i").over(whole_run()), "_ranks": F.percentile("ele", F.array(*map(F.lit, ranks))).over(whole_run())})
+    able, ele, at = F.col("_n") >= LEAST_SAMPLES, F.col("ele"), lambda p: F.col("_ranks")[ranks.index(p)]
     marks = {
         "low_grows": at(LOW_TENTH) <= LOW_GROWS, "low_seed": able & (ele < at(LOW_REFERENCE) - SEPARATION) & (ele < LOW_SEED), "low_rim": ele < at(LOW_RIM),
         "high_seed": able & (ele > at(HIGH_REFERENCE) + SEPARATION), "high_rim": ele > at(HIGH_RIM),
