@@ -230,7 +230,7 @@ def slow_in(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, n_points: int, ends
     holds = np.flatnonzero((t[slow] >= begin) & (t[slow + 1] <= stop))
     broad = np.zeros(len(slow), bool)
     broad[holds] = goes_to_and_fro(lat, lon, np.searchsorted(t, begin[holds]), np.searchsorted(t, stop[holds], side="right"), *BROAD)
-    whole = n_points <= 120 and bool(goes_to_and_fro(lat, lon, np.array([0]), np.array([len(t)]))[0])
+    whole = n_points <= 120 and bool(goes_to_and_fro(lat, lon)[0])
     return slow + 1, window, broad, np.full(len(slow), whole)
 
 
@@ -246,14 +246,16 @@ def way(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray)
 CELLS = 1 << 14
 
 
-def goes_to_and_fro(lat: np.ndarray, lon: np.ndarray, first: np.ndarray, last: np.ndarray, least_efficiency: float = 0.45, most_back: float = 1.0) -> np.ndarray:
-    """Which stretches of points in order, from places ``first`` to before ``last``, go to and fro: along the axis, east or
-    north, on which they reach farther, steps of 1 m or more change sign three times or more, the net way is less than
-    ``least_efficiency`` of the whole, and the way back is ``most_back`` of the net way or more. Fewer than three points, or no
-    such step, don't.
+def goes_to_and_fro(lat: np.ndarray, lon: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None, least_efficiency: float = 0.45, most_back: float = 1.0) -> np.ndarray:
+    """Which stretches of points in order, from places ``first`` to before ``last`` (without these, the one of all points),
+    go to and fro: along the axis, east or north, on which they reach farther, steps of 1 m or more change sign three times or
+    more, the net way is less than ``least_efficiency`` of the whole, and the way back is ``most_back`` of the net way or more.
+    Fewer than three points, or no such step, don't.
 
     Degrees of latitude have one length, so steps north are running sums. Those of longitude have that of the stretch's first
     point, which settles which steps have 1 m: stretches along them are laid out beside each other."""
+    if first is None or last is None:
+        first, last = np.array([0]), np.array([len(lat)])
     out = np.zeros(len(first), bool)
     todo = np.flatnonzero(last - first >= 3)
     if not len(todo):
