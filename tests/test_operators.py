@@ -146,6 +146,14 @@ def test_slow_progress_needs_a_direction(spark):
     assert diagnostics.slow_progress(track(spark, swaying)).count() == 0
 
 
+def test_slow_progress_names_pairs_by_their_second_points(spark):
+    # the first two points have one time, where an order by time alone may list the first: it ends no pair
+    m = 1 / DEGREE
+    rows = track(spark, [(0, 1 + k * 4 * m, 1, 20 * max(k, 1), 0) for k in range(20)])
+    for laid in (rows, rows.repartition(7, "seq"), rows.orderBy(F.desc("seq")).coalesce(1)):
+        assert sorted(r.seq for r in diagnostics.slow_progress(laid).collect()) == list(range(2, 21))
+
+
 @pytest.mark.parametrize(("places", "poor"), [([0, 5, 10, 15], False), ([0, 5, 0, 5, 0, 5], True), ([0, 0.5, 0, 0.5], False), ([0, 9], False), ([0, 6, 3, 9, 6, 12, 9, 15], False)])
 def test_poor_direction(places, poor):
     lat = np.array([1 + p / DEGREE for p in places])
